@@ -11,6 +11,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,7 +88,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
     for b in batches:
         if not b.num_rows:
             continue
-        sizes = np.array([0 if n is None else n for n in pa.compute.binary_length(b.column(text)).to_pylist()], np.int64)
+        sizes = np.array([0 if n is None else n for n in pc.binary_length(b.column(text)).to_pylist()], np.int64)
         group = np.cumsum(sizes) // most
         cuts = np.flatnonzero(np.diff(group)) + 1
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows], strict=True):
