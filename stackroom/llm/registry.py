@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, licenses, quality
+from . import bpe, chat, htmltext, licenses, linededup, quality
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op3_chat_format": chat.op3_chat_format,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op6_line_dedup": linededup.op6_line_dedup,
+    "op7_html_text": htmltext.op7_html_text,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL = {
     "op1_license_scan": licenses.OP1_SQL,
     "op3_chat_format": chat.OP3_SQL,
+    "op6_line_dedup": linededup.OP6_SQL,
     "op10_quality_rules": quality.OP10_SQL,
 }
