@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, htmltext, licenses, linededup, quality
+from . import ann, bpe, chat, htmltext, licenses, linededup, packing, quality
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_html_text": htmltext.op7_html_text,
+    "op8_packing": packing.op8_packing,
     "op9_ann_search": ann.op9_ann_search,
     "op10_quality_rules": quality.op10_quality_rules,
 }
