@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, htmltext, licenses, linededup, packing, quality
+from . import ann, bpe, chat, htmltext, jaccard, licenses, linededup, packing, quality
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_chat_format": chat.op3_chat_format,
     "op4_byte_bpe": bpe.op4_byte_bpe,
     "op6_line_dedup": linededup.op6_line_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_license_scan": licenses.OP1_SQL,
+    "op2_ngram_jaccard": jaccard.OP2_SQL,
     "op3_chat_format": chat.OP3_SQL,
     "op6_line_dedup": linededup.OP6_SQL,
     "op10_quality_rules": quality.OP10_SQL,
