@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, htmltext, jaccard, licenses, linededup, packing, quality
+from . import ann, bpe, chat, htmltext, jaccard, licenses, linededup, lm, packing, quality
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_chat_format": chat.op3_chat_format,
     "op4_byte_bpe": bpe.op4_byte_bpe,
+    "op5_lm_score": lm.op5_lm_score,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op7_html_text": htmltext.op7_html_text,
     "op8_packing": packing.op8_packing,
