@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import inspect
 import os
 import tempfile
 import uuid
@@ -98,7 +101,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
 class HashCache(dict):
     """word -> 64-bit hash; forgets everything at a fixed size, so memory stays bounded on any vocabulary."""
 
-    def __init__(self, seed: int = 0, most: int = 300_000):
+    def __init__(self, seed: int = 0, most: int = 150_000):
         super().__init__()
         self.seed, self.most = seed, most
 
@@ -121,5 +124,40 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def trim() -> None:
+    """Give memory that is free inside the worker back to the machine: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps its own counsel
+
+
+def lean(fn):
+    """A function over batches or groups after which free memory is given back."""
+
+    def over(out):
+        if isinstance(out, pa.Table):
+            trim()
+            return out
+        return over_batches(out)
+
+    def one(data):
+        return over(fn(data))
+
+    def two(left, right):
+        return over(fn(left, right))
+
+    def over_batches(out):
+        try:
+            yield from out
+        finally:
+            trim()
+
+    # Spark reads the number of parameters
+    return two if len(inspect.signature(fn).parameters) == 2 else one
+
+
 def binaries(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, ship, sliced, small_join, store
+from .common import lean, load, ship, sliced, small_join, store
 
 WINDOW, FACTOR, EVERY = 2, 31, 3
 CHUNKS = "doc_id long, th long, start int, n int, h long"
@@ -70,7 +70,7 @@ def _chunks(docs: DataFrame, with_text: bool) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * (5 + with_text)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=False)], names[: 5 + with_text])
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, CHUNKS + (", chunk binary" if with_text else ""))
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").mapInArrow(lean(run), CHUNKS + (", chunk binary" if with_text else ""))
 
 
 def removals(docs: DataFrame) -> DataFrame:

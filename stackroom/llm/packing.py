@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import SPECIAL, default_path, made, read_ranks
-from .common import load, ship, sliced
+from .common import lean, load, ship, sliced
 
 LENGTH, END = 1024, 0
 SENTENCE, HARD = 3, 10
@@ -186,7 +186,7 @@ def pack(docs: DataFrame, json_path: str, ranks_path: str | None = None, length:
         if rows:
             yield batch()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), PIECES)
 
 
 def pieces(docs: DataFrame, path_of: Callable[[str], str] = default_path) -> DataFrame:
