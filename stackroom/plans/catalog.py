@@ -1,7 +1,10 @@
-"""Named queries of the library with the SQL that must give the same rows."""
+"""All named queries of the library with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "bm25_topk"
+from . import scalars  # noqa: F401
+from .base import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "f19_retrieve"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
