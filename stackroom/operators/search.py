@@ -23,17 +23,25 @@ def chunk_view(paragraphs: DataFrame, captions: DataFrame | None = None) -> Data
     return out.where(F.trim("text") != "")
 
 
-def postings(chunks: DataFrame, weighted: bool = True) -> DataFrame:
-    """(chunk_id, word, f, dl): weighted frequency of each word in title and body, and the chunk's tokens."""
-    title, body = T.fts_tokens(F.coalesce("title", F.lit(""))), T.fts_tokens(F.col("text"))
-    c = chunks.select("chunk_id", (F.size(title) + F.size(body)).alias("dl"), F.concat(F.transform(title, lambda w: F.struct(w.alias("w"), F.lit(TITLE_WEIGHT if weighted else 1.0).alias("k"))), F.transform(body, lambda w: F.struct(w.alias("w"), F.lit(BODY_WEIGHT).alias("k")))).alias("t"))
-    return c.select("chunk_id", "dl", F.explode("t").alias("t")).groupBy("chunk_id", "dl", F.col("t.w").alias("word")).agg(F.sum("t.k").alias("f"))
+def _tokens(chunks: DataFrame) -> DataFrame:
+    return chunks.select("chunk_id", T.fts_tokens(F.coalesce("title", F.lit(""))).alias("a"), T.fts_tokens(F.col("text")).alias("b"))
+
+
+def postings(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(chunk_id, word, f, dl): weighted frequency of each word in title and body, and the chunk's tokens.
+
+    With `only`, the words of a query, other words are dropped before rows are made of them.
+    """
+    keep = (lambda c: F.filter(c, lambda w: w.isin(only))) if only is not None else (lambda c: F.col(c))
+    tag = lambda c, k: F.transform(keep(c), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
+    c = _tokens(chunks).select("chunk_id", (F.size("a") + F.size("b")).alias("dl"), F.concat(tag("a", TITLE_WEIGHT), tag("b", BODY_WEIGHT)).alias("t"))
+    # the outer form: from the plain one the optimizer infers a filter that computes the array a second time
+    return c.select("chunk_id", "dl", F.explode_outer("t").alias("t")).where("t is not null").groupBy("chunk_id", "dl", F.col("t.w").alias("word")).agg(F.sum("t.k").alias("f"))
 
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: number of chunks and average tokens."""
-    n = F.size(T.fts_tokens(F.coalesce("title", F.lit("")))) + F.size(T.fts_tokens(F.col("text")))
-    return chunks.agg(F.count("*").alias("n_chunks"), F.avg(n).alias("avgdl"))
+    return _tokens(chunks).agg(F.count("*").alias("n_chunks"), F.avg(F.size("a") + F.size("b")).alias("avgdl"))
 
 
 def bm25(chunks: DataFrame, variants: DataFrame, scope: Column | None = None) -> DataFrame:
@@ -43,7 +51,8 @@ def bm25(chunks: DataFrame, variants: DataFrame, scope: Column | None = None) ->
     applied to the candidates afterwards, so Catalyst can't move it below the statistics.
     """
     asked = F.broadcast(variants.distinct())
-    found = postings(chunks).join(F.broadcast(variants.select("word").distinct()), "word", "left_semi")
+    words = [r[0] for r in variants.select("word").distinct().collect()]  # a query's own
+    found = postings(chunks, words)
     df = found.groupBy("word").agg(F.count("*").alias("df"))
     stats = corpus_stats(chunks)
     need = variants.groupBy("variant").agg(F.count_distinct("word").alias("need"))

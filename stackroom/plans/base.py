@@ -24,7 +24,12 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that lie in fewer splits than there are cores are dealt to all of them first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and df.rdd.getNumPartitions() * 2 <= cores:
+        return df.repartition(cores)
+    return df
 
 
 #: Lines of documents stand for a paper's paragraphs: four to a page, `source` for its section.
@@ -33,7 +38,7 @@ LINES = "lines as (select doc_id, source, lang, unnest(range(0, len(l)))::int po
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "source", "lang", F.posexplode(F.split("text", "\n", -1)).alias("pos", "text")).withColumn("page", F.expr("cast(pos div 4 + 1 as int)"))
+    return d.select("doc_id", "source", "lang", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "text")).where("pos is not null").withColumn("page", F.expr("cast(pos div 4 + 1 as int)"))
 
 
 def literal(x) -> str:
