@@ -213,6 +213,14 @@ def test_chunks_move_with_their_lines():
     assert len(a & b) >= 0.7 * len(a) and b"\n".join(b"\n".join(moved[s : s + n]) for s, n in linededup.cut(moved)) == b"\n".join(moved)
 
 
+def test_bytes_decide_where_hashes_meet(spark):
+    from stackroom.llm.common import load
+
+    docs = load(spark, SF, "documents")
+    rows = lambda mask: sorted((r["doc_id"], r["th"], tuple(map(tuple, r["gone"]))) for r in linededup.removals(docs, mask).collect())
+    assert rows(3) == rows((1 << 64) - 1) != []
+
+
 # 7: HTML
 
 
