@@ -157,8 +157,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = True,
             out = with_column(b, new)
             yield out if keep_text else out.drop_columns([text])
 
-    frame = docs if keep_text else docs
-    kept = _schema(frame if keep_text else frame.drop(text), columns)
+    kept = _schema(docs if keep_text else docs.drop(text), columns)
     return docs.mapInArrow(run, kept)
 
 

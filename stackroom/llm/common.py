@@ -157,7 +157,3 @@ def lean(fn):
 
     # Spark reads the number of parameters
     return two if len(inspect.signature(fn).parameters) == 2 else one
-
-
-def binaries(values: list[bytes]) -> pa.Array:
-    return pa.array(values, pa.binary())
