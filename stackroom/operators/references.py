@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 
 
 def bibliography_entries(paragraphs: DataFrame) -> DataFrame:

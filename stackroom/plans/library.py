@@ -283,7 +283,8 @@ def _(spark, d):
 
 @query("k10_partial_update", "select p_partkey, case when p_size = 7 then 'renamed' else p_name end p_name, p_brand from part")
 def _(spark, d):
-    return S.update(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), F.col("p_size") == 7, p_name=F.lit("renamed"), p_brand=F.lit(None).cast("string")) if False else S.update(table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size"), F.col("p_size") == 7, p_name=F.lit("renamed"), p_brand=F.lit(None).cast("string")).drop("p_size")
+    p = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    return S.update(p, F.col("p_size") == 7, p_name=F.lit("renamed"), p_brand=F.lit(None).cast("string")).drop("p_size")
 
 
 @query("k11_profiles_by_name", "select p_brand, list(p_name order by lower(p_name), p_partkey) names from part where p_type = 'SMALL' group by 1")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as S
-from .base import LINES, inline, literal, query, table, values
+from .base import inline, literal, query, table, values
 from .scalars import content_sql, words_sql
 
 VARIANTS = [("raw", "the"), ("raw", "of"), ("two", "thing"), ("three", "license"), ("four", "ing"), ("four", "and")]

@@ -382,9 +382,6 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.greatest(F.lit(2000), 4 * F.length("text")).cast("long").alias("most"))
 
 
-SECRETS = [("Authorization: Bearer abc.def-1", "Authorization=*** abc.def-1" if False else None)]
-
-
 @query("h41_redact", "select doc_id, regexp_replace(regexp_replace(text, '(?i)\\b(bearer)\\s+[A-Za-z0-9._~+/=-]+', '\\1 ***', 'g'), '(?i)\\b(api[_-]?key|token|secret|password|authorization)\\b\\s*[=:]\\s*[^\\s,;&]+', '\\1=***', 'g') redacted from documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("redacted"))
