@@ -44,12 +44,13 @@ def brute_components(docs):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("small", [4, 40])
-def test_near_copies_in_large_groups(spark, small, monkeypatch):
+@pytest.mark.parametrize(("small", "hot"), [(4, 50_000), (40, 10)])
+def test_near_copies_in_large_groups(spark, small, hot, monkeypatch):
     """A base edited more and more: many links hang on single pairs; groups larger than SMALL and pieces of few members."""
     monkeypatch.setattr(jaccard, "SMALL", small)
     monkeypatch.setattr(jaccard, "PIECE", 30)
     monkeypatch.setattr(jaccard, "COMMON", 3)
+    monkeypatch.setattr(jaccard, "HOT", hot)
     rng = random.Random(small)
     docs, base = [], words(rng, 120)
     for i in range(160):
