@@ -86,10 +86,10 @@ def dense_top_k(vectors: DataFrame, query: Column, k: int = CANDIDATES, allowed:
     return v.select("id", dot.alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def with_neighbours(hits: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """Hits (chunk_id, rank) followed by the chunks before and after each in its section, until `limit` rows.
+def neighbours(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(chunk_id, rank, side): all chunks before (0) and after (1) a hit in its section that are no hits, by their first hit.
 
-    `chunks` is (chunk_id, doc, pos, section). Order: hits by rank, then neighbours by their hit's rank, the one before first.
+    `hits` is (chunk_id, rank), `chunks` (chunk_id, doc, pos, section).
     """
     c = chunks.select("chunk_id", "doc", "pos", "section")
     h = hits.join(c, "chunk_id")
@@ -97,7 +97,15 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, limit: int) -> DataFrame
     n, t = near.alias("n"), c.alias("c")
     found = n.join(t, F.expr("n.doc = c.doc and n.x.at = c.pos and n.section <=> c.section")).select(F.col("c.chunk_id").alias("chunk_id"), F.col("n.rank").alias("rank"), F.col("n.x.side").alias("side"))
     found = found.join(hits.select("chunk_id"), "chunk_id", "left_anti")
-    first = found.withColumn("k", F.row_number().over(Window.partitionBy("chunk_id").orderBy("rank", "side"))).where("k = 1").select("chunk_id", F.lit(1).alias("kind"), "rank", "side")
+    return found.withColumn("k", F.row_number().over(Window.partitionBy("chunk_id").orderBy("rank", "side"))).where("k = 1").select("chunk_id", "rank", "side")
+
+
+def with_neighbours(hits: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """Hits (chunk_id, rank) followed by the chunks before and after each in its section, until `limit` rows.
+
+    `chunks` is (chunk_id, doc, pos, section). Order: hits by rank, then neighbours by their hit's rank, the one before first.
+    """
+    first = neighbours(hits, chunks).select("chunk_id", F.lit(1).alias("kind"), "rank", "side")
     every = hits.select("chunk_id", F.lit(0).alias("kind"), "rank", F.lit(0).alias("side")).unionByName(first)
     # few rows by now: top_k hits and two neighbours each
     return every.orderBy("kind", "rank", "side").limit(limit).select("chunk_id", (F.col("kind") == 0).alias("is_hit"), F.row_number().over(Window.orderBy("kind", "rank", "side")).alias("place"))

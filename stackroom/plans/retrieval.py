@@ -107,8 +107,8 @@ def retrieve(spark, d):
 @query("c05_neighbours", "with h as (select doc_id, (row_number() over (order by doc_id))::int rank from documents where doc_id % 97 = 0) select d.doc_id, count(*) n from h join documents d on d.doc_id in (h.doc_id - 1, h.doc_id + 1) and d.doc_id // 10 = h.doc_id // 10 join documents o on o.doc_id = h.doc_id where d.lang = o.lang and d.doc_id % 97 <> 0 group by 1")
 def _(spark, d):
     c = _chunks(spark, d)
-    hits = c.where("chunk_id % 97 = 0").select("chunk_id", F.row_number().over(Window.orderBy("chunk_id")).alias("rank"))
-    return S.with_neighbours(hits, c, 10_000).where("not is_hit").select(F.col("chunk_id").alias("doc_id"), F.lit(1).cast("long").alias("n"))
+    hits = c.where("chunk_id % 97 = 0").select("chunk_id", F.col("chunk_id").alias("rank"))
+    return S.neighbours(hits, c).select(F.col("chunk_id").alias("doc_id"), F.lit(1).cast("long").alias("n"))
 
 
 @query("f02_dense_top20", "select vec_id id, round(list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)), 6) score from embeddings order by list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)) desc, vec_id limit 20")
