@@ -418,7 +418,7 @@ def _(spark, d):
 @query("h46_text_supports")
 def _(spark, d):
     w = Window.partitionBy("doc_id").orderBy("pos")
-    p = paragraphs(spark, d).where("pos < 3").withColumn("before", F.lag("text").over(w)).where("before is not null")
+    p = paragraphs(spark, d).withColumn("before", F.lag("text").over(w)).where("before is not null")
     return p.select("doc_id", "pos", T.text_supports(F.col("before"), F.col("text")).alias("ok"))
 
 
