@@ -109,7 +109,7 @@ def ranked(points: DataFrame, curves: int, dims: int, bits: int, seed: int) -> D
                 for c in range(curves):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(keys_of(x, c, dims, bits, seed)), b.column("pid")], ["curve", "key", "pid"])
 
-    keys = points.select("pid", "v").mapInArrow(run, "curve int, key long, pid long").repartitionByRange(parts(spark), "curve", "key", "pid").sortWithinPartitions("curve", "key", "pid")
+    keys = points.select("pid", "v").mapInArrow(run, "curve int, key long, pid long").repartitionByRange(parts(points), "curve", "key", "pid").sortWithinPartitions("curve", "key", "pid")
     placed = store(keys.select("curve", "pid", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")), "curves")
     # rows by partition and curve: as many as partitions and curves, whatever the data
     runs = sorted((r.asDict() for r in placed.groupBy("curve", "part").agg(F.count("*").alias("n"), F.min("at").alias("first")).collect()), key=lambda r: (r["curve"], r["part"]))

@@ -121,8 +121,7 @@ def _arrow(ddl: str) -> pa.Schema:
 
 def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """Windows of each conversation, in order inside a partition that holds the whole conversation."""
-    spark = turns.sparkSession
-    ship(spark)
+    ship(turns.sparkSession)
     schema = _arrow(WINDOWS)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -138,7 +137,7 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
         if now is not None:
             yield now.end()
 
-    dealt = turns.select("conv_id", "turn", "role", "text").repartition(parts(spark), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = turns.select("conv_id", "turn", "role", "text").repartition(parts(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return dealt.mapInArrow(lambda batches: _batches(rows(batches), schema), WINDOWS)
 
 

@@ -71,9 +71,11 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 
 
-def parts(spark: SparkSession) -> int:
-    """How many pieces keyed work is dealt into: the session's shuffle partitions, which a cluster sets by its data."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def parts(df: DataFrame, each: int = 64 << 20) -> int:
+    """How many pieces keyed work over `df` is dealt into: one for every `each` bytes that its plan expects, and the session's shuffle partitions at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 50  # a frame made in memory counts as endless
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each) if known else 1)
 
 
 def small_join(df: DataFrame, rows: int = 100_000) -> DataFrame:
@@ -98,6 +100,98 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             yield b.slice(i, j - i)
 
 
+#: Words of up to SHORT bytes are hashed by tabulation: the sum of a random value for each (place, byte).
+SHORT = 32
+#: Text bytes whose words are hashed at once.
+STEP_BYTES = 1 << 18
+
+
+def _tables(seed: int) -> np.ndarray:
+    t = np.random.default_rng([seed, 77]).integers(0, 1 << 64, (SHORT, 256), np.uint64)
+    t[:, 65:91] = t[:, 97:123]
+    return t
+
+
+_TABLES: dict[int, np.ndarray] = {}
+
+
+def _text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and its texts' offsets there; null is the empty text."""
+    if col.null_count:
+        col = pc.fill_null(col, "")
+    wide = pa.types.is_large_string(col.type)
+    _, offsets, data = col.buffers()
+    off = np.frombuffer(offsets, "<i8" if wide else "<i4")[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return buf[off[0] : off[-1]], off - off[0]
+
+
+def _in_word(buf: np.ndarray) -> np.ndarray:
+    """True for bytes of words; all others are ASCII white space."""
+    return ((buf - np.uint8(9)) > 4) & (buf != 32)
+
+
+def _step_ends(buf: np.ndarray) -> list[int]:
+    """Where the bytes may be cut: every STEP_BYTES, moved on to the end of a word."""
+    out, at = [], 0
+    while at < len(buf):
+        at = min(at + STEP_BYTES, len(buf))
+        while at < len(buf) and _in_word(buf[at - 1 : at])[0]:
+            inside = _in_word(buf[at : at + 4096])
+            n = int(np.argmin(inside))
+            if not inside[n]:
+                at += n
+                break
+            at = min(at + 4096, len(buf))
+        out.append(at)
+    return out
+
+
+def word_hashes(col: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after another, and the number of words of each text.
+
+    Words are runs of bytes without ASCII white space, A-Z lower-cased. All is done over whole buffers, in steps of
+    a fixed size, so memory beyond the result is bounded however long a text or word is.
+    """
+    if seed not in _TABLES:
+        _TABLES[seed] = _tables(seed)
+    table = _TABLES[seed]
+    buf, off = _text_buffer(col)
+    first = off[:-1][off[1:] > off[:-1]]  # where texts begin
+    hashes, counted = [], np.zeros(len(off), np.int64)
+    begin = words = 0
+    for end in _step_ends(buf):
+        inside = _in_word(buf[begin:end])
+        cut = first[np.searchsorted(first, begin) : np.searchsorted(first, end)] - begin
+        start = inside.copy()
+        start[1:] &= ~inside[:-1]
+        start[cut] = inside[cut]
+        stop = inside.copy()
+        stop[:-1] &= ~inside[1:]
+        after = cut[cut > 0]
+        stop[after - 1] = inside[after - 1]
+        a, b = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        here = slice(np.searchsorted(off, begin, side="right" if begin else "left"), np.searchsorted(off, end, side="right"))
+        counted[here] = words + np.searchsorted(a, off[here] - begin)
+        if len(a):
+            n = np.minimum(b - a, SHORT).astype(np.uint8)
+            by = np.argsort(-n.astype(np.int8), kind="stable")  # longest first: the words that reach a place come before the others
+            at, sums, part = a[by], np.zeros(len(a), np.uint64), buf[begin:end]
+            reach = len(a) - np.cumsum(np.bincount(n, minlength=SHORT + 1))
+            for place in range(int(n.max())):
+                k = int(reach[place])
+                sums[:k] += table[place].take(part.take(at[:k]))
+                at[:k] += 1
+            h = np.empty(len(a), np.uint64)
+            h[by] = sums
+            for i in np.flatnonzero(b - a > SHORT):
+                h[i] = xxhash.xxh3_64_intdigest(buf[begin + a[i] : begin + b[i]].tobytes().lower(), seed)
+            hashes.append(h)
+            words += len(a)
+        begin = end
+    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.diff(counted)
+
+
 class HashCache(dict):
     """word -> 64-bit hash; forgets everything at a fixed size, so memory stays bounded on any vocabulary."""
 

@@ -233,9 +233,8 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k, np.bincount(inv, np.concatenate(counts), len(k)).astype(np.int64)
 
 
-def corpus_counts(docs: DataFrame, depth: int = DEEP) -> DataFrame:
+def corpus_counts(docs: DataFrame, ranges: int, depth: int = DEEP) -> DataFrame:
     """Packed totals over the training texts: kind 0 words, kind 1 (context, byte); by range of the key."""
-    ranges = parts(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = HashCache()
@@ -350,14 +349,14 @@ def score(docs: DataFrame, depth: int = DEEP) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    totals = corpus_counts(docs, depth)
+    ranges = parts(docs)
+    totals = corpus_counts(docs, ranges, depth)
     words = totals.where("kind = 0").select(F.col("rng").alias("wrng"), "keys", "counts")
     stats = totals.where("kind = 0").agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.sum("n_total"), F.lit(0))).first()
     v, n = int(stats[0]), int(stats[1])
     pairs = totals.where("kind = 1").select(F.col("rng").alias("wrng"), "keys", "counts")
     shallow = spark.sparkContext.broadcast(shallow_tree(pairs, depth))
     model = spark.sparkContext.broadcast((*_hot_pairs(pairs, shallow, depth), *_hot_words(words.select("keys", "counts"))))
-    ranges = parts(spark)
     names = ["kind", "rid", "doc_id", "held_out", "n_tokens", "n_bytes", "known", "base", "score", "rng", "h", "rows", "tf"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 

@@ -6,12 +6,13 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from stackroom.llm import ann, bpe, chat, htmltext, jaccard, linededup, lm, packing, quality
+from stackroom.llm import ann, bpe, chat, common, htmltext, jaccard, linededup, lm, packing, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,6 +74,55 @@ def test_fragments_cut_the_whole_order():
     assert (o.common(o.sort(s))[-50:] == np.arange(50)).all()
 
 
+def test_words_are_those_of_split(monkeypatch):
+    monkeypatch.setattr(common, "STEP_BYTES", 50)
+    rng, seen = random.Random(1), {}
+    for k in range(200):
+        texts = [None, "", *["".join(rng.choice(["a", "B", " ", "\n", "é", "x" * 40, "\x85", "\t", "y" * 90]) for _ in range(rng.randrange(30))) for _ in range(rng.randrange(9))]]
+        h, n = common.word_hashes(pa.array(texts, pa.string()).slice(k % 3))
+        split = [(t or "").encode().lower().split() for t in texts[k % 3 :]]
+        assert n.tolist() == [len(w) for w in split]
+        assert all(seen.setdefault(w, x) == x for w, x in zip((w for ws in split for w in ws), h.tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen) and common.word_hashes(pa.array([], pa.string()))[0].tolist() == []
+
+
+@given(st.lists(st.integers(0, 12), max_size=8), st.integers(2, 5))
+@settings(max_examples=200, deadline=None)
+def test_gram_sets_are_those_of_each_text(counts, n):
+    rng = np.random.default_rng(sum(counts))
+    words = rng.integers(0, 4, sum(counts)).astype(np.uint64)
+    got, at, seen = jaccard.gram_sets(words, np.array(counts, np.int64), n), 0, {}
+    for c, g in zip(counts, got, strict=True):
+        w = words[at : at + c].tolist()
+        at += c
+        want = {tuple(w[i : i + n]) for i in range(max(1, c - n + 1))} if c else set()
+        assert len(g) == len(want) and (np.diff(g.astype(object)) > 0).all()
+        assert seen.setdefault(frozenset(want), g.tobytes()) == g.tobytes()
+
+
+@pytest.mark.parametrize("bits", [(1 << 64) - 1, (1 << 12) - 1])
+def test_sets_that_share_half_a_digest(spark, bits, monkeypatch):
+    monkeypatch.setattr(jaccard, "NODE_BITS", bits)
+    rng = random.Random(7)
+    docs = [(i, " ".join(words(rng, 40))) for i in range(150)]
+    docs += [(500 + i, t + " end") for i, t in docs[:60]]
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(docs)
+
+
+def test_rows_without_ids_and_repeated_ids(spark):
+    rng = random.Random(8)
+    base = words(rng, 80)
+    near = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(0, 80, 2)]
+    d = spark.createDataFrame([(None, t) for t in near] + [(None, "alone in the world it is"), (None, None), (None, "")], "doc_id long, text string")
+    got = jaccard.classes(d).collect()
+    assert len({r["one"] for r in got if r["n"] > 5}) == 1 and all(r["component_id"] is None for r in jaccard.near_duplicates(d).collect())
+    assert sorted(str(r["text"]) for r in jaccard.keep_one(d).collect())[:2] == ["", "None"] and jaccard.keep_one(d).count() == 4
+    # an id that several texts have: only the row that belongs to a group goes
+    d = spark.createDataFrame([(1, near[0]), (2, near[1]), (2, "a text of its own that nobody else has"), (None, near[2]), (3, "same words here"), (3, "same words here")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"][:4]) for r in jaccard.keep_one(d).collect()) == [(1, near[0][:4]), (2, "a te"), (3, "same")]
+
+
 # 3: chats
 
 
