@@ -106,16 +106,19 @@ SHORT = 32
 STEP_BYTES = 1 << 18
 
 
-def _tables(seed: int) -> np.ndarray:
-    t = np.random.default_rng([seed, 77]).integers(0, 1 << 64, (SHORT, 256), np.uint64)
-    t[:, 65:91] = t[:, 97:123]
-    return t
+def _tables(seed: int, fold: bool) -> np.ndarray:
+    if (seed, fold) not in _TABLES:
+        t = np.random.default_rng([seed, 77]).integers(0, 1 << 64, (SHORT, 256), np.uint64)
+        if fold:
+            t[:, 65:91] = t[:, 97:123]
+        _TABLES[seed, fold] = t
+    return _TABLES[seed, fold]
 
 
-_TABLES: dict[int, np.ndarray] = {}
+_TABLES: dict[tuple[int, bool], np.ndarray] = {}
 
 
-def _text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its texts' offsets there; null is the empty text."""
     if col.null_count:
         col = pc.fill_null(col, "")
@@ -126,7 +129,7 @@ def _text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def _in_word(buf: np.ndarray) -> np.ndarray:
+def in_word(buf: np.ndarray) -> np.ndarray:
     """True for bytes of words; all others are ASCII white space."""
     return ((buf - np.uint8(9)) > 4) & (buf != 32)
 
@@ -136,8 +139,8 @@ def _step_ends(buf: np.ndarray) -> list[int]:
     out, at = [], 0
     while at < len(buf):
         at = min(at + STEP_BYTES, len(buf))
-        while at < len(buf) and _in_word(buf[at - 1 : at])[0]:
-            inside = _in_word(buf[at : at + 4096])
+        while at < len(buf) and in_word(buf[at - 1 : at])[0]:
+            inside = in_word(buf[at : at + 4096])
             n = int(np.argmin(inside))
             if not inside[n]:
                 at += n
@@ -147,21 +150,23 @@ def _step_ends(buf: np.ndarray) -> list[int]:
     return out
 
 
-def word_hashes(col: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, one after another, and the number of words of each text.
+def word_hashes(col: pa.Array, seed: int = 0, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after another, and the number of words of each text."""
+    return words_of(*text_buffer(col), seed, fold)[:2]
 
-    Words are runs of bytes without ASCII white space, A-Z lower-cased. All is done over whole buffers, in steps of
+
+def words_of(buf: np.ndarray, off: np.ndarray, seed: int = 0, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts that lie in `buf` at `off`, each text's number of words, and where words begin and end.
+
+    Words are runs of bytes without ASCII white space; with `fold`, A-Z counts as a-z. All is done over whole buffers, in steps of
     a fixed size, so memory beyond the result is bounded however long a text or word is.
     """
-    if seed not in _TABLES:
-        _TABLES[seed] = _tables(seed)
-    table = _TABLES[seed]
-    buf, off = _text_buffer(col)
+    table = _tables(seed, fold)
     first = off[:-1][off[1:] > off[:-1]]  # where texts begin
-    hashes, counted = [], np.zeros(len(off), np.int64)
+    hashes, places, counted = [], [], np.zeros(len(off), np.int64)
     begin = words = 0
     for end in _step_ends(buf):
-        inside = _in_word(buf[begin:end])
+        inside = in_word(buf[begin:end])
         cut = first[np.searchsorted(first, begin) : np.searchsorted(first, end)] - begin
         start = inside.copy()
         start[1:] &= ~inside[:-1]
@@ -185,28 +190,15 @@ def word_hashes(col: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
             h = np.empty(len(a), np.uint64)
             h[by] = sums
             for i in np.flatnonzero(b - a > SHORT):
-                h[i] = xxhash.xxh3_64_intdigest(buf[begin + a[i] : begin + b[i]].tobytes().lower(), seed)
+                word = buf[begin + a[i] : begin + b[i]].tobytes()
+                h[i] = xxhash.xxh3_64_intdigest(word.lower() if fold else word, seed)
             hashes.append(h)
+            places.append((begin + a, begin + b))
             words += len(a)
         begin = end
-    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.diff(counted)
-
-
-class HashCache(dict):
-    """word -> 64-bit hash; forgets everything at a fixed size, so memory stays bounded on any vocabulary."""
-
-    def __init__(self, seed: int = 0, most: int = 150_000):
-        super().__init__()
-        self.seed, self.most = seed, most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    none = np.zeros(0, np.int64)
+    a, b = (np.concatenate(x) for x in zip(*places, strict=True)) if places else (none, none)
+    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.diff(counted), a, b
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -22,7 +22,8 @@ A word is known by 64 bits of its hash. The end of a text is a token of its own.
 Texts whose crc32(doc_id as text) mod FOLDS is not 0 train; the others are held out.
 
 Defined cases: a null text is empty (one token, its end); a null doc_id counts as the id "" (held out);
-repeated rows train and are scored row by row; without any training text all counts are 0; an empty table
+repeated rows train and are scored row by row; pairs of equal counts are broadcast all or none; a very long
+text is scored whole, in one worker's memory; without any training text all counts are 0; an empty table
 gives an empty result; further columns aren't read.
 """
 
@@ -33,19 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashCache, byte_texts, lean, load, mix, parts, ship, sliced, store
+from .common import byte_texts, lean, load, mix, parts, ship, sliced, store, word_hashes
 
 DEPTH, DEEP, FOLDS = 2, 5, 10
 HOT_MAX = GRAM_MAX = 1 << 20
 RUN = 1 << 21
 #: Bytes that occur in no UTF-8 text stand for the start and the end.
 MARK = 0xFF
-#: A word can't hold white space, so this one stands for a text's end.
-END_TOKEN = b"\n"
+#: The hash that stands for a text's end: that of a word with white space, which no word has.
+END_TOKEN = np.uint64(xxhash.xxh3_64_intdigest(b"\n end"))
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -237,7 +239,6 @@ def corpus_counts(docs: DataFrame, ranges: int, depth: int = DEEP) -> DataFrame:
     """Packed totals over the training texts: kind 0 words, kind 1 (context, byte); by range of the key."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = HashCache()
         held = {0: ([], []), 1: ([], [])}
 
         def out(kind: int) -> pa.RecordBatch:
@@ -252,11 +253,11 @@ def corpus_counts(docs: DataFrame, ranges: int, depth: int = DEEP) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "rng", "keys", "counts"])
 
         for b in sliced(batches, "text", 2 << 20):
-            texts = [t for d, t in zip(b.column("doc_id").to_pylist(), byte_texts(b.column("text")), strict=True) if not held_out(d)]
-            if not texts:
+            b = b.filter(pa.array([not held_out(d) for d in b.column("doc_id").to_pylist()]))
+            if not b.num_rows:
                 continue
-            words = [w for t in texts for w in [*t.lower().split(), END_TOKEN]]
-            for kind, (k, n) in ((0, np.unique(cache.of(words), return_counts=True)), (1, gram_counts(texts, depth))):
+            words = np.append(word_hashes(b.column("text"))[0], np.full(b.num_rows, END_TOKEN))
+            for kind, (k, n) in ((0, np.unique(words, return_counts=True)), (1, gram_counts(byte_texts(b.column("text")), depth))):
                 held[kind][0].append(k.astype(np.uint64))
                 held[kind][1].append(n)
                 if sum(map(len, held[kind][0])) >= RUN:
@@ -363,7 +364,7 @@ def score(docs: DataFrame, depth: int = DEEP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_pairs, pair_value, hot, hot_n = model.value
         value = np.log10(hot_n + 0.1)
-        cache, rid = HashCache(), TaskContext.get().partitionId() << 40
+        rid = TaskContext.get().partitionId() << 40
         rare: dict[int, tuple[list, list, list]] = {1: ([], [], []), 2: ([], [], [])}
 
         def out(kind: int) -> pa.RecordBatch:
@@ -380,10 +381,10 @@ def score(docs: DataFrame, depth: int = DEEP) -> DataFrame:
 
         for b in sliced(batches, "text", 2 << 20):
             texts, ids = byte_texts(b.column("text")), b.column("doc_id")
-            split = [[*t.lower().split(), END_TOKEN] for t in texts]
-            size = np.array([len(w) for w in split], np.int64)
-            doc = np.repeat(np.arange(len(texts)), size)
-            u, inv = np.unique(cache.of([w for ws in split for w in ws]), return_inverse=True)
+            h, size = word_hashes(b.column("text"))
+            doc = np.append(np.repeat(np.arange(len(texts)), size), np.arange(len(texts)))
+            size = size + 1
+            u, inv = np.unique(np.append(h, np.full(len(texts), END_TOKEN)), return_inverse=True)
             at = np.searchsorted(hot, u)
             at[at == len(hot)] = 0
             hit = hot[at] == u if len(hot) else np.zeros(len(u), bool)

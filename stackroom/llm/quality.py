@@ -9,8 +9,10 @@ exceeds LEAST_OVER times the fence of all rows, so that a source that is mostly
 `judge` joins rows to their fences and adds the verdicts.
 
 Defined cases: a null text has no words and fails the base rule; null lang or source is a group of its
-own; repeated rows and ids are judged row by row; an empty table gives an empty table; further columns
-of the input stay, and an input column with the name of an output column is replaced by the output.
+own; repeated rows and ids are judged row by row; a measure equal to its fence is kept, and texts with equal
+measures get equal verdicts; a very long text is measured whole, in steps of a fixed size; an empty table
+gives an empty table; further columns of the input stay, and an input column with the name of an output
+column is replaced by the output.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HashCache, byte_texts, load, mix, ship, small_join, store
+from .common import STEP_BYTES, byte_texts, in_word, load, mix, ship, sliced, small_join, store, text_buffer, word_hashes
 
 #: Relative error of the sketch's bins; bin of x > 0: ceil(log_GAMMA(x)).
 ALPHA = 0.02
@@ -35,7 +37,7 @@ LEAST_OVER = 1.5
 MEASURES = {"symbols_per_word": 0.05, "dup_line_share": 0.1, "repeat_share": 0.1, "mean_word_chars": 1.0}
 SYMBOLS = b"#*$%&|<>"
 STATS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")])
-WHITE = b" \t\n\v\f\r"
+IS_SYMBOL = np.isin(np.arange(256), list(SYMBOLS))
 
 
 def _repeat_words(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -59,24 +61,32 @@ def _repeat_words(h: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(doc[mark], minlength=n_docs).astype(np.int64)
 
 
+def _by_text(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """How many bytes of each text the mask has."""
+    at = np.flatnonzero(mask)
+    return np.diff(np.searchsorted(at, off))
+
+
+def _stats_of(texts: pa.Array) -> pa.Array:
+    h, n = word_hashes(texts, fold=False)
+    rep = _repeat_words(h, np.repeat(np.arange(len(n)), n), len(n))
+    buf, off = text_buffer(texts)
+    chars, syms = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    for a in range(0, len(buf), STEP_BYTES):
+        part, cut = buf[a : a + STEP_BYTES], np.clip(off - a, 0, min(STEP_BYTES, len(buf) - a))
+        chars += _by_text(in_word(part) & ((part & 0xC0) != 0x80), cut)
+        syms += _by_text(IS_SYMBOL.take(part), cut)
+    dups, lines_n = [], []
+    for t in byte_texts(texts):
+        lines = [x for x in t.split(b"\n") if x and not x.isspace()]
+        lines_n.append(len(lines))
+        dups.append(len(lines) - len(set(lines)))
+    return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (n, chars, syms, dups, lines_n, rep)], names=STATS.names)
+
+
 def _stats(texts: pa.Array) -> pa.Array:
-    cache, out, step = HashCache(), [], 512
-    for i in range(0, len(texts), step):
-        raw = byte_texts(texts.slice(i, step))
-        words = [t.split() for t in raw]
-        n = np.array([len(w) for w in words], np.int64)
-        h = cache.of([w for ws in words for w in ws])
-        doc = np.repeat(np.arange(len(raw), dtype=np.int64), n)
-        rep = _repeat_words(h, doc, len(raw))
-        chars, syms, dups, lines_n = [], [], [], []
-        for t in raw:
-            cont = len(t) - len(t.decode("utf-8", "surrogatepass")) if not t.isascii() else 0
-            chars.append(len(t) - cont - sum(t.count(c) for c in WHITE))
-            syms.append(len(t) - len(t.translate(None, SYMBOLS)))
-            lines = [x for x in t.split(b"\n") if x and not x.isspace()]
-            lines_n.append(len(lines))
-            dups.append(len(lines) - len(set(lines)))
-        out.append(pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (n, chars, syms, dups, lines_n, rep)], names=STATS.names))
+    b = pa.RecordBatch.from_arrays([texts], ["t"])
+    out = [_stats_of(x.column("t")) for x in sliced([b], "t", 1 << 20)]
     return pa.concat_arrays(out) if out else pa.array([], pa.struct([(n, pa.int64()) for n in STATS.names]))
 
 
@@ -138,12 +148,14 @@ def fences(sk: DataFrame) -> DataFrame:
     return j.select("o.lang", "o.source", "o.measure", value.alias("v")).groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("measure", "v"))).alias("f"))
 
 
-def judge(docs: DataFrame, keep_stats: bool = True) -> DataFrame:
-    """The rows of `docs` (doc_id, text, lang, source, ...) with their counts, base_failed and kept."""
-    stats = text_stats(docs.select("lang", "source", "text"))
-    # junk by the base rule doesn't shape the fences
-    fence = small_join(store(fences(sketches(stats.where(~base_failed()))), "fences"))
-    d = text_stats(docs).alias("d")
+def thresholds(stats: DataFrame) -> DataFrame:
+    """The fences that rows with (lang, source, __q) set; junk by the base rule doesn't shape them."""
+    return small_join(store(fences(sketches(stats.where(~base_failed()))), "fences"))
+
+
+def judge_measured(stats: DataFrame, fence: DataFrame, keep_stats: bool = True) -> DataFrame:
+    """Rows with `__q` and their verdicts by the fences; `__q` becomes its counts, or goes."""
+    d = stats.alias("d")
     j = d.join(fence.alias("t"), F.expr("d.lang <=> t.lang and d.source <=> t.source"), "left")
     ok = F.lit(True)
     for k, v in _measures("d.__q").items():
@@ -151,8 +163,22 @@ def judge(docs: DataFrame, keep_stats: bool = True) -> DataFrame:
     kept = (~base_failed("d.__q")) & ok
     mine = {n: F.col(f"d.__q.{n}") for n in STATS.names} if keep_stats else {}
     mine |= {"base_failed": base_failed("d.__q"), "kept": kept} if keep_stats else {"__kept": kept}
-    out = j.select(*[F.col(f"d.`{c}`") for c in docs.columns if c not in mine], *[v.alias(k) for k, v in mine.items()])
-    return out
+    return j.select(*[F.col(f"d.`{c}`") for c in stats.columns if c not in mine and c != "__q"], *[v.alias(k) for k, v in mine.items()])
+
+
+def judge(docs: DataFrame, keep_stats: bool = True) -> DataFrame:
+    """The rows of `docs` (doc_id, text, lang, source, ...) with their counts, base_failed and kept.
+
+    Texts are measured twice, for the fences and for the verdicts: writing whole rows in between would cost more.
+    """
+    fence = thresholds(text_stats(docs.select("lang", "source", "text")).drop("text"))
+    return judge_measured(text_stats(docs), fence, keep_stats)
+
+
+def judge_counts(docs: DataFrame) -> DataFrame:
+    """As `judge`, but without the text, which is then read once: the rows' counts are stored."""
+    stats = store(text_stats(docs).drop("text"), "counts")
+    return judge_measured(stats, thresholds(stats))
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
@@ -161,7 +187,7 @@ def quality_filter(docs: DataFrame) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = judge(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    j = judge_counts(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source")
 
 
