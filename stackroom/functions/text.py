@@ -375,12 +375,22 @@ def expansion_supported(acronym: Column, expansion: Column, text: Column) -> Col
     return F.contains(t, F.concat(shape, F.lit("("), key, F.lit(")"))) | F.contains(t, F.concat(key, F.lit("("), shape, F.lit(")")))
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value made once, however often the body names it: an array of one element holds it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_supports(selected: Column, paragraph: Column) -> Column:
-    a, b = squeeze(F.lower(selected)), squeeze(F.lower(paragraph))
-    wa, wb = F.filter(F.split(a, r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.split(b, r"[^\p{L}\p{N}]+")
     grams = lambda c: F.when(F.length(c) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))))
-    found = F.size(F.filter(wa, lambda w: F.array_contains(wb, w))) / F.size(wa)
-    return F.when(a == "", False).when(F.contains(b, a), True).when(F.size(wa) <= 5, False).when(found >= 0.35, True).otherwise(F.coalesce(F.try_divide(F.size(F.array_intersect(grams(a), grams(b))), F.size(grams(a))) >= 0.25, F.lit(False)))
+    by_grams = lambda v: let(F.struct(grams(v.a).alias("x"), grams(v.b).alias("y")), lambda g: F.coalesce(F.try_divide(F.size(F.array_intersect(g.x, g.y)), F.size(g.x)) >= 0.25, F.lit(False)))
+
+    def by_words(v: Column) -> Column:
+        words = F.struct(F.filter(F.split(v.a, r"[^\p{L}\p{N}]+"), lambda w: w != "").alias("x"), F.split(v.b, r"[^\p{L}\p{N}]+").alias("y"))
+        found = lambda w: F.size(F.filter(w.x, lambda x: F.array_contains(w.y, x))) / F.size(w.x)
+        return let(words, lambda w: F.when(F.size(w.x) <= 5, False).when(found(w) >= 0.35, True).otherwise(by_grams(v)))
+
+    both = F.struct(squeeze(F.lower(selected)).alias("a"), squeeze(F.lower(paragraph)).alias("b"))
+    return let(both, lambda v: F.when(v.a == "", False).when(F.contains(v.b, v.a), True).otherwise(by_words(v)))
 
 
 def safe_member(c: Column) -> Column:

@@ -1,7 +1,6 @@
 """Ordered folds with budgets: greedy batches, partitions, prefix and skip budgets.
 
-The folds depend on order, so each is an aggregate over one document's sorted array: distributed by document,
-bounded by a document's rows. A document beyond MANY rows would be better served by `applyInArrow`.
+The folds depend on order, so each is a walk over one document's sorted rows with a state of fixed size.
 """
 
 from __future__ import annotations
@@ -9,78 +8,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MANY = 100_000
-LEAD_ROWS, LEAD_CHARS, MOST_ROWS, MOST_CHARS = 3, 1500, 15, 5000
-
-
-def _rows(df: DataFrame, key: str, *cols: str) -> DataFrame:
-    return df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", *cols))).alias("rows"))
-
+from .folds import fold
 
-def _fold(df: DataFrame, key: str, cols: list[str], state: Column, step, name: str = "batch") -> DataFrame:
-    """(key, pos, name): `step(state, row) -> state` with state.batch; the batch of every row is kept in state.out."""
-    r = _rows(df, key, *cols)
-    return r.select(key, F.explode(F.aggregate("rows", state, step, lambda s: s.out)).alias("o")).select(key, "o.pos", F.col("o.batch").alias(name))
-
-
-def _state(**extra) -> Column:
-    return F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("size"), *[v.alias(k) for k, v in extra.items()], F.array().cast("array<struct<pos:int,batch:int>>").alias("out"))
+LEAD_ROWS, LEAD_CHARS, MOST_ROWS, MOST_CHARS = 3, 1500, 15, 5000
 
 
-def _put(s: Column, row: Column, batch: Column) -> Column:
-    return F.concat(s.out, F.array(F.struct(row.pos.cast("int").alias("pos"), batch.cast("int").alias("batch"))))
+def _batch() -> dict:
+    return {"batch": 0, "n": 0, "size": 0, "page": None}
 
 
 def greedy_batches(rows: DataFrame, key: str = "doc") -> DataFrame:
     """(key, pos, batch): rows (key, pos, chars) in batches by count and characters; the first one is smaller."""
 
-    def step(s: Column, r: Column) -> Column:
-        lead = s.batch == 1
-        full = (s.batch == 0) | (s.n >= F.when(lead, LEAD_ROWS).otherwise(MOST_ROWS)) | (s["size"] + r.chars > F.when(lead, LEAD_CHARS).otherwise(MOST_CHARS))
-        b = F.when(full, s.batch + 1).otherwise(s.batch)
-        return F.struct(b.alias("batch"), F.when(full, F.lit(1)).otherwise(s.n + 1).cast("long").alias("n"), F.when(full, r.chars).otherwise(s["size"] + r.chars).cast("long").alias("size"), _put(s, r, b).alias("out"))
+    def step(s: dict, chars: int) -> int:
+        most, room = (LEAD_ROWS, LEAD_CHARS) if s["batch"] == 1 else (MOST_ROWS, MOST_CHARS)
+        if not s["batch"] or s["n"] >= most or s["size"] + chars > room:
+            s.update(batch=s["batch"] + 1, n=0, size=0)
+        s["n"] += 1
+        s["size"] += chars
+        return s["batch"]
 
-    return _fold(rows, key, ["chars"], _state(), step)
+    return fold(rows, key, ["pos"], ["chars"], _batch, step, "batch", "int")
 
 
 def token_chunks(rows: DataFrame, allowance: int, least: int = 400, charged: bool = True, key: str = "doc") -> DataFrame:
     """(key, pos, batch): rows (key, pos, tokens) in chunks of at most `allowance`; the first starts with all but `least` used."""
 
-    def step(s: Column, r: Column) -> Column:
-        full = (s.n > 0) & (s["size"] + r.tokens > allowance)
-        b = F.when(full | (s.batch == 0), s.batch + 1).otherwise(s.batch)
-        start = F.when(s.batch == 0, F.lit(allowance - least if charged else 0)).otherwise(s["size"])
-        full = (s.n > 0) & (start + r.tokens > allowance)
-        return F.struct(b.alias("batch"), F.when(full, F.lit(1)).otherwise(s.n + 1).cast("long").alias("n"), F.when(full, r.tokens).otherwise(start + r.tokens).cast("long").alias("size"), _put(s, r, b).alias("out"))
+    def step(s: dict, tokens: int) -> int:
+        if not s["batch"]:
+            s.update(batch=1, size=allowance - least if charged else 0)
+        elif s["size"] + tokens > allowance:
+            s.update(batch=s["batch"] + 1, size=0)
+        s["size"] += tokens
+        return s["batch"]
 
-    return _fold(rows, key, ["tokens"], _state(), step)
+    return fold(rows, key, ["pos"], ["tokens"], _batch, step, "batch", "int")
 
 
 def page_partitions(rows: DataFrame, most: int = 1200, key: str = "doc") -> DataFrame:
     """(key, pos, batch): rows (key, pos, page, tokens); a page change ends a partition that is more than half full."""
 
-    def step(s: Column, r: Column) -> Column:
-        some = s.n > 0
-        full = some & ((s["size"] + r.tokens > most) | ((s.page != r.page) & (s["size"] + r.tokens > most // 2)))
-        b = F.when(full | (s.batch == 0), s.batch + 1).otherwise(s.batch)
-        return F.struct(b.alias("batch"), F.when(full, F.lit(1)).otherwise(s.n + 1).cast("long").alias("n"), F.when(full, r.tokens).otherwise(s["size"] + r.tokens).cast("long").alias("size"), r.page.alias("page"), _put(s, r, b).alias("out"))
+    def step(s: dict, page: int, tokens: int) -> int:
+        after = s["size"] + tokens
+        if not s["batch"] or after > most or (page != s["page"] and after > most // 2):
+            s.update(batch=s["batch"] + 1, size=0)
+        s["size"] += tokens
+        s["page"] = page
+        return s["batch"]
 
-    return _fold(rows, key, ["page", "tokens"], _state(page=F.lit(0)), step)
+    return fold(rows, key, ["pos"], ["page", "tokens"], _batch, step, "batch", "int")
 
 
 def skip_budget(rows: DataFrame, most: int = 24000, share: float = 0.3, key: str = "doc") -> DataFrame:
     """(key, pos): rows (key, pos, section, chars) taken in order if both the section's share and the whole still fit."""
     cap = max(int(most * share), 1000)
-    r = _rows(rows, key, "section", "chars")
-    zero = F.struct(F.lit(0).cast("long").alias("total"), F.create_map().cast("map<string,bigint>").alias("spent"), F.array().cast("array<int>").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        used = F.coalesce(F.try_element_at(s.spent, x.section), F.lit(0).cast("long"))
-        ok = (used + x.chars <= cap) & (s.total + x.chars <= most)
-        spent = F.map_concat(F.map_filter(s.spent, lambda k, v: k != x.section), F.create_map(x.section, (used + x.chars).cast("long")))
-        return F.when(ok, F.struct((s.total + x.chars).cast("long").alias("total"), spent.alias("spent"), F.concat(s.out, F.array(x.pos.cast("int"))).alias("out"))).otherwise(s)
+    def step(s: dict, section: object, chars: int) -> bool | None:
+        used = s["spent"].get(section, 0) + chars
+        if used > cap or s["total"] + chars > most:
+            return None
+        s["spent"][section] = used
+        s["total"] += chars
+        return True
 
-    return r.select(key, F.explode(F.aggregate("rows", zero, step, lambda s: s.out)).alias("pos"))
+    return fold(rows, key, ["pos"], ["section", "chars"], lambda: {"total": 0, "spent": {}}, step, "took", "boolean").select(key, "pos")
 
 
 def prefix_budget(rows: DataFrame, cost: Column, room: int, key: str = "doc") -> DataFrame:

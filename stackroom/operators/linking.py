@@ -6,37 +6,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import small
+
+#: Rows that are broadcast to meet all texts at most.
+BOUND = 100_000
+#: A query's rarest words by which works are found.
+RARE = 3
 
 
 def contained_in(needles: DataFrame, needle_id: str, hay: DataFrame, hay_id: str, text: str = "text", least: int = 8) -> DataFrame:
     """(needle_id, hay_id): texts of `hay` that contain a needle of `least` characters or more.
 
     A needle's inner words (all but the first and last, which may be cut inside a word) must be words of the
-    text; the rarest of the first few is the key of an equi-join, and containment is checked on what meets.
-    Needles without an inner word are few and short; they are checked against all texts by a broadcast.
+    text; the one that fewest texts hold is the key of an equi-join, and containment is checked on what meets.
+    Needles without an inner word meet all texts by a broadcast if their counted rows are within a bound, else by
+    their first `least` characters.
     """
     n = needles.select(F.col(needle_id).alias("nid"), F.col(text).alias("needle")).where(F.length("needle") >= least)
-    n = n.withColumn("w", F.split("needle", r"\s+")).withColumn("inner", F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))
-    key = F.element_at(F.array_sort(F.transform("inner", lambda x: F.struct((-F.length(x)).alias("l"), x.alias("x")))), 1)
-    keyed = n.where(F.size("inner") > 0).withColumn("key", key["x"])
-    keys = F.broadcast(keyed.select("key").distinct()) if keyed.limit(100_001).count() <= 100_000 else keyed.select("key").distinct()
-    words = hay.select(F.col(hay_id).alias("hid"), F.explode(F.array_distinct(F.split(text, r"\s+"))).alias("key")).join(keys, "key", "left_semi")
-    met = words.join(keyed.select("nid", "needle", "key"), "key").join(hay.select(F.col(hay_id).alias("hid"), F.col(text).alias("hay")), "hid").where(F.contains("hay", F.col("needle")))
-    short = n.where(F.size("inner") <= 0)
-    rest = hay.select(F.col(hay_id).alias("hid"), F.col(text).alias("hay")).join(F.broadcast(short), F.contains("hay", F.col("needle"))).select("nid", "hid") if not short.isEmpty() else None
-    out = met.select("nid", "hid").distinct()
-    out = out.unionByName(rest.distinct()) if rest is not None else out
-    return out.select(F.col("nid").alias(needle_id), F.col("hid").alias(hay_id))
+    n = n.withColumn("w", F.split("needle", r"\s+")).withColumn("inner", F.array_distinct(F.slice("w", F.lit(2), F.greatest(F.size("w") - 2, F.lit(0))))).drop("w")
+    h = hay.select(F.col(hay_id).alias("hid"), F.col(text).alias("hay"))
+    inner = n.where(F.size("inner") > 0).select("nid", "needle", F.explode("inner").alias("key"))
+    words = h.select("hid", F.explode(F.array_distinct(F.split("hay", r"\s+"))).alias("key")).join(small(inner.select("key").distinct()), "key", "left_semi")
+    df = words.groupBy("key").agg(F.count("*").alias("df"))
+    # a needle one of whose words no text has is in none
+    rarest = inner.join(df, "key", "left").groupBy("nid", "needle").agg(F.count_if(F.col("df").isNull()).alias("lost"), F.min_by("key", F.struct("df", "key")).alias("key")).where("lost = 0").drop("lost")
+    met = words.join(rarest, "key").join(h, "hid").where(F.contains("hay", F.col("needle"))).select("nid", "hid").distinct()
+    short = n.where(F.size("inner") <= 0).select("nid", "needle")
+    few = short.limit(BOUND + 1).count()
+    if few:
+        if few <= BOUND:
+            rest = h.join(F.broadcast(short), F.contains("hay", F.col("needle")))
+        else:
+            at = F.sequence(F.lit(1), F.length("hay") - least + 1)
+            parts = h.where(F.length("hay") >= least).select("hid", F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("hay", i, F.lit(least))))).alias("head"))
+            rest = parts.join(short.withColumn("head", F.substring("needle", 1, least)), "head").join(h, "hid").where(F.contains("hay", F.col("needle")))
+        met = met.unionByName(rest.select("nid", "hid").distinct())
+    return met.select(F.col("nid").alias(needle_id), F.col("hid").alias(hay_id))
 
 
 def best_titles(titles: DataFrame, entries: DataFrame, least: float = 0.6) -> DataFrame:
-    """(key, entry, share): the entry with the largest share of a title's words, first entry on ties; by an inverted index."""
-    words = titles.select("key", F.posexplode(F.filter(F.split(T.normalize_title(F.col("title")), " "), lambda w: F.length(w) > 2)).alias("i", "w"))
-    total = words.groupBy("key").agg(F.count("*").alias("total"))
-    have = entries.select("entry", F.explode(F.array_distinct(F.split(T.normalize_title(F.col("text")), " "))).alias("w"))
-    share = words.join(have, "w").groupBy("key", "entry").agg(F.count("*").alias("n")).join(total, "key").withColumn("share", F.col("n") / F.col("total"))
-    best = share.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("share"), "entry"))).where("r = 1")
-    return best.where(F.col("share") >= least).select("key", "entry", "share")
+    """(key, entry, share): the entry with the largest share of a title's words, first entry on ties.
+
+    Equal titles and equal entries meet once. An entry with the share has one of a title's rarest words (all but
+    those that make up the share without them), so only these are joined, the first that both have counts, and
+    the share is verified on the arrays.
+    """
+    t = titles.select("key", F.filter(F.split(T.normalize_title(F.col("title")), " "), lambda w: F.length(w) > 2).alias("tw")).where(F.size("tw") > 0)
+    e = entries.select("entry", F.array_sort(F.array_distinct(F.split(T.normalize_title(F.col("text")), " "))).alias("ew")).groupBy("ew").agg(F.min("entry").alias("entry"))
+    have = e.select("entry", "ew", F.explode("ew").alias("w"))
+    one = t.select("tw").distinct()
+    each = one.select("tw", F.explode("tw").alias("w"))
+    df = have.join(small(each.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    by = each.join(df, "w", "left").groupBy("tw").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))), lambda x: x.w).alias("by"))
+    first = by.withColumn("first", F.array_distinct(F.slice("by", F.lit(1), F.size("tw") - F.ceil(F.size("tw") * F.lit(least) - 1e-9).cast("int") + 1)))
+    met = first.select("tw", "first", F.explode("first").alias("w")).join(have, "w").where(F.get(F.filter("first", lambda x: F.array_contains(F.col("ew"), x)), F.lit(0)) == F.col("w"))
+    share = F.size(F.filter("tw", lambda x: F.array_contains(F.col("ew"), x))) / F.size("tw")
+    best = met.select("tw", F.struct((-share).alias("less"), "entry").alias("x")).groupBy("tw").agg(F.min("x").alias("x")).where(F.col("x.less") <= -least)
+    return t.join(best, "tw").select("key", "x.entry", (-F.col("x.less")).alias("share"))
 
 
 def carry_over(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -59,26 +85,78 @@ def changed_sources(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "k", "full").where(~F.col("t0").eqNullSafe(F.col("t1"))).select(F.coalesce("s0", "s1").alias("source"))
 
 
-def affected(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows with any of the terms as a whole word; terms are few (see `clean_terms`), so they are one expression each."""
-    found: Column = F.lit(False)
-    for r in terms.select("source").limit(200).collect():
-        found = found | T.term_occurs(F.lit(r[0]), F.col("text"))
-    return texts.where(found)
+def _ascii_lower(c: Column) -> Column:
+    """A-Z alone: other letters keep their places among what isn't a letter or digit here."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def affected(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (unique in `keys`) with any of the terms as a whole word, its plural included; any number of terms.
+
+    A term's first run of letters and digits is a word of the text, in the plural too if nothing follows it; that
+    is the key of an equi-join, and the term itself is checked on what meets. Terms without such a run are
+    checked against all texts.
+    """
+    t = terms.select(F.col("source").alias("term")).distinct().withColumn("run", _ascii_lower(F.regexp_extract("term", "([A-Za-z0-9]+)", 1)))
+    ends = F.trim("term").rlike("^[^A-Za-z0-9]*[A-Za-z0-9]+$")
+    run = F.col("run")
+    keyed = t.where("run <> ''").select("term", F.explode(F.when(ends, F.array(run, F.concat(run, F.lit("s")), F.concat(run, F.lit("es")))).otherwise(F.array(run))).alias("w"))
+    words = texts.select(*keys, "text", F.explode(F.array_distinct(F.split(_ascii_lower(F.col("text")), "[^a-z0-9]+"))).alias("w"))
+    hit = words.join(small(keyed), "w").where(T.term_occurs(F.col("term"), F.col("text"))).select(*keys)
+    other = t.where("run = ''").select("term")
+    if not other.isEmpty():
+        hit = hit.unionByName(texts.join(small(other), T.term_occurs(F.col("term"), F.col("text"))).select(*keys))
+    return texts.join(hit.distinct(), keys, "left_semi")
 
 
 def map_units(units: DataFrame, paragraphs: DataFrame, least: float = 0.8, chars: int = 40) -> DataFrame:
-    """(unit, paragraph, score, cause): the one paragraph that a unit is, or why there is none.
+    """(doc, unit, paragraph, score, cause): the one paragraph of its document that a unit is, or why there is none.
 
-    Candidates share a word with the unit, by an inverted index; ties leave the unit unmapped.
+    Candidates share a word with the unit, by an inverted index of each document; ties leave the unit unmapped.
     """
-    u = units.select("unit", T.normalize_unit(F.col("text")).alias("ut"))
-    p = paragraphs.select("paragraph", T.normalize_unit(F.col("text")).alias("pt")).where("pt <> ''")
+    u = units.select("doc", "unit", T.normalize_unit(F.col("text")).alias("ut"))
+    p = paragraphs.select("doc", "paragraph", T.normalize_unit(F.col("text")).alias("pt")).where("pt <> ''")
     long = u.where(F.length("ut") >= chars)
-    wu = long.select("unit", F.explode(F.array_distinct(F.split("ut", " "))).alias("w"))
-    wp = p.select("paragraph", F.explode(F.array_distinct(F.split("pt", " "))).alias("w"))
-    cand = wu.join(wp, "w").select("unit", "paragraph").distinct().join(long, "unit").join(p, "paragraph").withColumn("score", T.unit_score(F.col("ut"), F.col("pt")))
-    ranked = cand.withColumn("best", F.max("score").over(Window.partitionBy("unit"))).where("score = best").groupBy("unit", "best").agg(F.count("*").alias("n"), F.min("paragraph").alias("paragraph"))
-    j = u.join(ranked, "unit", "left")
-    cause = F.when(F.length("ut") < chars, "UNIT_TOO_SHORT").when(F.coalesce("best", F.lit(0.0)) < least, "BELOW_SCORE_THRESHOLD").when(F.col("n") > 1, "DUPLICATE_SOURCE_TEXT")
-    return j.select("unit", F.when(cause.isNull(), F.col("paragraph")).alias("paragraph"), F.coalesce("best", F.lit(0.0)).alias("score"), cause.alias("cause"))
+    wu = long.select("doc", "unit", F.explode(F.array_distinct(F.split("ut", " "))).alias("w"))
+    wp = p.select("doc", "paragraph", F.explode(F.array_distinct(F.split("pt", " "))).alias("w"))
+    met = wu.join(wp, ["doc", "w"]).select("doc", "unit", "paragraph").distinct()
+    cand = met.join(long, ["doc", "unit"]).join(p, ["doc", "paragraph"]).withColumn("score", T.unit_score(F.col("ut"), F.col("pt")))
+    best = cand.groupBy("doc", "unit", "score").agg(F.count("*").alias("n"), F.min("paragraph").alias("paragraph"))
+    best = best.groupBy("doc", "unit").agg(F.max(F.struct("score", "n", "paragraph")).alias("b")).select("doc", "unit", F.col("b.score").alias("best"), "b.n", "b.paragraph")
+    some = p.select("doc").distinct().withColumn("some", F.lit(True))
+    j = u.join(best, ["doc", "unit"], "left").join(some, "doc", "left")
+    cause = F.when(F.length("ut") < chars, "UNIT_TOO_SHORT").when(F.col("some").isNull(), "NO_PARAGRAPHS").when(F.coalesce("best", F.lit(0.0)) < least, "BELOW_SCORE_THRESHOLD").when(F.col("n") > 1, "DUPLICATE_SOURCE_TEXT")
+    return j.select("doc", "unit", F.when(cause.isNull(), F.col("paragraph")).alias("paragraph"), F.coalesce("best", F.lit(0.0)).alias("score"), cause.alias("cause"))
+
+
+def unit_contexts(units: DataFrame, paragraphs: DataFrame, contexts: DataFrame, version: str) -> DataFrame:
+    """(doc, unit, paragraph, context, fallback, key): each unit's context by the paragraph it is, or the plain statement that it has none.
+
+    `contexts` is (doc, paragraph, context). The key is a digest of version, context and text, for a memo of calls.
+    """
+    m = map_units(units, paragraphs).join(contexts, ["doc", "paragraph"], "left").join(units.select("doc", "unit", "text"), ["doc", "unit"])
+    digest = F.sha2(F.concat(F.lit(version), F.lit("\u0001"), F.coalesce("context", F.lit(""))), 256)
+    gone = F.col("context").isNull()
+    return m.select("doc", "unit", F.when(~gone, F.col("paragraph")).alias("paragraph"), "context", F.when(gone, "UNMAPPED").alias("fallback"), F.sha2(F.concat(digest, F.lit("\u0000"), "text"), 256).alias("key"))
+
+
+def identify(queries: DataFrame, works: DataFrame, least: float = 0.88) -> DataFrame:
+    """(qid, work): the work (work, title, doi) with a query's identifier, else the one whose title is most like its own.
+
+    Titles that are alike enough share a word, so those that have a query's rarest words in common meet; equal
+    similarities go to the smaller work.
+    """
+    from ..functions import python as py
+
+    exact = queries.where("doi is not null").select("qid", "doi").join(works.where("doi is not null").select("doi", "work"), "doi").groupBy("qid").agg(F.min("work").alias("exact"))
+    rest = queries.join(exact.select("qid"), "qid", "left_anti").select("qid", T.normalize_title(F.col("title")).alias("qt")).where("qt <> ''")
+    wt = works.select("work", T.normalize_title(F.col("title")).alias("wt"))
+    words = wt.select("work", F.explode(F.array_distinct(F.split("wt", " "))).alias("w"))
+    asked = rest.select("qid", F.explode(F.array_distinct(F.split("qt", " "))).alias("w"))
+    df = words.join(small(asked.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
+    rare = asked.join(df, "w").withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("df", "w"))).where(F.col("r") <= RARE)
+    met = rare.select("qid", "w").join(words, "w").select("qid", "work").distinct().join(rest, "qid").join(wt, "work")
+    # a ratio of matching characters has this bound by the lengths alone
+    near = met.where(2 * F.least(F.length("qt"), F.length("wt")) >= least * (F.length("qt") + F.length("wt"))).withColumn("like", F.when(F.col("qt") == F.col("wt"), 1.0).otherwise(py.title_ratio(F.col("wt"), F.col("qt"))))
+    best = near.where(F.col("like") >= least).groupBy("qid").agg(F.min(F.struct((-F.col("like")).alias("l"), "work")).alias("b"))
+    return exact.select("qid", F.col("exact").alias("work")).unionByName(best.select("qid", "b.work"))

@@ -7,14 +7,17 @@ word only for the words asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import delete, exists, stored
 
 # Fixed values.
 K1, B, TITLE_WEIGHT, BODY_WEIGHT, LEAST_IDF = 1.2, 0.75, 5.0, 1.0, 1e-6
 RRF_K, CANDIDATES, ALPHA = 60, 20, 0.05
+#: Buckets of a stored index, and words of a question that go into the plan as constants at most.
+BUCKETS, WORDS = 64, 1000
 
 
 def chunk_view(paragraphs: DataFrame, captions: DataFrame | None = None) -> DataFrame:
@@ -27,42 +30,84 @@ def _tokens(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", T.fts_tokens(F.coalesce("title", F.lit(""))).alias("a"), T.fts_tokens(F.col("text")).alias("b"))
 
 
-def postings(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """(chunk_id, word, f, dl): weighted frequency of each word in title and body, and the chunk's tokens.
-
-    With `only`, the words of a query, other words are dropped before rows are made of them.
-    """
+def _tagged(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """(chunk_id, dl, t): a chunk's tokens as structs of word and weight; with `only`, the words of a query alone."""
     keep = (lambda c: F.filter(c, lambda w: w.isin(only))) if only is not None else (lambda c: F.col(c))
     tag = lambda c, k: F.transform(keep(c), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
-    c = _tokens(chunks).select("chunk_id", (F.size("a") + F.size("b")).alias("dl"), F.concat(tag("a", TITLE_WEIGHT), tag("b", BODY_WEIGHT)).alias("t"))
+    return _tokens(chunks).select("chunk_id", (F.size("a") + F.size("b")).alias("dl"), F.concat(tag("a", TITLE_WEIGHT), tag("b", BODY_WEIGHT)).alias("t"))
+
+
+def _postings(tagged: DataFrame) -> DataFrame:
     # the outer form: from the plain one the optimizer infers a filter that computes the array a second time
-    return c.select("chunk_id", "dl", F.explode_outer("t").alias("t")).where("t is not null").groupBy("chunk_id", "dl", F.col("t.w").alias("word")).agg(F.sum("t.k").alias("f"))
+    return tagged.select("chunk_id", "dl", F.explode_outer("t").alias("t")).where("t is not null").groupBy("chunk_id", "dl", F.col("t.w").alias("word")).agg(F.sum("t.k").alias("f"))
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, dl, word, f): weighted frequency of each word in title and body, and the chunk's tokens."""
+    return _postings(_tagged(chunks))
+
+
+SIGNATURE = "words-by-unicode; title 5, body 1"
+
+
+def ensure_index(spark: SparkSession, path: str, chunks: DataFrame, content_hash: str, version: str, force: bool = False) -> bool:
+    """Write the inverted index of `chunks` under `path` unless one of the same content, signature and version is there; says whether it was written.
+
+    Postings are partitioned by a hash of the word, so a query reads its words' buckets only. The row of meta data
+    is written last, so a half-written index is stale. `read_index` reads it.
+    """
+    meta = f"{path}/meta"
+    if not force and exists(spark, meta):
+        stored_ = spark.read.parquet(meta).head()
+        if stored_ is not None and (stored_["content_hash"], stored_["signature"], stored_["version"]) == (content_hash, SIGNATURE, version):
+            return False
+    delete(spark, meta)
+    _tagged(chunks).write.mode("overwrite").parquet(f"{path}/tagged")
+    tagged = spark.read.parquet(f"{path}/tagged")
+    _postings(tagged).withColumn("bucket", _bucket(F.col("word"))).repartition("bucket").sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    stats = tagged.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
+    stats.select("n_chunks", "avgdl", F.lit(content_hash).alias("content_hash"), F.lit(SIGNATURE).alias("signature"), F.lit(version).alias("version")).write.mode("overwrite").parquet(meta)
+    delete(spark, f"{path}/tagged")
+    return True
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and average tokens."""
-    return _tokens(chunks).agg(F.count("*").alias("n_chunks"), F.avg(F.size("a") + F.size("b")).alias("avgdl"))
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, one row of n_chunks and avgdl) of a stored index."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/meta").select("n_chunks", "avgdl")
 
 
-def bm25(chunks: DataFrame, variants: DataFrame, scope: Column | None = None) -> DataFrame:
+def bm25(chunks: DataFrame, variants: DataFrame, scope: Column | None = None, index: str | None = None) -> DataFrame:
     """(variant, chunk_id, score): chunks with all words of a variant; lower is better.
 
     `variants` is (variant, word). Document frequencies and lengths are those of all chunks; `scope` is
-    applied to the candidates afterwards, so Catalyst can't move it below the statistics.
+    applied to the candidates afterwards, so Catalyst can't move it below the statistics. From an `index` the
+    words' buckets are read; else the texts are cut into words once, and what a query needs of them is stored.
     """
-    asked = F.broadcast(variants.distinct())
-    words = [r[0] for r in variants.select("word").distinct().collect()]  # a query's own
-    found = postings(chunks, words)
+    spark = chunks.sparkSession
+    asked = variants.distinct()
+    words = [r[0] for r in asked.select("word").distinct().limit(WORDS + 1).collect()]
+    few = len(words) <= WORDS  # a question's own; a batch of questions is joined instead
+    if index is not None:
+        found, stats = read_index(spark, index)
+        found = found.where(F.col("word").isin(words) & F.col("bucket").isin([r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(_bucket(F.col("w"))).distinct().collect()])).drop("bucket") if few else found.drop("bucket").join(asked.select("word").distinct(), "word", "left_semi")
+    else:
+        tagged = stored(_tagged(chunks, words if few else None), "tagged")
+        found, stats = _postings(tagged), tagged.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
+        found = found if few else found.join(asked.select("word").distinct(), "word", "left_semi")
     df = found.groupBy("word").agg(F.count("*").alias("df"))
-    stats = corpus_stats(chunks)
     need = variants.groupBy("variant").agg(F.count_distinct("word").alias("need"))
+    small = F.broadcast if few else (lambda x: x)
     idf = F.greatest(F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    s = found.join(F.broadcast(df), "word").join(F.broadcast(stats)).join(asked, "word")
+    s = found.join(small(df), "word").join(F.broadcast(stats)).join(small(asked), "word")
     if scope is not None:
         s = s.join(chunks.where(scope).select("chunk_id"), "chunk_id", "left_semi")
     s = s.groupBy("variant", "chunk_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("hits"))
-    return s.join(F.broadcast(need), "variant").where("hits = need").select("variant", "chunk_id", "score")
+    return s.join(small(need), "variant").where("hits = need").select("variant", "chunk_id", "score")
 
 
 def top_k(ranked: DataFrame, k: int = CANDIDATES) -> DataFrame:

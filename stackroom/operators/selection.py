@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # Fixed values, in points.
-MIN_X, MIN_Y_COVER, MIN_AREA, NEAR = 4.0, 0.5, 80.0, 0.5
+MIN_X, MIN_Y_COVER, MIN_AREA, MIN_SHARE, NEAR = 4.0, 0.5, 80.0, 0.4, 0.5
 
 
 def _overlap(a: str, b: str, lo: str, hi: str) -> Column:
@@ -34,6 +34,17 @@ def selected(rects: DataFrame, paragraphs: DataFrame, words: Column) -> DataFram
     return hit.where(T.text_supports(words, F.col("text"))).select("id")
 
 
+def selected_blocks(rects: DataFrame, blocks: DataFrame, words: Column) -> DataFrame:
+    """(doc, id) of blocks that a document's selection covers: enough of the rectangles' area, and a text that supports the selected words."""
+    total = rects.groupBy("doc").agg(F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).alias("total"))
+    r, b = rects.alias("r"), blocks.alias("b")
+    dx, dy = _overlap("r", "b", "x0", "x1"), _overlap("r", "b", "y0", "y1")
+    line = F.least(F.col("r.y1") - F.col("r.y0"), F.col("b.y1") - F.col("b.y0"))
+    j = r.join(b, (F.col("r.doc") == F.col("b.doc")) & (F.col("r.page") == F.col("b.page")) & (dx >= MIN_X) & (line > 0) & (dy >= MIN_Y_COVER * line))
+    hit = j.groupBy(F.col("b.doc").alias("doc"), F.col("b.id").alias("id")).agg(F.sum(dx * dy).alias("area"), F.first("b.text").alias("text")).join(total, "doc")
+    return hit.where(F.col("area") >= F.least(F.lit(MIN_AREA), MIN_SHARE * F.col("total"))).where(T.text_supports(words, F.col("text"))).select("doc", "id")
+
+
 def drop_duplicates(boxes: DataFrame, key: str = "page") -> DataFrame:
     """By falling score, boxes whose edges all lie within NEAR of a kept one are dropped: order decides, so page by page in Python."""
 

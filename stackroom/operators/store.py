@@ -57,3 +57,19 @@ def ledger(calls: DataFrame) -> DataFrame:
     by = calls.groupBy("operation").agg(F.count("*").alias("n"))
     total = calls.agg(F.count("*").alias("calls"), F.count_if(~F.col("ok")).alias("failed"), F.sum(F.coalesce("tokens", F.lit(0))).alias("tokens"), F.every(F.col("tokens").isNotNull()).alias("all_reported"))
     return total.join(F.broadcast(by.agg(F.array_sort(F.collect_list(F.struct("operation", "n"))).alias("by_operation"))))
+
+
+def compatible(identity: dict[str, object], usable: Column) -> Column:
+    """May a stored artifact answer for this document now: it is usable and every part of its identity is the asked one."""
+    out = F.coalesce(usable, F.lit(False))
+    for k, v in identity.items():
+        out = out & F.col(k).eqNullSafe(F.lit(v))
+    return out
+
+
+def one(rows: DataFrame, hit: Column) -> DataFrame:
+    """The row that is asked for; an error if there is none."""
+    found = rows.where(hit)
+    if found.isEmpty():
+        raise LookupError("no such row")
+    return found

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .folds import fold
+from .shared import stored
 
 
 def assemble_paragraphs(blocks: DataFrame) -> DataFrame:
@@ -54,12 +56,35 @@ def hierarchy(sections: DataFrame) -> DataFrame:
     s = sections.withColumn("number", F.upper(F.nullif(F.regexp_extract("title", T.HEADING_NUMBER, 1), F.lit("")))).withColumn("level", F.coalesce(F.size(F.split("number", "[.]")), F.lit(1)))
     first = s.where("number is not null").groupBy("doc", F.col("number").alias("num")).agg(F.min_by("section", "pos").alias("named"))
     s = s.withColumn("prefix", F.nullif(F.regexp_replace("number", r"\.?[^.]*$", ""), F.lit("")))
-    a, b = s.alias("a"), s.select("doc", "pos", "level", "section").alias("b")
-    stack = a.join(b, F.expr("a.doc = b.doc and b.pos < a.pos and b.level < a.level"), "left").groupBy("a.doc", "a.pos").agg(F.max_by("b.section", F.expr("b.pos")).alias("above"))
+
+    def above(stack: dict, level: int, section: str) -> str | None:
+        # what isn't of a lower level can't stand above anything that follows
+        path = stack["path"]
+        while path and path[-1][0] >= level:
+            path.pop()
+        found = path[-1][1] if path else None
+        path.append((level, section))
+        return found
+
+    stack = fold(s.withColumn("section", F.col("section").cast("string")), "doc", ["pos"], ["level", "section"], lambda: {"path": []}, above, "above", "string")
     j = s.join(stack, ["doc", "pos"], "left").join(first, (s.doc == first.doc) & (s.prefix == first.num), "left")
     return j.select(s.doc, s.pos, s.section, s.title, s.level, F.coalesce(F.when(F.col("named") != s.section, F.col("named")), F.col("above")).alias("parent"))
 
 
+def nearest_in_order(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """(doc, pos, nearest): the other row of the document with the least distance in pages, then places, then the earlier one.
+
+    Pages rise with places, so it is the last one before the row or the first one behind it.
+    """
+    side = lambda df, kind: df.select("doc", "pos", "page", F.lit(kind).alias("kind"))
+    both = side(rows, 0).unionByName(side(others, 1))
+    other = F.when(F.col("kind") == 1, F.struct("page", "pos"))
+    w = Window.partitionBy("doc").orderBy("pos", F.desc("kind"))
+    both = both.withColumn("before", F.last(other, ignorenulls=True).over(w)).withColumn("after", F.first(other, ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    far = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.page") - F.col("page")).alias("a"), F.abs(F.col(f"{c}.pos") - F.col("pos")).alias("b"), F.col(f"{c}.pos").alias("nearest")))
+    return both.where("kind = 0").select("doc", "pos", F.coalesce(F.least(far("before"), far("after")), far("before"), far("after"))["nearest"].alias("nearest")).where("nearest is not null")
+
+
 def link_captions(blocks: DataFrame, targets: dict[str, list[str]]) -> DataFrame:
     """(doc, page, pos, caption_of): each caption's nearest element of its classes on the page, by the vertical gap."""
     pairs = [(c, t) for c, ts in targets.items() for t in ts]
@@ -83,42 +108,107 @@ def title_block(blocks: DataFrame) -> DataFrame:
     return t.groupBy("doc").agg(F.max_by("pos", F.struct(F.coalesce("size", F.lit(0.0)).alias("s"), (F.col("y1") - F.col("y0")).alias("h"), (-F.col("pos")).alias("p"))).alias("pos"))
 
 
-def reading_order(blocks: DataFrame, wide: float = 0.62, furniture: tuple[str, ...] = ("abandon",)) -> DataFrame:
-    """(doc, page, pos, rank): full-width blocks split a page in bands; a band is read left column first; furniture last.
+# Fixed values, in shares and points.
+CELLS, WIDE, MIN_GUTTER, REACH = 200, 0.62, 6.0, 12.0
+
+
+def column_split(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, gutter): the x between two columns of a group of blocks, where fewest of them cross; groups of one column are absent.
+
+    Each block covers cells of the group's width; slivers and banners don't count. Of the middle three fifths the
+    widest run of least covered cells is the gutter, if few enough blocks cross it and it is wide enough.
+    """
+    g = blocks.groupBy(*keys).agg(F.min("x0").alias("left"), F.max("x1").alias("right"), F.count("*").alias("n")).where("right > left and n >= 2").withColumn("width", F.col("right") - F.col("left"))
+    b = blocks.join(g, keys).withColumn("w", F.col("x1") - F.col("x0")).where("w >= greatest(10.0, 0.02 * width) and w < 0.9 * width")
+    first = F.floor((F.col("x0") - F.col("left")) / F.col("width") * CELLS).cast("int")
+    last = F.floor((F.col("x1") - F.col("left")) / F.col("width") * CELLS + 0.5).cast("int")
+    covered = b.select(*keys, F.explode(F.sequence(F.greatest(F.lit(0), first), F.least(F.lit(CELLS), F.greatest(last, first + 1)) - 1)).alias("c")).groupBy(*keys, "c").agg(F.count("*").alias("k"))
+    many = b.groupBy(*keys).agg(F.count("*").alias("contributors"), F.first("left").alias("left"), F.first("width").alias("width")).where("contributors >= 4")
+    middle = many.select(*keys, "contributors", "left", "width", F.explode(F.sequence(F.lit(CELLS // 5), F.lit(CELLS * 4 // 5 - 1))).alias("c"))
+    cells = middle.join(covered, [*keys, "c"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    least = cells.withColumn("lowest", F.min("k").over(Window.partitionBy(*keys))).where("k = lowest and lowest <= greatest(1, cast(0.35 * contributors as int))")
+    runs = least.withColumn("run", F.col("c") - F.row_number().over(Window.partitionBy(*keys).orderBy("c"))).groupBy(*keys, "left", "width", "run").agg(F.min("c").alias("a"), (F.max("c") + 1).alias("z"))
+    best = runs.groupBy(*keys, "left", "width").agg(F.max_by(F.struct("a", "z"), F.struct((F.col("z") - F.col("a")).alias("size"), (-F.col("a")).alias("first"))).alias("x"))
+    best = best.where((F.col("x.z") - F.col("x.a")) / CELLS * F.col("width") >= MIN_GUTTER)
+    return best.select(*keys, (F.col("left") + (F.col("x.a") + F.col("x.z")) / 2 / CELLS * F.col("width")).alias("gutter"))
+
+
+def reading_order(blocks: DataFrame, furniture: tuple[str, ...] = ("abandon",)) -> DataFrame:
+    """(doc, page, pos, rank): wide blocks split a page in bands; a band is read left column first; furniture last.
+
+    Wide is a block of a large share of the page's width, or one that reaches over the page's gutter on both sides.
+    """
+    page = ["doc", "page"]
+    b = blocks.withColumn("rear", F.col("layout").isin(list(furniture)))
+    span = Window.partitionBy(*page)
+    size = F.greatest(F.max(F.when(~F.col("rear"), F.col("x1"))).over(span) - F.min(F.when(~F.col("rear"), F.col("x0"))).over(span), F.lit(1.0))
+    b = b.withColumn("full", (F.col("x1") - F.col("x0")) >= WIDE * size)
+    gutter = column_split(b.where("not rear and not full").select(*page, "x0", "x1"), page).withColumnRenamed("gutter", "page_gutter")
+    b = b.join(gutter, page, "left").withColumn("wide", ~F.col("rear") & (F.col("full") | F.coalesce((F.col("x0") < F.col("page_gutter") - REACH) & (F.col("x1") > F.col("page_gutter") + REACH), F.lit(False))))
+    w = Window.partitionBy(*page).orderBy("rear", "y0", "x0", "pos")
+    b = b.withColumn("band", 2 * F.sum(F.col("wide").cast("int")).over(w) - F.col("wide").cast("int"))
+    band = [*page, "band"]
+    b = b.join(column_split(b.where("not rear and not wide").select(*band, "x0", "x1"), band), band, "left")
+    b = b.withColumn("side", F.when(F.col("wide") | F.col("rear") | F.col("gutter").isNull() | ((F.col("x0") + F.col("x1")) / 2 < F.col("gutter")), 0).otherwise(1))
+    place = lambda c: F.when(~F.col("rear"), F.col(c))
+    return b.select(*page, "pos", F.row_number().over(span.orderBy("rear", "band", "side", place("y0"), place("x0"), "pos")).alias("rank"))
+
+
+def resolve_targets(targets: DataFrame, paragraphs: DataFrame, blocks: DataFrame, block_classes: tuple[str, ...]) -> DataFrame:
+    """(target, state, n, found): each target by its source class, among blocks of that class or among paragraphs.
+
+    `targets` is (target, anchor, doc, page, layout, quote), the others (id, anchor, doc, page, text) and for blocks
+    layout. A block's quote must lie in one block of its class and page; it is never put together from several.
+    """
+    of_block = F.col("layout").isin(list(block_classes))
+    in_class = lambda df: df.withColumn("doc", F.concat_ws("|", "doc", "layout")).drop("layout")
+    a = reattach(in_class(targets.where(of_block)), in_class(blocks.where(of_block)), parts=False)
+    return a.unionByName(reattach(targets.where(~of_block).drop("layout"), paragraphs))
+
+
+def reflow(blocks: DataFrame, paragraphs: DataFrame, sections: DataFrame, translations: DataFrame) -> DataFrame:
+    """(doc, place, kind, id, text, translated): the reading column of headings, paragraphs with translations, crops and notices.
 
-    The gutter of a page is the middle of its widest empty run of 200 cells between 20 % and 80 % of the width.
+    `blocks` is (doc, pos, page, layout, text, caption_of) in reading order, `paragraphs` (doc, id, first_pos, section,
+    text), `sections` (doc, section, heading_pos, title, is_references), `translations` (doc, id, translated). A crop
+    takes its captions along; a heading stands where its block is; the first paragraph of references has a notice before it.
     """
-    span = Window.partitionBy("doc", "page")
-    b = blocks.withColumn("left", F.min("x0").over(span)).withColumn("right", F.max("x1").over(span)).withColumn("width", F.greatest(F.col("right") - F.col("left"), F.lit(1e-9)))
-    b = b.withColumn("full", (F.col("x1") - F.col("x0")) >= wide * F.col("width")).withColumn("rear", F.col("layout").isin(list(furniture)))
-    cell = lambda x: F.floor((F.col(x) - F.col("left")) / F.col("width") * 200).cast("int")
-    used = b.where("not full and not rear").select("doc", "page", F.explode(F.sequence(F.greatest(cell("x0"), F.lit(0)), F.least(F.greatest(cell("x1"), cell("x0")), F.lit(199)))).alias("c")).distinct()
-    free = b.select("doc", "page").distinct().select("doc", "page", F.explode(F.sequence(F.lit(40), F.lit(159))).alias("c")).join(used, ["doc", "page", "c"], "left_anti")
-    runs = free.withColumn("run", F.col("c") - F.row_number().over(Window.partitionBy("doc", "page").orderBy("c"))).groupBy("doc", "page", "run").agg(F.count("*").alias("n"), F.avg("c").alias("mid"))
-    gutter = runs.groupBy("doc", "page").agg(F.max_by("mid", F.struct("n", (-F.col("run")).alias("r"))).alias("gut"))
-    b = b.join(gutter, ["doc", "page"], "left").withColumn("gut", F.coalesce(F.col("gut"), F.lit(200.0)))
-    w = Window.partitionBy("doc", "page").orderBy("rear", "y0", "x0", "pos")
-    b = b.withColumn("band", 2 * F.sum(F.col("full").cast("int")).over(w) - F.col("full").cast("int"))
-    side = F.when(F.col("full") | F.col("rear"), 0).when((F.col("x0") + F.col("x1")) / 2 >= F.col("left") + F.col("gut") / 200 * F.col("width"), 1).otherwise(0)
-    b = b.withColumn("side", side)
-    return b.select("doc", "page", "pos", F.row_number().over(Window.partitionBy("doc", "page").orderBy("rear", "band", "side", "y0", "x0", "pos")).alias("rank"))
+    b = blocks.where(~F.col("layout").isin("abandon"))
+    crop = F.col("layout").isin("figure", "table", "isolate_formula", "code")
+    own = b.where("caption_of is not null").groupBy("doc", F.col("caption_of").alias("pos")).agg(F.min_by("text", "pos").alias("caption"))
+    h = sections.select("doc", F.col("heading_pos").alias("pos"), "section", "title")
+    heads = b.select("doc", "pos").join(h, ["doc", "pos"]).select("doc", "pos", F.lit(1).alias("k"), F.lit("heading").alias("kind"), F.concat(F.lit("h_"), "section").alias("id"), F.col("title").alias("text"), F.lit(None).cast("string").alias("translated"))
+    crops = b.where(crop).join(h.select("doc", "pos"), ["doc", "pos"], "left_anti").join(own, ["doc", "pos"], "left").select("doc", "pos", F.lit(1).alias("k"), F.lit("crop").alias("kind"), F.concat(F.lit("c_"), F.col("pos").cast("string")).alias("id"), F.col("caption").alias("text"), F.lit(None).cast("string").alias("translated"))
+    p = paragraphs.join(sections.select("doc", "section", "is_references"), ["doc", "section"], "left").join(translations, ["doc", "id"], "left")
+    pairs = p.select("doc", F.col("first_pos").alias("pos"), F.lit(1).alias("k"), F.lit("pair").alias("kind"), F.concat(F.lit("p_"), "id").alias("id"), "text", "translated")
+    notices = p.where("is_references").groupBy("doc", "section").agg(F.min("first_pos").alias("pos")).select("doc", "pos", F.lit(0).alias("k"), F.lit("notice").alias("kind"), F.concat(F.lit("n_"), "section").alias("id"), F.lit("").alias("text"), F.lit(None).cast("string").alias("translated"))
+    every = heads.unionByName(crops).unionByName(pairs).unionByName(notices)
+    return every.withColumn("place", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "k", "kind", "id"))).drop("pos", "k")
 
 
 def outline(sections: DataFrame) -> DataFrame:
-    """(section, depth, path): the tree of (section, parent, ord) from its roots; orphans are roots. Depth by repeated joins."""
+    """(section, depth, path): the tree of (section, parent, ord) from its roots, of any depth; orphans are roots, cycles are left out.
+
+    Each round doubles the distance that a section has climbed, so there are as many as the depth's logarithm; the
+    last row of every chain that ends is reached in each, so a round that ends none leaves cycles alone.
+    """
     s = sections.select("section", "parent", "ord")
     ids = s.select(F.col("section").alias("pid"))
-    s = s.join(ids, s.parent == ids.pid, "left").select("section", F.col("pid").alias("parent"), "ord")
-    now = s.where("parent is null").select("section", F.lit(0).alias("depth"), F.array("ord").alias("path"))
-    out = now
-    for d in range(1, 8):  # headings nest no deeper
-        now = s.alias("s").join(now.alias("n"), F.expr("s.parent = n.section")).select(F.col("s.section").alias("section"), F.lit(d).alias("depth"), F.concat("n.path", F.array("s.ord")).alias("path"))
-        out = out.unionByName(now)
-    return out
-
-
-def reattach(targets: DataFrame, paragraphs: DataFrame) -> DataFrame:
-    """(target, state, n, found): exact anchor, else the quote inside one paragraph of its page, else one inside the quote.
+    now = s.join(ids, s.parent == ids.pid, "left").select("section", F.col("pid").alias("up"), F.lit(0).alias("depth"), F.array("ord").alias("path"))
+    left = None
+    while True:
+        now = stored(now, "outline")
+        open_ = now.where("up is not null").count()
+        if not open_ or open_ == left:
+            return now.where("up is null").select("section", "depth", "path")
+        left = open_
+        n, a = now.alias("n"), now.select(F.col("section").alias("pid"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("path").alias("head")).alias("a")
+        j = n.join(a, F.expr("n.up = a.pid"), "left")
+        now = j.select("n.section", F.col("a.next").alias("up"), (F.col("n.depth") + F.coalesce(F.col("a.more") + 1, F.lit(0))).alias("depth"), F.when(F.col("a.head").isNull(), F.col("n.path")).otherwise(F.concat("a.head", "n.path")).alias("path"))
+
+
+def reattach(targets: DataFrame, paragraphs: DataFrame, parts: bool = True) -> DataFrame:
+    """(target, state, n, found): exact anchor, else the quote inside one paragraph of its page, else (with `parts`) one inside the quote.
 
     `targets` is (target, anchor, doc, page, quote), `paragraphs` (id, anchor, doc, page, text); quotes meet only
     their own page's paragraphs, by an equi-join.
@@ -128,7 +218,7 @@ def reattach(targets: DataFrame, paragraphs: DataFrame) -> DataFrame:
     exact = t.join(p.select(F.col("anchor").alias("pa"), "id"), F.expr("anchor = pa")).groupBy("target").agg(F.min("id").alias("exact"))
     j = t.alias("t").join(p.alias("p"), F.expr("t.doc = p.doc and t.page = p.page and t.needle <> ''"))
     hold = F.contains(F.col("p.canon"), F.col("t.needle"))
-    within = (F.col("p.canon") != "") & F.contains(F.col("t.needle"), F.col("p.canon"))
+    within = F.lit(parts) & (F.col("p.canon") != "") & F.contains(F.col("t.needle"), F.col("p.canon"))
     c = j.groupBy("t.target").agg(F.count_if(hold).alias("holding"), F.min(F.when(hold, F.col("p.id"))).alias("holder"), F.count_if(within).alias("parts"), F.min(F.when(within, F.col("p.id"))).alias("part"))
     r = t.join(exact, "target", "left").join(c, "target", "left").na.fill(0, ["holding", "parts"])
     state = F.when(F.col("exact").isNotNull(), "EXACT").when(F.col("holding") == 1, "REATTACHED").when(F.col("holding") > 1, "AMBIGUOUS").when(F.col("parts") == 1, "REATTACHED").when(F.col("parts") > 1, "AMBIGUOUS").otherwise("ORPHANED")

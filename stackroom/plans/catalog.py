@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import extras, library, more, retrieval, scalars, structure  # noqa: F401
+from . import answers, extras, library, more, retrieval, scalars, structure  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "f19_retrieve"

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import selection as SEL
 from ..operators import store as S
 from ..operators import structure as ST
+from ..operators.shared import placed
 from .base import LINES, inline, paragraphs, query, table, values
 from .structure import BLOCKS, _blocks
 
@@ -83,20 +84,7 @@ def _(spark, d):
 @query("c18_nearest_paragraph", f"with {BLOCKS}, f as (select * from bl where layout = 'figure'), p as (select * from bl where layout = 'plain text') select f.doc, f.pos, arg_min(p.pos, abs(p.page - f.page) * 1000000.0 + abs(p.pos - f.pos) * 1000 + p.pos / 10.0) nearest from f join p using (doc) group by all")
 def _(spark, d):
     b = _blocks(spark, d)
-    f, p = b.where("layout = 'figure'").alias("f"), b.where("layout = 'plain text'").alias("p")
-    return f.join(p, F.expr("f.doc = p.doc")).groupBy("f.doc", "f.pos").agg(F.min_by("p.pos", F.expr("struct(abs(p.page - f.page) as a, abs(p.pos - f.pos) as b, p.pos as c)")).alias("nearest"))
-
-
-@query("c26_changed_states", "select o_orderkey from orders where o_orderstatus <> 'F'")
-def _(spark, d):
-    o = table(spark, d, "orders")
-    return o.withColumn("new", F.lit("F")).where(~F.col("new").eqNullSafe(F.col("o_orderstatus"))).select("o_orderkey")
-
-
-@query("c28_identify_work", "select s_suppkey, coalesce(n.n_nationkey, 0) nation from supplier left join nation n on n.n_nationkey = s_nationkey")
-def _(spark, d):
-    s, n = table(spark, d, "supplier"), table(spark, d, "nation")
-    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", F.coalesce("n_nationkey", F.lit(0)).alias("nation"))
+    return ST.nearest_in_order(b.where("layout = 'figure'"), b.where("layout = 'plain text'"))
 
 
 @query("d02_dominant_size", "select l_orderkey, arg_max(l_quantity, w * 1000 - l_quantity) size from (select l_orderkey, l_quantity, count(*) w from lineitem group by all) group by 1")
@@ -208,10 +196,9 @@ def _(spark, d):
     return S.update(table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("state")), F.col("o_orderkey") == 32, state=F.lit("REATTACHED"))
 
 
-@query("k07_newest_first", "select o_orderkey, (row_number() over (order by o_orderdate desc, o_orderkey))::int place from orders qualify place <= 50")
+@query("k07_newest_first", "select o_orderkey, row_number() over (order by o_orderdate desc, o_orderkey) place from orders")
 def _(spark, d):
-    o = table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
-    return o.select("o_orderkey", F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey")).alias("place"))
+    return placed(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey", "place")
 
 
 @query("k18_update_and_touch", "select p_partkey, case when p_partkey = 5 then 'seen' else p_name end p_name, case when p_partkey = 5 then 1 end touched from part")

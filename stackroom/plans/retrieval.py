@@ -34,6 +34,12 @@ def _chunks(spark, d):
     return S.chunk_view(c)
 
 
+def _vector(v, id: int):
+    """The vector of a row as a column of constants; null if there is no such row."""
+    found = v.where(F.col("id") == id).select("embedding").head()
+    return F.lit(None).cast("array<double>") if found is None or found[0] is None else F.array(*[F.lit(float(x)) for x in found[0]])
+
+
 def _variants(spark):
     return inline(spark, "variant string, word string", VARIANTS)
 
@@ -104,24 +110,24 @@ def retrieve(spark, d):
     return S.retrieve(_chunks(spark, d), _variants(spark), QUESTION)
 
 
-@query("c05_neighbours", "with h as (select doc_id, (row_number() over (order by doc_id))::int rank from documents where doc_id % 97 = 0) select d.doc_id, count(*) n from h join documents d on d.doc_id in (h.doc_id - 1, h.doc_id + 1) and d.doc_id // 10 = h.doc_id // 10 join documents o on o.doc_id = h.doc_id where d.lang = o.lang and d.doc_id % 97 <> 0 group by 1")
+@query("c05_neighbours", f"with {CHUNKS}, h as (select * from ch where chunk_id % 97 = 0) select n.chunk_id, h.chunk_id rank, side from h join (values (0, -1), (1, 1)) s(side, o) on true join ch n on n.doc = h.doc and n.pos = h.pos + o and n.section is not distinct from h.section where n.chunk_id % 97 <> 0 qualify row_number() over (partition by n.chunk_id order by h.chunk_id, side) = 1")
 def _(spark, d):
     c = _chunks(spark, d)
     hits = c.where("chunk_id % 97 = 0").select("chunk_id", F.col("chunk_id").alias("rank"))
-    return S.neighbours(hits, c).select(F.col("chunk_id").alias("doc_id"), F.lit(1).cast("long").alias("n"))
+    return S.neighbours(hits, c)
 
 
 @query("f02_dense_top20", "select vec_id id, round(list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)), 6) score from embeddings order by list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)) desc, vec_id limit 20")
 def _(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    q = F.array(*[F.lit(float(x)) for x in v.where("id = 7").first()["embedding"]])
+    q = _vector(v, 7)
     return S.dense_top_k(v, q).select("id", F.round("score", 6).alias("score"))
 
 
 @query("c23_dense_in_scope", "select vec_id id, round(list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)), 6) score from embeddings where label = 3 order by list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)) desc, vec_id limit 5")
 def _(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    q = F.array(*[F.lit(float(x)) for x in v.where("id = 7").first()["embedding"]])
+    q = _vector(v, 7)
     return S.dense_top_k(v, q, 5, v.where("label = 3").select("id")).select("id", F.round("score", 6).alias("score"))
 
 
@@ -164,7 +170,9 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.split(F.btrim(s, F.lit(",")), ",").cast("array<int>").alias("pages"), F.lit(True).alias("is_hit"))
 
 
-@query("a27_collect_urls", "select page_id, [url] urls from pages")
+@query("a27_collect_urls", "select page_id, case when page_id % 3 = 0 then [url] when page_id % 3 = 1 then [url, url || '/b'] else [url, 'http://h/' || page_id] end urls from pages")
 def _(spark, d):
-    j = F.to_json(F.struct(F.struct("url", F.lit("ftp://x").alias("link")).alias("a"), F.array(F.struct(F.col("url").alias("uri"))).alias("b")))
-    return table(spark, d, "pages").select("page_id", F.array_distinct(F.filter(F.transform(T.all_of(j, r'"(?:url|link|uri)":"((?:[^"\\]|\\.)*)"', 1), lambda u: F.replace(u, F.lit("\\/"), F.lit("/"))), lambda u: F.startswith(u, F.lit("http")))).alias("urls"))
+    p = table(spark, d, "pages")
+    other = F.when(F.col("page_id") % 3 == 0, "ftp://x").when(F.col("page_id") % 3 == 1, F.concat("url", F.lit("/b"))).otherwise(F.concat(F.lit("http://h/"), F.col("page_id").cast("string")))
+    j = F.to_json(F.struct(F.struct("url", F.lit("none").alias("title")).alias("a"), F.array(F.struct(other.alias("uri"), F.struct(F.col("url").alias("link")).alias("deep"))).alias("b")))
+    return p.select("page_id", F.array_distinct(F.filter(F.transform(T.all_of(j, r'"(?:url|link|uri)":"((?:[^"\\\\]|\\\\.)*)"'.replace("\\\\", "\\"), 1), lambda u: F.replace(u, F.lit("\\/"), F.lit("/"))), lambda u: F.startswith(u, F.lit("http")))).alias("urls"))

@@ -63,9 +63,13 @@ def _(spark, d):
     return _titles(spark).select("title", T.is_front_matter(F.col("title")).alias("front"))
 
 
-@query("b17_public_http_url", "select page_id, true as public_url from pages")
+HOSTS = ["http://localhost/x", "http://10.0.0.1", "https://192.168.1.5:80/y", "ftp://a.org", "https://172.16.3.4/", "http://127.0.0.1", "https://172.40.3.4/", "http://11.0.0.1/z", ""]
+
+
+@query("b17_public_http_url", f"select page_id, k, regexp_matches(u, '^https?://[^/]') and not regexp_matches(u, '^https?://(localhost|127\\.|10\\.|192\\.168\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.)') public_url from (select page_id, k, case when k = 0 then url else {literal(HOSTS)}[k] end u from pages, range(0, {len(HOSTS) + 1}) r(k))")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", T.public_http_url(F.col("url")).alias("public_url"))
+    p = table(spark, d, "pages").select("page_id", F.posexplode(F.concat(F.array("url"), T.strings(HOSTS))).alias("k", "u"))
+    return p.select("page_id", F.col("k").cast("long").alias("k"), T.public_http_url(F.col("u")).alias("public_url"))
 
 
 @query("b18_name_contains", "select doc_id, source from documents where contains(lower(source), lower('SRC1'))")
@@ -415,7 +419,10 @@ def _(spark, d):
     return phrase_then_terms(table(spark, d, "documents"), "text", "of the  Thing").select("doc_id")
 
 
-@query("h46_text_supports")
+SUPPORT = f"with {LINES}, p as (select doc_id, pos, trim(regexp_replace(lower(lag(text) over (partition by doc_id order by pos)), '\\s+', ' ', 'g')) a, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) b from para), w as (select *, list_filter(string_split_regex(a, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') wa, string_split_regex(b, '[^\\p{{L}}\\p{{N}}]+') wb, list_distinct(list_transform(range(1, length(a) - 1), lambda i: substr(a, i, 3))) ga, list_distinct(list_transform(range(1, length(b) - 1), lambda i: substr(b, i, 3))) gb from p where a is not null)"
+
+
+@query("h46_text_supports", SUPPORT + " select doc_id, pos, case when a = '' then false when contains(b, a) then true when len(wa) <= 5 then false when len(list_filter(wa, lambda x: list_contains(wb, x)))::double / len(wa) >= 0.35 then true else coalesce(len(list_intersect(ga, gb))::double / nullif(len(ga), 0) >= 0.25, false) end ok from w")
 def _(spark, d):
     w = Window.partitionBy("doc_id").orderBy("pos")
     p = paragraphs(spark, d).withColumn("before", F.lag("text").over(w)).where("before is not null")

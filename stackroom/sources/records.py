@@ -84,6 +84,42 @@ def work_of(raw: DataFrame, column: str = "value") -> DataFrame:
     return r.select(F.regexp_extract("id", "([^/]+)$", 1).alias("key"), F.col("display_name").alias("title"), F.col("publication_year").alias("year"), F.regexp_replace(F.lower("doi"), "^https?://(dx[.])?doi[.]org/", "").alias("doi"), F.col("cited_by_count").alias("cited_by"), F.col("referenced_works").alias("reference_keys"), F.array_join(F.transform(F.array_sort(words), lambda x: x.w), " ").alias("abstract"))
 
 
+SECOND = "paperId string, title string, authors array<struct<name:string>>, year int, venue string, externalIds struct<DOI:string>, abstract string, citationCount int, openAccessPdf struct<url:string>, url string"
+
+
+def second_work_of(raw: DataFrame, column: str = "value") -> DataFrame:
+    """Flat literature records of the second provider."""
+    r = raw.select(F.from_json(column, SECOND).alias("r")).select("r.*")
+    some = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    names = F.filter(F.transform(F.coalesce("authors", F.array().cast("array<struct<name:string>>")), lambda a: a["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    return r.select(F.coalesce("paperId", F.lit("")).alias("key"), F.coalesce("title", F.lit("")).alias("title"), names.alias("authors"), "year", some(F.col("venue")).alias("venue"), F.col("externalIds.DOI").alias("doi"), "url", "abstract", F.col("citationCount").alias("cited_by"), some(F.col("openAccessPdf.url")).alias("oa_pdf_url"))
+
+
+FOUND = "title string, doi string, url string, authors string, year string, venue string, abstract string, cited_by string"
+
+
+def found_work_of(raw: DataFrame, seen: list[str], column: str = "value") -> DataFrame:
+    """Works that a search reported as JSON, cleaned; the key is a digest of the identifier or title. Records without a usable title are left out.
+
+    A work is verified if its address or identifier is among those that the search has really `seen`.
+    """
+    r = raw.select(F.from_json(column, FOUND).alias("r")).select("r.*")
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    some = lambda c: F.nullif(text(c), F.lit(""))
+    number = lambda c: F.when(F.col(c).rlike(r"^\s*[+-]?\d+\s*$"), F.trim(c).cast("int"))
+    plain = T.normalize_title(text(F.col("title")))
+    doi = F.regexp_replace(F.regexp_replace(text(F.col("doi")), "^https://doi\\.org/", ""), "^doi:", "")
+    r = r.withColumn("plain", plain).where(F.length("plain") >= 4).withColumn("doi", F.when(doi.rlike(r"^10\.\d{4,9}/\S+$"), doi))
+    url = F.coalesce(F.when(text(F.col("url")).rlike("^https?://"), text(F.col("url"))), F.when(F.col("doi").isNotNull(), F.concat(F.lit("https://doi.org/"), "doi")))
+    people = F.when(F.startswith(F.trim("authors"), F.lit("[")), F.from_json("authors", "array<string>")).otherwise(F.transform(F.split(text(F.col("authors")), ",|;| and "), lambda a: F.trim(a)))
+    people = F.slice(F.filter(F.coalesce(people, F.array().cast("array<string>")), lambda a: F.trim(F.coalesce(a, F.lit(""))) != ""), 1, 30)
+    key = F.concat(F.lit("web_"), F.substring(F.sha1(F.lower(F.coalesce("doi", "plain"))), 1, 12))
+    out = r.select(key.alias("key"), text(F.col("title")).alias("title"), people.alias("authors"), number("year").alias("year"), some(F.col("venue")).alias("venue"), "doi", url.alias("url"), F.nullif(F.substring(text(F.col("abstract")), 1, 600), F.lit("")).alias("abstract"), number("cited_by").alias("cited_by"))
+    known = T.strings(seen)
+    there = F.exists(known, lambda u: T.norm_url(u) == T.norm_url(F.col("url"))) | F.exists(known, lambda u: F.contains(F.lower(u), F.lower(F.col("doi"))))
+    return out.withColumn("verified", F.coalesce(there, F.lit(False)))
+
+
 def markdown_notes(notes: DataFrame, title: str) -> DataFrame:
     """(doc, value): one Markdown text of a document's notes (doc, page, top, id, quote, comment), in reading order."""
     one = F.concat(F.lit("## p. "), F.col("page").cast("string"), F.lit("\n\n"), T.markdown_quote(F.col("quote")), F.when(F.coalesce("comment", F.lit("")) != "", F.concat(F.lit("\n\n"), T.escape_block(F.col("comment")))).otherwise(""))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OBJECTS = "stream_id string, n int, value string"
-STATE = "buffer string, emitted int"
+STATE = "buffer string, emitted int, due int, early string"
 
 
 def feed(buffer: str, chunk: str) -> tuple[list[str], str]:
@@ -57,23 +57,47 @@ def feed(buffer: str, chunk: str) -> tuple[list[str], str]:
     return out, "\x01" + text[done:]
 
 
+def _advance(buffer: str, due: int, early: dict[int, str]) -> tuple[list[str], str, int]:
+    """Reads the chunks that are due, in order; those that came too early wait."""
+    out: list[str] = []
+    while due in early:
+        found, buffer = feed(buffer, early.pop(due))
+        out += found
+        due += 1
+    return out, buffer, due
+
+
 def objects(chunks: DataFrame) -> DataFrame:
-    """Streaming or batch (stream_id, seq, chunk) -> each object as soon as it is complete."""
+    """Streaming (stream_id, seq from 0, chunk) -> each object as soon as it is complete; chunks may come in any order and more than once."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        buffer, n = state.get if state.exists else ("", 0)
-        rows = []
+        buffer, n, due, waiting = state.get if state.exists else ("", 0, 0, "{}")
+        early = {int(k): v for k, v in json.loads(waiting).items()}
         for f in frames:
-            for c in f.sort_values("seq")["chunk"]:
-                found, buffer = feed(buffer, c)
-                rows += [(key[0], n + i, v) for i, v in enumerate(found)]
-                n += len(found)
-        state.update((buffer, n))
-        yield pd.DataFrame(rows, columns=["stream_id", "n", "value"])
+            early.update((int(s), c) for s, c in zip(f["seq"], f["chunk"], strict=True) if s >= due)
+        found, buffer, due = _advance(buffer, due, early)
+        state.update((buffer, n + len(found), due, json.dumps(early)))
+        yield pd.DataFrame([(key[0], n + i, v) for i, v in enumerate(found)], columns=["stream_id", "n", "value"])
 
     return chunks.groupBy("stream_id").applyInPandasWithState(step, OBJECTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def objects_batch(chunks: DataFrame) -> DataFrame:
+    """The same from a table of chunks."""
+
+    def whole(f: pd.DataFrame) -> pd.DataFrame:
+        found, _, _ = _advance("", 0, dict(zip(f["seq"].astype(int), f["chunk"], strict=True)))
+        return pd.DataFrame([(f["stream_id"].iloc[0], i, v) for i, v in enumerate(found)], columns=["stream_id", "n", "value"])
+
+    return chunks.groupBy("stream_id").applyInPandas(whole, OBJECTS)
+
+
+def landed(rows: DataFrame, path: str, state: str, seconds: float = 1.0, once: bool = False):
+    """A started query that commits what has come, at most once in `seconds`; with `once`, all there is, and then ends."""
+    when = {"availableNow": True} if once else {"processingTime": f"{int(seconds * 1000)} milliseconds"}
+    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).trigger(**when).start()
+
+
 def ledger_stream(events: DataFrame) -> DataFrame:
     """Running counts and sums by operation of a stream of calls."""
     return events.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
