@@ -1,11 +1,12 @@
 r"""Operator 3, chat formatting: budgeted, turn-aligned windows with a repeated history and a loss mask.
 
-Rows are dealt by conversation and sorted by turn (ties: by role, then text); `format_chats` then streams
-through each conversation with the running sum P of its turns' tokens. A window of new turns ends before
-the first turn e with kept + P[e] - P[s] > BUDGET (a turn too long for any window has one of its own, whole).
-`kept` counts what is repeated in front: the system turn, if the conversation begins with one, and the
-longest run of turns directly before the window with at most HISTORY tokens. Repeated turns are masked, so
-each assistant text is a target once. Only one window's turns are in memory, however long a conversation is.
+Texts are escaped and their tokens counted turn by turn, where they are; then rows are dealt by conversation
+and sorted by turn (ties: by role, then escaped text). `format_chats` streams through each conversation with
+the prefix sums P of its turns' tokens: a window of new turns s, s + 1, ... ends before the first turn e with
+kept + P[e + 1] - P[s] > BUDGET (a turn too long for any window has one of its own, whole). `kept` counts what
+is repeated in front: the system turn, if the conversation begins with one, and the longest run of turns
+h, h + 1, ... directly before the window with P[s] - P[h] <= HISTORY. Repeated turns are masked, so each
+assistant text is a target once. Only one window's turns are in memory, however long a conversation is.
 
 Template: every turn is `<s>role\ntext</s>`. Control strings in texts and roles get a backslash after their
 first character (`</s>` -> `<\/s>`), and one that has backslashes there already gets one more, so reading
@@ -52,50 +53,44 @@ def read_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
-def tokens_of(text: str) -> int:
-    return FRAME + (len(text.encode()) + 3) // 4
-
-
 WINDOWS = "conv_id long, window int, formatted string, n_turns int, n_repeated int, n_tokens long, loss array<struct<start:int,length:int>>"
 
 
 class _Conversation:
+    """Turns are (role, escaped text, tokens, P before the turn)."""
+
     def __init__(self, key, budget: int, history: int):
         self.key, self.budget, self.history = key, budget, history
         self.system: tuple | None = None
         self.before: list[tuple] = []  # the repeated run, at most `history` tokens
         self.new: list[tuple] = []
-        self.window = self.seen = 0
-
-    def _kept(self) -> list[tuple]:
-        return ([self.system] if self.system and self.window else []) + self.before
+        self.window = self.total = 0  # total: P behind the last turn
+        self.begin = self.kept = 0  # P[s], and the tokens repeated in front of the window
 
-    def add(self, role: str, text: str) -> dict | None:
-        turn, out = (role, text, tokens_of(text)), None
-        if self.new and sum(t[2] for t in [*self._kept(), *self.new, turn]) > self.budget:
-            out = self.end()
-        if not self.seen and role == "system":
+    def add(self, role: str, body: str, tokens: int) -> dict | None:
+        out = self.end() if self.new and self.kept + self.total + tokens - self.begin > self.budget else None
+        turn = (role, body, tokens, self.total)
+        if not self.total and role == "system":
             self.system = turn
-        self.seen += 1
+        self.total += tokens
         self.new.append(turn)
         return out
 
     def end(self) -> dict:
-        kept = self._kept()
+        kept = ([self.system] if self.system and self.window else []) + self.before
         pieces, loss, at = [], [], 0
-        for i, (role, text, _) in enumerate([*kept, *self.new]):
-            head, body = f"<s>{write_role(role)}\n", escape(text)
+        for i, (role, body, _, _) in enumerate([*kept, *self.new]):
+            head = f"<s>{write_role(role)}\n"
             if i >= len(kept) and role == "assistant":
                 loss.append({"start": at + len(head), "length": len(body)})
             pieces.append(f"{head}{body}</s>")
             at += len(pieces[-1])
-        out = {"conv_id": self.key, "window": self.window, "formatted": "".join(pieces), "n_turns": len(kept) + len(self.new), "n_repeated": len(kept), "n_tokens": sum(t[2] for t in [*kept, *self.new]), "loss": loss}
-        run, total = [], 0
-        for t in reversed([*self.before, *(self.new[1:] if self.system and not self.window else self.new)]):
-            if (total := total + t[2]) > self.history:
-                break
-            run.append(t)
-        self.before, self.new = run[::-1], []
+        out = {"conv_id": self.key, "window": self.window, "formatted": "".join(pieces), "n_turns": len(kept) + len(self.new), "n_repeated": len(kept), "n_tokens": self.kept + self.total - self.begin, "loss": loss}
+        since = self.total - self.history
+        self.before = [t for t in [*self.before, *(self.new[1:] if self.system and not self.window else self.new)] if t[3] >= since]
+        self.begin = self.total
+        self.kept = (self.system[2] if self.system else 0) + (self.total - self.before[0][3] if self.before else 0)
+        self.new = []
         self.window += 1
         return out
 
@@ -127,17 +122,19 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         now: _Conversation | None = None
         for b in batches:
-            for key, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+            for key, role, body, tokens in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "body", "tokens")), strict=True):
                 if now is None or now.key != key:
                     if now is not None:
                         yield now.end()
                     now = _Conversation(key, budget, history)
-                if (done := now.add(role or "", text or "")) is not None:
+                if (done := now.add(role or "", body, tokens)) is not None:
                     yield done
         if now is not None:
             yield now.end()
 
-    dealt = turns.select("conv_id", "turn", "role", "text").repartition(parts(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    text = F.coalesce("text", F.lit(""))
+    ready = turns.select("conv_id", "turn", "role", F.regexp_replace(text, CONTROL, r"$1\\$2$3").alias("body"), (F.lit(FRAME) + F.floor((F.octet_length(text) + 3) / 4)).cast("long").alias("tokens"))
+    dealt = ready.repartition(parts(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "body")
     return dealt.mapInArrow(lambda batches: _batches(rows(batches), schema), WINDOWS)
 
 
