@@ -1,6 +1,7 @@
 """Operator 9, approximate nearest neighbours: shifted space-filling curves.
 
-Distinct vectors are projected to DIMS random orthonormal directions per curve, shifted and put on a grid
+Curves order directions: a vector's length doesn't enter its key, only its distance (recall on log-normal
+lengths was measured as 0.94). Distinct vectors are projected to DIMS random orthonormal directions per curve, shifted and put on a grid
 of BITS bits per direction; their Hilbert index orders them. All curves are range-partitioned and sorted by
 (curve, key) in Spark and written once; ranks follow from the rows in each partition. The order is cut into
 blocks, and each query meets its own block and those beside it, on every curve; only rows within WINDOW
@@ -16,7 +17,7 @@ the k nearest can show of them; a vector held by a third of all rows is cut to t
 shuffle.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do
-those of another length than the most frequent one, or rows without id; repeated rows (same id and vector)
+those of another length than the most frequent one among the rows, or rows without id; repeated rows (same id and vector)
 count once; equal distances go to the smaller id; an empty table gives an empty result; further columns
 aren't read.
 """
@@ -84,12 +85,16 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.asarray(col.flatten(), np.float64).reshape(len(col), -1)
 
 
-def valid_rows(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v): distinct rows with a usable vector of the usual length, as doubles."""
+def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(vec_id, v): rows with an id and a usable vector, as doubles."""
     v = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
-    v = v.where("vec_id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
-    usual = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return v.where(F.size("v") == (usual[0][0] if usual else 0)).dropDuplicates(["vec_id", "v"])
+    return v.where("vec_id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(v, x -> x <> 0)")
+
+
+def usual_length(v: DataFrame) -> int:
+    """The most frequent length of the vectors, the greater one on ties."""
+    found = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
+    return found[0][0] if found else 0
 
 
 def points_of(v: DataFrame, k: int) -> DataFrame:
@@ -124,9 +129,11 @@ def ranked(points: DataFrame, curves: int, dims: int, bits: int, seed: int) -> D
 def search(rows: DataFrame, queries: DataFrame, k: int = K, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, share: float = SHARE, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """For each (vec_id, embedding) of `queries`, which are among `rows`: query_id, rank, vec_id, score."""
     ship(rows.sparkSession)
-    v = valid_rows(rows)
+    v = usable(rows)
+    fits = F.size("v") == usual_length(v)
+    v = v.where(fits).dropDuplicates(["vec_id", "v"])
     points = points_of(v, k)
-    asked = store(valid_rows(queries).alias("q").join(points.alias("p"), F.expr("q.v = p.v")).select(F.col("q.vec_id").alias("query_id"), "p.pid"), "asked")
+    asked = store(usable(queries).where(fits).dropDuplicates(["vec_id", "v"]).alias("q").join(points.alias("p"), F.expr("q.v = p.v")).select(F.col("q.vec_id").alias("query_id"), "p.pid"), "asked")
     n = points.count()
     w = max(least, int(share * n))
     block = max(1, min(BLOCK, w))

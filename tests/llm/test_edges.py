@@ -95,6 +95,10 @@ def test_ann(spark):
     got = [tuple(r) for r in ann.search(e, e.where("vec_id = 100")).orderBy("rank").collect()]
     assert [(g[1], g[2]) for g in got] == [(1, 1), (2, 2), (3, 3)] and got[0][3] == 0 and got[2][3] == pytest.approx(2**0.5)
     assert ann.search(e.where("false"), e.where("false")).count() == 0
+    # most queries are of another length than most rows
+    mixed = spark.createDataFrame([(i, [1.0, float(i), 2.0]) for i in range(1, 31)] + [(100 * i, [1.0, 2.0]) for i in range(1, 4)] + [(400, [1.0, 5.5, 2.0])], "vec_id long, embedding array<double>")
+    got = ann.search(mixed, mixed.where("vec_id % 100 = 0")).collect()
+    assert {r["query_id"] for r in got} == {400} and sorted(r["vec_id"] for r in got)[:2] == [1, 2] and len(got) == 10
 
 
 def test_pipeline_stages(spark, edge, none):
