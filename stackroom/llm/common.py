@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import inspect
-import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -44,12 +44,23 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """This application's folder in the shared one of spark.checkpoint.dir; one of our own only in local mode where that is unset (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file:///tmp/checkpoints/stackroom"
-        os.makedirs(at[7:], exist_ok=True)
-    return at.rstrip("/")
+    return f"{at.rstrip('/')}/stackroom-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this application has stored; to be called when the results that read them are written."""
+    _delete(spark, shared_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 class Stored:
@@ -57,14 +68,12 @@ class Stored:
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/stackroom-{name}-{uuid.uuid4().hex}"
+        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(self.spark, self.path)
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
