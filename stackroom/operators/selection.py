@@ -27,11 +27,7 @@ def figure_labels(texts: DataFrame, figures: DataFrame, most: int = 40) -> DataF
 
 def selected(rects: DataFrame, paragraphs: DataFrame, words: Column) -> DataFrame:
     """Ids of paragraphs that a selection covers by geometry and whose text supports the selected words."""
-    r, p = rects.alias("r"), paragraphs.alias("p")
-    dx, dy = _overlap("r", "p", "x0", "x1"), _overlap("r", "p", "y0", "y1")
-    j = r.join(p, (F.col("r.doc") == F.col("p.doc")) & (F.col("r.page") == F.col("p.page")) & (dx >= MIN_X) & (dy >= MIN_Y_COVER * (F.col("r.y1") - F.col("r.y0"))))
-    hit = j.groupBy("p.doc", "p.id").agg(F.sum(dx * dy).alias("area"), F.first("p.text").alias("text")).where(F.col("area") >= MIN_AREA)
-    return hit.where(T.text_supports(words, F.col("text"))).select("id")
+    return selected_blocks(rects, paragraphs, words).select("id")
 
 
 def selected_blocks(rects: DataFrame, blocks: DataFrame, words: Column) -> DataFrame:

@@ -36,6 +36,16 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small file of these bytes."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """With a broadcast hint if the counted rows are within the bound; otherwise Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -184,12 +184,12 @@ def _(spark, d):
 
 @query(
     "c15_selected_on_lines",
-    f"with {BLOCKS}, g as (select *, (pos % 2) * 300.0 x0, (pos % 2) * 300.0 + 280 x1, (pos % 8) * 20.0 y0, (pos % 8) * 20.0 + 18 y1 from bl where layout = 'plain text'), i as (select *, greatest(0, least(290.0, x1) - greatest(10.0, x0)) dx, greatest(0, least(33.0, y1) - greatest(15.0, y0)) dy from g where page = 1) select doc, pos from i where dx >= 4 and dy >= 0.5 * 18 and dx * dy >= 80 and contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'the')",
+    f"with {BLOCKS}, g as (select *, (pos % 2) * 300.0 x0, (pos % 2) * 300.0 + 280 x1, (pos % 8) * 20.0 y0, (pos % 8) * 20.0 + 18 y1 from bl where layout = 'plain text'), i as (select *, greatest(0, least(290.0, x1) - greatest(10.0, x0)) dx, greatest(0, least(33.0, y1) - greatest(5.0, y0)) dy from g where page = 1) select doc, pos from i where dx >= 4 and dy >= 0.5 * 18 and dx * dy >= 80 and contains(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'the')",
 )
 def _(spark, d):
     b = _blocks(spark, d).where("layout = 'plain text'")
     b = b.select("doc", "page", F.concat_ws("_", "doc", "pos").alias("id"), "text", ((F.col("pos") % 2) * 300.0).alias("x0"), ((F.col("pos") % 2) * 300.0 + 280).alias("x1"), ((F.col("pos") % 8) * 20.0).alias("y0"), ((F.col("pos") % 8) * 20.0 + 18).alias("y1"))
-    rects = b.select("doc").distinct().select("doc", F.lit(1).alias("page"), F.lit(10.0).alias("x0"), F.lit(290.0).alias("x1"), F.lit(15.0).alias("y0"), F.lit(33.0).alias("y1"))
+    rects = b.select("doc").distinct().select("doc", F.lit(1).alias("page"), F.lit(10.0).alias("x0"), F.lit(290.0).alias("x1"), F.lit(5.0).alias("y0"), F.lit(33.0).alias("y1"))
     return SEL.selected(rects, b, F.lit("the")).select(F.split("id", "_")[0].cast("long").alias("doc"), F.split("id", "_")[1].cast("int").alias("pos"))
 
 
@@ -337,6 +337,65 @@ def _(spark, d):
     return b.select("item_id", "x.text", F.transform("x.runs", lambda r: F.concat(r.start.cast("string"), F.lit("-"), r.stop.cast("string"))).alias("runs"))
 
 
+@query("a06_archives", "select 'n' || n_regionkey || '.zip' name, 'a/' || min(n_nationkey) || '.json' member, '{\"n\": ' || min(n_nationkey) || '}' as value from nation where n_nationkey < 10 group by n_regionkey")
+def _(spark, d):
+    import io
+    import zipfile
+
+    path = f"{shared.folder(spark)}/archives-{shared.uuid.uuid4().hex}"
+    # ten nations of five regions: small files as a parser's service would send them
+    rows = sorted(tuple(r) for r in table(spark, d, "nation").where("n_nationkey < 10").select("n_regionkey", "n_nationkey").collect())
+    for region in sorted({r for r, _ in rows}):
+        z = io.BytesIO()
+        with zipfile.ZipFile(z, "w") as f:
+            f.writestr("../a/evil.json", "{}")
+            f.writestr("/abs.json", "{}")
+            f.writestr("image.png", "x")
+            for r, n in rows:
+                if r == region:
+                    f.writestr(f"a/{n}.json", f'{{"n": {n}}}')
+        shared.write_file(spark, f"{path}/n{region}.zip", z.getvalue())
+    shared.write_file(spark, f"{path}/broken.zip", b"no archive")
+    return R.read_archives(spark, path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "member", "value")
+
+
+def _records(spark, d, value, good, schema: str):
+    """Texts that stand for stored JSON records, some of them cut short, as read again."""
+    path = f"{shared.folder(spark)}/records-{shared.uuid.uuid4().hex}"
+    table(spark, d, "part").select(F.when(good, value).otherwise(F.substring(value, F.lit(1), F.length(value) - 2)).alias("value")).write.text(path)
+    return R.read_records(spark, path, schema)
+
+
+@query("a28_stored_analysis", "select p_partkey doc, [p_brand, p_type] terms from part where p_partkey % 4 <> 1")
+def _(spark, d):
+    v = F.to_json(F.struct(F.col("p_partkey").alias("doc"), F.array("p_brand", "p_type").alias("terms")))
+    return _records(spark, d, v, F.col("p_partkey") % 4 != 1, "doc long, terms array<string>")
+
+
+@query("a31_cached_result", "select p_partkey \"key\", p_name title from part where p_partkey % 3 <> 2 and p_size > 10")
+def _(spark, d):
+    v = F.to_json(F.struct(F.col("p_partkey").alias("key"), F.struct(F.col("p_name").alias("title"), F.col("p_size").alias("size")).alias("work")))
+    return _records(spark, d, v, F.col("p_partkey") % 3 != 2, "key long, work struct<title:string,size:int>").where("work.size > 10").select("key", "work.title")
+
+
+@query("a30_partial_map", "select conv_id, case when conv_id % 2 = 0 then count(*) else count(*) filter (turn < 2) end n from conversations group by 1")
+def _(spark, d):
+    # work in progress, then whole for some of the documents
+    path = f"{shared.folder(spark)}/partial-{shared.uuid.uuid4().hex}"
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.md5("text").alias("translated"), (F.col("conv_id") % 16).alias("part"))
+    R.write_keyed(c.where("turn < 2"), path, "part")
+    R.write_keyed(c.where("conv_id % 2 = 0"), path, "part")
+    return spark.read.parquet(path).groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+@query("a21_joined_lines", f"with {LINES}, w as (select doc_id, pos, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') w from para) select doc_id, pos, case when len(w) < 2 or not regexp_matches(w[2], '^\\p{{Ll}}') then array_to_string(list_concat([w[1] || '-'], w[2:]), ' ') else w[1] || case when list_contains({literal(T.COMPOUND_PREFIXES)}, lower(w[1])) then '-' else '' end || array_to_string(w[2:], ' ') end as text from w where len(w) > 0")
+def _(spark, d):
+    # the first word of a line is cut off with a hyphen
+    w = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    p = paragraphs(spark, d).withColumn("w", w).where("size(w) > 0")
+    return p.select("doc_id", "pos", T.join_wrapped_lines(F.filter(F.array(F.concat(F.col("w")[0], F.lit("-")), F.array_join(F.slice("w", 2, 1_000_000), " ")), lambda x: x != "")).alias("text"))
+
+
 # calls
 
 

@@ -50,9 +50,9 @@ def _(spark, d):
     return out.select("conv_id", "turn", F.length("reply").alias("n"))
 
 
-@query("j09_hashed_embedding")
+@query("j09_hashed_embedding", "with w as (select item_id, ('0x' || substr(md5(w), 1, 16))::ubigint h from (select item_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) w from benchmark)), b as (select item_id, (h % 64)::int i, sum(case when h >= 9223372036854775808 then 1.0 else -1.0 end) v from w group by all), n as (select item_id, sqrt(sum(v * v)) n from b group by 1) select item_id, list(round(coalesce(v / n, 0), 5) order by i) embedding from (select item_id, i from (select distinct item_id from w), range(0, 64) r(i)) left join b using (item_id, i) join n using (item_id) group by 1")
 def _(spark, d):
-    return P.embed(table(spark, d, "benchmark").select("item_id", "text")).select("item_id", "embedding")
+    return P.embed(table(spark, d, "benchmark").select("item_id", "text")).select("item_id", F.transform("embedding", lambda x: F.round(x.cast("double"), 5)).alias("embedding"))
 
 
 @query("l_tumbling_windows", "select time_bucket(interval '1 hour', ts) as start, event_type, count(*) n from events group by all")

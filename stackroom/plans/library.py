@@ -193,12 +193,13 @@ def _(spark, d):
     return S.latest(table(spark, d, "part"), ["p_name"], [F.col("p_partkey")]).orderBy("p_partkey").limit(12).select("p_name", F.col("p_partkey").alias("k"))
 
 
-OLD, NEW = [("Gate", "Tor"), ("net", "Netz"), ("loss", "Verlust")], [("gate", "Gatter"), ("net", "Netz"), ("layer", "Schicht")]
-
-
-@query("g01_changed_sources", f"with {values('a', 's, t', OLD)}, {values('b', 's, t', NEW)} select coalesce(a.s, b.s) source from a full join b on lower(a.s) = lower(b.s) where a.t is distinct from b.t")
+@query("g01_changed_sources", "with a as (select p_name s, p_type t from part where p_partkey % 3 <> 0 qualify row_number() over (partition by p_name order by p_partkey) = 1), b as (select upper(p_name) s, p_type t from part where p_partkey % 3 <> 1 and p_size > 4 qualify row_number() over (partition by p_name order by p_partkey) = 1) select coalesce(a.s, b.s) source from a full join b on lower(a.s) = lower(b.s) where a.t is distinct from b.t")
 def _(spark, d):
-    return L.changed_sources(inline(spark, "source string, target string", OLD), inline(spark, "source string, target string", NEW))
+    p = table(spark, d, "part")
+    first = lambda df: S.latest(df, ["p_name"], [F.col("p_partkey")])
+    old = first(p.where("p_partkey % 3 <> 0")).select(F.col("p_name").alias("source"), F.col("p_type").alias("target"))
+    new = first(p.where("p_partkey % 3 <> 1 and p_size > 4")).select(F.upper("p_name").alias("source"), F.col("p_type").alias("target"))
+    return L.changed_sources(old, new)
 
 
 @query("g02_affected_rows", f"with {LINES} select doc_id, pos from para where regexp_matches(text, '(?i)(^|[^A-Za-z0-9])(tion|ing)(e?s)?($|[^A-Za-z0-9])')")
@@ -211,12 +212,12 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti").distinct()
 
 
-RAW = [(0, " Gate  way ", "Tor"), (1, "gate way", "x"), (2, "", "y"), (3, "n" * 90, "z"), (4, "Net", " Netz "), (5, "loss", "")]
-
-
-@query("g04_clean_terms", f"with {values('r', 'pos, s, t', RAW)}, c as (select pos, trim(regexp_replace(s, '\\s+', ' ', 'g')) source, trim(regexp_replace(t, '\\s+', ' ', 'g')) target from r) select * from c where source <> '' and target <> '' and length(source) <= 80 and length(target) <= 80 qualify row_number() over (partition by lower(source) order by pos) = 1")
+@query("g04_clean_terms", "with r as (select p_partkey pos, case p_partkey % 4 when 0 then '  ' || upper(p_name) || ' ' when 1 then replace(p_name, ' ', '   ') when 2 then p_name || ' ' || p_size else '' end s, case when p_size % 7 = 0 then ' ' when p_size % 7 = 1 then repeat('x', 90) else p_type || '  ' || p_brand end t from part), c as (select pos, trim(regexp_replace(s, '\\s+', ' ', 'g')) source, trim(regexp_replace(t, '\\s+', ' ', 'g')) target from r) select * from (select * from c where source <> '' and target <> '' and length(source) <= 80 and length(target) <= 80 qualify row_number() over (partition by lower(source) order by pos) = 1) order by pos limit 200")
 def _(spark, d):
-    return L.clean_terms(inline(spark, "pos int, source string, target string", RAW))
+    k, n, z = F.col("p_partkey") % 4, F.col("p_name"), F.col("p_size") % 7
+    s = F.when(k == 0, F.concat(F.lit("  "), F.upper(n), F.lit(" "))).when(k == 1, F.replace(n, F.lit(" "), F.lit("   "))).when(k == 2, F.concat(n, F.lit(" "), F.col("p_size").cast("string"))).otherwise("")
+    t = F.when(z == 0, " ").when(z == 1, "x" * 90).otherwise(F.concat("p_type", F.lit("  "), "p_brand"))
+    return L.clean_terms(table(spark, d, "part").select(F.col("p_partkey").alias("pos"), s.alias("source"), t.alias("target")))
 
 
 @query("g06_invalidate", "select doc_id from labels where doc_id in (select doc_id from documents where contains(text, 'license'))")

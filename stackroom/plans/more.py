@@ -39,13 +39,11 @@ def _(spark, d):
     return _blocks(spark, d).where((F.col("layout") == "figure") | ((F.col("layout") == "title") & (F.length("text") > 40))).select("doc", "pos", "layout")
 
 
-BOXES = [(1, 1, "label", 0.0, 0.0, 10.0, 10.0, "axis x"), (1, 1, "fig", 0.0, 4.0, 100.0, 90.0, ""), (1, 1, "prose", 0.0, 50.0, 90.0, 60.0, "A full sentence."), (1, 1, "far", 0.0, 95.0, 10.0, 99.0, "note"), (1, 2, "other", 0.0, 5.0, 9.0, 9.0, "y")]
-
-
-@query("b20_figure_labels", f"with {values('o', 'id', [('label',)])} select id from o")
+@query("b20_figure_labels", f"with {BLOCKS}, g as (select *, pos * 11.0 y0, pos * 11.0 + 10 + length(text) % 9 y1 from bl), t as (select * from g where layout <> 'figure' and length(text) <= 40 and not regexp_matches(text, '[.!?。！？]')), f as (select * from g where layout = 'figure') select distinct t.doc, t.pos from t join f on t.doc = f.doc and t.page = f.page and greatest(0, least(t.y1, f.y1 + 6) - greatest(t.y0, f.y0 - 6)) * 100 >= 0.5 * (t.y1 - t.y0) * 100")
 def _(spark, d):
-    b = inline(spark, "doc int, page int, id string, x0 double, y0 double, x1 double, y1 double, text string", BOXES)
-    return SEL.figure_labels(b.where("id <> 'fig'"), b.where("id = 'fig'")).select("id")
+    g = _blocks(spark, d).select("doc", "page", "pos", "layout", "text", F.lit(0.0).alias("x0"), F.lit(100.0).alias("x1"), (F.col("pos") * 11.0).alias("y0"), (F.col("pos") * 11.0 + 10 + F.length("text") % 9).alias("y1"))
+    figures = g.where("layout = 'figure'").withColumns({"y0": F.col("y0") - 6, "y1": F.col("y1") + 6})
+    return SEL.figure_labels(g.where("layout <> 'figure'"), figures).select("doc", "pos")
 
 
 @query("b24_artifact_identity", "select source, lang, count(*) n from documents where n_chars > 50 group by all having count(*) > 3")
@@ -139,24 +137,29 @@ def _(spark, d):
     return e.groupBy("number").agg(F.min_by("text", F.struct("id", "n")).alias("entry"))
 
 
-@query("h48_split_citations", f"with {values('o', 'id, pieces', [(0, ['see ', '[1]', ' and ', '[7]', '.']), (1, ['none'])])} select id, pieces from o")
+@query("h48_split_citations", "with p as (select p_partkey k, p_name, p_size z from part) select k, case z % 3 when 0 then ['see ', '[' || z || ']', ' ' || p_name] when 1 then ['[' || z || ']', '[7]', ' and ' || p_name || '.'] else [p_name] end pieces from p")
 def _(spark, d):
-    t = inline(spark, "id int, s string", [(0, "see [1] and [7]."), (1, "none")])
-    return t.select("id", F.filter(F.split("s", r"(?<=\])|(?=\[)"), lambda x: x != "").alias("pieces"))
+    z, n = F.col("p_size"), F.col("p_name")
+    mark = F.concat(F.lit("["), z.cast("string"), F.lit("]"))
+    s = F.when(z % 3 == 0, F.concat(F.lit("see "), mark, F.lit(" "), n)).when(z % 3 == 1, F.concat(mark, F.lit("[7] and "), n, F.lit("."))).otherwise(n)
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.filter(F.split(s, r"(?<=\])|(?=\[)"), lambda x: x != "").alias("pieces"))
 
 
-@query("h50_answer_blocks", f"with {values('o', 'id, kinds', [(0, ['heading', 'paragraph', 'list', 'list']), (1, ['paragraph'])])} select id, kinds from o")
+@query("h50_answer_blocks", "select conv_id, turn, case turn % 3 when 0 then ['heading', 'paragraph'] when 1 then ['list', 'list', 'paragraph'] else ['paragraph'] end kinds from conversations")
 def _(spark, d):
-    t = inline(spark, "id int, s string", [(0, "# H\n\ntext\nmore\n\n- a\n- b"), (1, "only")])
-    blocks = F.filter(F.flatten(F.transform(F.split("s", r"\n\s*\n"), lambda b: F.when(b.rlike(r"^\s*[-*] "), F.split(b, "\n")).otherwise(F.array(b)))), lambda b: F.trim(b) != "")
-    return t.select("id", F.transform(blocks, lambda b: F.when(b.rlike("^#{1,6} "), "heading").when(b.rlike(r"^\s*[-*] "), "list").otherwise("paragraph")).alias("kinds"))
+    # the text in one line, so that its own line breaks say nothing
+    t = F.concat(F.lit("x "), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    s = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("## head\n\n"), t)).when(F.col("turn") % 3 == 1, F.concat(F.lit("- a\n* b\n\n\n"), t, F.lit("\nmore"))).otherwise(t)
+    blocks = F.filter(F.flatten(F.transform(F.split(s, r"\n\s*\n"), lambda b: F.when(b.rlike(r"^\s*[-*] "), F.split(b, "\n")).otherwise(F.array(b)))), lambda b: F.trim(b) != "")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.transform(blocks, lambda b: F.when(b.rlike("^#{1,6} "), "heading").when(b.rlike(r"^\s*[-*] "), "list").otherwise("paragraph")).alias("kinds"))
 
 
-@query("h67_validation_message", f"with {values('o', 'id, message', [(0, ''), (1, 'unknown: E9')])} select id, message from o")
+@query("h67_validation_message", "select conv_id, turn, case when turn % 4 = 1 then '' when turn % 4 = 2 then 'unknown: E' || turn else 'unknown: E' || turn || ', E99' end message from conversations where turn > 1")
 def _(spark, d):
-    a = inline(spark, "id int, s string", [(0, "ok [E1]"), (1, "bad [E9] and [E1]")])
-    u = T.unknown_markers(F.col("s"), T.strings(["E1"]))
-    return a.select("id", F.when(F.size(u) > 0, F.concat(F.lit("unknown: "), F.array_join(u, ", "))).otherwise("").alias("message"))
+    c = table(spark, d, "conversations").where("turn > 1")
+    s = F.concat(F.lit("bad [E"), F.when(F.col("turn") % 4 == 1, F.lit("1")).otherwise(F.col("turn").cast("string")), F.lit("] and [E1]"), F.when(F.col("turn") % 4 == 1, F.lit("")).when(F.col("turn") % 4 == 2, F.lit("")).otherwise("[E99]"))
+    u = T.unknown_markers(s, T.strings(["E1"]))
+    return c.select("conv_id", "turn", F.when(F.size(u) > 0, F.concat(F.lit("unknown: "), F.array_join(u, ", "))).otherwise("").alias("message"))
 
 
 @query("h71_typed_failures", f"with {values('o', 'id, kind', [(0, 'ok'), (1, 'no_object'), (2, 'not_json'), (3, 'empty')])} select id, kind from o")
@@ -165,11 +168,15 @@ def _(spark, d):
     return a.select("id", F.when(F.trim("s") == "", "empty").when(~F.col("s").rlike(r"(?s)\{.*\}"), "no_object").when(T.json_object(F.col("s")).isNull(), "not_json").otherwise("ok").alias("kind"))
 
 
-@query("h72_first_answers", f"with {values('o', 'id, latex', [('f1', 'x'), ('f2', 'y')])} select id, latex from o")
+@query("h72_first_answers", "select conv_id, 'f' || turn id, role || ' ' || turn latex from conversations where turn < 4 and role <> 'system'")
 def _(spark, d):
-    j = '{"formulas": [{"id": "f1", "latex": "x"}, {"id": "f1", "latex": "z"}, {"id": "f2", "latex": "y"}, {"id": "zz", "latex": "q"}]}'
-    e = inline(spark, "s string", [(j,)]).select(F.posexplode(F.from_json("s", "formulas array<struct<id:string,latex:string>>")["formulas"]).alias("pos", "e")).select("pos", "e.id", "e.latex")
-    return S.latest(e.where(F.col("id").isin("f1", "f2")), ["id"], [F.col("pos")]).select("id", "latex")
+    # each answer comes twice, the second time another; some aren't asked for
+    c = table(spark, d, "conversations").where("role <> 'system'")
+    one = lambda tail: F.struct(F.concat(F.lit("f"), F.col("turn").cast("string")).alias("id"), F.concat("role", F.lit(tail), F.col("turn").cast("string")).alias("latex"))
+    j = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", one(" ").alias("a"), one(" other ").alias("b")))).alias("x"))
+    s = F.to_json(F.struct(F.concat(F.transform("x", lambda x: x.a), F.transform("x", lambda x: x.b)).alias("formulas")))
+    e = j.select("conv_id", F.posexplode(F.from_json(s, "formulas array<struct<id:string,latex:string>>")["formulas"]).alias("pos", "e")).select("conv_id", "pos", "e.id", "e.latex")
+    return S.latest(e.where(F.col("id").isin("f0", "f1", "f2", "f3")), ["conv_id", "id"], [F.col("pos")]).select("conv_id", "id", "latex")
 
 
 @query("i06_ledger_append", "select event_type operation, count(*) n from events group by 1 union all select 'new', 1")

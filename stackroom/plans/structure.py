@@ -122,7 +122,7 @@ def _(spark, d):
     return S.first_line_boxes(lines, boxes)
 
 
-@query("f05_reading_order")
+@query("f05_reading_order", f"with {BLOCKS} select doc, page, pos, row_number() over (partition by doc, page order by case when n >= 4 then pos % 2 else 0 end, pos // 2, pos % 2)::int rank from (select *, count(*) over (partition by doc, page) n from bl)")
 def _(spark, d):
     b = _blocks(spark, d).withColumn("x0", F.when(F.col("pos") % 2 == 0, 0.0).otherwise(320.0)).withColumn("x1", F.col("x0") + 280).withColumn("y0", F.expr("pos div 2") * 20.0)
     return S.reading_order(b)
