@@ -35,7 +35,7 @@ from .common import lean, load, ship, sliced, small_join, store
 
 WINDOW, FACTOR, EVERY = 2, 31, 3
 #: Words from which on a line is a chunk of its own.
-LONG = 50
+LONG = 25
 CHUNKS = "doc_id long, th long, start int, n int, h long"
 
 
