@@ -5,15 +5,16 @@ as ranks is turned into merges once per worker: every split of a token into two
 that token's rank, which is the order in which a rank table merges. Texts go through the library in
 units that start at a single space or line break between two other characters. The pattern never
 matches across such a place, so a unit has the same ids alone as in its text, and each distinct unit is
-encoded once per worker while it stays in a cache of fixed size. Texts with other white space go to the
-library whole.
+encoded once per worker, over all its tasks, while it stays in a table of fixed size, where whole columns
+are looked up at once. Texts with other white space go to the library whole.
 
 Offsets: the bytes of a token are known from the byte table, so its first and last character follow
 from a running count of the bytes that start characters; a character split over tokens belongs to each
 of them. `decode_span` handles ids cut inside a character.
 
-Defined cases: a null text is empty and has no ids; repeated rows are encoded row by row; an empty table
-gives an empty table; further columns of the input stay, and one with an output's name is replaced.
+Defined cases: a null text is empty and has no ids; repeated rows are encoded row by row; a very long text
+is encoded whole, in one worker's memory; an empty table gives an empty table; further columns of the input
+stay, and one with an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -21,18 +22,19 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, ship, sliced
+from .common import load, ship, sliced, text_buffer, words_of
 
-CACHE_UNITS = 450_000
+CACHE_UNITS = 1_000_000
 #: Units given to the library in one string.
 JOINED = 100
-SPECIAL = "<|"
 
 
 def default_path(name: str) -> str:
@@ -87,40 +89,182 @@ def made(path: str) -> tuple:
     return _made[path]
 
 
+def spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of runs of these lengths, one run after another."""
+    end = np.cumsum(length)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(begin - (end - length), length)
+
+
+def irregular(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Texts with other white space than single spaces and line breaks between two other characters, or with `<|`."""
+    out = np.zeros(len(off) - 1, bool)
+    if not len(buf):
+        return out
+    white = (buf == 32) | (buf == 10)
+    some = off[:-1] < off[1:]
+    out[some] = white[off[:-1][some]] | white[off[1:][some] - 1]
+    after = np.append(buf[1:], np.uint8(0))
+    bad = ((buf < 32) & (buf != 10)) | ((buf == 60) & (after == 124))
+    bad[:-1] |= white[:-1] & white[1:]
+    lead = np.flatnonzero((buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)))
+    if len(lead):
+        x, y, z = (np.append(buf, np.zeros(2, np.uint8))[lead + k] for k in range(3))
+        general = (x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+        bad[lead[general | ((x == 0xC2) & ((y == 0x85) | (y == 0xA0))) | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))]] = True
+    at = np.flatnonzero(bad)
+    out[np.searchsorted(off, at, side="right") - 1] = True
+    return out
+
+
 class UnitEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit integers, by units kept in a bounded cache."""
+    """Ids of whole texts as little-endian unsigned 32-bit integers, by units kept in a bounded table.
+
+    A unit is a word with what stands before it: nothing (at a text's start), a space or a line break. It is known
+    by 64 bits of its hash; the table is open-addressed over arrays, so a whole column is looked up at once.
+    """
+
+    LEADS = ("", " ", "\n")
+    MARKS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 
     def __init__(self, tok, most: int = CACHE_UNITS):
         self.tok, self.most = tok, most
         self.line = self._ids("\n")
-        assert len(self.line) == 4
-        self.first: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, cache: dict[str, bytes], units: list[str], lead: str) -> None:
-        mark = np.frombuffer(self.line, "<u4")[0]
-        groups = [units[i : i + JOINED] for i in range(0, len(units), JOINED)]
-        for some, e in zip(groups, self.tok.encode_batch_fast(["\n".join([lead + u for u in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4")
-            at = np.flatnonzero(ids == mark).tolist()
-            raw = ids.tobytes()
-            cache.update(zip(some, [raw[4 * a : 4 * b] for a, b in zip([0, *[x + 1 for x in at]], [*at, len(ids)], strict=True)], strict=True))
+        assert len(self.line) == 1
+        self._clear(most)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _clear(self, room: int) -> None:
+        bits = max(10, int(2 * room).bit_length())
+        self.room, self.shift, self.n = room, np.uint64(64 - bits), 0
+        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+        self.begin, self.length, self.pool = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(4 * room, "<u4")
+        self.hits = np.zeros(room, np.int32)
+        self.used = 0
+
+    def _forget(self, room: int) -> None:
+        """Empty the table but for the units met again, if these leave half of it free."""
+        kept = np.flatnonzero(self.hits[: self.n] > 1)
+        if 2 * len(kept) > room:
+            kept = kept[:0]
+        key = np.zeros(self.n, np.uint64)
+        some = self.keys != 0
+        key[self.rows[some]] = self.keys[some]
+        length, ids = self.length[kept], self.pool[spread(self.begin[kept], self.length[kept])]
+        self._clear(room)
+        self._put(key[kept], length, ids)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Rows of the keys, -1 where there is none."""
+        out, todo, at = np.full(len(key), -1, np.int64), np.arange(len(key)), (key >> self.shift).astype(np.int64)
+        while len(todo):
+            there = self.keys[at]
+            hit = there == key[todo]
+            out[todo[hit]] = self.rows[at[hit]]
+            on = ~hit & (there != 0)
+            todo, at = todo[on], (at[on] + 1) & (len(self.keys) - 1)
+        return out
+
+    def _learn(self, key: np.ndarray, units: list[str]) -> None:
+        """Put units (without line breaks inside) in the table; their keys are new."""
+        mark = self.line[0]
+        joined = ["\n".join(units[i : i + JOINED]) + "\n" for i in range(0, len(units), JOINED)]
+        some = [e.ids for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(some), "<u4", sum(map(len, some)))
+        at = np.flatnonzero(ids == mark)
+        length = np.diff(at, prepend=-1) - 1
+        self._put(key, length, ids[ids != mark])
+
+    def _put(self, key: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
+        n, end = len(key), np.cumsum(length)
+        self.begin[self.n : self.n + n] = self.used + end - length
+        self.length[self.n : self.n + n] = length
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), "<u4")])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        todo, slot = np.arange(n), (key >> self.shift).astype(np.int64)
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = key[todo[free]]  # of those that want one place, one has it
+            mine = free & (self.keys[slot] == key[todo])
+            self.rows[slot[mine]] = self.n + todo[mine]
+            todo, slot = todo[~mine], (slot[~mine] + 1) & (len(self.keys) - 1)
+        self.n += n
+
+    def _regular(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h, count, a, b = words_of(buf, off, fold=False)
+        before = np.where(buf[a - 1] == 10, 2, 1)
+        # a line break is a token of its own, so its unit is looked up as that of a text's start
+        before[(np.cumsum(count) - count)[count > 0]] = 0
+        key = h ^ self.MARKS[np.minimum(before, 1) * (before == 1)]
+        key[key == 0] = 1
+        row = self._find(key)
+        if (row < 0).any():
+            miss = np.flatnonzero(row < 0)
+            new, first = np.unique(key[miss], return_index=True)
+            if self.n + len(new) > self.room:
+                self._forget(self.most)
+                miss = np.flatnonzero(self._find(key) < 0)
+                new, first = np.unique(key[miss], return_index=True)
+                if self.n + len(new) > self.room:
+                    self._clear(max(self.most, len(key)))
+                    miss = np.arange(len(key))
+                    new, first = np.unique(key, return_index=True)
+            at = miss[first]
+            for lead in (0, 1):
+                some = np.flatnonzero((before[at] == 1) == bool(lead))
+                self._learn(new[some], [self.LEADS[lead] + buf[i:j].tobytes().decode("utf-8", "surrogatepass") for i, j in zip(a[at[some]].tolist(), b[at[some]].tolist(), strict=True)])
+            row = self._find(key)
+        self.hits += np.bincount(row, minlength=self.room).astype(np.int32)
+        length = self.length[row]
+        line = before == 2
+        out = np.empty(int(length.sum() + line.sum()), "<u4")
+        end = np.cumsum(length + line)
+        out[spread(end - length, length)] = self.pool[spread(self.begin[row], length)]
+        out[(end - length - 1)[line]] = self.line[0]
+        return out, np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])]
+
+    def column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and each text's offset there."""
+        buf, off = text_buffer(col)
+        odd = irregular(buf, off)
+        if not odd.any():
+            return self._regular(buf, off)
+        if col.null_count:
+            col = pc.fill_null(col, "")
+        ids, at = self._regular(*text_buffer(col.filter(pa.array(~odd))))
+        parts, k = [], 0
+        for text, o in zip(col.to_pylist(), odd.tolist(), strict=True):
+            if o:
+                parts.append(self._ids(text))
+            else:
+                parts.append(ids[at[k] : at[k + 1]])
+                k += 1
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        # the same words by any white space and by single spaces and line breaks: there is no other white space
-        split = [None if not t or t.split() != t.replace("\n", " ").split(" ") or SPECIAL in t else [x.split(" ") for x in t.split("\n")] for t in texts]
-        for cache, lead, units in ((self.first, "", {x[0] for s in split if s for x in s}), (self.inner, " ", {w for s in split if s for x in s for w in x[1:]})):
-            if len(cache) + len(units) > self.most:
-                cache.clear()
-            self._learn(cache, list(units.difference(cache)), lead)
-        first, inner, line = self.first, self.inner.__getitem__, self.line
-        return [(self._ids(t) if t else b"") if s is None else line.join([b"".join([first[x[0]], *map(inner, x[1:])]) for x in s]) for t, s in zip(texts, split, strict=True)]
+        ids, at = self.column(pa.array(texts, pa.string()))
+        return [ids[i:j].tobytes() for i, j in zip(at.tolist(), at[1:].tolist(), strict=False)]
+
 
+_encoders: dict[str, UnitEncoder] = {}
 
-def char_offsets(text: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def encoder_of(path: str) -> UnitEncoder:
+    """The worker's encoder for a file: what it has learned serves all tasks that the worker runs."""
+    if path not in _encoders:
+        _encoders[path] = UnitEncoder(made(path)[0])
+    return _encoders[path]
+
+
+def binary_column(flat: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Binary values from one array of items and the values' offsets there."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * flat.itemsize).astype("<i8")), pa.py_buffer(np.ascontiguousarray(flat))]).cast(pa.binary())
+
+
+def char_offsets(text: bytes | np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First character and end (exclusive) of each token, from the tokens' byte lengths."""
     starts = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
     char = np.cumsum(starts) - 1  # of each byte
@@ -139,21 +283,23 @@ def _schema(df: DataFrame, columns: dict[str, str]) -> str:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = True, keep_text: bool = True) -> DataFrame:
-    """Add `ids` (binary, little-endian unsigned 32-bit) and, with offsets, `char_starts` and `char_ends`."""
+    """Add `ids` (binary, little-endian unsigned 32-bit) and, with offsets, `char_starts` and `char_ends` of the tokens (binary, the same)."""
     ship(docs.sparkSession)
-    columns = {"ids": "binary"} | ({"char_starts": "array<int>", "char_ends": "array<int>"} if offsets else {})
+    columns = {"ids": "binary"} | ({"char_starts": "binary", "char_ends": "binary"} if offsets else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, table = made(path)
-        enc = UnitEncoder(tok)
+        table, enc = made(path)[1], encoder_of(path)
         lengths = np.array([len(t) for t in table], np.int64)
         for b in sliced(batches, text, 2 << 20):
-            texts = [t or "" for t in b.column(text).to_pylist()]
-            ids = enc.encode(texts)
-            new = {"ids": pa.array(ids, pa.binary())}
+            col = b.column(text)
+            ids, at = enc.column(col)
+            new = {"ids": binary_column(ids, at)}
             if offsets:
-                spans = [char_offsets(t.encode(), lengths[np.frombuffer(i, "<u4")]) for t, i in zip(texts, ids, strict=True)]
-                new |= {n: pa.array([s[k] for s in spans], pa.list_(pa.int32())) for k, n in enumerate(("char_starts", "char_ends"))}
+                # tokens cover the texts' bytes in order, so all texts are one; each counts its characters from its own start
+                buf, off = text_buffer(col)
+                first, end = char_offsets(buf, lengths[ids])
+                before = np.repeat(np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[off[:-1]], np.diff(at))
+                new |= {n: binary_column((x - before).astype("<u4"), at) for n, x in (("char_starts", first), ("char_ends", end))}
             out = with_column(b, new)
             yield out if keep_text else out.drop_columns([text])
 
@@ -166,10 +312,15 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = made(path)[1].__getitem__
+        table = made(path)[1]
+        lengths = np.array([len(t) for t in table], np.int64)
+        begin, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(table), np.uint8)
         for b in sliced(batches, ids, 4 << 20):
-            raw = [b"" if x is None else b"".join(map(table, np.frombuffer(x, "<u4").tolist())) for x in b.column(ids).to_pylist()]
-            yield with_column(b.drop_columns([ids]), {"decoded": pa.array(raw, pa.binary())})
+            buf, off = text_buffer(b.column(ids))
+            x = np.frombuffer(buf.tobytes(), "<u4")
+            ends = np.concatenate([[0], np.cumsum(lengths[x])])
+            raw = pool[spread(begin[x], lengths[x])]
+            yield with_column(b.drop_columns([ids]), {"decoded": binary_column(raw, ends[off // 4])})
 
     return rows.mapInArrow(run, _schema(rows.drop(ids), {"decoded": "binary"}))
 
@@ -194,5 +345,6 @@ def decode_span(ids: list[int], table: list[bytes]) -> tuple[bytes, str, bytes]:
 def op4_byte_bpe(spark: SparkSession, sf_dir: str, path_of: Callable[[str], str] = default_path) -> DataFrame:
     path = path_of("byte_bpe_multi_50k.tiktoken")
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    e = encode(docs, path, offsets=False, keep_text=False).withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")).withColumn("ids_sha256", F.sha2("ids", 256))
-    return decode(e, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    spans = F.sha2(F.concat("char_starts", "char_ends"), 256)
+    e = encode(docs, path, keep_text=False).select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), spans.alias("offsets_sha256"))
+    return decode(e, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "offsets_sha256")
