@@ -1,25 +1,32 @@
 """Operator 7, HTML extraction: two-pass block rules over the blocks of a page.
 
-Markup is cut into blocks (runs of inline content between block-level tags). Blocks in containers that
-say what they are (navigation, page header and footer, sidebar, form, comments, adverts, notices, hidden
-parts) are boilerplate at once. First pass: stop-word density, length and link density decide each other
-block as good or bad, or leave it open. Second pass: open short blocks take the label of the nearest
-decided neighbours. If the page marks its main region (article, main, role=main), only that region counts
-there, and an open block is dropped only between two bad ones, so short paragraphs and headings stay.
+Markup is cut into blocks (runs of inline content between block-level tags) in one walk over the page, in time
+proportional to its length. Blocks in containers that say by their tag or role what they are (navigation, page
+header and footer, sidebar, form, hidden parts) are boilerplate at once. A class or id says so only if one of
+its names is made of such words (CUES) and of words without meaning of their own (PLAIN): "cookie-banner" does,
+"notice-board" and "related-work" don't; and a container that is named for the page's layout but holds most of
+its dense text is left to the passes. First pass: stop-word density, length and link density decide each block
+as good or bad, or leave it open. Where no language of STOP_WORDS is the page's, or a block's script has no
+such words, length, sentence ends and link density decide alone. Second pass: open short blocks take the label
+of the nearest decided neighbours. If the page marks its main region (article, main, role=main), only that
+region counts there, and an open block is dropped only between two bad ones, so short paragraphs and headings
+stay.
 
 Text: character references decoded, white space inside a block made one space, trimmed, blocks joined in
 page order by one line break.
 
 Defined cases: a null, empty or markup-only page has an empty text; unclosed and stray tags are closed or
-ignored as a browser would, and an article inside an unclosed menu or advert starts afresh; repeated rows
-are extracted row by row; an empty table gives an empty table; further columns stay, and one with an
-output's name is replaced.
+ignored as a browser would, and an article inside an unclosed menu or advert starts afresh; a quote that is
+never closed ends with its tag; an open block as near to a good as to a bad one is good on marked pages and
+takes the later one's label on others; repeated rows are extracted row by row; a very long page is walked
+whole; an empty table gives an empty table; further columns stay, and one with an output's name is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,19 +35,32 @@ from pyspark.sql import types as T
 
 from .common import load, ship
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+OPENED = re.compile(r"</?[a-zA-Z][^\s/>]*")
+#: One attribute, with the white space and slashes before it; a quote opens a value only behind "=".
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*|=[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|((?!["'])[^\s>]*)|(["'])([^\s>]*)))?""")
+TAIL = re.compile(r"[\s/]*>")
+#: A whole tag whose quotes are where they should be, which most are; nothing here is tried twice.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'<>=]++|=\s*+(?:"[^"<]*+"|'[^'<]*+')?+)*+)>""")
+#: Attributes that matter.
+TELLING = re.compile("class|id|role|hidden|style", re.I)
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template", "xmp", "noembed", "noframes"}
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 DROPPED = set("nav footer aside form head svg button select option dialog canvas object audio video map menu fieldset".split())
 MAIN = {"article", "main"}
-#: Words in class, id or role that say what a container is.
-CUES = set(
-    "nav navbar navigation menu menubar submenu sidebar aside footer foot header masthead topbar breadcrumb breadcrumbs cookie cookies consent gdpr notice notices notification alert banner ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion promoted comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations newsletter subscribe subscription signup login popup modal overlay dialog pagination pager toolbar search complementary contentinfo skip".split()
-)
+BARRIERS = {"ul", "ol", "dl", "table", "div", "section", "article"}
+SELF_ENDING = {"p", "li", "dt", "dd", "tr", "option"}
+#: Roles that say what a container is.
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
+#: Words in a class or id that say what a container is: by its place on the page, and by what it holds.
+LAYOUT = set("nav navbar navigation menu menubar submenu sidebar aside footer foot header masthead topbar breadcrumb breadcrumbs pagination pager toolbar search modal overlay dialog popup skip login signup".split())
+HELD = set("cookie cookies consent gdpr notice notices notification alert banner ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion promoted comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations newsletter subscribe subscription teaser".split())
+CUES = LAYOUT | HELD
+#: Words that go with them and say nothing themselves.
+PLAIN = set("site page main top bottom left right upper lower global local primary secondary first last list lists box boxes area section sections wrapper wrap container holder block blocks content contents widget widgets inner outer bar bars item items link links button buttons module panel slot unit form forms row col column group groups post posts article articles blog thread threads level text title message messages icon icons fixed sticky mobile desktop js the user reader readers and or of in on entry more bottombar media posts story stories web default small large wide inline new".split())
 #: On the main region itself and inside it, a header is the article's own.
-COMMENT_CUES = set("comment comments commentlist reply replies respond discussion disqus ad ads advert advertisement sponsored promo related recommended teaser".split())
+OWN_HEADER = {"header"}
 #: Frequent words of the languages of the tables; fixed values.
 STOP_WORDS = {
     "en": "the of and to in a is that for it was on with as by be at are from this or an which not have but his they he she we you had has their were been".split(),
@@ -48,42 +68,86 @@ STOP_WORDS = {
     "fr": "de la le et les des en un une du que qui dans est pour par sur au pas plus ce il avec ne se sont aux ou son mais".split(),
     "es": "de la que el en y a los del se las por un para con no una su al lo como más o pero sus le ha este es".split(),
 }
-STOP = frozenset(w for ws in STOP_WORDS.values() for w in ws)
+STOP = {k: frozenset(v) for k, v in STOP_WORDS.items()}
+ANY_STOP = frozenset().union(*STOP.values())
 WORD = re.compile(r"[^\W\d_]+")
+WIDE = re.compile(r"[\u1100-\u11FF\u2E80-\u9FFF\uAC00-\uD7AF\uF900-\uFAFF\U00020000-\U0003FFFF]")
+SENTENCE = re.compile(r"[.!?\u2026\u3002\uFF01\uFF1F\u061F\u06D4\u0964][\"'\u201D\u2019\u00BB)\]\u300D\u300F]*$")
 GOOD, BAD, OPEN = 1, -1, 0
 SHORT, LONG, LINKS, DENSE = 70, 200, 0.5, 0.15
+#: Least share of a language's stop words for a page to be in it, and least share of the page's dense text that frees a layout container.
+KNOWN, MOST = 0.2, 0.5
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
-    __slots__ = ("parts", "links", "main", "dropped", "text")
+    __slots__ = ("parts", "links", "main", "dropped", "cue", "text", "words", "label")
 
-    def __init__(self, main: bool, dropped: bool):
+    def __init__(self, main: bool, dropped: bool, cue: int):
         self.parts: list[str] = []
-        self.links, self.main, self.dropped, self.text = 0, main, dropped, ""
+        self.links, self.main, self.dropped, self.cue, self.text, self.words, self.label = 0, main, dropped, cue, "", [], OPEN
 
 
-def _cue(name: str, attributes: str, in_main: bool) -> bool:
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDDEN.search(found.get("style", "")):
-        return True
-    words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", " ".join(found.get(k, "") for k in ("class", "id", "role"))).lower()))
-    if name in MAIN:
-        return bool(words & COMMENT_CUES)
-    return bool((words & CUES) - ({"header"} if in_main else set()))
+def named(value: str) -> set[str]:
+    """The cues among the names of a class or id."""
+    out: set[str] = set()
+    for name in value.split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
+        found = CUES.intersection(words)
+        if found and all(w in CUES or w in PLAIN for w in words):
+            out |= found
+    return out
+
+
+@lru_cache(4096)
+def _told(class_: str, id_: str, role: str, style: str, hidden: bool, aria: str) -> tuple[bool, frozenset[str], frozenset[str]]:
+    """(is it hidden, cues of its names, roles)."""
+    return hidden or aria.lower() == "true" or HIDDEN.search(style) is not None, frozenset(named(f"{class_} {id_}")), frozenset(role.lower().split())
+
+
+NOTHING = (False, frozenset(), frozenset())
+
+
+def _says(found: dict[str, str]) -> tuple[bool, frozenset[str], frozenset[str]]:
+    get = found.get
+    return _told(get("class", ""), get("id", ""), get("role", ""), get("style", ""), "hidden" in found, get("aria-hidden", ""))
+
+
+def _attributes(page: str, at: int, last_quote: int) -> tuple[dict[str, str], int]:
+    """A tag's attributes from behind its name, and where the tag ends."""
+    found: dict[str, str] = {}
+    while True:
+        end = TAIL.match(page, at)
+        if end:
+            return found, end.end()
+        m = ATTRIBUTE.match(page, at)
+        if m is None or m.end() == at:
+            return found, len(page)
+        if m[5] and m.end() <= last_quote and (close := page.find(m[5], m.start(6))) >= 0:
+            value, at = page[m.start(6) : close], close + 1
+        else:
+            value, at = next((x for x in (m[2], m[3], m[4], m[6]) if x is not None), ""), m.end()
+        found.setdefault(m[1].lower(), value)
 
 
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, dropped, main, link; each includes what stands above
+    # open elements: name, dropped, main, link, place of the first dropped one, cue container; each includes what stands above
+    stack: list[tuple[str, bool, bool, bool, int, int]] = []
+    open_at: dict[str, list[int]] = {}  # places of open elements by name
+    block_at: list[int] = []
+    barrier_at: list[int] = []
     dropped = main = link = False
-    now = Block(main, dropped)
+    first_dropped, cue, cues = -1, 0, 0
+    soft: dict[int, bool] = {0: False}  # cue container -> its words are of layout alone
+    now = Block(main, dropped, cue)
+    last_end, last_quote = page.rfind(">"), max(page.rfind('"'), page.rfind("'"))
 
     def flush() -> None:
         nonlocal now
         if now.parts:
             out.append(now)
-        now = Block(main, dropped)
+        now = Block(main, dropped, cue)
 
     def say(text: str) -> None:
         if text:
@@ -92,29 +156,62 @@ def blocks_of(page: str) -> list[Block]:
                 now.links += len(text.strip())
 
     def close(k: int) -> None:
-        nonlocal dropped, main, link
+        nonlocal dropped, main, link, first_dropped, cue
+        for x in reversed(stack[k:]):
+            open_at[x[0]].pop()
+        while block_at and block_at[-1] >= k:
+            block_at.pop()
+        while barrier_at and barrier_at[-1] >= k:
+            barrier_at.pop()
         del stack[k:]
-        _, dropped, main, link = stack[-1] if stack else ("", False, False, False)
+        _, dropped, main, link, first_dropped, cue = stack[-1] if stack else ("", False, False, False, -1, 0)
 
     at = 0
-    while (m := TAG.search(page, at)) is not None:
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+    while at < len(page):
+        k = page.find("<", at)
+        if k < 0 or k > last_end:  # no tag can end any more
+            break
+        nxt = page[k + 1 : k + 2]
+        if nxt in ("!", "?"):
+            say(page[at:k])
+            if page.startswith("<!--", k):
+                end = page.find("-->", k + 2)
+                at = end + 3 if end >= 0 else len(page)
+            elif page.startswith("<![CDATA[", k):
+                end = page.find("]]>", k)
+                at = end + 3 if end >= 0 else len(page)
+            else:
+                at = page.find(">", k) + 1
             continue
-        name = m[3].lower()
-        if m[2]:  # end tag
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name in BLOCK or (k is not None and any(x[0] in BLOCK for x in stack[k:])):
+        m = TAG.match(page, k)
+        said = NOTHING
+        if m is not None:
+            say(page[at:k])
+            name, at = m[2].lower(), m.end()
+            if m[3] and TELLING.search(m[3]):
+                said = _says(_attributes(page, m.start(3), last_quote)[0])
+        else:
+            m = OPENED.match(page, k)
+            if m is None:
+                say(page[at : k + 1])
+                at = k + 1
+                continue
+            say(page[at:k])
+            name = m[0].lstrip("</").lower()
+            attributes, at = _attributes(page, m.end(), last_quote)
+            said = _says(attributes)
+        if nxt == "/":
+            places = open_at.get(name)
+            k = places[-1] if places else None
+            if name in BLOCK or (k is not None and block_at and block_at[-1] >= k):
                 flush()
-            if k is not None and (name in BLOCK or not any(x[0] in BLOCK for x in stack[k + 1 :])):
+            if k is not None and (name in BLOCK or not (block_at and block_at[-1] > k)):
                 close(k)
                 if name in BLOCK:
-                    now = Block(main, dropped)
+                    now = Block(main, dropped, cue)
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            end = RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
             continue
         if name in VOID:
@@ -125,49 +222,96 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             flush()
-            if name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "option") or name in BLOCK:
-                # a paragraph ends at any block; list items and rows end at the next of their kind
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in ("p", name) and stack[i][0] in ("p", "li", "dt", "dd", "tr", "option")), None)
-                if k is not None and not any(x[0] in ("ul", "ol", "dl", "table", "div", "section", "article") for x in stack[k + 1 :]):
-                    close(k)
-            if name in MAIN and dropped and not main:
+            # a paragraph ends at any block; list items and rows end at the next of their kind
+            k = max((open_at[x][-1] for x in {"p", name} & SELF_ENDING if open_at.get(x)), default=None)
+            if k is not None and not (barrier_at and barrier_at[-1] > k):
+                close(k)
+            if name in MAIN and dropped and not main and stack[first_dropped][0] not in ("form", "head", "dialog"):
                 # an article doesn't belong to a menu or advert that was never closed
-                k = next(i for i, x in enumerate(stack) if x[1])
-                if stack[k][0] not in ("form", "head", "dialog"):
-                    close(k)
+                close(first_dropped)
         elif name in ("td", "th"):
             say(" ")
-        own = _cue(name, m[4], main) if m[4] else False
-        drop = dropped or own or name in DROPPED or (name == "header" and not main)
-        is_main = main or ((name in MAIN or re.search(r"role\s*=\s*[\"']?main\b", m[4] or "") is not None) and not drop)
-        if m[4].endswith("/") and name not in BLOCK:
+        hidden, words, role = said
+        whole = name in ("html", "body")
+        own = frozenset() if whole or not words else words - LAYOUT if name in MAIN else words - OWN_HEADER if main else words
+        drop = dropped or hidden or name in DROPPED or (name == "header" and not main) or (not whole and not ROLES.isdisjoint(role))
+        in_cue = cue
+        if own and not drop and (not cue or soft[cue]):
+            cues += 1
+            in_cue = cues
+            soft[cues] = own <= LAYOUT
+        is_main = main or ((name in MAIN or "main" in role) and not drop and not (in_cue and not soft[in_cue]))
+        if name not in BLOCK and page[at - 2 : at] == "/>":
             continue
-        stack.append((name, drop, is_main, link or name == "a"))
-        _, dropped, main, link = stack[-1]
+        if is_main and not main and in_cue and soft[in_cue]:
+            in_cue = 0  # the main region inside a layout container is the page's own word against it
+        place = len(stack)
+        stack.append((name, drop, is_main, link or name == "a", first_dropped if dropped else place if drop else -1, in_cue))
+        open_at.setdefault(name, []).append(place)
+        if name in BLOCK:
+            block_at.append(place)
+        if name in BARRIERS:
+            barrier_at.append(place)
+        _, dropped, main, link, first_dropped, cue = stack[-1]
         if name in BLOCK:
-            now = Block(main, dropped)
+            now = Block(main, dropped, cue)
         elif not now.parts:
-            now.dropped, now.main = dropped, main
-        elif dropped != now.dropped:
+            now.dropped, now.main, now.cue = dropped, main, cue
+        elif dropped != now.dropped or cue != now.cue:
             flush()
     say(page[at:])
     flush()
     for b in out:
         text = "".join(b.parts)
         b.text = " ".join((html.unescape(text) if "&" in text else text).split())
-    return [b for b in out if b.text]
+    out = [b for b in out if b.text and not b.dropped]
+    if any(b.main for b in out):
+        out = [b for b in out if b.main]
+    for b in out:
+        b.words = WORD.findall(b.text.lower())
+    language = language_of(out)
+    for b in out:
+        b.label = _first_pass(b, language)
+    return _without_cues(out, soft)
+
+
+def _without_cues(blocks: list[Block], soft: dict[int, bool]) -> list[Block]:
+    """Drop what cue containers hold, but for layout containers with most of the page's dense text."""
+    dense: dict[int, int] = {}
+    for b in blocks:
+        if b.label == GOOD:
+            dense[b.cue] = dense.get(b.cue, 0) + len(b.text)
+    total = sum(n for k, n in dense.items() if not k or soft[k])
+    return [b for b in blocks if not b.cue or (soft[b.cue] and dense.get(b.cue, 0) > MOST * total)]
+
+
+def language_of(blocks: list[Block]) -> str | None:
+    """The language of STOP_WORDS that the page's text outside of links is in, if any."""
+    n, hits = 0, dict.fromkeys(STOP, 0)
+    for b in blocks:
+        if len(b.text) >= SHORT and 2 * b.links <= len(b.text):
+            n += len(b.words)
+            for k, some in STOP.items():
+                hits[k] += sum(map(some.__contains__, b.words))
+    best = max(hits, key=hits.get)
+    return best if n and hits[best] >= KNOWN * n else None
 
 
-def _first_pass(b: Block) -> int:
+def _first_pass(b: Block, language: str | None) -> int:
     n = len(b.text)
     density = b.links / n
     if density > LINKS:
         return BAD
-    words = WORD.findall(b.text.lower())
-    stop = sum(w in STOP for w in words) / len(words) if words else 0.0
+    wide = len(WIDE.findall(b.text)) if not b.text.isascii() else 0
+    n += 2 * wide  # an ideograph stands for about a word
     if n < SHORT:
         return BAD if density > 0.2 and not b.main else OPEN
-    if stop >= DENSE:
+    foreign = not b.text.isascii() and 2 * len(b.text.encode("latin-1", "ignore")) < len(b.text)
+    if language is None or not b.words or foreign:
+        if SENTENCE.search(b.text) or (n >= LONG and density <= 0.2):
+            return GOOD
+        return OPEN if b.main or n < LONG else BAD
+    if sum(map(ANY_STOP.__contains__, b.words)) >= DENSE * len(b.words):
         return GOOD
     return GOOD if b.main and n >= LONG else OPEN if b.main or n < LONG else BAD
 
@@ -175,10 +319,9 @@ def _first_pass(b: Block) -> int:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    blocks = [b for b in blocks_of(page) if not b.dropped]
+    blocks = blocks_of(page)
     marked = any(b.main for b in blocks)
-    blocks = [b for b in blocks if b.main or not marked]
-    label = [_first_pass(b) for b in blocks]
+    label = [b.label for b in blocks]
     decided = [i for i, x in enumerate(label) if x != OPEN]
     out, k = [], 0
     for i, b in enumerate(blocks):
