@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from stackroom.llm import ann, bpe, chat, common, htmltext, jaccard, linededup, lm, packing, quality
+from stackroom.llm import ann, bpe, chat, common, htmltext, jaccard, licenses, linededup, lm, packing, quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,6 +22,38 @@ def words(rng, n, k=400):
     return [f"v{rng.randrange(k)}" for _ in range(n)]
 
 
+# 1: license scans
+
+
+@pytest.mark.parametrize(
+    ("notice", "labels"),
+    [
+        ("Licensed under CC BY 4.0.", {"cc-by-4.0"}),
+        ("Licensed under CC BY-NC 4.0.", {"cc-by-nc-4.0"}),
+        ("licensed under CC-BY-SA-4.0", {"cc-by-sa-4.0"}),
+        ("Licensed under CC BY-ND 4.0.", {"cc-by-nd-4.0"}),
+        ("Licensed under CC BY-NC-SA 4.0.", {"cc-by-nc-sa-4.0"}),
+        ("Licensed under CC BY-NC-ND 4.0.", {"cc-by-nc-nd-4.0"}),
+        ("Licensed under CC BY-NC 4.0. And this is licensed under CC BY-SA 4.0.", {"cc-by-nc-4.0", "cc-by-sa-4.0"}),
+        ("This work is licensed under the GNU General Public License version 2.", {"gpl-2.0"}),
+        ("This work is licensed under the GNU General Public License, version 3.", {"gpl-3.0"}),
+        ("Licensed under the Apache License, Version 2.0", {"apache-2.0"}),
+        ("Released under the MIT license. All rights reserved.", {"mit"}),
+        ("This is free and unencumbered software released into the public domain", {"unlicense"}),
+    ],
+)
+def test_rival_licenses(spark, notice, labels):
+    row = licenses.scan(spark.createDataFrame([(1, f"some words before it. {notice} and some behind"), (2, notice + " x" * 300 + " " + notice)], "doc_id long, text string")).collect()
+    assert [{m["label"] for m in r["matches"]} for r in row] == [labels] * 2
+
+
+@pytest.mark.parametrize("stem", ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {} of the license or at your option any later version"])
+def test_rival_versions(spark, stem):
+    for v in "23":
+        (row,) = licenses.scan(spark.createDataFrame([(1, stem.format(v))], "doc_id long, text string")).collect()
+        assert {m["label"] for m in row["matches"]} == {f"gpl-{v}.0-or-later"}
+
+
 # 2: n-gram Jaccard join
 
 
@@ -160,9 +193,22 @@ def test_bpe_is_that_of_tiktoken(both, duck):
     rng = random.Random(3)
     texts = [r[0] for r in duck.sql("select text from documents").fetchall()]
     texts += ["".join(rng.choice("ab eE1.,'  \n\n\t éñ漢字😀̀<|>\xa0　x\r") for _ in range(rng.randrange(60))) for _ in range(3000)]
-    for t, ids in zip(texts, unit.encode(texts), strict=True):
-        ids = np.frombuffer(ids, "<u4").tolist()
-        assert ids == enc.encode_ordinary(t) and b"".join(table[i] for i in ids) == t.encode()
+    for i in range(0, len(texts), 50):  # a table of 1000 units forgets again and again
+        for t, ids in zip(texts[i : i + 50], unit.encode(texts[i : i + 50]), strict=True):
+            ids = np.frombuffer(ids, "<u4").tolist()
+            assert ids == enc.encode_ordinary(t) and b"".join(table[i] for i in ids) == t.encode()
+
+
+def test_offsets_and_decoding_of_columns(spark, both):
+    _, _, table = both
+    path, texts = bpe.default_path("byte_bpe_multi_50k.tiktoken"), ["naïve 漢字 😀 end", None, "", "two  spaces\tand\u00a0more", "a\nb 漢", "<|endoftext|> é"]
+    e = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1), path)
+    for r in e.collect():
+        t = texts[r["doc_id"]] or ""
+        ids, a, b = (np.frombuffer(r[c], "<u4").tolist() for c in ("ids", "char_starts", "char_ends"))
+        want = bpe.char_offsets(t.encode(), np.array([len(table[i]) for i in ids], np.int64))
+        assert a == want[0].tolist() and b == want[1].tolist() and (not t or b[-1] == len(t))
+    assert {r["doc_id"]: bytes(r["decoded"]) for r in bpe.decode(e.drop("char_starts", "char_ends"), path).collect()} == {i: (t or "").encode() for i, t in enumerate(texts)}
 
 
 def test_bpe_offsets_and_split_characters(both):
@@ -301,6 +347,70 @@ def test_html_articles_of_the_tables(duck):
         assert htmltext.main_text(h) == "\n".join(b for b in want if b)
 
 
+ZH = "深度残差学习框架使得训练非常深的神经网络变得更加容易，我们提供了全面的实证证据表明这些残差网络更容易优化，并且可以从显著增加的深度中获得精度。" * 3
+RU = "Это первый абзац рассказа, и в нём много слов, которые встречаются часто и повсюду, потому что он написан обычным языком без всяких затей. " * 3
+IT = "Questo è il primo paragrafo della storia e contiene molte parole che sono comuni nella lingua italiana perché è stato scritto senza pretese. " * 3
+
+
+@pytest.mark.parametrize("text", [ZH, RU, IT])
+def test_html_pages_in_languages_without_stop_words(text):
+    text = text.strip()
+    page = f"<body><div class=menu><a href=1>A</a> <a href=2>B</a></div><div><p>{text}</p><p>{text}</p></div><ul><li><a href=3>{text}</a></ul><div class='page-footer'>x y z</div></body>"
+    assert htmltext.main_text(page) == f"{text}\n{text}"
+
+
+PARA = "This is the first paragraph of the story and it has a lot of words in it that are of the kind that is common."
+
+
+def test_html_names_that_only_look_like_cues():
+    article = f'<article><div class="social-history"><p>{PARA}</p></div><div class="notice-board"><p>{PARA}</p></div><h2 id="related-work">Related work</h2><p>{PARA}</p><div class="comment-list"><p>{PARA}</p></div></article>'
+    assert htmltext.main_text(article) == f"{PARA}\n{PARA}\nRelated work\n{PARA}"
+    # a layout container around all of the page, and one with little of it; comments are never freed
+    page = f'<body class="has-sidebar"><div id="page" class="header"><p>{PARA}</p><p>{PARA}</p></div><div class="sidebar"><p>{PARA}</p></div><div id="comments">{f"<p>{PARA}</p>" * 9}</div></body>'
+    assert htmltext.main_text(page) == f"{PARA}\n{PARA}"
+
+
+def test_html_broken_markup_does_not_leak():
+    page = f'<p class="x"">{PARA}</p><p title=\'a > b\' data-x="<i>">{PARA}</p><p><a href="foo>{PARA}</a> {PARA} {PARA}'
+    assert htmltext.main_text(page.replace('"foo>', '"foo">')) == f"{PARA}\n{PARA}\n{PARA} {PARA} {PARA}"
+    assert htmltext.main_text(page) == f"{PARA}\n{PARA}\n{PARA} {PARA} {PARA}"
+    assert htmltext.main_text(f"<p>1 < 2 <3 <!-- x <p>no</p> --> and <![CDATA[none]]>{PARA}") == f"1 < 2 <3 and {PARA}"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "x" + "</div>" * 100_000, '<a href="x' * 20_000, "<p title='" * 20_000, "<!" * 100_000, "<" * 200_000, "<li>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<nav>" * 20_000 + "<article>" * 20_000, "<a " + "x " * 100_000, "<p " + " " * 200_000])
+def test_html_takes_time_in_proportion(page):
+    begun = time.process_time()
+    htmltext.main_text(page)
+    assert time.process_time() - begun < 5
+
+
+def brute_pass_two(labels, marked):
+    """Open blocks by all decided ones: the nearest on either side."""
+    out = []
+    for i, x in enumerate(labels):
+        left = [labels[j] for j in range(i) if labels[j]][-1:]
+        right = [labels[j] for j in range(i + 1, len(labels)) if labels[j]][:1]
+        dl = next((i - j for j in range(i - 1, -1, -1) if labels[j]), 10**9)
+        dr = next((j - i for j in range(i + 1, len(labels)) if labels[j]), 10**9)
+        if x:
+            out.append(x == 1)
+        elif marked:
+            out.append(not (left + right) or len(left + right) < 2 or 1 in left + right)
+        else:
+            out.append(bool(left + right) and (left if dl < dr else right)[0] == 1)
+    return out
+
+
+@given(st.lists(st.sampled_from([1, -1, 0]), max_size=12), st.booleans())
+@settings(max_examples=200, deadline=None)
+def test_html_second_pass_against_brute_force(labels, marked):
+    kinds = {1: f"<p>{PARA}</p>", -1: "<p><a href=x>go to the next page</a></p>", 0: "<p>Short words.</p>"}
+    texts = {1: PARA, -1: "go to the next page", 0: "Short words."}
+    page = "".join(kinds[x] for x in labels)
+    want = "\n".join(texts[x] for x, keep in zip(labels, brute_pass_two(labels, marked), strict=True) if keep)
+    assert htmltext.main_text(f"<main>{page}</main>" if marked else page) == want
+
+
 # 8: packing
 
 
@@ -316,6 +426,41 @@ def test_cuts_are_optimal(steps):
     assert got == cost[int(pos[-1])] and all(b - a <= 12 for a, b in zip([0, *cuts], cuts))
 
 
+class Marked:
+    """Token 5 ends a sentence."""
+
+    def ends(self, ids):
+        return ids == 5
+
+
+@given(st.lists(st.lists(st.integers(1, 9), max_size=40), min_size=1, max_size=30), st.integers(20, 90))
+@settings(max_examples=200, deadline=None)
+def test_blocks_give_the_best_cuts_of_the_stream(docs, block):
+    packer, pieces = packing.Packer(Marked(), 16, block), []
+    docs = [np.array([*d, 0], "<u4") for d in docs]
+    for i, d in enumerate(docs):
+        pieces += packer.add(i, d)
+    pieces += packer.finish()
+    ends = np.cumsum([sum(len(p[2]) // 4 for p in pieces if p[4] == s) for s in range(packer.sequence)])
+    pos, pen = packing.boundaries(np.concatenate(docs), np.cumsum([len(d) for d in docs]), Marked(), 16)
+    at, cost = dict(zip([0, *pos.tolist()], [0, *pen.tolist()])), {0: 0}
+    for p in sorted(at)[1:]:
+        cost[p] = min(cost[q] + 16 - (p - q) + at[p] for q in cost if p - 16 <= q < p)
+    assert sum(16 - (b - a) + at[b] for a, b in zip([0, *ends.tolist()], ends.tolist())) == cost[int(pos[-1])]
+
+
+def test_sentence_ends():
+    tok, table = bpe.made(bpe.default_path("byte_bpe_50k.json"))
+    ids = np.array(tok.encode('It is 3.14, e.g. this at a.b/c. "Yes." (No!) Then\nend', add_special_tokens=False).ids)
+    on, text, cuts = packing.Sentences(table).ends(ids), b"", []
+    for i, x in zip(ids, on, strict=True):
+        text += table[i]
+        if x:
+            cuts.append(text.decode())
+            text = b""
+    assert cuts == ["It is 3.14, e.g. this at a.b/c.", ' "Yes."', " (No!)", " Then\n"] and text == b"end"
+
+
 def check_pieces(pieces, docs):
     tok = bpe.made(bpe.default_path("byte_bpe_50k.json"))[0]
     by, seqs = defaultdict(list), defaultdict(list)
