@@ -7,10 +7,11 @@ of BITS bits per direction; their Hilbert index orders them. All curves are rang
 blocks, and each query meets its own block and those beside it, on every curve; only rows within WINDOW
 ranks of it count. Per block the 10 nearest by exact distance are kept, and the blocks' lists merge.
 
-WINDOW is the share SHARE of the distinct vectors on either side, at least LEAST rows. Vectors without
-structure (as in the test tables: isotropic in 64 dimensions) need a share of all rows for a given recall;
-for clustered vectors a fixed number of rows does (`share=0`). Blocks hold at most BLOCK rows, so no task
-gathers more than a few blocks, whatever the share.
+WINDOW is measured: the exact nearest of SAMPLE queries are found among all vectors, and WINDOW is the least
+that shows the share TARGET of them on some curve, at least LEAST rows. Clustered vectors thus get windows of
+few rows whatever the table's size; vectors without structure (as in the test tables: isotropic in 64
+dimensions) need a share of all rows, and get it. `share` sets a share instead. Blocks hold at most BLOCK rows,
+so no task gathers more than a few blocks, whatever the window.
 
 Equal vectors are one point on the curves and carry their k + 1 smallest ids, which is all that a list of
 the k nearest can show of them; a vector held by a third of all rows is cut to those per task before the
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import load, parts, ship, store
 
 CURVES, DIMS, BITS, SEED = 12, 8, 5, 7
-SHARE, LEAST, BLOCK = 0.055, 250, 4096
+LEAST, BLOCK = 250, 4096
+#: Queries whose exact neighbours set the window, and the share of these to be seen.
+SAMPLE, TARGET = 64, 0.97
 K, EVERY = 10, 100
 
 
@@ -127,7 +130,44 @@ def ranked(points: DataFrame, curves: int, dims: int, bits: int, seed: int) -> D
     return placed.join(offsets, ["curve", "part"]).select("curve", (F.col("at") + F.col("off")).alias("r"), "pid")
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int = K, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, share: float = SHARE, least: int = LEAST, seed: int = SEED) -> DataFrame:
+def exact_nearest(points: DataFrame, some: list[tuple[int, list[float]]], k: int) -> DataFrame:
+    """(qpid, pid): the k nearest points of each of a few (pid, v), but for itself; tasks keep the best they have met."""
+    asked, x = np.array([p for p, _ in some], np.int64), np.array([v for _, v in some], np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(asked)
+        for b in batches:
+            if b.num_rows:
+                y, pid = _matrix(b.column("v")), np.asarray(b.column("pid"))
+                near = (y * y).sum(1) - 2 * (x @ y.T)  # but for a constant of the query
+                for i, d in enumerate(near):
+                    on = np.argpartition(d, min(k, len(d) - 1))[: k + 1]
+                    on = on[pid[on] != asked[i]]
+                    dd, pp = np.concatenate([best[i][0], d[on]]), np.concatenate([best[i][1], pid[on]])
+                    by = np.lexsort((pp, dd))[:k]
+                    best[i] = (dd[by], pp[by])
+        n = [len(p) for _, p in best]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, n)), pa.array(np.concatenate([p for _, p in best])), pa.array(np.concatenate([d for d, _ in best]))], ["qpid", "pid", "d"])
+
+    met = points.select("pid", "v").mapInArrow(run, "qpid long, pid long, d double")
+    return met.withColumn("n", F.row_number().over(Window.partitionBy("qpid").orderBy("d", "pid"))).where(F.col("n") <= k).select("qpid", "pid")
+
+
+def measured_window(points: DataFrame, ranks: DataFrame, asked: DataFrame, k: int, sample: int = SAMPLE, target: float = TARGET) -> int:
+    """The least distance in ranks that shows `target` of the exact neighbours of `sample` of the asked points on some curve."""
+    some = asked.select("pid").distinct().orderBy(F.xxhash64("pid"), "pid").limit(sample)
+    rows = [(r["pid"], r["v"]) for r in points.join(F.broadcast(some), "pid").select("pid", "v").collect()]
+    if not rows:
+        return 0
+    true = store(exact_nearest(points, rows, k), "nearest")  # sample * k rows
+    wanted = F.broadcast(true.select("pid").union(true.select("qpid")).distinct())
+    r = store(ranks.join(wanted, "pid", "left_semi").select("curve", "r", "pid"), "places")
+    j = true.join(r.withColumnRenamed("r", "r2"), "pid").join(r.select("curve", "r", F.col("pid").alias("qpid")), ["curve", "qpid"])
+    far = sorted(x[0] for x in j.groupBy("qpid", "pid").agg(F.min(F.abs(F.col("r") - F.col("r2"))).alias("w")).select("w").collect())
+    return far[min(len(far) - 1, int(np.ceil(target * len(far))))] if far else 0
+
+
+def search(rows: DataFrame, queries: DataFrame, k: int = K, curves: int = CURVES, dims: int = DIMS, bits: int = BITS, share: float | None = None, least: int = LEAST, seed: int = SEED) -> DataFrame:
     """For each (vec_id, embedding) of `queries`, which are among `rows`: query_id, rank, vec_id, score."""
     ship(rows.sparkSession)
     v = usable(rows)
@@ -136,9 +176,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, curves: int = CURVES
     points = points_of(v, k)
     asked = store(usable(queries).where(fits).dropDuplicates(["vec_id", "v"]).alias("q").join(points.alias("p"), F.expr("q.v = p.v")).select(F.col("q.vec_id").alias("query_id"), "p.pid"), "asked")
     n = points.count()
-    w = max(least, int(share * n))
-    block = max(1, min(BLOCK, w))
     r = store(ranked(points, curves, dims, bits, seed), "ranks")
+    w = max(least, measured_window(points, r, asked, k) if share is None else int(share * n))
+    block = max(1, min(BLOCK, w))
     vectors = points.select("pid", "v", F.element_at("ids", 1).alias("least_id")) if n else points.select("pid", "v", F.lit(0).cast("long").alias("least_id"))
     there = r.join(vectors, "pid").select("curve", (F.col("r") / block).cast("long").alias("block"), "r", "pid", "v", "least_id")
     mine = r.join(asked.select("pid").distinct(), "pid", "left_semi").join(vectors, "pid")

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from stackroom.llm import ann, bpe, chat, common, htmltext, jaccard, licenses, linededup, lm, packing, quality
@@ -524,6 +525,29 @@ def test_ann_recall_and_hot_vectors(spark):
     assert [g[1] for g in sorted(got[400])] == [7, *range(300, 309)]
 
 
+@pytest.mark.parametrize("clustered", [True, False])
+def test_ann_window_is_measured(spark, clustered):
+    rng = np.random.default_rng(6)
+    n, dim = 6000, 24
+    x = rng.standard_normal((n // 20, dim)).repeat(20, 0) + 0.05 * rng.standard_normal((n, dim)) if clustered else rng.standard_normal((n, dim))
+    e = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    q = e.where("vec_id % 100 = 0")
+    v = ann.usable(e)
+    points = ann.points_of(v, 10)
+    asked = ann.usable(q).alias("q").join(points.alias("p"), F.expr("q.v = p.v")).select("p.pid")
+    w = ann.measured_window(points, ann.ranked(points, ann.CURVES, ann.DIMS, ann.BITS, ann.SEED), asked, 10)
+    assert (w < 100) == clustered
+    got = defaultdict(set)
+    for r in ann.search(e, q, least=1).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hit = 0
+    for i in range(0, n, 100):
+        d = ((x - x[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(got[i] & set(np.argsort(d)[:10].tolist()))
+    assert hit / (n // 10) >= 0.93
+
+
 # 10 and the pipeline
 
 
