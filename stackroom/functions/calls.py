@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import text as T
 from .providers import Provider, call
 
@@ -66,6 +67,7 @@ OUTCOME = "struct<value:string,failure:string,calls:int>"
 
 def requests(rows: DataFrame, provider: Callable[[str, int], str], allowance: int, budget: int, column: str = "prompt", pause: float = 1.0) -> DataFrame:
     """Adds `outcome`: each prompt's object as text, the kind of failure, and the calls made."""
+    ship(rows.sparkSession)
     kind = pa.struct([("value", pa.string()), ("failure", pa.string()), ("calls", pa.int32())])
 
     def run(prompts: pa.Array, tokens: pa.Array) -> pa.Array:
@@ -80,6 +82,7 @@ def requests(rows: DataFrame, provider: Callable[[str, int], str], allowance: in
 
 def with_ledger(rows: DataFrame, provider: Provider, operation: str, column: str = "text") -> DataFrame:
     """Adds reply, ok and error of each call; a failed call has its error's kind and no reply. See `ledger_rows`."""
+    ship(rows.sparkSession)
     kind = pa.struct([("reply", pa.string()), ("ok", pa.bool_()), ("error", pa.string())])
 
     def run(texts: pa.Array) -> pa.Array:
@@ -105,6 +108,7 @@ def guarded(rows: DataFrame, provider: Provider, column: str = "text", into: str
     """Formulas are hidden behind numbered marks, each reply must hold all marks exactly, one repair is tried, and what fails keeps its source."""
     import re
 
+    ship(rows.sparkSession)
     formula, mark = re.compile(r"\$[^$\n]+\$"), re.compile("⟦m([0-9]+)⟧")
 
     def run(texts: pa.Array) -> pa.Array:
@@ -136,6 +140,8 @@ def guarded(rows: DataFrame, provider: Provider, column: str = "text", into: str
 def chunked(rows: DataFrame, provider: Provider, key: str = "key", column: str = "text", most: int = 8, limit: int = 120) -> DataFrame:
     """(key, relation): rows with a text are asked for in calls of at most `most`; of a reply's items only keys that were asked count, the last of each, of at most `limit` characters."""
 
+    ship(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             items = list(zip(b.column(key).to_pylist(), b.column(column).to_pylist(), strict=True))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..shipping import ship
+
 Provider = Callable[[str], str]
 
 
@@ -24,6 +26,8 @@ def echo(prompt: str) -> str:
 def call(rows: DataFrame, provider: Provider, column: str = "text", into: str = "reply", ok: Callable[[str, str], bool] | None = None) -> DataFrame:
     """Adds the reply to each row; one that fails `ok(text, reply)` is asked for once more, and then the text stays."""
 
+    ship(rows.sparkSession)
+
     def run(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():

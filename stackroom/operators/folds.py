@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
+
 
 def fold(rows: DataFrame, key: str, order: list[str], cols: list[str], start: Callable[[], dict], step: Callable[..., object], name: str, kind: str) -> DataFrame:
     """(key, *order, name): `step(state, *cols)` changes the state and gives the row's value; rows without a value are left out.
@@ -14,6 +16,7 @@ def fold(rows: DataFrame, key: str, order: list[str], cols: list[str], start: Ca
     Rows are dealt by key and sorted, and a worker streams through them with the state of one key, so neither a
     key's rows nor a partition's are ever in memory together.
     """
+    ship(rows.sparkSession)
     schema = rows.select(key, *order).schema
     out = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in schema)}, `{name}` {kind}"
     value = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}[kind]

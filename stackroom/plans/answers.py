@@ -337,6 +337,22 @@ def _(spark, d):
     return b.select("item_id", "x.text", F.transform("x.runs", lambda r: F.concat(r.start.cast("string"), F.lit("-"), r.stop.cast("string"))).alias("runs"))
 
 
+@query("h52_joined_styles", "with p as (select p_partkey k, p_name n, p_size z, length(p_name) l from part) select k, case when z % 3 = 0 then n || ' $x_' || z || '$ is' when z % 3 = 1 then '(' || '$x$' || '), ' || n else n || z end as text, case when z % 3 = 0 then ['0-' || l || ':bold,italic', (l + 5 + length(z::varchar) + 1) || '-' || (l + 5 + length(z::varchar) + 3) || ':code'] when z % 3 = 1 then ['7-' || (7 + l) || ':bold'] else ['0-' || l || ':bold', l || '-' || (l + length(z::varchar)) || ':superscript'] end runs from p")
+def _(spark, d):
+    # a formula between words, one in brackets, and a superscript; a link passes its style on
+    n, z = F.col("p_name"), F.col("p_size").cast("string")
+    q = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+    part = lambda kind, content, styles="[]": F.concat(F.lit(f'{{"type": "{kind}", "content": '), content, F.lit(f', "styles": {styles}}}'))
+    bold = '["bold", "wavy"]'
+    one = [part("hyperlink", F.concat(F.lit("["), part("text", q(n), '["italic"]'), F.lit("]")), bold), part("equation_inline", q(F.concat(F.lit(" x_"), z))), part("code_inline", q(F.lit("is  ")))]
+    two = [part("text", q(F.lit("  ("))), part("equation_inline", q(F.lit("x"))), part("equation_inline", q(F.lit("  "))), part("text", q(F.lit("), "))), part("text", q(F.concat(n, F.lit("\t"))), bold)]
+    three = [part("text", q(n), bold), part("text", q(z), '["superscript"]')]
+    spans = lambda xs: F.concat(F.lit("["), F.concat_ws(", ", *xs), F.lit("]"))
+    s = F.when(F.col("p_size") % 3 == 0, spans(one)).when(F.col("p_size") % 3 == 1, spans(two)).otherwise(spans(three))
+    x = table(spark, d, "part").select(F.col("p_partkey").alias("k"), SP.styled(s).alias("x"))
+    return x.select("k", "x.text", F.transform("x.runs", lambda r: F.concat(r.start.cast("string"), F.lit("-"), r.stop.cast("string"), F.lit(":"), F.array_join(r.styles, ","))).alias("runs"))
+
+
 @query("a06_archives", "select 'n' || n_regionkey || '.zip' name, 'a/' || min(n_nationkey) || '.json' member, '{\"n\": ' || min(n_nationkey) || '}' as value from nation where n_nationkey < 10 group by n_regionkey")
 def _(spark, d):
     import io

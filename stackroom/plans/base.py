@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -25,6 +27,7 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; texts that lie in fewer splits than there are cores are dealt to all of them first."""
+    ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     if name == "documents" and df.rdd.getNumPartitions() * 2 <= cores:
@@ -60,4 +63,5 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
 
 
 def inline(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    ship(spark)
     return spark.createDataFrame(rows, schema)

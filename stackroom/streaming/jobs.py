@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shipping import ship
+
 OBJECTS = "stream_id string, n int, value string"
 STATE = "buffer string, emitted int, due int, early string"
 
@@ -70,6 +72,8 @@ def _advance(buffer: str, due: int, early: dict[int, str]) -> tuple[list[str], s
 def objects(chunks: DataFrame) -> DataFrame:
     """Streaming (stream_id, seq from 0, chunk) -> each object as soon as it is complete; chunks may come in any order and more than once."""
 
+    ship(chunks.sparkSession)
+
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         buffer, n, due, waiting = state.get if state.exists else ("", 0, 0, "{}")
         early = {int(k): v for k, v in json.loads(waiting).items()}
@@ -85,6 +89,8 @@ def objects(chunks: DataFrame) -> DataFrame:
 def objects_batch(chunks: DataFrame) -> DataFrame:
     """The same from a table of chunks."""
 
+    ship(chunks.sparkSession)
+
     def whole(f: pd.DataFrame) -> pd.DataFrame:
         found, _, _ = _advance("", 0, dict(zip(f["seq"].astype(int), f["chunk"], strict=True)))
         return pd.DataFrame([(f["stream_id"].iloc[0], i, v) for i, v in enumerate(found)], columns=["stream_id", "n", "value"])
