@@ -110,11 +110,11 @@ def retrieve(spark, d):
     return S.retrieve(_chunks(spark, d), _variants(spark), QUESTION)
 
 
-@query("c05_neighbours", f"with {CHUNKS}, h as (select * from ch where chunk_id % 97 = 0) select n.chunk_id, h.chunk_id rank, side from h join (values (0, -1), (1, 1)) s(side, o) on true join ch n on n.doc = h.doc and n.pos = h.pos + o and n.section is not distinct from h.section where n.chunk_id % 97 <> 0 qualify row_number() over (partition by n.chunk_id order by h.chunk_id, side) = 1")
+@query("c05_neighbours", f"with {CHUNKS}, h as (select * from ch where chunk_id % 97 = 0) select n.chunk_id doc_id, h.chunk_id rank, side from h join (values (0, -1), (1, 1)) s(side, o) on true join ch n on n.doc = h.doc and n.pos = h.pos + o and n.section is not distinct from h.section where n.chunk_id % 97 <> 0 qualify row_number() over (partition by n.chunk_id order by h.chunk_id, side) = 1")
 def _(spark, d):
     c = _chunks(spark, d)
     hits = c.where("chunk_id % 97 = 0").select("chunk_id", F.col("chunk_id").alias("rank"))
-    return S.neighbours(hits, c)
+    return S.neighbours(hits, c).withColumnRenamed("chunk_id", "doc_id")
 
 
 @query("f02_dense_top20", "select vec_id id, round(list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)), 6) score from embeddings order by list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 7)) desc, vec_id limit 20")

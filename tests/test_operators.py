@@ -70,8 +70,10 @@ def test_as_of_is_strict(spark):
 
 def test_two_columns_are_read_one_after_the_other(spark):
     rows = [(1, 1, 0, "title", 0.0, 600.0, 0.0), (1, 1, 1, "plain text", 310.0, 600.0, 20.0), (1, 1, 2, "plain text", 0.0, 290.0, 20.0), (1, 1, 3, "plain text", 0.0, 290.0, 40.0), (1, 1, 4, "abandon", 0.0, 50.0, -10.0)]
-    b = spark.createDataFrame(rows, "doc int, page int, pos int, layout string, x0 double, x1 double, y0 double")
-    assert [r["pos"] for r in ST.reading_order(b).orderBy("rank").collect()] == [0, 2, 3, 1, 4]
+    order = lambda rows: [r["pos"] for r in ST.reading_order(spark.createDataFrame(rows, "doc int, page int, pos int, layout string, x0 double, x1 double, y0 double")).orderBy("rank").collect()]
+    assert order([*rows, (1, 1, 5, "plain text", 310.0, 600.0, 40.0)]) == [0, 2, 3, 1, 5, 4]
+    # too few blocks for two columns are read by their height
+    assert order(rows) == [0, 2, 1, 3, 4]
 
 
 def test_reattach_ladder(spark):
