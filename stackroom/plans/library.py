@@ -125,11 +125,14 @@ def _(spark, d):
     return table(spark, d, "events").rollup("event_type").agg(F.count("*").alias("n")).select(F.coalesce("event_type", F.lit("all")).alias("kind"), "n")
 
 
-@query("d08_bibliography_entries")
+@query("d08_bibliography_entries", "with e as (select p_partkey id, case p_size % 3 when 0 then ['[1] ' || p_name || '.', '[' || (p_size + 2) || '] ' || p_type || ' cites [1].', '[99] ' || p_brand] when 1 then ['prose [1] ' || p_name || ' [2] x'] else ['[7] only ' || p_name || ' [3] is lower'] end e from part) select id, unnest(range(0, len(e)))::int n, unnest(e) as text from e")
 def _(spark, d):
     from ..operators.references import bibliography_entries
 
-    return bibliography_entries(inline(spark, "id int, text string", [(0, "[1] One. [2] Two cites [1]. [3] Three"), (1, "prose [1] x"), (2, "[7] only")]))
+    z = F.col("p_size")
+    three = F.concat(F.lit("[1] "), "p_name", F.lit(". ["), (z + 2).cast("string"), F.lit("] "), "p_type", F.lit(" cites [1]. [99] "), "p_brand")
+    text = F.when(z % 3 == 0, three).when(z % 3 == 1, F.concat(F.lit("prose [1] "), "p_name", F.lit(" [2] x"))).otherwise(F.concat(F.lit("[7] only "), "p_name", F.lit(" [3] is lower")))
+    return bibliography_entries(table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("text")))
 
 
 @query("d10_keyed_merge", "select event_type, arg_min(value, event_id) first_value, list_sort(list(distinct user_id % 3)) users from events group by 1")
