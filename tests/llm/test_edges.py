@@ -108,3 +108,16 @@ def test_pipeline_stages(spark, edge, none):
             out = stage(spark, d, "unused")
             assert name == corpus_pipeline.STAGES[-1][0] or out.columns == d.columns
             out.count()
+
+
+def test_no_folder_of_our_own_on_a_cluster():
+    from types import SimpleNamespace as N
+
+    from stackroom.llm import common
+
+    session = lambda master, at=None: N(conf=N(get=lambda k, d=None: at), sparkContext=N(master=master, applicationId="app-1", getConf=lambda: N(get=lambda k: None)))
+    for master in ("spark://h:7077", "yarn", "local-cluster[3,2,3000]", "k8s://x"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(session(master))
+        assert common.shared_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y/stackroom-app-1"
+    assert common.shared_dir(session("local[8]")).endswith("/stackroom-app-1")
