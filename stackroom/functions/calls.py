@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import time
+from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,27 @@ PAUSES = (1.0, 2.0)
 GROWN, REPAIRS = 2, 1
 
 
+def _called(provider: Callable[[str, int], str], prompt: str, allowance: int) -> tuple[dict | None, str]:
+    """An object, or the kind of failure."""
+    try:
+        found = json.loads(provider(prompt, allowance))
+    except CallError as e:
+        return None, e.kind
+    except ValueError:
+        return None, "invalid"
+    return (found, "") if isinstance(found, dict) else (None, "invalid")
+
+
+def _another(kind: str, calls: int, failures: Counter, allowance: int, room: int) -> tuple[int, float] | None:
+    """(allowance, pause) of one more call, if this kind of failure is worth it after so many."""
+    if kind == "invalid":
+        return (allowance, 0.0) if failures[kind] <= REPAIRS else None
+    if kind == "truncated":
+        more = min(2 * allowance, room)
+        return (more, 0.0) if failures[kind] <= GROWN and more > allowance else None
+    return (allowance, PAUSES[min(calls, len(PAUSES)) - 1]) if calls < CALLS.get(kind, 0) else None
+
+
 def request_json(provider: Callable[[str, int], str], prompt: str, input_tokens: int, allowance: int, budget: int, pause: Callable[[float], None] = time.sleep) -> tuple[dict | None, str, int]:
     """(object, kind of failure, calls): a JSON object from a provider of (prompt, allowance).
 
@@ -37,29 +60,21 @@ def request_json(provider: Callable[[str, int], str], prompt: str, input_tokens:
     """
     if input_tokens + allowance > budget:
         return None, "budget", 0
-    calls, grown, repairs = 0, GROWN, REPAIRS
-    while True:
-        calls += 1
-        try:
-            found = json.loads(provider(prompt, allowance))
-            if not isinstance(found, dict):
-                raise ValueError("not an object")
-            return found, "", calls
-        except ValueError as e:
-            if not repairs:
-                return None, "invalid", calls
-            repairs -= 1
-            prompt = f"{prompt}\nYour answer was not a JSON object: {e}."
-        except CallError as e:
-            if e.kind == "truncated":
-                more = min(2 * allowance, budget - input_tokens)
-                if not grown or more <= allowance:
-                    return None, e.kind, calls
-                grown, allowance = grown - 1, more
-            elif calls >= CALLS.get(e.kind, 0):
-                return None, e.kind, calls
-            else:
-                pause(PAUSES[min(calls - 1, len(PAUSES) - 1)])
+    asked, failures = prompt, Counter()
+    for calls in count(1):
+        found, kind = _called(provider, asked, allowance)
+        if not kind:
+            break
+        failures[kind] += 1
+        step = _another(kind, calls, failures, allowance, budget - input_tokens)
+        if step is None:
+            break
+        allowance, wait = step
+        if kind == "invalid":
+            asked = f"{prompt}\nYour answer was not a JSON object."
+        if wait:
+            pause(wait)
+    return found, kind, calls
 
 
 OUTCOME = "struct<value:string,failure:string,calls:int>"
