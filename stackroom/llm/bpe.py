@@ -3,10 +3,11 @@
 `encode` gives each row the ids of its whole text; `decode` reverses the byte table. A vocabulary given
 as ranks is turned into merges once per worker: every split of a token into two tokens is a merge of
 that token's rank, which is the order in which a rank table merges. Texts go through the library in
-units that start at a single space or line break between two other characters. The pattern never
-matches across such a place, so a unit has the same ids alone as in its text, and each distinct unit is
-encoded once per worker, over all its tasks, while it stays in a table of fixed size, where whole columns
-are looked up at once. Texts with other white space go to the library whole.
+units, each a word with all the white space before it. The pattern cuts a run of white space as a whole,
+and nothing that comes before the run matters, so a unit has the same ids alone as in its text, and each
+distinct unit is encoded once per worker, over all its tasks, while it stays in a table of fixed size,
+where whole columns are looked up at once. Only texts with `<|`, or with white space other than ASCII's
+beside ASCII white space, go to the library whole.
 
 Offsets: the bytes of a token are known from the byte table, so its first and last character follow
 from a running count of the bytes that start characters; a character split over tokens belongs to each
@@ -27,10 +28,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, ship, sliced, text_buffer, words_of
+from .common import in_word, load, ship, sliced, text_buffer, words_of
 
 CACHE_UNITS = 1_000_000
 #: Units given to the library in one string.
@@ -96,22 +98,27 @@ def spread(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def irregular(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Texts with other white space than single spaces and line breaks between two other characters, or with `<|`."""
+    """Texts that go to the library whole: with `<|`, or with other white space beside ASCII white space.
+
+    A run of white space is cut as a whole, so a unit must hold all of the run it begins with.
+    """
     out = np.zeros(len(off) - 1, bool)
     if not len(buf):
         return out
-    white = (buf == 32) | (buf == 10)
-    some = off[:-1] < off[1:]
-    out[some] = white[off[:-1][some]] | white[off[1:][some] - 1]
     after = np.append(buf[1:], np.uint8(0))
-    bad = ((buf < 32) & (buf != 10)) | ((buf == 60) & (after == 124))
-    bad[:-1] |= white[:-1] & white[1:]
+    bad = (buf == 60) & (after == 124)
+    other = (buf >= 0x1C) & (buf <= 0x1F)
+    starts = np.flatnonzero(other)  # of each character of other white space
+    ends = starts + 1
     lead = np.flatnonzero((buf == 0xC2) | ((buf >= 0xE1) & (buf <= 0xE3)))
     if len(lead):
         x, y, z = (np.append(buf, np.zeros(2, np.uint8))[lead + k] for k in range(3))
+        two = (x == 0xC2) & ((y == 0x85) | (y == 0xA0))
         general = (x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
-        bad[lead[general | ((x == 0xC2) & ((y == 0x85) | (y == 0xA0))) | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))]] = True
-    at = np.flatnonzero(bad)
+        three = general | ((x == 0xE1) & (y == 0x9A) & (z == 0x80)) | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
+        starts, ends = np.concatenate([starts, lead[two | three]]), np.concatenate([ends, lead[two] + 2, lead[three] + 3])
+    starts, ends = starts[starts > 0], ends[ends < len(buf)]
+    at = np.concatenate([np.flatnonzero(bad), starts[~in_word(buf[starts - 1])], ends[~in_word(buf[ends])]])
     out[np.searchsorted(off, at, side="right") - 1] = True
     return out
 
@@ -119,12 +126,12 @@ def irregular(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 class UnitEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers, by units kept in a bounded table.
 
-    A unit is a word with what stands before it: nothing (at a text's start), a space or a line break. It is known
-    by 64 bits of its hash; the table is open-addressed over arrays, so a whole column is looked up at once.
+    A unit is a word with all the white space before it, or the white space at a text's end. It is known by 64 bits
+    of its hash; the table is open-addressed over arrays, so a whole column is looked up at once.
     """
 
-    LEADS = ("", " ", "\n")
-    MARKS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
+    #: Marks of a word behind nothing or a line break (which is a token of its own), and behind a space.
+    MARKS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344], np.uint64)
 
     def __init__(self, tok, most: int = CACHE_UNITS):
         self.tok, self.most = tok, most
@@ -166,15 +173,16 @@ class UnitEncoder:
             todo, at = todo[on], (at[on] + 1) & (len(self.keys) - 1)
         return out
 
-    def _learn(self, key: np.ndarray, units: list[str]) -> None:
-        """Put units (without line breaks inside) in the table; their keys are new."""
-        mark = self.line[0]
-        joined = ["\n".join(units[i : i + JOINED]) + "\n" for i in range(0, len(units), JOINED)]
+    def _learn(self, key: np.ndarray, units: list[str], together: bool) -> None:
+        """Put units in the table; their keys are new. Without line breaks inside many go through the library `together`."""
+        mark, step = self.line[0], JOINED if together else 1
+        joined = ["\n".join(units[i : i + step]) + "\n" * together for i in range(0, len(units), step)]
         some = [e.ids for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(some), "<u4", sum(map(len, some)))
-        at = np.flatnonzero(ids == mark)
-        length = np.diff(at, prepend=-1) - 1
-        self._put(key, length, ids[ids != mark])
+        if together:
+            self._put(key, np.diff(np.flatnonzero(ids == mark), prepend=-1) - 1, ids[ids != mark])
+        else:
+            self._put(key, np.array([len(x) for x in some], np.int64), ids)
 
     def _put(self, key: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
         n, end = len(key), np.cumsum(length)
@@ -193,13 +201,35 @@ class UnitEncoder:
             todo, slot = todo[~mine], (slot[~mine] + 1) & (len(self.keys) - 1)
         self.n += n
 
-    def _regular(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _units(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Keys of all units, where their bytes begin and end, what stands before them (0 nothing, 1 a space, 2 a line break, 3 other white space), and each text's number."""
         h, count, a, b = words_of(buf, off, fold=False)
-        before = np.where(buf[a - 1] == 10, 2, 1)
-        # a line break is a token of its own, so its unit is looked up as that of a text's start
-        before[(np.cumsum(count) - count)[count > 0]] = 0
-        key = h ^ self.MARKS[np.minimum(before, 1) * (before == 1)]
+        last = np.cumsum(count)
+        # the white space of a text's end is a unit without a word
+        behind = off[:-1].copy()
+        behind[count > 0] = b[last[count > 0] - 1]
+        tail = np.flatnonzero(behind < off[1:])
+        if len(tail):
+            h, a, b = np.insert(h, last[tail], np.uint64(0)), np.insert(a, last[tail], off[1:][tail]), np.insert(b, last[tail], off[1:][tail])
+            count = count.copy()
+            count[tail] += 1
+        lo = np.empty(len(a), np.int64)
+        lo[1:] = b[:-1]
+        first = (np.cumsum(count) - count)[count > 0]
+        lo[first] = off[:-1][count > 0]
+        gap = a - lo
+        before = np.where(gap == 0, 0, 3)
+        one = (gap == 1) & (a < b)
+        before[one & (buf[np.minimum(lo, len(buf) - 1)] == 32)] = 1
+        before[one & (buf[np.minimum(lo, len(buf) - 1)] == 10)] = 2
+        key = h ^ self.MARKS[(before == 1).astype(np.int64)]
+        for i in np.flatnonzero(before == 3).tolist():
+            key[i] = h[i] ^ np.uint64(xxhash.xxh3_64_intdigest(buf[lo[i] : a[i]].tobytes(), 1))
         key[key == 0] = 1
+        return key, lo, b, before, count
+
+    def _regular(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key, lo, hi, before, count = self._units(buf, off)
         row = self._find(key)
         if (row < 0).any():
             miss = np.flatnonzero(row < 0)
@@ -213,9 +243,14 @@ class UnitEncoder:
                     miss = np.arange(len(key))
                     new, first = np.unique(key, return_index=True)
             at = miss[first]
-            for lead in (0, 1):
-                some = np.flatnonzero((before[at] == 1) == bool(lead))
-                self._learn(new[some], [self.LEADS[lead] + buf[i:j].tobytes().decode("utf-8", "surrogatepass") for i, j in zip(a[at[some]].tolist(), b[at[some]].tolist(), strict=True)])
+            begin = lo + (before == 2)
+            units = [buf[i:j].tobytes().decode("utf-8", "surrogatepass") for i, j in zip(begin[at].tolist(), hi[at].tolist(), strict=True)]
+            # other white space would run together with the line breaks between units
+            plain = np.array([u.split() == [u.lstrip(" ")] for u in units], bool) & (before[at] != 3)
+            for together in (True, False):
+                some = np.flatnonzero(plain == together)
+                if len(some):
+                    self._learn(new[some], [units[i] for i in some.tolist()], together)
             row = self._find(key)
         self.hits += np.bincount(row, minlength=self.room).astype(np.int32)
         length = self.length[row]

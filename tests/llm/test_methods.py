@@ -200,6 +200,26 @@ def test_bpe_is_that_of_tiktoken(both, duck):
             assert ids == enc.encode_ordinary(t) and b"".join(table[i] for i in ids) == t.encode()
 
 
+def test_units_hold_the_white_space_before_them():
+    """Every mixture of white space gives the ids that the library gives for the whole text; most go by units."""
+    import public_tokenizers
+    import tiktoken
+
+    path = bpe.default_path("byte_bpe_multi_50k.tiktoken")
+    enc, other = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={}), bpe.made(bpe.default_path("byte_bpe_50k.json"))[0]
+    units, more, rng = bpe.UnitEncoder(bpe.made(path)[0], 1500), bpe.UnitEncoder(other, 1500), random.Random(5)
+    alphabet = ["a", "b", " ", "  ", "E1.", ",", "'s", "'", "\n", "\n\n", "\t", "é", "漢字", "😀", "\u0300", "<|", "\xa0", "\u3000", "\u2009", "\x1c", "\x85", "\r\n", "x" * 40, "\x0b", "12", "\u200b"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(25))) for _ in range(6000)]
+    for i in range(0, len(texts), 60):
+        some = texts[i : i + 60]
+        for t, x, y in zip(some, units.encode(some), more.encode(some), strict=True):
+            assert np.frombuffer(x, "<u4").tolist() == enc.encode_ordinary(t)
+            assert np.frombuffer(y, "<u4").tolist() == other.encode(t, add_special_tokens=False).ids
+    plain = ["two  spaces", " at both ends \n", "a\n\n\tb", "no\xa0break"]
+    off = np.cumsum([0, *[len(t.encode()) for t in plain]])
+    assert not bpe.irregular(np.frombuffer("".join(plain).encode(), np.uint8), off).any()
+
+
 def test_offsets_and_decoding_of_columns(spark, both):
     _, _, table = both
     path, texts = bpe.default_path("byte_bpe_multi_50k.tiktoken"), ["naïve 漢字 😀 end", None, "", "two  spaces\tand\u00a0more", "a\nb 漢", "<|endoftext|> é"]
