@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import in_word, load, ship, sliced, text_buffer, words_of
 
-CACHE_UNITS = 1_000_000
-#: Units given to the library in one string.
-JOINED = 100
+CACHE_UNITS = 700_000
+#: Units given to the library in one string, and strings in one call: what it returns is many times their size.
+JOINED, CALL = 100, 100
 
 
 def default_path(name: str) -> str:
@@ -143,10 +143,10 @@ class UnitEncoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _clear(self, room: int) -> None:
-        bits = max(10, int(2 * room).bit_length())
+        bits = max(10, int(room / 0.7).bit_length())  # at most seven tenths full
         self.room, self.shift, self.n = room, np.uint64(64 - bits), 0
-        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
-        self.begin, self.length, self.pool = np.zeros(room, np.int64), np.zeros(room, np.int64), np.zeros(4 * room, "<u4")
+        self.keys, self.rows = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+        self.begin, self.length, self.pool = np.zeros(room, np.int32), np.zeros(room, np.int32), np.zeros(4 * room, "<u4")
         self.hits = np.zeros(room, np.int32)
         self.used = 0
 
@@ -158,7 +158,8 @@ class UnitEncoder:
         key = np.zeros(self.n, np.uint64)
         some = self.keys != 0
         key[self.rows[some]] = self.keys[some]
-        length, ids = self.length[kept], self.pool[spread(self.begin[kept], self.length[kept])]
+        length = self.length[kept].astype(np.int64)
+        ids = self.pool[spread(self.begin[kept], length)]
         self._clear(room)
         self._put(key[kept], length, ids)
 
@@ -175,21 +176,24 @@ class UnitEncoder:
 
     def _learn(self, key: np.ndarray, units: list[str], together: bool) -> None:
         """Put units in the table; their keys are new. Without line breaks inside many go through the library `together`."""
-        mark, step = self.line[0], JOINED if together else 1
-        joined = ["\n".join(units[i : i + step]) + "\n" * together for i in range(0, len(units), step)]
-        some = [e.ids for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)]
-        ids = np.fromiter(chain.from_iterable(some), "<u4", sum(map(len, some)))
-        if together:
-            self._put(key, np.diff(np.flatnonzero(ids == mark), prepend=-1) - 1, ids[ids != mark])
-        else:
-            self._put(key, np.array([len(x) for x in some], np.int64), ids)
+        step = JOINED if together else 1
+        for k in range(0, len(units), step * CALL):
+            part = units[k : k + step * CALL]
+            joined = ["\n".join(part[i : i + step]) + "\n" * together for i in range(0, len(part), step)]
+            some = [e.ids for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(some), "<u4", sum(map(len, some)))
+            if together:
+                length, ids = np.diff(np.flatnonzero(ids == self.line[0]), prepend=-1) - 1, ids[ids != self.line[0]]
+            else:
+                length = np.array([len(x) for x in some], np.int64)
+            self._put(key[k : k + step * CALL], length, ids)
 
     def _put(self, key: np.ndarray, length: np.ndarray, ids: np.ndarray) -> None:
         n, end = len(key), np.cumsum(length)
         self.begin[self.n : self.n + n] = self.used + end - length
         self.length[self.n : self.n + n] = length
         while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), "<u4")])
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(ids), len(self.pool) // 8), "<u4")])
         self.pool[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
         todo, slot = np.arange(n), (key >> self.shift).astype(np.int64)
@@ -253,7 +257,7 @@ class UnitEncoder:
                     self._learn(new[some], [units[i] for i in some.tolist()], together)
             row = self._find(key)
         self.hits += np.bincount(row, minlength=self.room).astype(np.int32)
-        length = self.length[row]
+        length = self.length[row].astype(np.int64)
         line = before == 2
         out = np.empty(int(length.sum() + line.sum()), "<u4")
         end = np.cumsum(length + line)
@@ -325,7 +329,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = True,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, enc = made(path)[1], encoder_of(path)
         lengths = np.array([len(t) for t in table], np.int64)
-        for b in sliced(batches, text, 2 << 20):
+        for b in sliced(batches, text, 1 << 20):
             col = b.column(text)
             ids, at = enc.column(col)
             new = {"ids": binary_column(ids, at)}
@@ -350,7 +354,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
         table = made(path)[1]
         lengths = np.array([len(t) for t in table], np.int64)
         begin, pool = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(table), np.uint8)
-        for b in sliced(batches, ids, 4 << 20):
+        for b in sliced(batches, ids, 1 << 20):
             buf, off = text_buffer(b.column(ids))
             x = np.frombuffer(buf.tobytes(), "<u4")
             ends = np.concatenate([[0], np.cumsum(lengths[x])])
