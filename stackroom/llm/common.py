@@ -87,6 +87,22 @@ def parts(df: DataFrame, each: int = 64 << 20) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each) if known else 1)
 
 
+def ranked(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """`df` with `rank` (from 0) in the order of the keys, nulls first: ranges are sorted by themselves, and each begins where those before it end."""
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(parts(df), *keys).sortWithinPartitions(*keys)
+    at = Stored(ranges.withColumn("_at", F.monotonically_increasing_id()), name).df
+    range_of = F.shiftright("_at", 33)
+    # a row for each range
+    sizes = sorted(at.groupBy(range_of.alias("k")).agg(F.count("*").alias("n")).collect())
+    before, begin = [], 0
+    for k, n in sizes:
+        before.append((k, begin))
+        begin += n
+    first = F.broadcast(spark.createDataFrame(before, "_range long, _first long"))
+    return at.withColumn("_range", range_of).join(first, "_range").withColumn("rank", F.col("_at") - F.shiftleft("_range", 33) + F.col("_first")).drop("_at", "_range", "_first")
+
+
 def small_join(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """A stored table with a broadcast hint if its counted rows are within the bound; otherwise Spark shuffles it."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

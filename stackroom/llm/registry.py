@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, chat, htmltext, jaccard, licenses, linededup, lm, packing, quality
+from . import alignment, ann, bpe, chat, htmltext, jaccard, licenses, linededup, lm, merkle, packing, quality, sharding
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_ann_search": ann.op9_ann_search,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_alignment": alignment.op13_alignment,
 }
 ORACLE_SQL = {
     "op1_license_scan": licenses.OP1_SQL,
@@ -22,4 +25,5 @@ ORACLE_SQL = {
     "op3_chat_format": chat.OP3_SQL,
     "op6_line_dedup": linededup.OP6_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }
