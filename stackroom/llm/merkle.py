@@ -33,7 +33,7 @@ from .common import Stored, lean, load, ranked, ship, small_join
 FANOUT = 8
 #: Levels that are reduced in one group, of FANOUT ** DEPTH nodes at most.
 DEPTH = 4
-DIGIT = 10
+DIGIT = 8
 CROWD = 20_000
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 
