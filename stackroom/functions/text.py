@@ -129,6 +129,17 @@ def join_wrapped_lines(lines: Column) -> Column:
     return collapse(F.aggregate(clean, F.lit(""), add))
 
 
+def join_printed_lines(lines: Column) -> Column:
+    """Lines of a page to one text: a hyphen before lower case goes, letters of scripts without spaces meet, all else gets a space."""
+    wide = "[\\x{3000}-\\x{30ff}\\x{3400}-\\x{9fff}\\x{ff00}-\\x{ffef}]"
+
+    def add(out: Column, line: Column) -> Column:
+        hyphen = F.endswith(out, F.lit("-")) & line.rlike(r"^\p{Ll}")
+        return F.when(out == "", line).when(hyphen, F.concat(F.substring(out, F.lit(1), F.length(out) - 1), line)).when(out.rlike(wide + "$") & line.rlike("^" + wide), F.concat(out, line)).otherwise(F.concat_ws(" ", out, line))
+
+    return F.trim(F.aggregate(F.filter(lines, lambda x: F.coalesce(x, F.lit("")) != ""), F.lit(""), add))
+
+
 def canonical_source_text(c: Column) -> Column:
     return join_wrapped_lines(F.split(F.replace(c, F.lit("\u00ad"), F.lit("")), "\n"))
 
@@ -410,5 +421,11 @@ def scale_box(box: Column, width: Column, height: Column) -> Column:
     return F.when(ok, F.array(*[F.round(F.get(box, F.lit(i)) * (width if i % 2 == 0 else height), 2) for i in range(4)])).otherwise(F.array(F.lit(0.0), F.lit(0.0), width, height))
 
 
+def scale_box_by(box: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    """A box times these ratios, two places; anything malformed is the whole page."""
+    ok = F.size(box) == 4
+    return F.when(ok, F.array(*[F.round(F.get(box, F.lit(i)) * (x if i % 2 == 0 else y), 2) for i in range(4)])).otherwise(F.array(F.lit(0.0), F.lit(0.0), width, height))
+
+
 def confidence(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_to_number(c, F.lit("S999.999")).cast("double"), F.lit(0.5))))

@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .shared import small
+from .shared import small, stored
 
 #: Rows that are broadcast to meet all texts at most.
 BOUND = 100_000
-#: A query's rarest words by which works are found.
-RARE = 3
 
 
 def contained_in(needles: DataFrame, needle_id: str, hay: DataFrame, hay_id: str, text: str = "text", least: int = 8) -> DataFrame:
@@ -90,8 +88,8 @@ def _ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def affected(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (unique in `keys`) with any of the terms as a whole word, its plural included; any number of terms.
+def occurrences(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, term): which terms stand in a row (unique in `keys`) as a whole word, its plural included; any number of terms.
 
     A term's first run of letters and digits is a word of the text, in the plural too if nothing follows it; that
     is the key of an equi-join, and the term itself is checked on what meets. Terms without such a run are
@@ -102,11 +100,16 @@ def affected(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     run = F.col("run")
     keyed = t.where("run <> ''").select("term", F.explode(F.when(ends, F.array(run, F.concat(run, F.lit("s")), F.concat(run, F.lit("es")))).otherwise(F.array(run))).alias("w"))
     words = texts.select(*keys, "text", F.explode(F.array_distinct(F.split(_ascii_lower(F.col("text")), "[^a-z0-9]+"))).alias("w"))
-    hit = words.join(small(keyed), "w").where(T.term_occurs(F.col("term"), F.col("text"))).select(*keys)
+    hit = words.join(small(keyed), "w").where(T.term_occurs(F.col("term"), F.col("text"))).select(*keys, "term")
     other = t.where("run = ''").select("term")
     if not other.isEmpty():
-        hit = hit.unionByName(texts.join(small(other), T.term_occurs(F.col("term"), F.col("text"))).select(*keys))
-    return texts.join(hit.distinct(), keys, "left_semi")
+        hit = hit.unionByName(texts.join(small(other), T.term_occurs(F.col("term"), F.col("text"))).select(*keys, "term"))
+    return hit.distinct()
+
+
+def affected(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (unique in `keys`) with any of the terms."""
+    return texts.join(occurrences(texts, terms, keys).select(*keys).distinct(), keys, "left_semi")
 
 
 def map_units(units: DataFrame, paragraphs: DataFrame, least: float = 0.8, chars: int = 40) -> DataFrame:
@@ -140,23 +143,60 @@ def unit_contexts(units: DataFrame, paragraphs: DataFrame, contexts: DataFrame,
     return m.select("doc", "unit", F.when(~gone, F.col("paragraph")).alias("paragraph"), "context", F.when(gone, "UNMAPPED").alias("fallback"), F.sha2(F.concat(digest, F.lit("\u0000"), "text"), 256).alias("key"))
 
 
-def identify(queries: DataFrame, works: DataFrame, least: float = 0.88) -> DataFrame:
-    """(qid, work): the work (work, title, doi) with a query's identifier, else the one whose title is most like its own.
+#: The least similarity of titles that are taken for one work.
+SAME_TITLE = 0.88
+
+
+def _shared_bigrams(characters: Column, least: float) -> Column:
+    """How many bigrams two strings of so many characters together have in common if their matching-block ratio is `least` or more.
+
+    A ratio r over c characters means m = r c / 2 matched ones. Between two matching blocks stands at least one of the c - 2 m
+    others, so there are at most c - 2 m + 1 blocks, and a block of n characters has n - 1 bigrams: m - (c - 2 m + 1) in all.
+    """
+    return F.ceil(characters * F.lit(1.5 * least - 1) - 1 - 1e-9)
+
+
+def alike_titles(left: DataFrame, right: DataFrame, least: float = SAME_TITLE) -> DataFrame:
+    """(l, r, like) of all pairs of titles (l, lt) and (r, rt) whose matching-block ratio is `least` (0.86 at least) or more.
 
-    Titles that are alike enough share a word, so those that have a query's rarest words in common meet; equal
-    similarities go to the smaller work.
+    Equal titles meet by themselves. For all others a prefix filter is complete: bigrams, numbered by occurrence, are put in one
+    order from rare to common, and two titles that share enough of them share one of the first ones. Lengths and the whole
+    count of shared bigrams follow, then the ratio itself. Titles under four characters are alike only if they are equal.
     """
     from ..functions import python as py
 
+    def texts(t: DataFrame, c: str) -> DataFrame:
+        """Each title once, and its bigrams, the n-th equal one with its number."""
+        g = t.where(F.length(c) > 3).select(c).distinct().withColumn("x", F.array_sort(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(F.col(c), i, F.lit(2)))))
+        return stored(g.select(c, F.transform("x", lambda b, i: F.concat(b, (i - F.array_position("x", b)).cast("string"))).alias("g")), "titles")
+
+    a = left.select("l", "lt").distinct()
+    b = right.select("r", "rt").distinct()
+    equal = a.join(b, F.col("lt") == F.col("rt")).select("l", "r", F.lit(1.0).alias("like"))
+    ta, tb = texts(a, "lt"), texts(b, "rt")
+    common = ta.select(F.explode("g").alias("w")).unionByName(tb.select(F.explode("g").alias("w"))).groupBy("w").agg(F.count("*").alias("df"))
+    common = small(stored(common, "bigrams"))
+
+    def prefix(t: DataFrame, c: str) -> DataFrame:
+        ranked = t.select(c, F.size("g").alias("n"), F.explode("g").alias("w")).join(common, "w").groupBy(c, "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("by"))
+        # the other one has at least r / (2 - r) times as many characters
+        most = F.col("n") - _shared_bigrams(F.length(c) * F.lit(2 / (2 - least)), least) + 1
+        return ranked.select(c, F.explode(F.slice("by", F.lit(1), most.cast("int"))).alias("x")).select(c, "x.w")
+
+    near = F.least(F.length("lt"), F.length("rt")) * 2 >= F.lit(least - 1e-9) * (F.length("lt") + F.length("rt"))
+    met = prefix(ta, "lt").join(prefix(tb, "rt"), "w").where(near & (F.col("lt") != F.col("rt"))).select("lt", "rt").distinct()
+    full = met.join(ta.withColumnRenamed("g", "ga"), "lt").join(tb.withColumnRenamed("g", "gb"), "rt").where(F.size(F.array_intersect("ga", "gb")) >= _shared_bigrams(F.length("lt") + F.length("rt"), least))
+    like = full.select("lt", "rt", py.title_ratio(F.col("rt"), F.col("lt")).alias("like")).where(F.col("like") >= least)
+    return equal.unionByName(like.join(a, "lt").join(b, "rt").select("l", "r", "like"))
+
+
+def identify(queries: DataFrame, works: DataFrame, least: float = SAME_TITLE) -> DataFrame:
+    """(qid, work): the work (work, title, doi) with a query's identifier, else the one whose title is most like its own; equal similarities go to the smaller work."""
     exact = queries.where("doi is not null").select("qid", "doi").join(works.where("doi is not null").select("doi", "work"), "doi").groupBy("qid").agg(F.min("work").alias("exact"))
-    rest = queries.join(exact.select("qid"), "qid", "left_anti").select("qid", T.normalize_title(F.col("title")).alias("qt")).where("qt <> ''")
-    wt = works.select("work", T.normalize_title(F.col("title")).alias("wt"))
-    words = wt.select("work", F.explode(F.array_distinct(F.split("wt", " "))).alias("w"))
-    asked = rest.select("qid", F.explode(F.array_distinct(F.split("qt", " "))).alias("w"))
-    df = words.join(small(asked.select("w").distinct()), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
-    rare = asked.join(df, "w").withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("df", "w"))).where(F.col("r") <= RARE)
-    met = rare.select("qid", "w").join(words, "w").select("qid", "work").distinct().join(rest, "qid").join(wt, "work")
-    # a ratio of matching characters has this bound by the lengths alone
-    near = met.where(2 * F.least(F.length("qt"), F.length("wt")) >= least * (F.length("qt") + F.length("wt"))).withColumn("like", F.when(F.col("qt") == F.col("wt"), 1.0).otherwise(py.title_ratio(F.col("wt"), F.col("qt"))))
-    best = near.where(F.col("like") >= least).groupBy("qid").agg(F.min(F.struct((-F.col("like")).alias("l"), "work")).alias("b"))
+    rest = queries.join(exact.select("qid"), "qid", "left_anti").select(F.col("qid").alias("l"), T.normalize_title(F.col("title")).alias("lt")).where("lt <> ''")
+    named = works.select(F.col("work").alias("r"), T.normalize_title(F.col("title")).alias("rt")).where("rt <> ''")
+    # nothing is more alike than an equal title
+    equal = rest.join(named, F.col("lt") == F.col("rt")).select("l", "r", F.lit(1.0).alias("like"))
+    like = equal.unionByName(alike_titles(rest.join(equal.select("l"), "l", "left_anti"), named, least))
+    best = like.groupBy(F.col("l").alias("qid")).agg(F.min(F.struct((-F.col("like")).alias("near"), F.col("r").alias("work"))).alias("b"))
     return exact.select("qid", F.col("exact").alias("work")).unionByName(best.select("qid", "b.work"))

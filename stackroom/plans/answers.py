@@ -284,27 +284,92 @@ def _(spark, d):
     return spark.read.parquet(path)
 
 
-def _parsed(spark, d, dialect: str):
+_UNITS = f"with {LINES}, b as (select doc_id id, page, (row_number() over (partition by doc_id, page order by pos) - 1)::int k, pos, text, trim(regexp_replace(text, '[\\t ]+', ' ', 'g'), ' ' || chr(9)) t from para)"
+
+
+def _json(c):
+    """A value as JSON text."""
+    return F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
+
+
+def _object(**fields):
+    return F.concat(F.lit("{"), *[y for k, v in enumerate(fields.items()) for y in (F.lit(f'{", " * (k > 0)}"{v[0].rstrip("_")}": '), v[1])], F.lit("}"))
+
+
+def _list(*xs):
+    return F.concat(F.lit("["), F.concat_ws(", ", *xs), F.lit("]"))
+
+
+def _pages(p, block, name: str, top: str):
+    """Documents as parser JSON whose blocks are the lines."""
+    page = p.groupBy("doc_id", "page").agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x.b), ", "), F.lit("]")).alias("b"))
+    page = page.select("doc_id", "page", _object(page_idx=(F.col("page") - 1).cast("string"), **{name: F.col("b")}).alias("p"))
+    doc = page.groupBy(F.col("doc_id").alias("id")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "p"))), lambda x: x.p), ", "), F.lit("]")).alias("pages"))
+    return doc.select("id", _object(**{top: F.col("pages")}).alias("value"))
+
+
+def _v4_documents(spark, d):
+    """Every line is a block: by its place titles, text with styles, lists three deep, tables with caption and footnote, unknown kinds."""
     p = paragraphs(spark, d)
-    content = F.col("text")
-    v4 = F.struct(F.when(F.col("pos") % 5 == 0, "title").otherwise("text").alias("type"), content.alias("content"))
+    t, k = F.col("text"), F.col("pos") % 7
+    lit = lambda x: F.lit(f'"{x}"')
+    text = _object(type=lit("text"), content=_json(t))
     half = F.floor(F.length("text") / 2).cast("int")
-    spans = F.array(F.struct(F.substring(content, F.lit(1), half).alias("content")), F.struct(F.substring(content, half + 1, F.length("text")).alias("content")))
-    old = F.struct(F.when(F.col("pos") % 5 == 0, "title").otherwise("text").alias("type"), F.array(F.struct(spans.alias("spans"))).alias("lines"))
-    block, name, top = (v4, "blocks", "pages") if dialect == "v4" else (old, "para_blocks", "pdf_info")
-    page = p.groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda x: x.b).alias(name))
-    doc = page.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct((F.col("page") - 1).alias("page_idx"), name))).alias(top))
-    return R.blocks(doc.select("id", F.to_json(F.struct(top)).alias("value"))).select("id", "page", "pos", "layout", "text")
+    spans = _list(_object(type=lit("text"), content=_json(F.substring(t, F.lit(1), half))), _object(type=lit("text"), content=_json(F.substring(t, half + 1, F.length("text"))), styles=F.lit('["bold"]')))
+    deep = _object(type=lit("list"), content=_list(_object(type=lit("list"), content=_list(_object(type=lit("text"), content=lit("inner")), F.lit("7"))), _object(type=lit("ref_text"), content=lit("cited"))))
+    block = (
+        F.when(k == 0, _object(type=lit("paragraph_title"), level=F.lit("3"), content=_json(t)))
+        .when(k == 1, _object(type=lit("text"), content=spans, continues_prev=F.lit("true"), bbox=F.lit("[0, 0.5, 1, 0.75]")))
+        .when(k == 2, _object(type=lit("list"), continues_prev=F.lit("true"), content=_list(_object(type=lit("text"), content=_json(t)), deep, _object(type=lit("text"), content=lit("last")))))
+        .when(k == 3, _object(type=lit("table"), content=_list(_object(type=lit("table_caption"), content=_json(t)), _object(type=lit("table_body"), content=lit("<table></table>"), image_path=lit("t.png")), _object(type=lit("table_footnote"), content=lit("note")), _object(type=lit("other"), content=lit("x")))))
+        .when(k == 4, _object(type=lit("page_number"), content=_json(t)))
+        .when(k == 5, _object(type=lit("never heard of"), content=_json(t)))
+        .otherwise(text)
+    )
+    return _pages(p, block, "blocks", "pages")
 
 
-@query("a04_flatten_v4", f"with {LINES} select doc_id id, page, (row_number() over (partition by doc_id, page order by pos) - 1)::int pos, case when pos % 5 = 0 then 'title' else 'plain text' end layout, text from para")
+_V4 = "select id, page, k, unnest(case pos % 7 when 0 then [(0, 'heading', 'title', 2, t, null, false, false)] when 1 then [(0, 'text', 'plain text', null, t, null, false, true)] when 2 then [(0, 'text', 'plain text', null, t, null, false, true), (1, 'text', 'plain text', null, 'inner', null, false, false), (2, 'ref', 'plain text', null, 'cited', null, false, false), (3, 'text', 'plain text', null, 'last', null, false, false)] when 3 then [(0, 'table_caption', 'table_caption', null, t, page || '-' || k, false, false), (1, 'table', 'table', null, '', page || '-' || k, true, false), (2, 'table_footnote', 'table_footnote', null, 'note', page || '-' || k, false, false)] when 4 then [(0, 'abandon', 'abandon', null, t, null, false, false)] when 5 then [] else [(0, 'text', 'plain text', null, t, null, false, false)] end) u from b"
+
+
+@query("a04_flatten_v4", f"{_UNITS}, u as ({_V4}) select id, page, (row_number() over (partition by id, page order by k, u[1]) - 1)::int pos, u[2] kind, u[3] layout, u[4]::int as level, u[5] as text, u[6] visual, u[7] is_body, u[8] continues, case when u[2] = 'table' then '<table></table>' end html from u")
 def _(spark, d):
-    return _parsed(spark, d, "v4")
+    return R.blocks(_v4_documents(spark, d)).select("id", "page", "pos", "kind", "layout", "level", "text", "visual", "is_body", "continues", "html")
+
 
+def _legacy_documents(spark, d):
+    p = paragraphs(spark, d)
+    t, k = F.col("text"), F.col("pos") % 6
+    lit = lambda x: F.lit(f'"{x}"')
+    half = F.floor(F.length("text") / 2).cast("int")
+    line = _object(spans=_list(_object(type=lit("text"), content=_json(F.substring(t, F.lit(1), half))), _object(type=lit("text"), content=_json(F.substring(t, half + 1, F.length("text"))))))
+    word = lambda x: _object(spans=_list(_object(type=lit("text"), content=lit(x))))
+    block = (
+        F.when(k == 0, _object(type=lit("title"), level=F.lit("1"), lines=_list(line)))
+        .when(k == 1, _object(type=lit("list"), blocks=_list(_object(type=lit("text"), lines=_list(line)), _object(type=lit("text"), lines=_list(word("recog-"), word("nition"), word("Next"), word("漢"), word("字"))))))
+        .when(k == 2, _object(type=lit("interline_equation"), lines=_list(_object(spans=_list(_object(type=lit("interline_equation"), content=lit("E=mc")))))))
+        .when(k == 3, _object(type=lit("image"), blocks=_list(_object(type=lit("image_body"), lines=_list(_object(spans=_list(_object(type=lit("image"), image_path=lit("i.png")))))), _object(type=lit("image_caption"), lines=_list(line)))))
+        .when(k == 4, _object(type=lit("text"), lines_deleted=F.lit("true"), lines=F.lit("[]")))
+        .otherwise(_object(type=lit("text"), bbox=F.lit("[1, 2, 3, 4]"), lines=_list(line)))
+    )
+    return _pages(p, block, "para_blocks", "pdf_info")
 
-@query("a05_flatten_legacy", f"with {LINES} select doc_id id, page, (row_number() over (partition by doc_id, page order by pos) - 1)::int pos, case when pos % 5 = 0 then 'title' else 'plain text' end layout, trim(regexp_replace(text, '[\\t ]+', ' ', 'g')) as text from para")
+
+_LEGACY = "select id, page, k, unnest(case pos % 6 when 0 then [(0, 'heading', 'title', t, null, null)] when 1 then [(0, 'text', 'plain text', t, null, null), (1, 'text', 'plain text', 'recognition Next 漢字', null, null)] when 2 then [(0, 'equation', 'isolate_formula', 'E=mc', null, null)] when 3 then [(0, 'figure', 'figure', '', page || '-' || k, 'i.png'), (1, 'figure_caption', 'figure_caption', t, page || '-' || k, null)] when 4 then [] else [(0, 'text', 'plain text', t, null, null)] end) u from b"
+
+
+@query("a05_flatten_legacy", f"{_UNITS}, u as ({_LEGACY}) select id, page, (row_number() over (partition by id, page order by k, u[1]) - 1)::int pos, u[2] kind, u[3] layout, u[4] as text, u[5] visual, u[6] image_path from u")
 def _(spark, d):
-    return _parsed(spark, d, "legacy")
+    return R.blocks(_legacy_documents(spark, d)).select("id", "page", "pos", "kind", "layout", "text", "visual", "image_path")
+
+
+@query("a03_parser_json", f"{_UNITS}, u as ({_V4}), v as ({_LEGACY}) select id, 'v4' dialect, u[2] kind, count(*) n, sum(length(u[5]))::bigint chars from u group by all union all select id, 'legacy', u[2], count(*), sum(length(u[4]))::bigint from v group by all")
+def _(spark, d):
+    # both dialects in one table, beside what is neither
+    raw = _v4_documents(spark, d).select("id", F.lit("v4").alias("dialect"), "value").unionByName(_legacy_documents(spark, d).select("id", F.lit("legacy").alias("dialect"), "value"))
+    raw = raw.unionByName(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("none").alias("dialect"), F.concat(F.lit('{"pages": '), "n_name").alias("value")))
+    u = R.blocks(raw.select(F.struct("id", "dialect").alias("id"), "value"))
+    return u.groupBy("id.id", "id.dialect", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("a26_second_work", "select 'S' || p_partkey as \"key\", p_name title, [p_brand] authors, 2000 + p_size as \"year\", nullif(case when p_size % 2 = 0 then p_type else '' end, '') venue, case when p_size % 3 = 0 then '10.1/' || p_partkey end doi, p_size cited_by, case when p_size % 5 = 0 then 'http://x/' || p_partkey end oa_pdf_url from part")
@@ -337,9 +402,9 @@ def _(spark, d):
     return b.select("item_id", "x.text", F.transform("x.runs", lambda r: F.concat(r.start.cast("string"), F.lit("-"), r.stop.cast("string"))).alias("runs"))
 
 
-@query("h52_joined_styles", "with p as (select p_partkey k, p_name n, p_size z, length(p_name) l from part) select k, case when z % 3 = 0 then n || ' $x_' || z || '$ is' when z % 3 = 1 then '(' || '$x$' || '), ' || n else n || z end as text, case when z % 3 = 0 then ['0-' || l || ':bold,italic', (l + 5 + length(z::varchar) + 1) || '-' || (l + 5 + length(z::varchar) + 3) || ':code'] when z % 3 = 1 then ['7-' || (7 + l) || ':bold'] else ['0-' || l || ':bold', l || '-' || (l + length(z::varchar)) || ':superscript'] end runs from p")
+@query("h52_joined_styles", "with p as (select p_partkey k, p_name n, p_size z, length(p_name) l from part) select k, case when z % 3 = 0 then n || ' $x_' || z || '$ is' when z % 3 = 1 then '(' || '$x$' || ' ), ' || n else n || z end as text, case when z % 3 = 0 then ['0-' || l || ':bold,italic', (l + 5 + length(z::varchar) + 1) || '-' || (l + 5 + length(z::varchar) + 3) || ':code'] when z % 3 = 1 then ['8-' || (8 + l) || ':bold'] else ['0-' || l || ':bold', l || '-' || (l + length(z::varchar)) || ':superscript'] end runs from p")
 def _(spark, d):
-    # a formula between words, one in brackets, and a superscript; a link passes its style on
+    # a formula between words, one in brackets before a blank one, and a superscript; a link passes its style on
     n, z = F.col("p_name"), F.col("p_size").cast("string")
     q = lambda c: F.to_json(F.struct(c.alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(c.alias("x")))) - 6)
     part = lambda kind, content, styles="[]": F.concat(F.lit(f'{{"type": "{kind}", "content": '), content, F.lit(f', "styles": {styles}}}'))
@@ -519,16 +584,57 @@ def _(spark, d):
 # streams
 
 
-@query("i01_objects_of_chunks", "select conv_id stream_id, (row_number() over (partition by conv_id order by turn, role) - 1)::int n, turn, role from conversations")
-def _(spark, d):
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("turn", "role", F.lit('a "]} b').alias("note")))).alias("items"))).alias("t"))
+def _answers(spark, d):
+    """Answers of a model in chunks: prose with brackets, then an object with two arrays whose objects hold arrays, then a fence."""
+    one = F.to_json(F.struct("turn", "role", F.lit('a "]} b').alias("note"), F.array(F.struct(F.col("turn").alias("inner"))).alias("deep")))
+    of = lambda hit: F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(hit, F.struct("turn", "role", one.alias("o"))))), lambda x: x.o), ",\n "), F.lit("]"))
+    said = F.col("role") == "assistant"
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.concat(F.lit('See [1] {here}:\n```json\n{"headings": '), of(~said), F.lit(', "n": [1, [2]], "paragraphs": '), of(said), F.lit("}\n```")).alias("t"))
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 37).cast("int")), lambda i: F.substring("t", i * 37 + 1, F.lit(37)))
-    chunks = c.select(F.col("conv_id").cast("string").alias("stream_id"), F.posexplode(pieces).alias("seq", "chunk"))
-    o = jobs.objects_batch(chunks)
+    return c.select(F.col("conv_id").cast("string").alias("stream_id"), F.posexplode(pieces).alias("seq", "chunk"))
+
+
+_I01 = "select conv_id stream_id, (row_number() over (partition by conv_id order by role = 'assistant', turn, role) - 1)::int n, turn, role from conversations"
+
+
+def _found(o):
     v = F.from_json("value", "turn long, role string")
     return o.select(F.col("stream_id").cast("long").alias("stream_id"), "n", v["turn"].alias("turn"), v["role"].alias("role"))
 
 
+@query("i01_objects_of_chunks", _I01)
+def _(spark, d):
+    return _found(jobs.objects_batch(_answers(spark, d)))
+
+
+@query("i01_objects_streamed", _I01)
+def _(spark, d):
+    # two files: the later chunks come first, some of them twice
+    path = f"{shared.folder(spark)}/chunks-{shared.uuid.uuid4().hex}"
+    c = _answers(spark, d)
+    c.where("seq > 3").write.parquet(f"{path}/in/a")
+    c.where("seq < 6").write.parquet(f"{path}/in/b")
+    src = spark.readStream.schema(c.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
+    with jobs.typed_state(spark):
+        jobs.landed(jobs.objects(src), f"{path}/out", f"{path}/state", once=True).awaitTermination()
+    return _found(spark.read.parquet(f"{path}/out"))
+
+
+_TERM = "regexp_matches(text, '(?i)(^|[^A-Za-z0-9]){}(e?s)?($|[^A-Za-z0-9])')"
+
+
+@query("i02_late_terms", f"with t as (select conv_id * 1000 + turn id, text, {_TERM.format('the')} and not contains(lower(text), 'das') a, {_TERM.format('is')} and not contains(lower(text), 'ist') b from conversations) select id, 0 as version from t union all select id, 1 from t where a union all select id, 2 from t where b")
+def _(spark, d):
+    # all rows are done before any term is known; then two versions of a glossary come, each of them twice
+    path = f"{shared.folder(spark)}/late-{shared.uuid.uuid4().hex}"
+    texts = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").where("id is not null").dropDuplicates(["id"])
+    texts.select("id", F.col("text").alias("done"), F.lit(0).alias("version")).write.parquet(path)
+    run = jobs.late_terms(spark, texts, path, lambda rows, v: rows.select("id", F.concat(F.lit(f"v{v} "), "text").alias("done")))
+    for epoch, term in enumerate([("the", "das", 1), ("the", "das", 1), ("is", "ist", 2), ("is", "ist", 2)]):
+        run(inline(spark, "source string, target string, version int", [term]), epoch)
+    return spark.read.parquet(path).select("id", "version")
+
+
 @query("i02_resumed_job", "select conv_id * 1000 + turn id, case when turn % 3 = 0 then 'before' else upper(role) end done from conversations")
 def _(spark, d):
     path = f"{shared.folder(spark)}/job-{shared.uuid.uuid4().hex}"
@@ -552,11 +658,11 @@ def _(spark, d):
 # works
 
 
-@query("c28_identify_work", "with w as (select p_partkey, p_name || ' number ' || p_partkey title, case when p_partkey % 2 = 0 then '10.1/' || p_partkey end doi from part), q as (select p_partkey qid, case p_partkey % 3 when 0 then upper(title) || '!' when 1 then title else 'nothing of this kind ever' end title, case when p_partkey % 4 = 0 then '10.1/' || (p_partkey + 2) end doi from w where p_partkey < 200) select qid, coalesce(d.p_partkey, t.p_partkey) work from q left join w d on q.doi = d.doi left join w t on d.p_partkey is null and trim(regexp_replace(lower(q.title), '[^a-z0-9]+', ' ', 'g')) = t.title where coalesce(d.p_partkey, t.p_partkey) is not null")
+@query("c28_identify_work", "with w as (select p_partkey, p_name || ' number ' || p_partkey title, case when p_partkey % 2 = 0 then '10.1/' || p_partkey end doi from part), q as (select p_partkey qid, case p_partkey % 3 when 0 then upper(title) || '!' when 1 then title else 'nothing of this kind ever' end title, case when p_partkey % 4 = 0 then '10.1/' || (p_partkey + 2) end doi from w) select qid, coalesce(d.p_partkey, t.p_partkey) work from q left join w d on q.doi = d.doi left join w t on d.p_partkey is null and trim(regexp_replace(lower(q.title), '[^a-z0-9]+', ' ', 'g')) = t.title where coalesce(d.p_partkey, t.p_partkey) is not null")
 def _(spark, d):
     k = F.col("p_partkey")
     w = table(spark, d, "part").select(k.alias("work"), F.concat("p_name", F.lit(" number "), k.cast("string")).alias("title"), F.when(k % 2 == 0, F.concat(F.lit("10.1/"), k.cast("string"))).alias("doi"))
     title = F.when(F.col("work") % 3 == 0, F.concat(F.upper("title"), F.lit("!"))).when(F.col("work") % 3 == 1, F.col("title")).otherwise("nothing of this kind ever")
-    q = w.where("work < 200").select(F.col("work").alias("qid"), title.alias("title"), F.when(F.col("work") % 4 == 0, F.concat(F.lit("10.1/"), (F.col("work") + 2).cast("string"))).alias("doi"))
+    q = w.select(F.col("work").alias("qid"), title.alias("title"), F.when(F.col("work") % 4 == 0, F.concat(F.lit("10.1/"), (F.col("work") + 2).cast("string"))).alias("doi"))
     return L.identify(q, w)
 

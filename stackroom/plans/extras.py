@@ -8,15 +8,6 @@ from ..functions import providers as P
 from ..sources import records as R
 from .base import inline, query, table
 
-V4 = R.dump({"pages": [{"page_idx": 0, "blocks": [{"type": "title", "level": 1, "bbox": [0, 0, 1, 0.1], "content": "T"}, {"type": "text", "bbox": [0, 0.1, 0.5, 1], "content": "body"}, {"type": "image", "bbox": [1], "content": None}]}]})
-LEGACY = R.dump({"pdf_info": [{"page_idx": 1, "para_blocks": [{"type": "text", "bbox": [1, 2, 3, 4], "lines": [{"spans": [{"content": "self-"}]}, {"spans": [{"content": "contained"}, {"content": " x"}]}]}]}]})
-
-
-@query("a03_parser_json", "select * from (values ('a', 1, 0, 'title', 'T'), ('a', 1, 1, 'plain text', 'body'), ('a', 1, 2, 'figure', ''), ('b', 2, 0, 'plain text', 'self-contained x')) v(id, page, pos, layout, text)")
-def _(spark, d):
-    return R.blocks(inline(spark, "id string, value string", [("a", V4), ("b", LEGACY), ("c", "broken")])).select("id", "page", "pos", "layout", "text")
-
-
 @query("a14_markdown_notes", "select conv_id doc, '# Notes' || chr(10) || chr(10) || string_agg('## p. ' || turn || chr(10) || chr(10) || '> ' || replace(text, chr(10), chr(10) || '> '), chr(10) || chr(10) order by turn) || chr(10) as value from conversations group by 1")
 def _(spark, d):
     c = table(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), F.lit(0.0).alias("top"), F.col("turn").alias("id"), F.col("text").alias("quote"), F.lit("").alias("comment"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as S
+from ..sources import records as R
 from .base import inline, literal, query, table, values
 from .scalars import content_sql, words_sql
 
@@ -170,9 +171,10 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.split(F.btrim(s, F.lit(",")), ",").cast("array<int>").alias("pages"), F.lit(True).alias("is_hit"))
 
 
-@query("a27_collect_urls", "select page_id, case when page_id % 3 = 0 then [url] when page_id % 3 = 1 then [url, url || '/b'] else [url, 'http://h/' || page_id] end urls from pages")
+@query("a27_collect_urls", "select page_id, case when page_id % 3 = 0 then [url] when page_id % 3 = 1 then [url, url || '/b'] else list_sort([url, 'http://h/' || page_id]) end urls from pages")
 def _(spark, d):
     p = table(spark, d, "pages")
     other = F.when(F.col("page_id") % 3 == 0, "ftp://x").when(F.col("page_id") % 3 == 1, F.concat("url", F.lit("/b"))).otherwise(F.concat(F.lit("http://h/"), F.col("page_id").cast("string")))
-    j = F.to_json(F.struct(F.struct("url", F.lit("none").alias("title")).alias("a"), F.array(F.struct(other.alias("uri"), F.struct(F.col("url").alias("link")).alias("deep"))).alias("b")))
-    return p.select("page_id", F.array_distinct(F.filter(F.transform(T.all_of(j, r'"(?:url|link|uri)":"((?:[^"\\\\]|\\\\.)*)"'.replace("\\\\", "\\"), 1), lambda u: F.replace(u, F.lit("\\/"), F.lit("/"))), lambda u: F.startswith(u, F.lit("http")))).alias("urls"))
+    deep = F.array(F.struct(other.alias("uri"), F.array(F.array(F.struct(F.col("url").alias("link"), F.array(F.lit("http://no.key")).alias("url")))).alias("deep")))
+    j = F.to_json(F.struct(F.struct("url", F.lit("http://no.name").alias("title")).alias("a"), deep.alias("b")))
+    return R.collected_urls(p.select(F.col("page_id").alias("id"), j.alias("value"))).select(F.col("id").alias("page_id"), "urls")

@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackroom.operators import answers, budgets, folds, linking, search, shared, structure
-from stackroom.streaming import jobs
 
 
 def test_outline_of_any_depth(spark):
@@ -95,20 +94,6 @@ def test_batches_of_questions_are_joined(spark, monkeypatch):
     assert sorted(map(tuple, search.bm25(chunks, v).collect())) == before and len(before) == 30
 
 
-def test_objects_from_chunks_in_any_order(spark, tmp_path):
-    text = '{"items": [{"a": "}] {"}, {"a": 2}, {"a": {"b": []}}]}'
-    chunks = [("s", i, text[k : k + 7]) for i, k in enumerate(range(0, len(text), 7))]
-    batches = [chunks[5:], chunks[:2] + chunks[:1], chunks[2:5]]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, "stream_id string, seq int, chunk string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
-    src = spark.readStream.schema("stream_id string, seq int, chunk string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
-    jobs.objects(src).writeStream.format("memory").queryName("found_objects").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    got = sorted((r["n"], r["value"]) for r in spark.sql("select * from found_objects").collect())
-    assert got == [(0, '{"a": "}] {"}'), (1, '{"a": 2}'), (2, '{"a": {"b": []}}')]
-    batch = spark.createDataFrame([c for b in batches for c in b], "stream_id string, seq int, chunk string")
-    assert sorted((r["n"], r["value"]) for r in jobs.objects_batch(batch).collect()) == got
-
-
 def test_answers_abstain_without_evidence(spark):
     chunks = spark.createDataFrame([(1, 0, 0, "s", "t", "words of the paper")], "chunk_id int, doc int, pos int, section string, title string, text string")
     v = spark.createDataFrame([("raw", "absent")], "variant string, word string")
