@@ -6,8 +6,8 @@ inserted or deleted. A line of LONG words or more is a passage by itself and has
 Chunks of at least two lines, and those passages, whose 64-bit hash occurs again anywhere are compared by
 their bytes: the occurrences with equal text form a class, of which the first (smallest doc_id, then hash
 of the whole text, then line) stays and the others are removed. Boundaries seldom fall on a passage's own
-ends, so each removal grows line by line over the chunk before and the chunk after it (BESIDE lines at
-most), as far as these lines (by 64 bits of their hashes) are those beside the class's first occurrence.
+ends, so each removal grows line by line over the chunk before and the chunk after it, as far as these lines
+(by 64 bits of their hashes) are those beside the class's first occurrence.
 What a removal takes stands in another place that comes earlier in the order of classes, so one copy of each
 line remains.
 
@@ -37,8 +37,8 @@ from .common import lean, load, ship, sliced, small_join, store
 WINDOW, FACTOR, EVERY = 2, 31, 3
 #: Words from which on a line is a chunk of its own.
 LONG = 25
-#: Lines on either side over which a removal grows at most, so that what a class carries has a bound in bytes.
-BESIDE = 64
+#: Classes that are broadcast at most, and lines beside their first occurrences (of 8 bytes) that go with them; beyond, Spark shuffles.
+CLASSES, BESIDE = 200_000, 1_000_000
 #: Removed chunks (of 8 bytes) that are broadcast to the documents at most.
 BOUND = 1_000_000
 CHUNKS = "doc_id long, th long, start int, n int, h long"
@@ -91,7 +91,7 @@ def _chunks(docs: DataFrame, with_text: bool, mask: int) -> DataFrame:
                         if with_text:
                             least = chunks[k - 1][0] if k else 0
                             most = sum(chunks[k + 1]) if k + 1 < len(chunks) else len(lines)
-                            row += [chunk, beside[least:start][::-1][:BESIDE], beside[start + n : most][:BESIDE]]
+                            row += [chunk, beside[least:start][::-1], beside[start + n : most]]
                         rows.append(row)
             cols = list(zip(*rows, strict=True)) if rows else [[]] * used
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=False)], names[:used])
@@ -124,7 +124,11 @@ def removals(docs: DataFrame, mask: int = (1 << 64) - 1) -> DataFrame:
     # least and greatest bytes are equal: all texts with this hash are the same
     g = found.groupBy("h").agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"), F.min(key).alias("first"), F.min_by(beside, key).alias("beside"), F.count("*").alias("c"))
     g = store(g.select("h", F.expr("lo = hi").alias("same"), "first", "beside", "c"), "classes")
-    gone = _removed(found.join(small_join(g.where("same and c > 1").select("h", "first", "beside"), 200_000), "h"))
+    classes = g.where("same and c > 1").select("h", "first", "beside")
+    size = classes.agg(F.count("*"), F.sum(F.size("beside.before") + F.size("beside.after"))).first()
+    if size[0] <= CLASSES and (size[1] or 0) <= BESIDE:
+        classes = F.broadcast(classes)
+    gone = _removed(found.join(classes, "h"))
     if not g.where("not same").isEmpty():  # different texts with one 64-bit hash: compared by their bytes
         mixed = found.join(small_join(g.where("not same").select("h")), "h", "left_semi")
         first = mixed.groupBy("h", "chunk").agg(F.min(key).alias("first"), F.min_by(beside, key).alias("beside"), F.count("*").alias("c")).where("c > 1").select(F.col("h").alias("h0"), F.col("chunk").alias("chunk0"), "first", "beside")
@@ -158,7 +162,7 @@ w as (select *, len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'),
 r as (select *, (h + {FACTOR} * coalesce(lag(h) over (partition by doc_id order by i), 0)) % 4294967296 % {EVERY} = 0 or long or coalesce(lead(long) over (partition by doc_id order by i), false) e from w),
 c as (select *, coalesce(sum(e::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) k from r),
 every as (select doc_id, k, min(i) start, count(*) n, string_agg(line, chr(10) order by i) chunk, list(line order by i) ls, bool_or(long) long from c group by doc_id, k),
-sides as (select *, coalesce(list_reverse(lag(ls) over (partition by doc_id order by k))[1:{BESIDE}], []) b, coalesce((lead(ls) over (partition by doc_id order by k))[1:{BESIDE}], []) a from every),
+sides as (select *, coalesce(list_reverse(lag(ls) over (partition by doc_id order by k)), []) b, coalesce(lead(ls) over (partition by doc_id order by k), []) a from every),
 g as (select *, count(*) over (partition by chunk) m, row_number() over v rn, first_value(b) over v fb, first_value(a) over v fa from sides where n > 1 or long window v as (partition by chunk order by doc_id, start)),
 q as (select *, len(list_filter(range(1, least(len(b), len(fb)) + 1), lambda j: b[1:j] = fb[1:j])) back, len(list_filter(range(1, least(len(a), len(fa)) + 1), lambda j: a[1:j] = fa[1:j])) ahead from g where rn > 1),
 gone as (select distinct doc_id, unnest(range(start - back, start + n + ahead)) i from q),
