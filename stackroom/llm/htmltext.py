@@ -2,10 +2,10 @@
 
 Markup is cut into blocks (runs of inline content between block-level tags) in one walk over the page, in time
 proportional to its length. Blocks in containers that say by their tag or role what they are (navigation, page
-header and footer, sidebar, form, hidden parts) are boilerplate at once. A class or id says so only if one of
+header and footer, sidebar, hidden parts) are boilerplate at once. A class or id says so only if one of
 its names is made of such words (CUES) and of words without meaning of their own (PLAIN): "cookie-banner" does,
-"notice-board" and "related-work" don't; and a container that is named for the page's layout but holds most of
-its dense text is left to the passes. First pass: stop-word density, length and link density decide each block
+"notice-board" and "related-work" don't; and a container that is named for the page's layout, or a form, that
+holds most of the page's dense text is left to the passes. First pass: stop-word density, length and link density decide each block
 as good or bad, or leave it open. Where no language of STOP_WORDS is the page's, or a block's script has no
 such words, length, sentence ends and link density decide alone. Second pass: open short blocks take the label
 of the nearest decided neighbours. If the page marks its main region (article, main, role=main), only that
@@ -47,16 +47,18 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "template",
 RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
-DROPPED = set("nav footer aside form head svg button select option dialog canvas object audio video map menu fieldset".split())
+DROPPED = set("nav footer aside head svg button select option dialog canvas object audio video map menu fieldset".split())
 MAIN = {"article", "main"}
 BARRIERS = {"ul", "ol", "dl", "table", "div", "section", "article"}
 SELF_ENDING = {"p", "li", "dt", "dd", "tr", "option"}
 #: Roles that say what a container is.
-ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 #: Words in a class or id that say what a container is: by its place on the page, and by what it holds.
 LAYOUT = set("nav navbar navigation menu menubar submenu sidebar aside footer foot header masthead topbar breadcrumb breadcrumbs pagination pager toolbar search modal overlay dialog popup skip login signup".split())
 HELD = set("cookie cookies consent gdpr notice notices notification alert banner ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion promoted comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations newsletter subscribe subscription teaser".split())
 CUES = LAYOUT | HELD
+#: What a form says of itself: like a name of layout, for some pages stand in one form as a whole.
+FORM = "<form>"
 #: Words that go with them and say nothing themselves.
 PLAIN = set("site page main top bottom left right upper lower global local primary secondary first last list lists box boxes area section sections wrapper wrap container holder block blocks content contents widget widgets inner outer bar bars item items link links button buttons module panel slot unit form forms row col column group groups post posts article articles blog thread threads level text title message messages icon icons fixed sticky mobile desktop js the user reader readers and or of in on entry more bottombar media posts story stories web default small large wide inline new".split())
 #: On the main region itself and inside it, a header is the article's own.
@@ -234,12 +236,14 @@ def blocks_of(page: str) -> list[Block]:
         hidden, words, role = said
         whole = name in ("html", "body")
         own = frozenset() if whole or not words else words - LAYOUT if name in MAIN else words - OWN_HEADER if main else words
+        if name == "form" or "form" in role:
+            own = own | {FORM}
         drop = dropped or hidden or name in DROPPED or (name == "header" and not main) or (not whole and not ROLES.isdisjoint(role))
         in_cue = cue
         if own and not drop and (not cue or soft[cue]):
             cues += 1
             in_cue = cues
-            soft[cues] = own <= LAYOUT
+            soft[cues] = own <= LAYOUT | {FORM}
         is_main = main or ((name in MAIN or "main" in role) and not drop and not (in_cue and not soft[in_cue]))
         if name not in BLOCK and page[at - 2 : at] == "/>":
             continue
