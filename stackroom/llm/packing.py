@@ -8,10 +8,10 @@ the last LENGTH tokens, whose minimum a monotone queue keeps.
 
 The stream is solved BLOCK tokens at a time. The best cuts of the whole stream end in one of the boundaries
 of a block's last LENGTH tokens, so the cuts that the best ways to all of these share are final; the rest is
-solved again with the next block. So the result is the best for the stream, however blocks fall, unless no
-cut is shared within MOST blocks; then the best way to the last boundary is taken. Memory is bounded by that,
-whatever a document's length. Nothing is shuffled: sequences are numbered by partition, and a retried task
-gives the same rows.
+solved again with the next block. So the result is the best for the stream, however blocks fall. Until a cut is
+shared the tokens read (4 bytes each) are kept, those of one input partition at most, and each try reads twice as
+many; on the tables the first block always has one. Nothing is shuffled: sequences are numbered by partition, and
+a retried task gives the same rows.
 
 A sentence ends at a token with a line break, or at one that closes with `.`, `!` or `?` (and quotes or
 brackets behind) before a token that begins with white space and no lower-case letter, so "3.14", "e.g. it"
@@ -41,7 +41,7 @@ LENGTH, END = 1024, 0
 SENTENCE, HARD = 3, 10
 #: Sentences of more tokens than this may be cut inside, every STEP tokens.
 GAP, STEP = 64, 16
-BLOCK, MOST = 1 << 18, 4
+BLOCK = 1 << 18
 PIECES = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
@@ -158,8 +158,6 @@ class Packer:
             cuts = best_cuts(*found, self.length)
         else:
             cuts = final_cuts(*found, self.length)
-            if not cuts and self.held >= MOST * self.block:
-                cuts = best_cuts(*found, self.length)[:-1]
         a, k, left = 0, 0, 0  # left: ids of document k already placed
         for b in cuts:
             offset = 0
@@ -176,7 +174,8 @@ class Packer:
             doc_id, part, start, total = rest[0]
             rest[0] = (doc_id, part[left:], start + left, total)
         self.docs, self.held = rest, len(ids) - a
-        self.due = self.held + self.block
+        # without a common cut twice as much is read before the next try, so no token is solved more than twice on average
+        self.due = self.held + self.block if cuts else 2 * self.held
 
 
 def pack(docs: DataFrame, json_path: str, length: int = LENGTH) -> DataFrame:
