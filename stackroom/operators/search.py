@@ -11,13 +11,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .shared import delete, exists, stored
+from .shared import delete, exists, small, stored
 
 # Fixed values.
 K1, B, TITLE_WEIGHT, BODY_WEIGHT, LEAST_IDF = 1.2, 0.75, 5.0, 1.0, 1e-6
 RRF_K, CANDIDATES, ALPHA = 60, 20, 0.05
-#: Buckets of a stored index, and words of a question that go into the plan as constants at most.
-BUCKETS, WORDS = 64, 1000
+#: Words of a question that go into the plan as constants at most.
+WORDS = 1000
+#: Bits of a chunk's id within a block of postings, bytes of text behind each file of an index, and blocks of a variant that are read first.
+BITS, EACH, FIRST = 10, 64 << 20, 16
 
 
 def chunk_view(paragraphs: DataFrame, captions: DataFrame | None = None) -> DataFrame:
@@ -50,11 +52,22 @@ def postings(chunks: DataFrame) -> DataFrame:
 SIGNATURE = "words-by-unicode; title 5, body 1"
 
 
+def _part(avgdl: Column) -> Column:
+    """A word's share of a chunk's score, but for its idf."""
+    return F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / avgdl))
+
+
+def _idf(n: Column, df: Column) -> Column:
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(LEAST_IDF))
+
+
 def ensure_index(spark: SparkSession, path: str, chunks: DataFrame, content_hash: str, version: str, force: bool = False) -> bool:
     """Write the inverted index of `chunks` under `path` unless one of the same content, signature and version is there; says whether it was written.
 
-    Postings are partitioned by a hash of the word, so a query reads its words' buckets only. The row of meta data
-    is written last, so a half-written index is stale. `read_index` reads it.
+    A row is a block: the postings of a word in chunks whose ids differ in the last BITS bits alone, as offsets, frequencies
+    and lengths, with the best share of a score among them. So a frequent word is many rows, in as many tasks and files as
+    it needs; their number follows from the text's bytes. Rows are ranged and sorted by word and block, so a reader's filter
+    on words reads these words' pages. The row of meta data is written last, so a half-written index is stale.
     """
     meta = f"{path}/meta"
     if not force and exists(spark, meta):
@@ -62,52 +75,101 @@ def ensure_index(spark: SparkSession, path: str, chunks: DataFrame, content_hash
         if stored_ is not None and (stored_["content_hash"], stored_["signature"], stored_["version"]) == (content_hash, SIGNATURE, version):
             return False
     delete(spark, meta)
-    _tagged(chunks).write.mode("overwrite").parquet(f"{path}/tagged")
-    tagged = spark.read.parquet(f"{path}/tagged")
-    _postings(tagged).withColumn("bucket", _bucket(F.col("word"))).repartition("bucket").sortWithinPartitions("bucket", "word").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    stats = tagged.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
-    stats.select("n_chunks", "avgdl", F.lit(content_hash).alias("content_hash"), F.lit(SIGNATURE).alias("signature"), F.lit(version).alias("version")).write.mode("overwrite").parquet(meta)
-    delete(spark, f"{path}/tagged")
+    tagged = stored(_tagged(chunks), "tagged")
+    stats = tagged.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl")).first()
+    p = _postings(tagged).withColumn("block", F.shiftright("chunk_id", BITS))
+    at = (F.col("chunk_id") - F.shiftleft("block", BITS)).cast("smallint")
+    b = p.groupBy("word", "block").agg(F.count("*").cast("int").alias("n"), F.max(_part(F.lit(stats["avgdl"]))).alias("best"), F.array_sort(F.collect_list(F.struct(at.alias("at"), "f", "dl"))).alias("e"))
+    b = stored(b.select("word", "block", "n", "best", F.col("e.at").alias("at"), F.col("e.f").alias("f"), F.col("e.dl").alias("dl")), "blocks")
+    files = max(1, -(-int(str(tagged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // EACH))
+    b.repartitionByRange(files, "word", "block").sortWithinPartitions("word", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    row = spark.createDataFrame([(stats["n_chunks"], stats["avgdl"], content_hash, SIGNATURE, version)], "n_chunks long, avgdl double, content_hash string, signature string, version string")
+    row.write.mode("overwrite").parquet(meta)
     return True
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
-
-
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(postings, one row of n_chunks and avgdl) of a stored index."""
+    """(blocks of postings, one row of n_chunks and avgdl) of a stored index."""
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/meta").select("n_chunks", "avgdl")
 
 
+def unpacked(blocks: DataFrame, *keep: str) -> DataFrame:
+    """(keep, word, chunk_id, f, dl): a row for each posting."""
+    e = blocks.select(*keep, "word", "block", F.explode(F.arrays_zip("at", "f", "dl")).alias("e"))
+    return e.select(*keep, "word", (F.shiftleft("block", BITS) + F.col("e.at")).alias("chunk_id"), "e.f", "e.dl")
+
+
+def _asked(variants: DataFrame) -> tuple[DataFrame, list[str], bool]:
+    """The distinct words of the variants; as constants if they are few: a question's own; a batch of questions is joined instead."""
+    asked = variants.distinct()
+    words = [r[0] for r in asked.select("word").distinct().limit(WORDS + 1).collect()]
+    return asked, words, len(words) <= WORDS
+
+
+def block_bounds(blocks: DataFrame, stats: DataFrame, variants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((variant, block, bound), (word, idf)): blocks that hold all words of a variant, with what a score there can't exceed. Postings aren't read."""
+    asked, words, few = _asked(variants)
+    hint = F.broadcast if few else (lambda x: x)
+    heads = blocks.select("word", "block", "n", "best")
+    heads = heads.where(F.col("word").isin(words)) if few else heads.join(asked.select("word").distinct(), "word", "left_semi")
+    idf = stored(heads.groupBy("word").agg(F.sum("n").alias("df")).join(F.broadcast(stats)).select("word", _idf(F.col("n_chunks"), F.col("df")).alias("idf")), "idf")
+    need = asked.groupBy("variant").agg(F.count("*").alias("need"))
+    met = heads.join(hint(idf), "word").join(hint(asked), "word").groupBy("variant", "block").agg(F.sum(F.col("idf") * F.col("best")).alias("bound"), F.count("*").alias("hits"))
+    return met.join(hint(need), "variant").where("hits = need").select("variant", "block", "bound"), idf
+
+
+def block_max_top_k(spark: SparkSession, index: str, variants: DataFrame, k: int = CANDIDATES, allowed: DataFrame | None = None) -> DataFrame:
+    """(variant, chunk_id, score, r): the k best of each variant, as `top_k(bm25(...))`, from a stored index; `allowed` (chunk_id) limits the candidates.
+
+    A variant's blocks of the highest bounds are read first. Its k-th best score there is a limit: of the other blocks only
+    those are read whose bound reaches it.
+    """
+    blocks, stats = read_index(spark, index)
+    asked, words, few = _asked(variants)
+    hint = F.broadcast if few else (lambda x: x)
+    bounds, idf = block_bounds(blocks, stats, variants)
+    bounds = stored(bounds, "bounds")
+    need = asked.groupBy("variant").agg(F.count("*").alias("need"))
+    postings_ = blocks.where(F.col("word").isin(words)) if few else blocks
+
+    def scored(some: DataFrame) -> DataFrame:
+        own = postings_.join(small(some.join(hint(asked), "variant").select("variant", "word", "block")), ["word", "block"])
+        rows = unpacked(own, "variant")
+        rows = rows if allowed is None else rows.join(allowed.select("chunk_id"), "chunk_id", "left_semi")
+        s = rows.join(hint(idf), "word").join(F.broadcast(stats)).groupBy("variant", "chunk_id").agg((-F.sum(F.col("idf") * _part(F.col("avgdl")))).alias("score"), F.count("*").alias("hits"))
+        return s.join(hint(need), "variant").where("hits = need").select("variant", "chunk_id", "score")
+
+    best = Window.partitionBy("variant").orderBy(F.desc("bound"), "block")
+    first = stored(bounds.withColumn("o", F.row_number().over(best)).where(F.col("o") <= FIRST).drop("o"), "first")
+    found = stored(top_k(scored(first), k), "found")
+    limit = found.where(F.col("r") == k).select("variant", (-F.col("score") * (1 - 1e-9)).alias("limit"))
+    rest = bounds.join(hint(limit), "variant", "left").where(F.col("limit").isNull() | (F.col("bound") >= F.col("limit"))).join(small(first.select("variant", "block")), ["variant", "block"], "left_anti")
+    return top_k(found.drop("r").unionByName(scored(stored(rest.select("variant", "block"), "rest"))), k)
+
+
 def bm25(chunks: DataFrame, variants: DataFrame, scope: Column | None = None, index: str | None = None) -> DataFrame:
     """(variant, chunk_id, score): chunks with all words of a variant; lower is better.
 
     `variants` is (variant, word). Document frequencies and lengths are those of all chunks; `scope` is
     applied to the candidates afterwards, so Catalyst can't move it below the statistics. From an `index` the
-    words' buckets are read; else the texts are cut into words once, and what a query needs of them is stored.
+    words' blocks are read; else the texts are cut into words once, and what a query needs of them is stored.
     """
-    spark = chunks.sparkSession
-    asked = variants.distinct()
-    words = [r[0] for r in asked.select("word").distinct().limit(WORDS + 1).collect()]
-    few = len(words) <= WORDS  # a question's own; a batch of questions is joined instead
+    asked, words, few = _asked(variants)
     if index is not None:
-        found, stats = read_index(spark, index)
-        found = found.where(F.col("word").isin(words) & F.col("bucket").isin([r[0] for r in spark.createDataFrame([(w,) for w in words], "w string").select(_bucket(F.col("w"))).distinct().collect()])).drop("bucket") if few else found.drop("bucket").join(asked.select("word").distinct(), "word", "left_semi")
+        found, stats = read_index(chunks.sparkSession, index)
+        found = unpacked(found.where(F.col("word").isin(words)) if few else found.join(asked.select("word").distinct(), "word", "left_semi"))
     else:
         tagged = stored(_tagged(chunks, words if few else None), "tagged")
         found, stats = _postings(tagged), tagged.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"))
         found = found if few else found.join(asked.select("word").distinct(), "word", "left_semi")
     df = found.groupBy("word").agg(F.count("*").alias("df"))
-    need = variants.groupBy("variant").agg(F.count_distinct("word").alias("need"))
-    small = F.broadcast if few else (lambda x: x)
-    idf = F.greatest(F.log((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    s = found.join(small(df), "word").join(F.broadcast(stats)).join(small(asked), "word")
+    need = asked.groupBy("variant").agg(F.count("*").alias("need"))
+    hint = F.broadcast if few else (lambda x: x)
+    s = found.join(hint(df), "word").join(F.broadcast(stats)).join(hint(asked), "word")
     if scope is not None:
         s = s.join(chunks.where(scope).select("chunk_id"), "chunk_id", "left_semi")
-    s = s.groupBy("variant", "chunk_id").agg((-F.sum(part)).alias("score"), F.count("*").alias("hits"))
-    return s.join(small(need), "variant").where("hits = need").select("variant", "chunk_id", "score")
+    s = s.groupBy("variant", "chunk_id").agg((-F.sum(_idf(F.col("n_chunks"), F.col("df")) * _part(F.col("avgdl")))).alias("score"), F.count("*").alias("hits"))
+    return s.join(hint(need), "variant").where("hits = need").select("variant", "chunk_id", "score")
 
 
 def top_k(ranked: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -175,12 +237,13 @@ def phrase_then_terms(rows: DataFrame, text: str, asked: str) -> DataFrame:
     return hits.unionByName(rows.where(every).join(F.broadcast(none.where("none").select(F.lit(1).alias("__one"))), F.lit(1) == F.col("__one")).drop("__one"))
 
 
-def retrieve(chunks: DataFrame, variants: DataFrame, question: str, scope: Column | None = None, k: int = 8, most: int | None = None) -> DataFrame:
-    """The whole retrieval: ranked variants, fusion with coverage, the k best, their neighbours.
+def retrieve(chunks: DataFrame, variants: DataFrame, question: str, scope: Column | None = None, k: int = 8, most: int | None = None, index: str | None = None) -> DataFrame:
+    """The whole retrieval: ranked variants, fusion with coverage, the k best, their neighbours; with an `index` the lists come from its blocks.
 
     `chunks` is (chunk_id, doc, pos, section, title, text); `variants` (variant, word).
     """
-    ranked = top_k(bm25(chunks, variants, scope))
+    ranked = top_k(bm25(chunks, variants, scope)) if index is None else block_max_top_k(chunks.sparkSession, index, variants, allowed=None if scope is None else chunks.where(scope))
+    ranked = stored(ranked, "lists")
     cand = chunks.join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi")
     cover = cand.select("chunk_id", T.coverage(F.lit(question), F.col("text")).alias("coverage"))
     hits = fuse(ranked, cover).orderBy(F.desc(F.round("fused", 9)), "chunk_id").limit(k)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .shared import stored
 
 # Fixed values, in points.
 MIN_X, MIN_Y_COVER, MIN_AREA, MIN_SHARE, NEAR = 4.0, 0.5, 80.0, 0.4, 0.5
@@ -41,16 +41,44 @@ def selected_blocks(rects: DataFrame, blocks: DataFrame, words: Column) -> DataF
     return hit.where(F.col("area") >= F.least(F.lit(MIN_AREA), MIN_SHARE * F.col("total"))).where(T.text_supports(words, F.col("text"))).select("doc", "id")
 
 
-def drop_duplicates(boxes: DataFrame, key: str = "page") -> DataFrame:
-    """By falling score, boxes whose edges all lie within NEAR of a kept one are dropped: order decides, so page by page in Python."""
-
-    def keep(f: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        edges = f[["x0", "y0", "x1", "y1"]].to_numpy()
-        for i in f["score"].to_numpy().argsort(kind="stable")[::-1]:
-            if not any((abs(edges[i] - edges[k]) <= NEAR).all() for k in kept):
-                kept.append(i)
-        return f.iloc[sorted(kept)]
-
-    return boxes.groupBy(key).applyInPandas(keep, boxes.schema)
-
+_EDGES = ["x0", "y0", "x1", "y1"]
+
+
+def conflicts(boxes: DataFrame, key: str = "page") -> DataFrame:
+    """(key, better, worse): pairs of boxes of one page all of whose edges lie within NEAR of each other.
+
+    `boxes` is (key, node), where node is a struct that begins with the order and holds the edges. A box is in the cell of
+    its first corner and meets those of the nine cells around it.
+    """
+    cell = lambda c: F.floor(F.col(f"node.{c}") / NEAR).cast("long")
+    b = boxes.select(key, F.col("node").alias("better"), cell("x0").alias("cx"), cell("y0").alias("cy"))
+    around = F.array(*[F.struct((cell("x0") + i).alias("cx"), (cell("y0") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    other = boxes.select(key, F.col("node").alias("worse"), F.explode(around).alias("c")).select(key, "worse", "c.cx", "c.cy")
+    near = F.col("better") < F.col("worse")
+    for e in _EDGES:
+        near = near & (F.abs(F.col(f"better.{e}") - F.col(f"worse.{e}")) <= NEAR)
+    return b.join(other, [key, "cx", "cy"]).where(near).select(key, "better", "worse")
+
+
+def drop_duplicates(boxes: DataFrame, key: str = "page", id: str = "id", log: list[int] | None = None) -> DataFrame:
+    """By falling score (null last), then id, boxes whose edges all lie within NEAR of a kept one are dropped.
+
+    The same boxes as a walk in that order keeps, in rounds over the table of conflicts: a box that no undecided box
+    precedes is kept, and what it conflicts with is dropped. Of boxes with equal edges the first alone takes part, and
+    of rows equal in edges, score and id one. `log` gets the number of boxes dropped in each round.
+    """
+    node = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("s"), F.col(id).alias("i"), *_EDGES)
+    rows = boxes.withColumn("node", node)
+    one = stored(rows.groupBy(key, *_EDGES).agg(F.min("node").alias("node")).select(key, "node"), "boxes")
+    left, gone = stored(conflicts(one, key), "conflicts"), None
+    while not left.isEmpty():
+        # what has a worse one and no better one beside it is kept, what it beats goes
+        head = left.select(key, F.col("better").alias("node")).distinct().join(left.select(key, F.col("worse").alias("node")).distinct(), [key, "node"], "left_anti")
+        lost = stored(left.withColumnRenamed("better", "node").join(head, [key, "node"]).select(key, F.col("worse").alias("node")).distinct(), "lost")
+        if log is not None:
+            log.append(lost.count())
+        gone = lost if gone is None else gone.unionByName(lost)
+        decided = stored(lost.unionByName(head), "decided")
+        left = stored(left.join(decided.withColumnRenamed("node", "better"), [key, "better"], "left_anti").join(decided.withColumnRenamed("node", "worse"), [key, "worse"], "left_anti"), "conflicts")
+    kept = one if gone is None else one.join(gone, [key, "node"], "left_anti")
+    return rows.join(kept, [key, "node"], "left_semi").dropDuplicates([key, "node"]).select(*boxes.columns)

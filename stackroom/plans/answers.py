@@ -126,6 +126,12 @@ def _(spark, d):
     return inline(spark, "step string, rebuilt boolean", [(k, x[1]) for k, x in steps]).join(F.broadcast(n))
 
 
+@query("f03_block_max", _bm() + " select variant, chunk_id, round(score, 6) score, r::int r from tp")
+def _(spark, d):
+    path, _, _ = _index(spark, d)
+    return S.block_max_top_k(spark, path, _variants(spark)).select("variant", "chunk_id", F.round("score", 6).alias("score"), "r")
+
+
 @query("f03_bm25_indexed", _bm() + " select variant, chunk_id, round(score, 6) score from bm")
 def _(spark, d):
     path, _, chunks = _index(spark, d)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import commits, shared
 from ..operators import selection as SEL
 from ..operators import store as S
 from ..operators import structure as ST
@@ -107,12 +108,19 @@ def _(spark, d):
     return s.withColumn("kept", keep <= 60).where("kept").select("doc", "part")
 
 
-DETECT = [(1, "a", 0.9, 0.0, 0.0, 10.0, 10.0), (1, "b", 0.8, 0.3, 0.0, 10.2, 10.0), (1, "c", 0.7, 5.0, 0.0, 15.0, 10.0), (1, "d", 0.95, 0.0, 0.0, 10.0, 10.9)]
+def _boxes(spark, d):
+    """Boxes of detections: the lines of four orders are a page, in steps of 0.4 points, so that some lie within half a point of others."""
+    k, q, n = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    x0, y0 = (q % 4) * 0.4, (F.col("l_suppkey") % 3) * 0.4
+    return table(spark, d, "lineitem").select(F.expr("l_orderkey div 4").alias("page"), (k * 10 + n).alias("id"), (F.col("l_quantity") % 10).alias("score"), x0.alias("x0"), y0.alias("y0"), (x0 + 10 + (n % 2) * 0.4).alias("x1"), (y0 + 5).alias("y1"))
 
 
-@query("f17_drop_duplicate_boxes", f"with {values('o', 'id', [('a',), ('c',), ('d',)])} select id from o")
+@query(
+    "f17_drop_duplicate_boxes",
+    "with recursive b as (select l_orderkey // 4 page, l_orderkey * 10 + l_linenumber id, l_quantity % 10 score, (l_partkey % 4) * 0.4::double x0, (l_suppkey % 3) * 0.4::double y0, (l_partkey % 4) * 0.4::double + 10 + (l_linenumber % 2) * 0.4::double x1, (l_suppkey % 3) * 0.4::double + 5 y1 from lineitem), o as (select *, row_number() over (partition by page order by score desc, id, x0, y0, x1, y1) r from b), w as (select page, r, [{id: id, x0: x0, y0: y0, x1: x1, y1: y1}] kept from o where r = 1 union all select o.page, o.r, case when len(list_filter(w.kept, lambda k: abs(k.x0 - o.x0) <= 0.5 and abs(k.y0 - o.y0) <= 0.5 and abs(k.x1 - o.x1) <= 0.5 and abs(k.y1 - o.y1) <= 0.5)) = 0 then list_append(w.kept, {id: o.id, x0: o.x0, y0: o.y0, x1: o.x1, y1: o.y1}) else w.kept end from w join o on o.page = w.page and o.r = w.r + 1) select page, unnest(list_transform(arg_max(kept, r), lambda k: k.id)) id from w group by page",
+)
 def _(spark, d):
-    return SEL.drop_duplicates(inline(spark, "page int, id string, score double, x0 double, y0 double, x1 double, y1 double", DETECT)).select("id")
+    return SEL.drop_duplicates(_boxes(spark, d)).select("page", "id")
 
 
 @query("f20_vectors_to_build", "select doc_id from documents where doc_id not in (select vec_id from embeddings)")
@@ -185,11 +193,22 @@ def _(spark, d):
     return e.groupBy("operation").agg(F.count("*").alias("n"))
 
 
-@query("k02_two_table_insert", "select o_orderkey, count(l_linenumber) n from (select o_orderkey from orders union all select -1) o left join (select l_orderkey, l_linenumber from lineitem union all select -1, 1) on o_orderkey = l_orderkey group by 1")
+@query("k02_two_table_insert", "select 'notes' as \"table\", count(*) n, sum(o_orderkey)::bigint keys from orders where o_orderstatus in ('F', 'O') union all select 'targets', count(*), sum(l_orderkey)::bigint from lineitem where l_orderkey in (select o_orderkey from orders where o_orderstatus in ('F', 'O'))")
 def _(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey").unionByName(inline(spark, "o_orderkey long", [(-1,)]))
-    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber").unionByName(inline(spark, "l_orderkey long, l_linenumber int", [(-1, 1)]))
-    return o.join(l, F.expr("o_orderkey = l_orderkey"), "left").groupBy("o_orderkey").agg(F.count("l_linenumber").alias("n"))
+    # notes and their targets in one commit each; a third pair is written, but its writer ends before the manifest
+    root = f"{shared.folder(spark)}/notes-{shared.uuid.uuid4().hex}"
+    orders, lines = table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), table(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+
+    def pair(status):
+        o = orders.where(F.col("o_orderstatus") == status)
+        return {"notes": o, "targets": lines.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")}
+
+    commits.append(spark, root, pair("F"))
+    commits.append(spark, root, pair("O"))
+    commits.write_data(root, pair("P"))
+    now = commits.read(spark, root)
+    one = lambda name, key: now[name].agg(F.count("*").alias("n"), F.sum(key).alias("keys")).select(F.lit(name).alias("table"), "n", "keys")
+    return one("notes", "o_orderkey").unionByName(one("targets", "l_orderkey"))
 
 
 @query("k04_by_content", "select sha256(text) h, list(doc_id order by doc_id) ids from documents group by 1 having count(*) > 1")
