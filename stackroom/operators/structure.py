@@ -224,3 +224,27 @@ def reattach(targets: DataFrame, paragraphs: DataFrame, parts: bool = True) -> D
     state = F.when(F.col("exact").isNotNull(), "EXACT").when(F.col("holding") == 1, "REATTACHED").when(F.col("holding") > 1, "AMBIGUOUS").when(F.col("parts") == 1, "REATTACHED").when(F.col("parts") > 1, "AMBIGUOUS").otherwise("ORPHANED")
     found = F.when(F.col("exact").isNotNull(), F.col("exact")).when(F.col("holding") == 1, F.col("holder")).when((F.col("holding") == 0) & (F.col("parts") == 1), F.col("part"))
     return r.select("target", state.alias("state"), F.greatest("holding", F.when(F.col("holding") == 0, F.col("parts")).otherwise(0)).alias("n"), found.alias("found"))
+
+
+def number_key(number: Column) -> Column:
+    """Dotted section numbers in natural order: by parts, numbers by value and before letters."""
+    return F.transform(F.split(number, "[.]"), lambda p: F.struct((~p.rlike(r"^\d+$")).alias("letter"), F.when(p.rlike(r"^\d+$"), F.lpad(p, 9, "0")).otherwise(p).alias("p")))
+
+
+def ancestors(sections: DataFrame) -> DataFrame:
+    """(section, anc, k): every ancestor of each section (section, parent), k steps up; a parent without a row is the last.
+
+    A level is a join of the level before; a section that is its own ancestor ends its chain, so cycles end too.
+    """
+    up = sections.select(F.col("section").alias("anc"), F.col("parent").alias("next"))
+    level = stored(sections.where("parent is not null").select("section", F.col("parent").alias("anc"), F.lit(1).alias("k")), "ancestors")
+    out, first = level, 1
+    while True:
+        level = stored(level.where("anc <> section").join(up, "anc").where("next is not null").select("section", F.col("next").alias("anc"), (F.col("k") + 1).alias("k")), "ancestors")
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+        first += 1
+        if first % 20 == 0:
+            # a chain that meets a cycle of others goes on for ever: what it has met before is left out
+            level = level.join(out.where(F.col("k") < first).select("section", "anc"), ["section", "anc"], "left_anti")

@@ -424,26 +424,15 @@ def _(spark, d):
     return x.select("k", "x.text", F.transform("x.runs", lambda r: F.concat(r.start.cast("string"), F.lit("-"), r.stop.cast("string"), F.lit(":"), F.array_join(r.styles, ","))).alias("runs"))
 
 
-@query("a06_archives", "select 'n' || n_regionkey || '.zip' name, 'a/' || min(n_nationkey) || '.json' member, '{\"n\": ' || min(n_nationkey) || '}' as value from nation where n_nationkey < 10 group by n_regionkey")
-def _(spark, d):
-    import io
-    import zipfile
-
-    path = f"{shared.folder(spark)}/archives-{shared.uuid.uuid4().hex}"
-    # ten nations of five regions: small files as a parser's service would send them
-    rows = sorted(tuple(r) for r in table(spark, d, "nation").where("n_nationkey < 10").select("n_regionkey", "n_nationkey").collect())
-    for region in sorted({r for r, _ in rows}):
-        z = io.BytesIO()
-        with zipfile.ZipFile(z, "w") as f:
-            f.writestr("../a/evil.json", "{}")
-            f.writestr("/abs.json", "{}")
-            f.writestr("image.png", "x")
-            for r, n in rows:
-                if r == region:
-                    f.writestr(f"a/{n}.json", f'{{"n": {n}}}')
-        shared.write_file(spark, f"{path}/n{region}.zip", z.getvalue())
-    shared.write_file(spark, f"{path}/broken.zip", b"no archive")
-    return R.read_archives(spark, path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "member", "value")
+@query("a06_archives", "select 'n' || p_partkey || '.zip' name, 'a/' || p_partkey || '.json' member, '{\"n\": ' || p_size || '}' as value from part where p_partkey % 5 <> 0")
+def _(spark, d):
+    # an archive for each part, with members that lead out of it; some files are none
+    k = F.col("p_partkey").cast("string")
+    names = F.array(F.lit("../a/evil.json"), F.lit("/abs.json"), F.lit("image.png"), F.concat(F.lit("b/"), k, F.lit(".json")), F.concat(F.lit("a/"), k, F.lit(".json")))
+    values_ = F.array(F.lit("{}"), F.lit("{}"), F.lit("x"), F.lit("{}"), F.concat(F.lit('{"n": '), F.col("p_size").cast("string"), F.lit("}")))
+    z = R.archived(table(spark, d, "part").select(F.concat(F.lit("in/n"), k, F.lit(".zip")).alias("path"), names.alias("names"), values_.alias("values")))
+    broken = F.regexp_extract("path", r"n(\d+)", 1).cast("long") % 5 == 0
+    return R.archive_members(z.withColumn("content", F.when(broken, F.substring("content", 1, 20)).otherwise(F.col("content")))).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "member", "value")
 
 
 def _records(spark, d, value, good, schema: str):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -65,3 +65,24 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
 def inline(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     ship(spark)
     return spark.createDataFrame(rows, schema)
+
+
+def cases(texts: list[str | None], names: str = "k, s") -> str:
+    """A subquery of `part` rows: each key has one of the texts, with its name for @n and its size for @z."""
+    k, text = names.split(", ")
+    return f"(select p_partkey {k}, replace(replace({literal(texts)}[p_partkey % {len(texts)} + 1], '@n', p_name), '@z', p_size::varchar) {text} from part)"
+
+
+def expected(texts: list[str | None]) -> str:
+    """The text that belongs to a row of `cases`."""
+    return f"replace(replace({literal(texts)}[p_partkey % {len(texts)} + 1], '@n', p_name), '@z', p_size::varchar)"
+
+
+def case_of(texts: list[str | None]) -> Column:
+    one = F.element_at(F.array(*[F.lit(x).cast("string") for x in texts]), (F.col("p_partkey") % len(texts) + 1).cast("int"))
+    return F.replace(F.replace(one, F.lit("@n"), F.col("p_name")), F.lit("@z"), F.col("p_size").cast("string"))
+
+
+def case_table(spark: SparkSession, sf_dir: str, texts: list[str | None]) -> DataFrame:
+    """(k, s): the rows of `cases`."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), case_of(texts).alias("s"))

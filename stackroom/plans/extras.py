@@ -20,12 +20,12 @@ def _(spark, d):
     return R.json_notes(c).select("doc", F.size(F.from_json("value", "notes array<struct<id:bigint>>")["notes"]).cast("long").alias("n"))
 
 
-WORK = R.dump({"id": "https://x.org/W1", "display_name": "A title", "publication_year": 2020, "doi": "https://doi.org/10.1/ABC", "cited_by_count": 5, "referenced_works": ["W2"], "abstract_inverted_index": {"b": [1, 3], "a": [0], "c": [2]}})
-
-
-@query("a25_work_record", "select 'W1' as \"key\", 'A title' title, 2020 as \"year\", '10.1/abc' doi, 5 cited_by, ['W2'] reference_keys, 'a b c b' abstract")
+@query("a25_work_record", "select 'W' || p_partkey as \"key\", p_name title, 2000 + p_size as \"year\", '10.1/abc' || p_partkey doi, p_size cited_by, ['W' || (p_partkey + 1)] reference_keys, 'a b c' || p_size || ' b' abstract from part")
 def _(spark, d):
-    return R.work_of(inline(spark, "value string", [(WORK,)]))
+    k, z = F.col("p_partkey").cast("string"), F.col("p_size")
+    index = F.map_from_arrays(F.array(F.lit("b"), F.lit("a"), F.concat(F.lit("c"), z.cast("string"))), F.array(F.array(F.lit(1), F.lit(3)), F.array(F.lit(0)), F.array(F.lit(2))))
+    raw = F.struct(F.concat(F.lit("https://x.org/W"), k).alias("id"), F.col("p_name").alias("display_name"), (2000 + z).alias("publication_year"), F.concat(F.lit("https://doi.org/10.1/ABC"), k).alias("doi"), z.alias("cited_by_count"), F.array(F.concat(F.lit("W"), (F.col("p_partkey") + 1).cast("string"))).alias("referenced_works"), index.alias("abstract_inverted_index"))
+    return R.work_of(table(spark, d, "part").select(F.to_json(raw).alias("value")))
 
 
 @query("j01_provider_call", "select conv_id, turn, length(text)::int n from conversations")

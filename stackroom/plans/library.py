@@ -9,18 +9,18 @@ from ..functions import text as T
 from ..operators import linking as L
 from ..operators import store as S
 from ..operators.shared import placed
-from .base import LINES, inline, paragraphs, query, table, values
+from .base import LINES, case_of, case_table, inline, literal, paragraphs, query, table, values
 
-EVIDENCE = [("E1", "ResNet-50 reaches 76.1% with 1000 layers"), ("E2", "GPT-4 and V100 baselines by 3.5 points"), ("E3", "nothing")]
-CLAIMS = [(0, "ResNet-50 reaches 76.1% accuracy on the test set [E1]."), (1, "It uses 1,000 layers and 42 heads in the network [E1]."), (2, "This claim has no marker at all, which is a problem."), (3, "GPT-4 beats the V100 baselines by 3.5 points [E2][E1]."), (4, "short.")]
-OUT = [(0, "ok"), (1, "missing"), (2, "uncited"), (3, "ok")]
+EVIDENCE = {"E1": "ResNet-50 reaches @z.1% with 1000 layers", "E2": "GPT-4 and V100 baselines by 3.5 points of @n", "E3": "nothing"}
+CLAIMS = ["ResNet-50 reaches @z.1% accuracy on the test set [E1].", "It uses 1,000 layers and 9@z heads in the network [E1].", "This claim of @n has no marker at all, which is a problem.", "GPT-4 beats the V100 baselines by 3.5 points [E2][E1].", "short."]
 
 
-@query("h27_grounding_problems", f"with {values('o', 'id, state', OUT)} select * from o")
+@query("h27_grounding_problems", f"select * from (select p_partkey id, {literal(['ok', 'missing', 'uncited', 'ok', None])}[p_partkey % 5 + 1] state from part) where state is not null")
 def _(spark, d):
-    c = inline(spark, "id int, s string", CLAIMS).where(T.claim_weight(F.col("s")) >= T.MIN_CLAIM).withColumn("markers", F.array_distinct(T.extract_markers(F.col("s"))))
-    e = inline(spark, "m string, t string", EVIDENCE)
-    hay = c.select("id", F.explode("markers").alias("m")).join(e, "m").groupBy("id").agg(F.array_join(F.collect_list(F.replace(F.lower("t"), F.lit(","), F.lit(""))), " ").alias("hay"))
+    c = case_table(spark, d, CLAIMS).withColumnRenamed("k", "id").where(T.claim_weight(F.col("s")) >= T.MIN_CLAIM).withColumn("markers", F.array_distinct(T.extract_markers(F.col("s"))))
+    each = F.array(*[F.struct(F.lit(m).alias("m"), case_of([t]).alias("t")) for m, t in EVIDENCE.items()])
+    e = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.explode(each).alias("e")).select("id", "e.m", "e.t")
+    hay = c.select("id", F.explode("markers").alias("m")).join(e, ["id", "m"]).groupBy("id").agg(F.array_join(F.collect_list(F.replace(F.lower("t"), F.lit(","), F.lit(""))), " ").alias("hay"))
     j = c.join(hay, "id", "left").withColumn("missing", F.filter(F.transform(T.anchors(F.col("s")), lambda a: T.canonical_token(a)), lambda a: ~F.contains(F.coalesce("hay", F.lit("")), a)))
     return j.select("id", F.when(F.size("markers") == 0, "uncited").when(F.size("missing") > 0, "missing").otherwise("ok").alias("state"))
 
@@ -379,23 +379,24 @@ def _(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("value", "event_id").alias("value"))
 
 
-REPLY = [(0, '{"queries": ["a b", "A b", "a b", ""]}', 2), (1, '{"queries": ["only"]}', None), (2, "no json", None), (3, '```json\n{"queries": ["x y", "?!", "z 1", "w", "v", "u"]}\n```', 4)]
+REPLY = ['{"queries": ["a @n", "A @n", "a @n", ""]}', '{"queries": ["only @n"]}', "no json", '```json\n{"queries": ["x @n", "?!", "z @z", "w", "v", "u"]}\n```']
 
 
-@query("j03_parse_queries", f"with {values('r', 'id, reply, n', REPLY)} select id, n from r")
+@query("j03_parse_queries", "select p_partkey k, case p_partkey % 4 when 0 then 2 when 3 then 4 end n from part")
 def _(spark, d):
-    r = inline(spark, "id int, reply string", [x[:2] for x in REPLY]).withColumn("j", T.json_object(F.col("reply")))
+    r = case_table(spark, d, REPLY).withColumn("j", T.json_object(F.col("s")))
     q = F.transform(F.from_json("j", "queries array<string>")["queries"], lambda x: T.squeeze(x))
     q = F.array_distinct(F.filter(q, lambda x: (x != "") & (F.length(x) <= 120) & x.rlike(r"[\p{L}\p{N}]")))
-    return r.withColumn("q", q).select("id", F.when(F.size("q") >= 2, F.least(F.size("q"), F.lit(4))).alias("n"))
+    return r.withColumn("q", q).select("k", F.when(F.size("q") >= 2, F.least(F.size("q"), F.lit(4))).alias("n"))
 
 
-ENTRIES = [(0, "a", "x"), (1, "b", ""), (2, "a", "y"), (3, "zz", "w"), (4, "c", "note to the translator"), (5, "d", "ok")]
-
-
-@query("h54_validated_entries", f"with {values('e', 'pos, id, t', ENTRIES)} select id, t from e where id in ('a', 'b', 'c', 'd') and trim(t) <> '' and not contains(lower(t), 'translator') qualify row_number() over (partition by id order by pos) = 1")
+@query("h54_validated_entries", "select p_size doc, 'i' || (p_partkey % 7) id, p_name t from part where p_partkey % 7 < 4 and p_partkey % 5 > 1 qualify row_number() over (partition by p_size, p_partkey % 7 order by p_partkey) = 1")
 def _(spark, d):
-    j = F.to_json(F.array(*[F.struct(F.lit(i).alias("id"), F.lit(t).alias("text")) for _, i, t in ENTRIES]))
-    e = spark.range(1).select(F.posexplode(F.from_json(j, "array<struct<id:string,text:string>>")).alias("pos", "e")).select("pos", "e.id", F.col("e.text").alias("t"))
-    e = e.where(F.col("id").isin("a", "b", "c", "d") & (F.trim("t") != "") & ~F.contains(F.lower("t"), F.lit("translator")))
-    return S.latest(e, ["id"], [F.col("pos")]).select("id", "t")
+    # a reply for each size: the parts in order, some of them empty, remarks to the translator, or not asked for
+    k = F.col("p_partkey")
+    text = F.when(k % 5 == 0, " ").when(k % 5 == 1, F.concat(F.lit("Note to the Translator: "), "p_name")).otherwise(F.col("p_name"))
+    one = F.struct(F.concat(F.lit("i"), (k % 7).cast("string")).alias("id"), text.alias("text"))
+    r = table(spark, d, "part").groupBy(F.col("p_size").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("e")))).alias("x")).select("doc", F.to_json(F.transform("x", lambda x: x.e)).alias("j"))
+    e = r.select("doc", F.posexplode(F.from_json("j", "array<struct<id:string,text:string>>")).alias("pos", "e")).select("doc", "pos", "e.id", F.col("e.text").alias("t"))
+    e = e.where(F.col("id").isin("i0", "i1", "i2", "i3") & (F.trim("t") != "") & ~F.contains(F.lower("t"), F.lit("translator")))
+    return S.latest(e, ["doc", "id"], [F.col("pos")]).select("doc", "id", "t")

@@ -11,7 +11,7 @@ from ..operators import selection as SEL
 from ..operators import store as S
 from ..operators import structure as ST
 from ..operators.shared import placed
-from .base import LINES, inline, paragraphs, query, table, values
+from .base import LINES, case_table, inline, literal, paragraphs, query, table
 from .structure import BLOCKS, _blocks
 
 
@@ -62,22 +62,27 @@ def _(spark, d):
     return _blocks(spark, d).where("layout = 'title'").groupBy("doc").agg(F.array_sort(F.collect_list("pos")).alias("headings"))
 
 
-TARGETS = [("a", "h1", 1, "title", "x", "EXACT"), ("b", "no", 1, "title", "alpha", "REATTACHED"), ("c", "no", 1, "figure", "alpha", "ORPHANED"), ("d", "no", 1, "title", "", "ORPHANED")]
-
-
-@query("c08_reattach_blocks", f"with {values('o', 'target, anchor, page, layout, quote, state', TARGETS)} select target, state from o")
+@query("c08_reattach_blocks", "select p_partkey target, case p_partkey % 4 when 0 then 'EXACT' when 1 then 'REATTACHED' else 'ORPHANED' end state from part")
 def _(spark, d):
-    p = inline(spark, "id int, anchor string, doc int, page int, layout string, text string", [(1, "h1", 1, 1, "title", "alpha beta"), (2, "h2", 1, 1, "figure", "gamma")])
-    t = inline(spark, "target string, anchor string, page int, layout string, quote string, want string", TARGETS).withColumn("doc", F.lit(1))
-    key = lambda df: df.withColumn("doc", F.concat_ws("|", "doc", "layout"))
-    return ST.reattach(key(t), key(p)).select("target", "state")
+    # every part is a block; a quarter of the targets have its anchor, the others a quote on the same or another class, or none
+    k = F.col("p_partkey")
+    layout = lambda x: F.when(x % 2 == 0, "title").otherwise("figure")
+    text = F.concat(F.lit("#"), k.cast("string"), F.lit(". "), "p_name")
+    b = table(spark, d, "part").select(k.alias("id"), F.concat(F.lit("h"), k.cast("string")).alias("anchor"), F.concat_ws("|", "p_size", layout(k)).alias("doc"), F.lit(1).alias("page"), text.alias("text"))
+    t = table(spark, d, "part").select(k.alias("target"), F.when(k % 4 == 0, F.concat(F.lit("h"), k.cast("string"))).otherwise("no").alias("anchor"), F.lit(1).alias("page"), F.when(k % 4 == 3, "").otherwise(F.concat(F.lit("#"), k.cast("string"), F.lit(". "))).alias("quote"), F.concat_ws("|", "p_size", layout(F.when(k % 4 == 2, k + 1).otherwise(k))).alias("doc"))
+    return ST.reattach(t, b).select("target", "state")
 
 
-@query("c15_selected_paragraphs", f"with {values('o', 'id', [('p1',)])} select id from o")
+@query("c15_selected_paragraphs", "select p_partkey doc, 'p1' id from part where p_partkey % 3 > 0 union all select p_partkey, 'p5' from part where p_partkey % 3 = 2")
 def _(spark, d):
-    sel = inline(spark, "doc int, page int, x0 double, y0 double, x1 double, y1 double", [(1, 1, 0.0, 10.0, 50.0, 20.0)])
-    par = inline(spark, "doc int, page int, id string, x0 double, y0 double, x1 double, y1 double, text string", [(1, 1, "p1", 0.0, 8.0, 60.0, 24.0, "the chosen words are here"), (1, 1, "p2", 48.0, 8.0, 90.0, 24.0, "beside"), (1, 1, "p3", 0.0, 19.5, 60.0, 40.0, "below"), (1, 2, "p4", 0.0, 8.0, 60.0, 24.0, "the chosen words")])
-    return SEL.selected(sel, par, F.lit("the chosen words"))
+    # a paper for each part: a selection, and paragraphs under it, beside it, below it, on another page
+    p = table(spark, d, "part").withColumn("doc", F.col("p_partkey"))
+    words = F.lit("the chosen words")
+    box = lambda i, page, x0, y0, x1, y1, text: F.struct(F.lit(i).alias("id"), F.lit(page).alias("page"), *[F.lit(float(v)).alias(n) for n, v in (("x0", x0), ("y0", y0), ("x1", x1), ("y1", y1))], text.alias("text"))
+    own = F.when(F.col("doc") % 3 == 0, F.col("p_name")).otherwise(F.concat(words, F.lit(" are here, "), "p_name"))
+    every = F.array(box("p1", 1, 0, 8, 60, 24, own), box("p2", 1, 48, 8, 90, 24, words), box("p3", 1, 0, 19.5, 60, 40, words), box("p4", 2, 0, 8, 60, 24, words), box("p5", 1, 10, 9, 50, 22, F.when(F.col("doc") % 3 == 2, F.concat(F.lit("again "), words)).otherwise("beside")))
+    sel = p.select("doc", F.lit(1).alias("page"), *[F.lit(v).alias(n) for n, v in (("x0", 0.0), ("y0", 10.0), ("x1", 50.0), ("y1", 20.0))])
+    return SEL.selected_blocks(sel, p.select("doc", F.explode(every).alias("b")).select("doc", "b.*"), words)
 
 
 @query("c18_nearest_paragraph", f"with {BLOCKS}, f as (select * from bl where layout = 'figure'), p as (select * from bl where layout = 'plain text') select f.doc, f.pos, arg_min(p.pos, abs(p.page - f.page) * 1000000.0 + abs(p.pos - f.pos) * 1000 + p.pos / 10.0) nearest from f join p using (doc) group by all")
@@ -98,14 +103,11 @@ def _(spark, d):
     return j.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("ok"), F.count_if(F.col("quality") == 0).alias("failed"))
 
 
-SHED = [(1, "summary", 0, 30), (1, "section", 1, 50), (1, "before", 2, 20), (1, "after", 3, 25), (2, "summary", 0, 10), (2, "after", 3, 10)]
-
-
-@query("e12_load_shedding", f"with {values('s', 'doc, part, pos, cost', SHED)} select doc, part from s qualify sum(cost) over (partition by doc order by pos desc) <= 60")
+@query("e12_load_shedding", "select l_orderkey doc, l_linenumber part, l_quantity cost from lineitem qualify sum(l_quantity) over (partition by l_orderkey order by l_linenumber desc) <= 60")
 def _(spark, d):
-    s = inline(spark, "doc int, part string, pos int, cost int", SHED)
-    keep = F.sum("cost").over(Window.partitionBy("doc").orderBy(F.desc("pos")))
-    return s.withColumn("kept", keep <= 60).where("kept").select("doc", "part")
+    # the lines of an order are the parts of a request; the first ones are shed until the rest fits
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("part"), F.col("l_quantity").alias("cost"))
+    return s.withColumn("rest", F.sum("cost").over(Window.partitionBy("doc").orderBy(F.desc("part")))).where("rest <= 60").drop("rest")
 
 
 def _boxes(spark, d):
@@ -134,14 +136,14 @@ def _(spark, d):
     return j.groupBy("c_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("exact"), F.count("o_orderkey").alias("total"))
 
 
-REFS = [(1, "[1] First. [2] Second."), (2, "[2] Again. [3] Third.")]
-
-
-@query("h47_reference_index", f"with {values('o', 'number, entry', [(1, '[1] First.'), (2, '[2] Second.'), (3, '[3] Third.')])} select number, entry from o")
+@query("h47_reference_index", "with p as (select p_partkey k, p_partkey % 900 + 1 n, p_name from part), e as (select 2 * k o, n number, '[' || n || '] ' || p_name || '.' entry from p union all select 2 * k + 1, n + 1, '[' || (n + 1) || '] After ' || p_name || '.' from p) select number, arg_min(entry, o) entry from e group by 1")
 def _(spark, d):
     from ..operators.references import bibliography_entries
 
-    e = bibliography_entries(inline(spark, "id int, text string", REFS)).withColumn("number", F.regexp_extract("text", r"^\[(\d+)\]", 1).cast("int"))
+    n = F.col("p_partkey") % 900 + 1
+    mark = lambda x: F.concat(F.lit("["), x.cast("string"), F.lit("] "))
+    refs = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(mark(n), "p_name", F.lit(". "), mark(n + 1), F.lit("After "), "p_name", F.lit(".")).alias("text"))
+    e = bibliography_entries(refs).withColumn("number", F.regexp_extract("text", r"^\[(\d+)\]", 1).cast("long"))
     return e.groupBy("number").agg(F.min_by("text", F.struct("id", "n")).alias("entry"))
 
 
@@ -162,18 +164,20 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.transform(blocks, lambda b: F.when(b.rlike("^#{1,6} "), "heading").when(b.rlike(r"^\s*[-*] "), "list").otherwise("paragraph")).alias("kinds"))
 
 
-@query("h67_validation_message", "select conv_id, turn, case when turn % 4 = 1 then '' when turn % 4 = 2 then 'unknown: E' || turn else 'unknown: E' || turn || ', E99' end message from conversations where turn > 1")
+@query("h67_validation_message", "select conv_id, turn, case when turn % 4 = 1 then '' when turn % 4 = 2 then 'unknown: E' || turn else 'unknown: E' || turn || ', E99' end message from conversations")
 def _(spark, d):
-    c = table(spark, d, "conversations").where("turn > 1")
+    c = table(spark, d, "conversations")
     s = F.concat(F.lit("bad [E"), F.when(F.col("turn") % 4 == 1, F.lit("1")).otherwise(F.col("turn").cast("string")), F.lit("] and [E1]"), F.when(F.col("turn") % 4 == 1, F.lit("")).when(F.col("turn") % 4 == 2, F.lit("")).otherwise("[E99]"))
     u = T.unknown_markers(s, T.strings(["E1"]))
     return c.select("conv_id", "turn", F.when(F.size(u) > 0, F.concat(F.lit("unknown: "), F.array_join(u, ", "))).otherwise("").alias("message"))
 
 
-@query("h71_typed_failures", f"with {values('o', 'id, kind', [(0, 'ok'), (1, 'no_object'), (2, 'not_json'), (3, 'empty')])} select id, kind from o")
+TYPED = ['x {"a": @z}', "none of @n", "{oops @n}", "  "]
+
+
+@query("h71_typed_failures", f"select p_partkey k, {literal(['ok', 'no_object', 'not_json', 'empty'])}[p_partkey % 4 + 1] kind from part")
 def _(spark, d):
-    a = inline(spark, "id int, s string", [(0, 'x {"a": 1}'), (1, "none"), (2, "{oops}"), (3, "  ")])
-    return a.select("id", F.when(F.trim("s") == "", "empty").when(~F.col("s").rlike(r"(?s)\{.*\}"), "no_object").when(T.json_object(F.col("s")).isNull(), "not_json").otherwise("ok").alias("kind"))
+    return case_table(spark, d, TYPED).select("k", F.when(F.trim("s") == "", "empty").when(~F.col("s").rlike(r"(?s)\{.*\}"), "no_object").when(T.json_object(F.col("s")).isNull(), "not_json").otherwise("ok").alias("kind"))
 
 
 @query("h72_first_answers", "select conv_id, 'f' || turn id, role || ' ' || turn latex from conversations where turn < 4 and role <> 'system'")

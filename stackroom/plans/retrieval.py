@@ -132,9 +132,10 @@ def _(spark, d):
     return S.dense_top_k(v, q, 5, v.where("label = 3").select("id")).select("id", F.round("score", 6).alias("score"))
 
 
-@query("g05_distinct_variants", f"with {VSQL} select word, min(variant) source from v group by 1")
+@query("g05_distinct_variants", "select p_name word, min(p_brand) source from part group by 1")
 def _(spark, d):
-    return _variants(spark).groupBy("word").agg(F.min("variant").alias("source"))
+    # each brand asks for its parts' names: the first that asks is a question's source
+    return table(spark, d, "part").groupBy(F.col("p_name").alias("word")).agg(F.min("p_brand").alias("source"))
 
 
 @query("b09_needs_rewrite", f"with {VSQL}, q(q) as (values ('残差'), ('plain'), ('nothinglikethis')) select q, not exists (select 1 from documents where contains(text, q)) no_match, regexp_matches(q, '[{T.CJK_NARROW}]') cjk from q")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import python as py
 from ..functions import text as T
-from .base import LINES, inline, literal, paragraphs, query, table, values
+from .base import LINES, case_of, case_table, cases, expected, literal, paragraphs, query, table
 
 SP = r"[\t \x{00A0}\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}]+"
 WORDS = r"list_filter(list_transform(string_split_regex({x}, '[^\p{{L}}\p{{N}}_\-.]+'), lambda w: lower(regexp_replace(w, '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g'))), lambda w: regexp_matches(w, '[\p{{L}}\p{{N}}]'))"
@@ -41,26 +41,26 @@ def _(spark, d):
     return paragraphs(spark, d).withColumn("p", F.lag("text").over(w)).select("doc_id", "pos", F.coalesce(T.continues(F.col("p"), F.col("text")), F.lit(False)).alias("goes_on"))
 
 
-TITLES = ["1. Introduction", "Abstract", "References", "Appendix A: Proofs", "Acknowledgements", "Table of Contents", "3. Method", "Funding", "摘要", "参考文献", "Keywords", "IV. BACKGROUND", "附录", "Related  Work", "Results", "12) Works Cited", "Abstraction layers", "Preliminaries: notation"]
-TV = values("t", "title", [(x,) for x in TITLES])
+TITLES = ["1. Introduction", "Abstract", "References", "Appendix A: @n", "Acknowledgements", "Table of Contents", "3. @n", "Funding", "摘要", "参考文献", "Keywords", "IV. BACKGROUND", "附录", "Related  Work", "Results of @n", "12) Works Cited", "Abstraction layers", "Preliminaries: @n"]
+TV = f"t as {cases(TITLES, 'k, title')}"
 
 
-def _titles(spark):
-    return inline(spark, "title string", [(x,) for x in TITLES])
+def _titles(spark, d):
+    return case_table(spark, d, TITLES).withColumnRenamed("s", "title")
 
 
 @query(
     "b06_classify_section",
-    f"""with {TV} select title, case when regexp_matches(title, '{T.ACKNOWLEDGEMENTS}') or regexp_matches(title, '{T.APPENDIX}') or regexp_matches(title, '{T.BIBLIOGRAPHY}') then 'excluded'
+    f"""with {TV} select k, title, case when regexp_matches(title, '{T.ACKNOWLEDGEMENTS}') or regexp_matches(title, '{T.APPENDIX}') or regexp_matches(title, '{T.BIBLIOGRAPHY}') then 'excluded'
     when regexp_matches(title, '{T.FRONT_MATTER}') then case when regexp_matches(title, '{T.ABSTRACT_ROLE}') then 'abstract' else 'excluded' end else 'substantive' end as role from t""",
 )
 def _(spark, d):
-    return _titles(spark).select("title", T.classify_section(F.col("title"), F.lit(False)).alias("role"))
+    return _titles(spark, d).select("k", "title", T.classify_section(F.col("title"), F.lit(False)).alias("role"))
 
 
-@query("b19_front_matter_heading", f"with {TV} select title, regexp_matches(title, '{T.READING_FRONT}') or regexp_matches(title, '^(?:摘要|引言|绪论|背景|相关工作|预备知识)\\s*(?:[:：].*)?$') front from t")
+@query("b19_front_matter_heading", f"with {TV} select k, title, regexp_matches(title, '{T.READING_FRONT}') or regexp_matches(title, '^(?:摘要|引言|绪论|背景|相关工作|预备知识)\\s*(?:[:：].*)?$') front from t")
 def _(spark, d):
-    return _titles(spark).select("title", T.is_front_matter(F.col("title")).alias("front"))
+    return _titles(spark, d).select("k", "title", T.is_front_matter(F.col("title")).alias("front"))
 
 
 HOSTS = ["http://localhost/x", "http://10.0.0.1", "https://192.168.1.5:80/y", "ftp://a.org", "https://172.16.3.4/", "http://127.0.0.1", "https://172.40.3.4/", "http://11.0.0.1/z", ""]
@@ -97,43 +97,43 @@ def _(spark, d):
 
 
 ANSWERS = [
-    "We use ResNet-50 [E1]. It reaches 76.1% top-1 accuracy [E2][E3]. See Fig. 3 for more details of the setup.",
-    "The loss is 0.05 e.g. in Table 2. [E1] Claim two has a number 1,000 and cites [E9]. Ok.",
-    "No markers here but a long enough sentence to be a claim about the paper, i.e. a problem.",
-    "[E2] starts with a marker. And Smith et al. show 42 things [E1]! Is that so? Yes it is so, indeed.",
-    "我们采用残差学习。结果很好 [E1]。GPT-4 outperforms V100 baselines by 3.5 points [E2].",
+    "We use ResNet-50 [E1]. It reaches @z.1% top-1 accuracy [E2][E3]. See Fig. 3 for more details of the @n.",
+    "The loss is 0.05 e.g. in Table 2. [E1] Claim two has a number 1,000 and cites [E@z]. Ok.",
+    "No markers here but a long enough sentence to be a claim about the @n, i.e. a problem.",
+    "[E2] starts with a marker. And Smith et al. show @z things [E1]! Is that so? Yes it is so, indeed.",
+    "我们采用残差学习。结果很好 [E1]。GPT-4 outperforms V100 baselines by 3.5 points [E2] [E1] @n.",
     "",
 ]
-AV = values("a", "id, answer", list(enumerate(ANSWERS)))
+AV = f"a as {cases(ANSWERS, 'id, answer')}"
 
 
-def _answers(spark):
-    return inline(spark, "id int, answer string", list(enumerate(ANSWERS)))
+def _answers(spark, d):
+    return case_table(spark, d, ANSWERS).withColumnsRenamed({"k": "id", "s": "answer"})
 
 
 @query("h22_extract_markers", f"with {AV} select id, regexp_extract_all(answer, '\\[(E[0-9]+)\\]', 1) markers from a")
 def _(spark, d):
-    return _answers(spark).select("id", T.extract_markers(F.col("answer")).alias("markers"))
+    return _answers(spark, d).select("id", T.extract_markers(F.col("answer")).alias("markers"))
 
 
 @query("b23_unknown_markers", f"with {AV} select id, list_filter(m, lambda x: x not in ('E1', 'E2')) unknown from (select id, regexp_extract_all(answer, '\\[(E[0-9]+)\\]', 1) m from a)")
 def _(spark, d):
-    return _answers(spark).select("id", T.unknown_markers(F.col("answer"), T.strings(["E1", "E2"])).alias("unknown"))
+    return _answers(spark, d).select("id", T.unknown_markers(F.col("answer"), T.strings(["E1", "E2"])).alias("unknown"))
 
 
 @query("h23_claim_weight", f"with {AV} select id, length(regexp_replace(answer, '[^{T.CJK}]', '', 'g')) * 3.0::double + (length(answer) - length(regexp_replace(answer, '[^{T.CJK}]', '', 'g'))) weight from a")
 def _(spark, d):
-    return _answers(spark).select("id", T.claim_weight(F.col("answer")).alias("weight"))
+    return _answers(spark, d).select("id", T.claim_weight(F.col("answer")).alias("weight"))
 
 
 @query("h26_anchors", f"with {AV} select id, list_concat(regexp_extract_all(b, '{T.NUMBER}'), regexp_extract_all(b, '{T.IDENTIFIER}')) anchors from (select id, regexp_replace(answer, '\\[(E[0-9]+)\\]', ' ', 'g') b from a)")
 def _(spark, d):
-    return _answers(spark).select("id", T.anchors(F.col("answer")).alias("anchors"))
+    return _answers(spark, d).select("id", T.anchors(F.col("answer")).alias("anchors"))
 
 
 @query("h24_split_sentences")
 def _(spark, d):
-    return _answers(spark).select("id", T.split_sentences(F.col("answer")).alias("sentences"))
+    return _answers(spark, d).select("id", T.split_sentences(F.col("answer")).alias("sentences"))
 
 
 @query("h25_claim_sentences")
@@ -160,24 +160,26 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.coverage(F.lit(ASKED), F.col("text")).alias("coverage"))
 
 
-QUERIES_ = ["ResNet-50", "F(x)", "p < 0.05", "AND NOT", "", "残差 网络", "?!", "state_of the-art.", '"quoted" term']
-QV = values("q", "q", [(x,) for x in QUERIES_])
+QUERIES_ = ["ResNet-@z", "F(@n)", "p < 0.05", "AND NOT", "", "残差 网络", "?!", "state_of the-art. @n", '"@n" term', "  @n  "]
+QV = f"q as {cases(QUERIES_, 'k, q')}"
 
 
-@query("h13_normalize_terms", f"""with {QV} select q, list_transform(list_filter(list_transform(string_split_regex(q, '[^\\p{{L}}\\p{{N}}_\\-.]+'), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+$', '', 'g')), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]')), lambda w: '"' || w || '"') terms from q""")
+@query("h13_normalize_terms", f"""with {QV} select k, q, list_transform(list_filter(list_transform(string_split_regex(q, '[^\\p{{L}}\\p{{N}}_\\-.]+'), lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+$', '', 'g')), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]')), lambda w: '"' || w || '"') terms from q""")
 def _(spark, d):
-    return inline(spark, "q string", [(x,) for x in QUERIES_]).select("q", T.normalize_terms(F.col("q")).alias("terms"))
+    return case_table(spark, d, QUERIES_).withColumnRenamed("s", "q").select("k", "q", T.normalize_terms(F.col("q")).alias("terms"))
 
 
-@query("h14_phrase", f"""with {QV} select q, case when trim(q) = '' then '' else '"' || trim(q) || '"' end phrase from q""")
+@query("h14_phrase", f"""with {QV} select k, q, case when trim(q) = '' then '' else '"' || trim(q) || '"' end phrase from q""")
 def _(spark, d):
-    return inline(spark, "q string", [(x,) for x in QUERIES_]).select("q", T.phrase(F.col("q")).alias("phrase"))
+    return case_table(spark, d, QUERIES_).withColumnRenamed("s", "q").select("k", "q", T.phrase(F.col("q")).alias("phrase"))
 
 
-@query("h01_nfkc")
+WIDTHS, NARROW = ["ﬁ @n", "ＡＢ@z", "①@z", "e\u0301", None], ["fi @n", "AB@z", "1@z", "é", None]
+
+
+@query("h01_nfkc", f"select p_partkey k, {expected(NARROW)} n from part")
 def _(spark, d):
-    rows = [("ﬁne",), ("ＡＢ",), ("①",), ("é",), (None,)]
-    return inline(spark, "s string", rows).select("s", py.nfkc("s").alias("n"))
+    return case_table(spark, d, WIDTHS).select("k", py.nfkc("s").alias("n"))
 
 
 @query("h02_normalize_line", f"with {LINES} select doc_id, pos, trim(regexp_replace(text, '{SP}', ' ', 'g')) line from para")
@@ -185,15 +187,15 @@ def _(spark, d):
     return paragraphs(spark, d).select("doc_id", "pos", T.collapse(F.col("text")).alias("line"))
 
 
-WRAPPED = [["a self-", "containing module"], ["deep learn-", "ing works", "well-", "known"], ["End-", "Upper"], ["  two  ", "", "words "], [], ["x"], ["multi-", "modal in-", "put"]]
-WV = values("w", "id, lines", list(enumerate(WRAPPED)))
+WRAPPED = ["a self-\ncontaining @n", "deep learn-\ning works\nwell-\nknown", "End-\nUpper @z", "  two  \n\nwords ", "", "@n", "multi-\nmodal in-\nput", "@n-\n@n"]
+WV = f"w as (select id, string_split(s, chr(10)) lines from {cases(WRAPPED, 'id, s')})"
 JOIN_SQL = f"""trim(list_reduce(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '{SP}', ' ', 'g'))), lambda x: x <> ''), lambda o, l: case when regexp_matches(o, '\\S-$') and regexp_matches(l, '^\\p{{Ll}}') then
  case when list_contains({literal(T.COMPOUND_PREFIXES)}, lower(regexp_extract(o, '(\\S+?)-$', 1))) then o || l else o[:-2] || l end else concat_ws(' ', nullif(o, ''), l) end, ''))"""
 
 
 @query("h03_join_wrapped_lines", f"with {WV} select id, {JOIN_SQL} as text from w")
 def _(spark, d):
-    return inline(spark, "id int, lines array<string>", list(enumerate(WRAPPED))).select("id", T.join_wrapped_lines(F.col("lines")).alias("text"))
+    return case_table(spark, d, WRAPPED).select(F.col("k").alias("id"), T.join_wrapped_lines(F.split("s", "\n", -1)).alias("text"))
 
 
 @query("h05_canonical_text", f"with w as (select doc_id id, string_split(replace(text, chr(173), ''), chr(10)) lines from documents) select id, {JOIN_SQL} as text from w")
@@ -201,12 +203,12 @@ def _(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), T.canonical_source_text(F.col("text")).alias("text"))
 
 
-CITED = ["as in [1, 2] and (Smith et al., 2020) or [3–7]", "no citation (see 2020)", "(Li and Wu, 1999a) [12]", "[ 4 ; 5 ]"]
+CITED = ["as in [1, 2] and (Smith et al., 2020) or [3–7] of @n", "no citation (see 2020) @n", "(Li and Wu, 1999a) [@z]", "[ 4 ; @z ]"]
 
 
-@query("h04_citations_in", f"with {values('c', 'id, s', list(enumerate(CITED)))} select id, regexp_extract_all(s, '{T.CITATION.replace(chr(39), chr(39) * 2)}') found from c")
+@query("h04_citations_in", f"with c as {cases(CITED, 'id, s')} select id, regexp_extract_all(s, '{T.CITATION.replace(chr(39), chr(39) * 2)}') found from c")
 def _(spark, d):
-    return inline(spark, "id int, s string", list(enumerate(CITED))).select("id", T.citations_in(F.col("s")).alias("found"))
+    return case_table(spark, d, CITED).select(F.col("k").alias("id"), T.citations_in(F.col("s")).alias("found"))
 
 
 @query("h06_quantize", "select p_partkey, round_even(round_even(p_retailprice / 2, 0) * 2, 4)::double q from part")
@@ -317,28 +319,30 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(T.overlap(F.col("p_name"), F.concat_ws(" ", "p_name", "p_brand", "p_type")), 6).alias("share"))
 
 
-MARKS = [("3, 5–7", [3, 5, 6, 7]), ("12", [12]), ("4-2", []), ("1 2,9", [1, 2, 9]), ("7-90", []), ("x", [])]
+MARKS = ["9@z, 5–7", "9@z", "4-2", "1 2,9@z", "7-90", "x @n"]
 
 
-@query("h32_expand_marker", f"with {values('m', 'm, numbers', MARKS)} select m, numbers from m")
+@query("h32_expand_marker", "select p_partkey k, case p_partkey % 6 when 0 then [5, 6, 7, ('9' || p_size)::int] when 1 then [('9' || p_size)::int] when 3 then [1, 2, ('9' || p_size)::int] else [] end numbers from part")
 def _(spark, d):
-    return inline(spark, "m string", [(m,) for m, _ in MARKS]).select("m", T.expand_marker(F.col("m")).alias("numbers"))
+    return case_table(spark, d, MARKS).select("k", T.expand_marker(F.col("s")).alias("numbers"))
 
 
-IDS = [("see doi:10.1000/xyz123. ok", "10.1000/xyz123"), ("arXiv: 1512.03385v1", "10.48550/arXiv.1512.03385"), ("nothing", None), ("10.5555/12345678 and arXiv:2001.00001", "10.5555/12345678")]
+IDS = ['see doi:10.1000/xyz@z. ok', 'arXiv: 1512.03385v@z', 'nothing of @n', '10.5555/1234@z and arXiv:2001.00001']
+IDS_OUT = ['10.1000/xyz@z', '10.48550/arXiv.1512.03385', None, '10.5555/1234@z']
 
 
-@query("h33_find_identifier", f"with {values('m', 's, identifier', IDS)} select * from m")
+@query("h33_find_identifier", f"select p_partkey k, {expected(IDS_OUT)} identifier from part")
 def _(spark, d):
-    return inline(spark, "s string", [(m,) for m, _ in IDS]).select("s", T.find_identifier(F.col("s")).alias("identifier"))
+    return case_table(spark, d, IDS).select("k", T.find_identifier(F.col("s")).alias("identifier"))
 
 
-URLS = [("https://www.arxiv.org/abs/1512.03385v2", "arxiv.org/abs/1512.03385"), ("http://arxiv.org/pdf/1512.03385.pdf", "arxiv.org/abs/1512.03385"), ("https://Example.com/A/B/", "example.com/a/b"), ("https://x.org/p.pdf?x=1", "x.org/p")]
+URLS = ['https://www.arxiv.org/abs/1512.03385v@z', 'http://arxiv.org/pdf/1512.03385.pdf', 'https://Example.com/A/@z/', 'https://x.org/p@z.pdf?x=1']
+URLS_OUT = ['arxiv.org/abs/1512.03385', 'arxiv.org/abs/1512.03385', 'example.com/a/@z', 'x.org/p@z']
 
 
-@query("h34_norm_url", f"with {values('m', 'url, norm', URLS)} select * from m")
+@query("h34_norm_url", f"select p_partkey k, {expected(URLS_OUT)} norm from part")
 def _(spark, d):
-    return inline(spark, "url string", [(m,) for m, _ in URLS]).select("url", T.norm_url(F.col("url")).alias("norm"))
+    return case_table(spark, d, URLS).select("k", T.norm_url(F.col("s")).alias("norm"))
 
 
 @query("h35_inverted_abstract", "select doc_id, list_sum([length(w) for w in string_split_regex(trim(text), '\\s+')])::bigint + len(string_split_regex(trim(text), '\\s+')) - 1 n_chars from documents")
@@ -351,12 +355,14 @@ def _(spark, d):
     return text.select("doc_id", F.length("t").cast("long").alias("n_chars"))
 
 
-TERMS = [("gate", "the gates open", True), ("gate", "aggregate", False), ("top-1", "Top-1 error", True), ("3×3 conv", "a 3×3  conv layer", True), ("class", "classes", True), ("F(x)", "let F(x) be", True), ("", "x", False), ("net", "network", False)]
+TERMS = ["gate", "gate", "top-1", "3×3 conv", "@n", "F(@z)", "", "@n", "@n"]
+HOLDS = ["the @n gates open", "@n aggregate", "Top-1 error @z", "a 3×3  conv layer", "of @ns, @z", "let F(@z) be", "x @n", "un@n", "(@n)"]
+HIT = [True, False, True, True, True, True, False, False, True]
 
 
-@query("h37_term_pattern", f"with {values('m', 'term, s, hit', TERMS)} select * from m")
+@query("h37_term_pattern", f"select p_partkey k, {literal(HIT)}[p_partkey % {len(HIT)} + 1] hit from part")
 def _(spark, d):
-    return inline(spark, "term string, s string", [(a, b) for a, b, _ in TERMS]).select("term", "s", T.term_occurs(F.col("term"), F.col("s")).alias("hit"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), T.term_occurs(case_of(TERMS), case_of(HOLDS)).alias("hit"))
 
 
 @query("h68_term_in_documents", "select doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9])tion(e?s)?($|[^A-Za-z0-9])') hit from documents")
@@ -364,21 +370,24 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.term_occurs(F.lit("tion"), F.col("text")).alias("hit"))
 
 
-MATH = [("a $x^2$ and $y$ b", "a ⟦m1⟧ and ⟦m2⟧ b", ["$x^2$", "$y$"]), ("costs \\$5 and $$z$$", "costs \\$5 and $$z$$", []), ("no math", "no math", []), ("$a$", "⟦m1⟧", ["$a$"])]
+MATH = ["@n $x^@z$ and $y$ b", "costs \\$@z and $$z$$", "no math @n", "$@z$"]
+MARKED = ["@n ⟦m1⟧ and ⟦m2⟧ b", "costs \\$@z and $$z$$", "no math @n", "⟦m1⟧"]
 
 
-@query("h38_protect_math", f"with {values('m', 's, text, formulas', MATH)} select * from m")
+@query("h38_protect_math", f"select p_partkey k, {expected(MARKED)} as text, case p_partkey % 4 when 0 then ['$x^' || p_size || '$', '$y$'] when 3 then ['$' || p_size || '$'] else [] end formulas from part")
 def _(spark, d):
     text, found = T.protect(F.col("s"))
-    return inline(spark, "s string", [(m,) for m, *_ in MATH]).select("s", text.alias("text"), found.alias("formulas"))
+    return case_table(spark, d, MATH).select("k", text.alias("text"), found.alias("formulas"))
 
 
-BACK = [("⟦m2⟧ vor ⟦ m1 ⟧", ["$a$", "$b$"], "$b$ vor $a$"), ("⟦m1⟧ ⟦m1⟧", ["$a$", "$b$"], None), ("x", [], "x"), ("⟦m1⟧", [], None)]
+BACK = ["⟦m2⟧ vor ⟦ m1 ⟧ @n", "⟦m1⟧ ⟦m1⟧ @n", "x @n", "⟦m1⟧ @n"]
+FORMULAS, WHOLE = ["$a$|$@z$", "$a$|$b$", "", ""], ["$@z$ vor $a$ @n", None, "x @n", None]
 
 
-@query("h39_restore_math", f"with {values('m', 's, formulas, back', BACK)} select s, back from m")
+@query("h39_restore_math", f"select p_partkey k, {expected(WHOLE)} back from part")
 def _(spark, d):
-    return inline(spark, "s string, f array<string>", [(a, b) for a, b, _ in BACK]).select("s", T.restore(F.col("s"), F.col("f")).alias("back"))
+    found = F.filter(F.split(case_of(FORMULAS), "[|]"), lambda x: x != "")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), T.restore(case_of(BACK), found).alias("back"))
 
 
 @query("h40_max_translation_chars", "select doc_id, greatest(2000, 4 * length(text))::bigint most from documents")
@@ -391,20 +400,22 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("redacted"))
 
 
-STEMS = [("A paper.PDF", "A_paper"), ('  a/b:c?  "d" ', "a_b_c___d_"), ("深度学习.pdf", "深度学习"), ("???", "document"), ("", "document")]
+STEMS = ['A paper@z.PDF', '  a/b:c?  "d" @z', '深度学习@z.pdf', '???', '']
+STEMS_OUT = ['A_paper@z', 'a_b_c___d__@z', '深度学习@z', 'document', 'document']
 
 
-@query("h42_sanitize_stem", f"with {values('m', 's, stem', STEMS)} select * from m")
+@query("h42_sanitize_stem", f"select p_partkey k, {expected(STEMS_OUT)} stem from part")
 def _(spark, d):
-    return inline(spark, "s string", [(m,) for m, _ in STEMS]).select("s", T.sanitize_stem(F.col("s")).alias("stem"))
+    return case_table(spark, d, STEMS).select("k", T.sanitize_stem(F.col("s")).alias("stem"))
 
 
-BLOCKS = [("# h\ntext # no", "\\# h\ntext # no"), ("> q\n- a\n1. b\n-x", "\\> q\n\\- a\n\\1. b\n-x"), ("plain", "plain"), ("  * i\n```", "  \\* i\n\\```")]
+BLOCKS = ['# @n\ntext # no', '> @n\n- a\n1. b\n-x', 'plain @n', '  * @n\n```']
+BLOCKS_OUT = ['\\# @n\ntext # no', '\\> @n\n\\- a\n\\1. b\n-x', 'plain @n', '  \\* @n\n\\```']
 
 
-@query("h43_escape_block", f"with {values('m', 's, escaped', BLOCKS)} select * from m")
+@query("h43_escape_block", f"select p_partkey k, {expected(BLOCKS_OUT)} escaped from part")
 def _(spark, d):
-    return inline(spark, "s string", [(m,) for m, _ in BLOCKS]).select("s", T.escape_block(F.col("s")).alias("escaped"))
+    return case_table(spark, d, BLOCKS).select("k", T.escape_block(F.col("s")).alias("escaped"))
 
 
 @query("h73_markdown_quote", "select doc_id, '> ' || replace(text, chr(10), chr(10) || '> ') quoted from documents")
@@ -440,17 +451,22 @@ def _(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", F.when(~F.lower(s).isin("untitled", "unknown", "latex with hyperref"), s).alias("title"), F.filter(F.transform(F.split("s_name", "[#,;]"), lambda x: F.trim(x)), lambda x: x != "").alias("parts"))
 
 
-REPLIES = [('```json\n{"a": 1}\n```', '{"a": 1}'), ('Sure: {"b": [1, 2]} done', '{"b": [1, 2]}'), ("none", None), ("{broken", None), ('{"a": }', None)]
+REPLIES = ['```json\n{"a": @z}\n```', 'Sure: {"b": [1, "@n"]} done', 'none @n', '{broken @n', '{"a": }']
+REPLIES_OUT = ['{"a": @z}', '{"b": [1, "@n"]}', None, None, None]
 
 
-@query("h53_json_object", f"with {values('m', 's, j', REPLIES)} select * from m")
+@query("h53_json_object", f"select p_partkey k, {expected(REPLIES_OUT)} j from part")
 def _(spark, d):
-    return inline(spark, "s string", [(m,) for m, _ in REPLIES]).select("s", T.json_object(F.col("s")).alias("j"))
+    return case_table(spark, d, REPLIES).select("k", T.json_object(F.col("s")).alias("j"))
+
 
+CUT_SHORT = ['{"works": [{"t": @z}, {"t": 2', 'x @n', 'so: {"a": [1, {"b": "@n"}, {"c"', '{"whole": "@n"} and more']
+CUT_SHORT_OUT = ['{"works": [{"t": @z}]}', None, '{"a": [1, {"b": "@n"}]}', '{"whole": "@n"}']
 
-@query("h55_close_truncated_json", f"with {values('m', 's, j', [('{\"works\": [{\"t\": 1}, {\"t\": 2', '{\"works\": [{\"t\": 1}]}'), ('x', None)])} select * from m")
+
+@query("h55_close_truncated_json", f"select p_partkey k, {expected(CUT_SHORT_OUT)} j from part")
 def _(spark, d):
-    return inline(spark, "s string", [('{"works": [{"t": 1}, {"t": 2',), ("x",)]).select("s", py.recover_json("s").alias("j"))
+    return case_table(spark, d, CUT_SHORT).select("k", py.recover_json("s").alias("j"))
 
 
 @query("h56_occurs", "select b.item_id, d.doc_id from benchmark b, documents d where contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(b.text), '\\s+', ' ', 'g')))")
@@ -461,12 +477,13 @@ def _(spark, d):
     return contained_in(fold(table(spark, d, "benchmark")), "item_id", fold(table(spark, d, "documents")), "doc_id").select("item_id", "doc_id")
 
 
-ACR = [("VLA", "Vision-Language-Action", "a Vision Language Action (VLA) model", True), ("CNN", "convolutional neural network", "CNN (Convolutional Neural Network)", True), ("RL", "reinforcement learning", "RL and learning", False)]
+ACRONYMS, LONG_FORMS = ["VLA", "CNN", "RL"], ["Vision-Language-Action", "convolutional neural network", "reinforcement learning"]
+SAYING = ["the @n is a Vision Language Action (VLA) model", "CNN (Convolutional Neural Network) @z", "RL and learning of @n"]
 
 
-@query("h57_attested_acronym", f"with {values('m', 'a, e, t, ok', ACR)} select a, ok from m")
+@query("h57_attested_acronym", "select p_partkey k, p_partkey % 3 < 2 ok from part")
 def _(spark, d):
-    return inline(spark, "a string, e string, t string", [x[:3] for x in ACR]).select("a", T.expansion_supported(F.col("a"), F.col("e"), F.col("t")).alias("ok"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), T.expansion_supported(case_of(ACRONYMS), case_of(LONG_FORMS), case_of(SAYING)).alias("ok"))
 
 
 @query("h58_script_of_paper", f"with {LINES}, s as (select doc_id, string_agg(text, ' ' order by pos) t from para where pos < 12 group by 1) select doc_id, case when length(regexp_replace(t, '[^{T.CJK}]', '', 'g')) > length(t) * 0.2 then 'Chinese' else 'English' end script from s")
@@ -481,20 +498,21 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.substring(F.sha2(F.concat(F.lit("v1\u0001"), F.concat_ws("|", "lang", "source", F.col("n_chars").cast("string"))), 256), 1, 32).alias("h"))
 
 
-REWRITTEN = [("{v0} ok", False), ("{{v0}} bad", True), ("<b1>x</b1>", True), ("", False)]
+REWRITTEN = ["{v0} @n", "{{v0}} @n", "<b1>@n</b1>", ""]
 
 
-@query("h60_looks_rewritten", f"with {values('m', 's, bad', REWRITTEN)} select * from m")
+@query("h60_looks_rewritten", "select p_partkey k, p_partkey % 4 in (1, 2) bad from part")
 def _(spark, d):
-    return inline(spark, "s string", [(m,) for m, _ in REWRITTEN]).select("s", T.looks_rewritten(F.col("s")).alias("bad"))
+    return case_table(spark, d, REWRITTEN).select("k", T.looks_rewritten(F.col("s")).alias("bad"))
 
 
-FILLER = [("```\nx\n```", "x"), ("Translation: y", "y"), ("z", "z"), ("Here is the translation: Translation: w", "Translation: w")]
+FILLER = ['```\n@n\n```', 'Translation: @n', '@n', 'Here is the translation: Translation: @n']
+FILLER_OUT = ['@n', '@n', '@n', 'Translation: @n']
 
 
-@query("h61_strip_filler", f"with {values('m', 's, body', FILLER)} select * from m")
+@query("h61_strip_filler", f"select p_partkey k, {expected(FILLER_OUT)} body from part")
 def _(spark, d):
-    return inline(spark, "s string", [(m,) for m, _ in FILLER]).select("s", T.strip_filler(F.col("s")).alias("body"))
+    return case_table(spark, d, FILLER).select("k", T.strip_filler(F.col("s")).alias("body"))
 
 
 @query("h62_passage_text", "select doc_id, concat_ws(chr(10), nullif(source, ''), text) passage from documents")
@@ -530,20 +548,21 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat(F.substring(F.sha2("source", 256), 1, 8), F.lit("\u0001"), "text").alias("k"))
 
 
-MEMBERS = [("a/b.json", True), ("/abs", False), ("a/../b", False), ("dir/", False), ("a\\b", False), ("", False), ("..", False), ("a..b/c", True)]
+MEMBERS = ["a/@n.json", "/@n", "a/../@n", "@n/", "a\\@n", "", "..", "a..@n/c"]
 
 
-@query("a24_safe_member", f"with {values('m', 'name, ok', MEMBERS)} select * from m")
+@query("a24_safe_member", "select p_partkey k, p_partkey % 8 in (0, 7) ok from part")
 def _(spark, d):
-    return inline(spark, "name string", [(m,) for m, _ in MEMBERS]).select("name", T.safe_member(F.col("name")).alias("ok"))
+    return case_table(spark, d, MEMBERS).select("k", T.safe_member(F.col("s")).alias("ok"))
 
 
-TABLES = [("<table><tr><th>a</th><td> b  c</td></tr><tr><td><b>1</b></td></tr></table>", "a\tb c\n1"), ("<p>none</p>", "")]
+TABLES = ['<table><tr><th>@n</th><td> b  c</td></tr><tr><td><b>@z</b></td></tr></table>', '<p>none of @n</p>']
+TABLES_OUT = ['@n\tb c\n@z', '']
 
 
-@query("a16_table_to_text", f"with {values('m', 'html, tsv', TABLES)} select * from m")
+@query("a16_table_to_text", f"select p_partkey k, {expected(TABLES_OUT)} tsv from part")
 def _(spark, d):
-    return inline(spark, "html string", [(m,) for m, _ in TABLES]).select("html", T.table_to_text(F.col("html")).alias("tsv"))
+    return case_table(spark, d, TABLES).select("k", T.table_to_text(F.col("s")).alias("tsv"))
 
 
 @query("a22_scale_unit_box", "select p_partkey, [round(p_size / 100.0 * 612, 2), round(p_size / 80.0 * 792, 2), round(p_size / 60.0 * 612, 2), round(p_size / 50.0 * 792, 2)]::double[] box from part")
@@ -558,9 +577,12 @@ def _(spark, d):
     return table(spark, d, "part").select("p_partkey", T.scale_box(box, F.lit(0.5), F.lit(0.25)).alias("box"))
 
 
-@query("d21_confidence", f"with {values('m', 's, c', [('0.7', 0.7), ('7', 1.0), ('x', 0.5), (None, 0.5), ('-2', 0.0)])} select s, c::double c from m")
+SURE = ["0.@z", "@z", "x @n", None, "-@z"]
+
+
+@query("d21_confidence", "select p_partkey k, case p_partkey % 5 when 0 then ('0.' || p_size)::double when 1 then 1.0 when 4 then 0.0 else 0.5 end::double c from part")
 def _(spark, d):
-    return inline(spark, "s string", [("0.7",), ("7",), ("x",), (None,), ("-2",)]).select("s", T.confidence(F.col("s")).alias("c"))
+    return case_table(spark, d, SURE).select("k", T.confidence(F.col("s")).alias("c"))
 
 
 @query("d23_pages_per_minute", "select source, coalesce(count(*) / nullif(sum(n_chars) / 60, 0), 0)::double rate from documents group by 1")
@@ -570,12 +592,12 @@ def _(spark, d):
 
 @query("d17_marker_multiset", f"with {AV} select m, count(*) n from (select unnest(regexp_extract_all(answer, '\\[(E[0-9]+)\\]', 1)) m from a) group by 1")
 def _(spark, d):
-    return _answers(spark).select(F.explode(T.extract_markers(F.col("answer"))).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
+    return _answers(spark, d).select(F.explode(T.extract_markers(F.col("answer"))).alias("m")).groupBy("m").agg(F.count("*").alias("n"))
 
 
 @query("d12_distinct_in_order", f"with {AV} select id, list_transform(list_filter(list_zip(m, range(1, len(m) + 1)), lambda z: list_position(m, z[1]) = z[2]), lambda z: z[1]) m from (select id, regexp_extract_all(answer, '\\[(E[0-9]+)\\]', 1) m from a)")
 def _(spark, d):
-    return _answers(spark).select("id", F.array_distinct(T.extract_markers(F.col("answer"))).alias("m"))
+    return _answers(spark, d).select("id", F.array_distinct(T.extract_markers(F.col("answer"))).alias("m"))
 
 
 @query("h16_singular_kinds", "select distinct event_type kind from events where event_type in ('view', 'click', 'purchase')")

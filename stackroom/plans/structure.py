@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import budgets as B
 from ..operators import structure as S
-from .base import LINES, inline, paragraphs, query, table, values
+from ..operators.shared import placed
+from .base import LINES, paragraphs, query, table, values
 from .scalars import CONT
 
 #: Lines as blocks: every tenth by a hash of place and length is a title, every eleventh a figure; size and box follow from length and place.
@@ -70,32 +71,42 @@ HEADS = [(0, "a", "1 Intro"), (1, "b", "1.1 Data"), (2, "c", "2 Method"), (3, "d
 PARENTS = [("a", None), ("b", "a"), ("c", None), ("d", "c"), ("e", None), ("f", "c"), ("g", None), ("h", "g"), ("i", "g"), ("j", "d")]
 
 
-@query("e04_hierarchy", f"with {values('p', 'section, parent', PARENTS)} select * from p")
+@query("e04_hierarchy", f"with {values('p', 'section, parent', PARENTS)} select p_partkey doc, section, parent from part, p")
 def _(spark, d):
-    return S.hierarchy(inline(spark, "pos int, section string, title string", HEADS).withColumn("doc", F.lit(1))).select("section", "parent")
+    # a paper for each part, whose name ends all titles
+    heads = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("section"), F.lit(t).alias("t")) for i, k, t in HEADS])
+    h = table(spark, d, "part").select(F.col("p_partkey").alias("doc"), "p_name", F.explode(heads).alias("h")).select("doc", "h.pos", F.concat_ws("|", "doc", "h.section").alias("section"), F.concat_ws(" ", "h.t", "p_name").alias("title"))
+    last = lambda c: F.regexp_extract(c, r"([^|]+)$", 1)
+    return S.hierarchy(h).select(F.regexp_extract("section", r"^(\d+)", 1).cast("long").alias("doc"), last("section").alias("section"), F.when(F.col("parent").isNotNull(), last("parent")).alias("parent"))
 
 
-TREE = [("a", None, 0), ("b", "a", 1), ("c", "b", 2), ("d", None, 3), ("e", "zz", 4), ("f", "a", 5)]
+#: Parts as a tree: half of a part's number is its parent, and one in ten has a parent that isn't there.
+TREE = "t as (select p_partkey section, case when p_partkey % 10 = 9 then -p_partkey when p_partkey > 1 then p_partkey // 2 end parent, p_size ord from part)"
 
 
-@query("f14_outline_tree", f"with recursive {values('t', 'section, parent, ord', TREE)}, s as (select section, case when parent in (select section from t) then parent end parent, ord from t), r as (select section, 0 depth, [ord] path from s where parent is null union all select s.section, depth + 1, list_append(path, s.ord) from s join r on s.parent = r.section) select * from r")
-def _(spark, d):
-    return S.outline(inline(spark, "section string, parent string, ord int", TREE))
+def _tree(spark, d):
+    k = F.col("p_partkey")
+    return table(spark, d, "part").select(k.alias("section"), F.when(k % 10 == 9, -k).when(k > 1, F.expr("p_partkey div 2")).alias("parent"), F.col("p_size").alias("ord"))
 
 
-@query("f15_ancestors", f"with recursive {values('t', 'section, parent, ord', TREE)}, r as (select section, parent anc, 1 k from t where parent is not null union all select r.section, t.parent, k + 1 from r join t on r.anc = t.section where t.parent is not null and k < 20) select section, anc, k from r")
+@query("f14_outline_tree", f"with recursive {TREE}, s as (select section, case when parent in (select section from t) then parent end parent, ord from t), r as (select section, 0 depth, [ord] path from s where parent is null union all select s.section, depth + 1, list_append(path, s.ord) from s join r on s.parent = r.section) select * from r")
 def _(spark, d):
-    inline(spark, "section string, parent string, ord int", TREE).createOrReplaceTempView("tree_rows")
-    return spark.sql("with recursive r(section, anc, k) as (select section, parent, 1 from tree_rows where parent is not null union all select r.section, t.parent, k + 1 from r join tree_rows t on r.anc = t.section where t.parent is not null and k < 20) select * from r")
+    return S.outline(_tree(spark, d))
 
 
-NUMS = ["10", "2", "2.10", "2.9", "A.1", "1", "2.A"]
+@query("f15_ancestors", f"with recursive {TREE}, r as (select section, parent anc, 1 k from t where parent is not null union all select r.section, t.parent, k + 1 from r join t on r.anc = t.section where t.parent is not null) select section, anc, k from r")
+def _(spark, d):
+    return S.ancestors(_tree(spark, d))
 
 
-@query("f13_number_order", f"with {values('n', 'num, place', [('1', 1), ('2', 2), ('2.9', 3), ('2.10', 4), ('2.A', 5), ('10', 6), ('A.1', 7)])} select * from n")
+@query("f13_number_order", "with n as (select distinct case l_linenumber % 4 when 0 then l_linenumber || '.' || (l_partkey % 30) when 1 then l_linenumber || '.' || (l_partkey % 12) || '.' || (l_suppkey % 11) when 2 then chr((65 + l_partkey % 5)::int) || '.' || (l_suppkey % 20) else (l_partkey % 25)::varchar end num from lineitem), p as (select num, list_transform(string_split(num, '.'), lambda p: case when regexp_matches(p, '^[0-9]+$') then '0' || lpad(p, 9, '0') else '1' || p end) k from n) select num, row_number() over (order by k)::bigint place from p")
 def _(spark, d):
-    key = F.transform(F.split("num", "[.]"), lambda p: F.struct((~p.rlike(r"^\d+$")).alias("letter"), F.when(p.rlike(r"^\d+$"), F.lpad(p, 9, "0")).otherwise(p).alias("p")))
-    return inline(spark, "num string", [(n,) for n in NUMS]).select("num", F.row_number().over(Window.orderBy(key)).alias("place"))
+    n, p, u = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    text = lambda *xs: F.concat(*[x if isinstance(x, str) is False else F.lit(x) for x in xs])
+    part = lambda x: x.cast("string")
+    num = F.when(n % 4 == 0, text(part(n), ".", part(p % 30))).when(n % 4 == 1, text(part(n), ".", part(p % 12), ".", part(u % 11))).when(n % 4 == 2, text(F.char((65 + p % 5).cast("int")), ".", part(u % 20))).otherwise(part(p % 25))
+    rows = table(spark, d, "lineitem").select(num.alias("num")).distinct()
+    return placed(rows.withColumn("k", S.number_key(F.col("num"))), [F.col("k")]).select("num", F.col("place").cast("long").alias("place"))
 
 
 @query("f16_first_reading_target", "select p_brand, arg_min(p_name, p_partkey) target from part where p_size % 3 = 1 and not p_name like 'red%' group by 1")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as SP
 from ..functions import text as T
+from ..shipping import ship
 from . import trees
 
 # Layout classes of the kinds of blocks; bodies, captions and footnotes of the visual kinds; furniture of a page.
@@ -152,14 +153,20 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str, suffix: str = ".json") -> DataFrame:
-    """(path, member, value): the first safe member of each zip file with that suffix; files that aren't archives are absent."""
+    """(path, member, value) of the zip files at a path."""
+    return archive_members(spark.read.format("binaryFile").load(path), suffix)
+
+
+def archive_members(files: DataFrame, suffix: str = ".json") -> DataFrame:
+    """(path, member, value): the first safe member of each zip file (path, content) with that suffix; files that aren't archives are absent."""
+    ship(files.sparkSession)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for p, c in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(c)) as z:
+                    with zipfile.ZipFile(io.BytesIO(c or b"")) as z:
                         safe = [n for n in sorted(z.namelist()) if n.endswith(suffix) and not n.startswith("/") and "\\" not in n and ".." not in n.split("/")]
                         if safe:
                             rows.append((p, safe[0], z.read(safe[0]).decode("utf-8", "replace")))
@@ -168,7 +175,25 @@ def read_archives(spark: SparkSession, path: str, suffix: str = ".json") -> Data
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["path", "member", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(members, "path string, member string, value string")
+    return files.select("path", "content").mapInArrow(members, "path string, member string, value string")
+
+
+def archived(members: DataFrame) -> DataFrame:
+    """(path, content): a zip file of each row's members (path, names, values)."""
+    ship(members.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for names, values in zip(b.column("names").to_pylist(), b.column("values").to_pylist(), strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    for n, v in zip(names, values, strict=True):
+                        z.writestr(n, v)
+                out.append(held.getvalue())
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(out, pa.binary())], ["path", "content"])
+
+    return members.select("path", "names", "values").mapInArrow(pack, "path string, content binary")
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
