@@ -27,12 +27,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import _schema, binary_column, default_path, spread, token_bytes, with_column
-from .common import Stored, lean, load, shared_dir, ship, sliced, text_buffer
+from .common import lean, load, shared_dir, ship, sliced, text_buffer
 
 #: Units, and characters of units and groups, that a worker's table holds at most.
 UNITS, CHARS = 300_000, 24_000_000
