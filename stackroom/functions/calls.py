@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import count
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
+from ..operators.shared import write_file
 from ..shipping import ship
 from . import text as T
 from .providers import Provider, call
@@ -119,6 +122,52 @@ def ledger_rows(calls: DataFrame, column: str = "text") -> DataFrame:
     return calls.select("operation", "ok", usage(F.col(column)).alias("input_tokens"), usage(F.col("reply")).alias("output_tokens"), "error")
 
 
+TOTALS = ["calls", "failed", "input_tokens", "output_tokens"]
+
+
+def _totals(calls: DataFrame, column: str, operation: str, name: str | Observation) -> DataFrame:
+    known = {c: F.coalesce(F.sum(F.col(f"__ledger.{c}")), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")}
+    # the ledger's columns stand beside the rows only while they are counted
+    beside = calls.withColumn("__ledger", F.struct(F.col("ok"), *[F.when(F.col("ok"), T.estimate_tokens(F.coalesce(F.col(c), F.lit("")))).cast("long").alias(n) for c, n in ((column, "input_tokens"), ("reply", "output_tokens"))]))
+    return beside.observe(name, F.count("*").alias("calls"), F.count_if(~F.col("__ledger.ok")).alias("failed"), *known.values()).drop("__ledger")
+
+
+def observed(calls: DataFrame, operation: str, column: str = "text") -> tuple[DataFrame, Callable[[], dict]]:
+    """The calls of `with_ledger`, and what gives their one ledger row of totals after an action has run over all of them.
+
+    The totals are counted while the rows pass, so calls aren't made again for them.
+    """
+    seen = Observation(f"ledger-{operation}-{uuid.uuid4().hex}")
+    out = _totals(calls, column, operation, seen)
+    return out, lambda: {"operation": operation, **{c: seen.get[c] for c in TOTALS}}
+
+
+class StreamLedger(StreamingQueryListener):
+    """One ledger row for each batch and operation of observed streams, as a file of JSON in a folder; a batch that is told again has the same file."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def watch(self, calls: DataFrame, operation: str, column: str = "text") -> DataFrame:
+        return _totals(calls, column, operation, f"ledger-{operation}")
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        for name, row in p.observedMetrics.items():
+            if name.startswith("ledger-"):
+                made = {"operation": name.removeprefix("ledger-"), "batch": p.batchId, **{c: row[c] for c in TOTALS}}
+                write_file(self.spark, f"{self.folder}/{p.id}-{p.batchId}-{made['operation']}.json", json.dumps(made).encode())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def guarded(rows: DataFrame, provider: Provider, column: str = "text", into: str = "translated") -> DataFrame:
     """Formulas are hidden behind numbered marks, each reply must hold all marks exactly, one repair is tried, and what fails keeps its source."""
     import re

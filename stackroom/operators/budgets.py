@@ -1,6 +1,7 @@
 """Ordered folds with budgets: greedy batches, partitions, prefix and skip budgets.
 
-The folds depend on order, so each is a walk over one document's sorted rows with a state of fixed size.
+The folds depend on order, so each is a walk over one document's sorted rows with a state of fixed size; batches of
+documents too long for one task are found by pointers from row to row.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import fold
+from .folds import fold, jumps, split_long
 
 LEAD_ROWS, LEAD_CHARS, MOST_ROWS, MOST_CHARS = 3, 1500, 15, 5000
 
@@ -28,7 +29,9 @@ def greedy_batches(rows: DataFrame, key: str = "doc") -> DataFrame:
         s["size"] += chars
         return s["batch"]
 
-    return fold(rows, key, ["pos"], ["chars"], _batch, step, "batch", "int")
+    short, long = split_long(rows, key)
+    out = fold(short, key, ["pos"], ["chars"], _batch, step, "batch", "int")
+    return out if long is None else out.unionByName(jumps(long, key, "chars", F.lit(MOST_CHARS), MOST_ROWS, LEAD_CHARS, LEAD_ROWS))
 
 
 def token_chunks(rows: DataFrame, allowance: int, least: int = 400, charged: bool = True, key: str = "doc") -> DataFrame:
@@ -42,7 +45,9 @@ def token_chunks(rows: DataFrame, allowance: int, least: int = 400, charged: boo
         s["size"] += tokens
         return s["batch"]
 
-    return fold(rows, key, ["pos"], ["tokens"], _batch, step, "batch", "int")
+    short, long = split_long(rows, key)
+    out = fold(short, key, ["pos"], ["tokens"], _batch, step, "batch", "int")
+    return out if long is None else out.unionByName(jumps(long, key, "tokens", F.lit(allowance), None, least if charged else allowance, None))
 
 
 def page_partitions(rows: DataFrame, most: int = 1200, key: str = "doc") -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..shipping import ship
+from .shared import placed, small, stored
+
+#: Rows of a key from which on its batches are found by jumps instead of one walk, and rows of a piece of a prefix sum.
+LONG, PIECE = 1_000_000, 65_536
 
 
 def fold(rows: DataFrame, key: str, order: list[str], cols: list[str], start: Callable[[], dict], step: Callable[..., object], name: str, kind: str) -> DataFrame:
@@ -34,3 +39,71 @@ def fold(rows: DataFrame, key: str, order: list[str], cols: list[str], start: Ca
 
     dealt = rows.select(key, *order, *[c for c in cols if c not in (key, *order)]).repartition(key).sortWithinPartitions(key, *order)
     return dealt.mapInArrow(run, out)
+
+
+def prefix_sums(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the sum of `value` over all rows up to each `place` (from 1, without gaps): pieces by themselves, then the pieces before them."""
+    r = rows.withColumn("__piece", F.expr(f"(place - 1) div {PIECE}"))
+    w = Window.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each piece
+    before = r.groupBy("__piece").agg(F.sum(value).alias("__s")).select("__piece", F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__before"))
+    own = F.sum(value).over(Window.partitionBy("__piece").orderBy("place"))
+    return r.join(small(stored(before, "pieces")), "__piece").withColumn(name, own + F.col("__before")).drop("__piece", "__before")
+
+
+def _first_beyond(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(i, j): for each (i, limit) the first place j whose sum `upto` is greater, null if there is none; sums ascend with the places."""
+    r = rows.select("place", "upto", F.expr(f"(place - 1) div {PIECE}").alias("piece"))
+    ends = small(stored(r.groupBy("piece").agg(F.max("upto").alias("last")), "pieces"))
+    # the piece where a limit is passed: the row's own, or the next, ...; a piece holds many batches, so few go far
+    left, near = asked.withColumn("piece", F.expr(f"(i - 1) div {PIECE}")), None
+    while True:
+        met = stored(left.join(ends, "piece"), "met")
+        here = met.where(F.col("limit") < F.col("last")).select("i", "limit", "piece")
+        near = here if near is None else near.unionByName(here)
+        left = met.where(F.col("limit") >= F.col("last")).select("i", "limit", (F.col("piece") + 1).alias("piece"))
+        if left.isEmpty():
+            break
+    both = r.select("piece", F.col("upto").alias("v"), F.lit(0).alias("kind"), "place").unionByName(near.select("piece", F.col("limit").alias("v"), F.lit(1).alias("kind"), F.col("i").alias("place")))
+    w = Window.partitionBy("piece").orderBy("v", "kind", "place").rowsBetween(1, Window.unboundedFollowing)
+    found = both.withColumn("j", F.min(F.when(F.col("kind") == 0, F.col("place"))).over(w)).where("kind = 1")
+    return found.select(F.col("place").alias("i"), "j")
+
+
+def jumps(rows: DataFrame, key: str, size: str, room: Column, most: int | None, first_room: int, first_most: int | None, name: str = "batch") -> DataFrame:
+    """(key, pos, name): greedy batches of rows (key, pos, size) of any length, over many tasks.
+
+    A batch ends before the row that makes it greater than its room or longer than `most`; a key's first batch has its own
+    limits. Where the batch that begins at a row ends doesn't depend on the batches before, so it is a pointer, found from
+    prefix sums; pointers of pointers, doubled, reach every beginning of a batch from each key's first row.
+    """
+    p = stored(prefix_sums(placed(rows.select(key, "pos", F.col(size).cast("long").alias("size")), [F.col(key), F.col("pos")]), "size", "upto"), "sums")
+    ends = stored(p.groupBy(key).agg(F.min("place").alias("start"), F.max("place").alias("end")), "ends")
+    q = p.join(small(ends.withColumnRenamed(key, "__k")), p[key].eqNullSafe(F.col("__k"))).drop("__k")
+    lead = F.col("place") == F.col("start")
+    limit = F.col("upto") - F.col("size") + F.when(lead, F.lit(first_room)).otherwise(room)
+    far = stored(_first_beyond(p, q.select(F.col("place").alias("i"), limit.alias("limit"))), "beyond")
+    rest = F.col("end") + 1 - F.col("place")
+    count = F.when(lead, F.coalesce(F.lit(first_most).cast("long"), rest)).otherwise(F.coalesce(F.lit(most).cast("long"), rest))
+    j = F.least(F.greatest(F.coalesce(F.col("j"), F.col("end") + 1), F.col("place") + 1), F.col("place") + count)
+    step = stored(q.join(far, F.col("place") == F.col("i"), "left").select(F.col("place").alias("i"), j.alias("j"), "end").where("j <= end").select("i", "j"), "jump")
+    tables, longest = [step], ends.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
+    while 1 << len(tables) <= longest:
+        last = tables[-1]
+        tables.append(stored(last.join(last.select(F.col("i").alias("j"), F.col("j").alias("k")), "j").select("i", F.col("k").alias("j")), "jump"))
+    begun = stored(ends.select(F.col("start").alias("i")), "begun")
+    for t in reversed(tables):
+        begun = stored(begun.unionByName(begun.join(t, "i").select(F.col("j").alias("i"))), "begun")
+    marks = p.join(begun.select(F.col("i").alias("place"), F.lit(1).alias("mark")), "place", "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
+    n = stored(prefix_sums(marks, "mark", "n"), "marks")
+    first = n.join(small(ends.select(F.col("start").alias("place"), F.col(key).alias("__k"))), "place").select("__k", (F.col("n") - 1).alias("__n"))
+    return n.join(small(stored(first, "firsts")), n[key].eqNullSafe(F.col("__k"))).select(key, "pos", (F.col("n") - F.col("__n")).cast("int").alias(name))
+
+
+def split_long(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of the keys that have few enough for one walk, and those of the others, if there are any."""
+    many = stored(rows.groupBy(key).count().where(F.col("count") > LONG).select(F.col(key).alias("__k")), "long")
+    if many.isEmpty():
+        return rows, None
+    here = rows[key].eqNullSafe(F.col("__k"))
+    return rows.join(small(many), here, "left_anti"), rows.join(small(many), here, "left_semi")

@@ -576,6 +576,16 @@ def _(spark, d):
     return C.ledger_rows(calls).groupBy("operation", "ok", "error").agg(F.count("*").alias("n"), F.sum("input_tokens").alias("input_tokens"))
 
 
+@query("i10_observed_ledger", f"select 'translate' operation, count(*) calls, count(*) filter (length(text) % 7 = 0) failed, sum(case when length(text) % 7 <> 0 then {TOK} end)::bigint input_tokens from conversations")
+def _(spark, d):
+    # the totals of a job's calls, counted while its rows are written
+    path = f"{shared.folder(spark)}/observed-{shared.uuid.uuid4().hex}"
+    calls, totals = C.observed(C.with_ledger(table(spark, d, "conversations").select("conv_id", "turn", "text"), seventh, "translate"), "translate")
+    calls.write.parquet(path)
+    t = totals()
+    return inline(spark, "operation string, calls long, failed long, input_tokens long", [(t["operation"], t["calls"], t["failed"], t["input_tokens"])])
+
+
 # streams
 
 

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stackroom.operators import commits, search, selection
+from stackroom.functions import calls
+from stackroom.operators import budgets, commits, folds, search, selection
 
 
 def test_suppression_is_that_of_the_walk(spark):
@@ -78,3 +79,43 @@ def test_blocks_that_cannot_reach_the_best_stay_closed(spark, tmp_path, monkeypa
     assert len(blocks) == 58 and sum(b >= third for b in blocks) < 6  # of 58 blocks a few are read
     monkeypatch.setattr(search, "WORDS", 1)
     assert same(search.block_max_top_k(spark, path, v, 3)) == same(search.top_k(search.bm25(chunks, v), 3))
+
+
+def test_batches_by_jumps_are_those_of_the_walk(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(d, i, rng.choice([0, 10, 400, 900, 6000])) for d, n in (("a", 700), ("b", 1), ("c", 40), (None, 90)) for i in range(n)] + [("z", i, 0) for i in range(300)]
+    t = spark.createDataFrame(rows, "doc string, pos int, chars int")
+    tokens = t.withColumnRenamed("chars", "tokens")
+    same = lambda df: sorted(map(tuple, df.collect()), key=str)
+    walk = [same(budgets.greedy_batches(t)), same(budgets.token_chunks(tokens, 2000, 400)), same(budgets.token_chunks(tokens, 2000, charged=False))]
+    monkeypatch.setattr(folds, "LONG", 39)
+    monkeypatch.setattr(folds, "PIECE", 64)
+    assert [same(budgets.greedy_batches(t)), same(budgets.token_chunks(tokens, 2000, 400)), same(budgets.token_chunks(tokens, 2000, charged=False))] == walk
+
+
+def test_ledger_of_a_stream(spark, tmp_path):
+    def provider(text):
+        if "bad" in text:
+            raise ValueError
+        return "ok"
+
+    for i, texts in enumerate([["a", "bad"], ["b", "c", None]]):
+        spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    src = spark.readStream.schema("text string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    ledger = calls.StreamLedger(spark, f"file://{tmp_path}/ledger")
+    spark.streams.addListener(ledger)
+    try:
+        made = ledger.watch(calls.with_ledger(src, provider, "translate"), "translate")
+        made.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        import time
+
+        for _ in range(60):
+            got = list((tmp_path / "ledger").glob("*.json")) if (tmp_path / "ledger").exists() else []
+            if len(got) >= 2:
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(ledger)
+    rows = spark.read.schema("operation string, batch long, calls long, failed long").json(f"{tmp_path}/ledger").collect()
+    assert sum(r["calls"] for r in rows) == 5 and sum(r["failed"] for r in rows) == 1 and {r["operation"] for r in rows} == {"translate"} and len({r["batch"] for r in rows}) == len(rows)
