@@ -7,6 +7,8 @@ kept + P[e + 1] - P[s] > BUDGET (a turn too long for any window has one of its o
 is repeated in front: the system turn, if the conversation begins with one, and the longest run of turns
 h, h + 1, ... directly before the window with P[s] - P[h] <= HISTORY. Repeated turns are masked, so each
 assistant text is a target once. Only one window's turns are in memory, however long a conversation is.
+With a vocabulary file a turn's tokens are those of operator 4 for the turn as the template writes it; without one
+they are an estimate from its bytes.
 
 Template: every turn is `<s>role\ntext</s>`. Control strings in texts and roles get a backslash after their
 first character (`</s>` -> `<\/s>`), and one that has backslashes there already gets one more, so reading
@@ -27,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode
 from .common import load, parts, ship
 
 BUDGET, HISTORY = 1024, 256
-#: Tokens of a turn: its frame and a token for each started group of four bytes.
+#: Tokens of a turn without a tokenizer: its frame and a token for each started group of four bytes.
 FRAME = 4
 CONTROL = r"([<\[])(\\*)(/?s>|</?SYS>>|/?INST\]|\|[a-z_]+\|>)"
 _ESCAPE, _UNESCAPE = re.compile(CONTROL), re.compile(CONTROL.replace(r"(\\*)", r"\\(\\*)"))
@@ -114,8 +117,8 @@ def _arrow(ddl: str) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(ddl))
 
 
-def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """Windows of each conversation, in order inside a partition that holds the whole conversation."""
+def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, path: str | None = None) -> DataFrame:
+    """Windows of each conversation, in order inside a partition that holds the whole conversation; tokens are counted with the vocabulary at `path`."""
     ship(turns.sparkSession)
     schema = _arrow(WINDOWS)
 
@@ -134,6 +137,9 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY)
 
     text = F.coalesce("text", F.lit(""))
     ready = turns.select("conv_id", "turn", "role", F.regexp_replace(text, CONTROL, r"$1\\$2$3").alias("body"), (F.lit(FRAME) + F.floor((F.octet_length(text) + 3) / 4)).cast("long").alias("tokens"))
+    if path is not None:
+        whole = ready.drop("tokens").withColumn("piece", F.concat(F.lit("<s>"), F.coalesce("role", F.lit("")), F.lit("\n"), "body", F.lit("</s>")))
+        ready = encode(whole, path, "piece", offsets=False, keep_text=False).withColumn("tokens", F.expr("octet_length(ids) div 4")).drop("ids")
     dealt = ready.repartition(parts(turns), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "body")
     return dealt.mapInArrow(lambda batches: _batches(rows(batches), schema), WINDOWS)
 

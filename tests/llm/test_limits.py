@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from stackroom.llm import htmltext, jaccard, linededup, packing
+from stackroom.llm import bpe, chat, htmltext, jaccard, linededup, packing
 
 PROSE = "This is the text of a page and it goes on for long enough that the rules for blocks know it as text of the page, with all the words of the language in it."
 
@@ -65,3 +65,16 @@ def test_packing_goes_on_until_a_cut_is_shared():
 def test_forms_of_the_tables_change_nothing(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert htmltext.extract(pages).where(F.length("text") == 0).count() == 0
+
+
+def test_windows_of_real_tokens(spark):
+    path = bpe.default_path("byte_bpe_multi_50k.tiktoken")
+    tok = bpe.made(path)[0]
+    rows = [(1, 0, "system", "be brief")] + [(1, i, ("user", "assistant")[i % 2 == 0], "word " * (7 * i % 90) + "</s> é") for i in range(1, 60)]
+    w = sorted(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 300, 80, path).collect(), key=lambda r: r["window"])
+    count = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    for r in w:
+        pieces = [x + "</s>" for x in r["formatted"].split("</s>")[:-1]]
+        assert r["n_tokens"] == sum(map(count, pieces)) and r["n_tokens"] <= 300 and len(pieces) == r["n_turns"]
+    targets = [chat.unescape(r["formatted"][s["start"] : s["start"] + s["length"]]) for r in w for s in r["loss"]]
+    assert targets == [t for _, _, role, t in rows if role == "assistant"] and len(w) > 5
