@@ -14,12 +14,10 @@ Null texts and ids, empty tables and repeated rows have the results that the ope
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackroom.llm.common import shared_dir, ship
+from stackroom.llm.common import Stored, ship
 from stackroom.llm.jaccard import keep_one
 from stackroom.llm.linededup import dedup_lines
 from stackroom.llm.packing import pieces
@@ -53,12 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another; a stage's table goes when the next one's is written, but for the last, which the result reads."""
     ship(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            at = f"{shared_dir(spark)}/stackroom-stage{k}-{uuid.uuid4().hex}"
-            docs.write.parquet(at)
-            docs = spark.read.parquet(at)
+            now = Stored(docs, f"stage{k}")
+            if held is not None:
+                held.drop()
+            docs, held = now.df, now
     return docs
