@@ -115,14 +115,23 @@ def affected(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
 def map_units(units: DataFrame, paragraphs: DataFrame, least: float = 0.8, chars: int = 40) -> DataFrame:
     """(doc, unit, paragraph, score, cause): the one paragraph of its document that a unit is, or why there is none.
 
-    Candidates share a word with the unit, by an inverted index of each document; ties leave the unit unmapped.
+    Ties leave the unit unmapped; the score of one that nothing is like enough is that of what was looked at. A paragraph
+    with a score of `least` or more lacks few of the unit's words: 1 - least of them by overlap, the first and last one if
+    it holds the unit, and if the unit holds it those of the rest's characters and two cut ones. So it holds one of the
+    unit's rarest words (by the document's paragraphs), as soon as these are more than it may lack in number and in letters.
     """
     u = units.select("doc", "unit", T.normalize_unit(F.col("text")).alias("ut"))
     p = paragraphs.select("doc", "paragraph", T.normalize_unit(F.col("text")).alias("pt")).where("pt <> ''")
     long = u.where(F.length("ut") >= chars)
-    wu = long.select("doc", "unit", F.explode(F.array_distinct(F.split("ut", " "))).alias("w"))
-    wp = p.select("doc", "paragraph", F.explode(F.array_distinct(F.split("pt", " "))).alias("w"))
-    met = wu.join(wp, ["doc", "w"]).select("doc", "unit", "paragraph").distinct()
+    split = lambda t: F.array_distinct(F.split(t, " "))
+    wu = long.select("doc", "unit", F.length("ut").alias("letters"), F.size(split("ut")).alias("words"), F.explode(split("ut")).alias("w"))
+    wp = p.select("doc", "paragraph", F.explode(split("pt")).alias("w"))
+    rare = Window.partitionBy("doc", "unit").orderBy(F.coalesce("df", F.lit(0)), "w").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda f: F.coalesce(f(F.length("w")).over(rare), F.lit(0))
+    few = before(F.count) <= F.greatest(F.floor(F.col("words") * F.lit(1 - least + 1e-9)), F.lit(2))
+    short = before(F.sum) - 2 * before(F.max) <= F.col("letters") * F.lit(1 - least + 1e-9)
+    asked = wu.join(wp.groupBy("doc", "w").agg(F.count("*").alias("df")), ["doc", "w"], "left").withColumn("take", few | short).where("take and df is not null").select("doc", "unit", "w")
+    met = asked.join(wp, ["doc", "w"]).select("doc", "unit", "paragraph").distinct()
     cand = met.join(long, ["doc", "unit"]).join(p, ["doc", "paragraph"]).withColumn("score", T.unit_score(F.col("ut"), F.col("pt")))
     best = cand.groupBy("doc", "unit", "score").agg(F.count("*").alias("n"), F.min("paragraph").alias("paragraph"))
     best = best.groupBy("doc", "unit").agg(F.max(F.struct("score", "n", "paragraph")).alias("b")).select("doc", "unit", F.col("b.score").alias("best"), "b.n", "b.paragraph")

@@ -132,3 +132,37 @@ def test_late_terms_come_once(spark, tmp_path):
     run(term("glossaries", "Glossare", 3), 4)
     assert calls == [[1], [], [], [3]]
     assert sorted((r["id"], r["version"]) for r in jobs.newest(spark.read.parquet(path)).collect()) == [(1, 1), (2, 0), (3, 3), (4, 0)]
+
+
+def test_units_by_their_rarest_words(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice("the of a in net deep x y z residual learning graph i k".split())
+    text = lambda n: " ".join(word() for _ in range(n))
+    paras = [(1, i, text(rng.randrange(1, 40))) for i in range(120)]
+    units = []
+    for i, (_, _, t) in enumerate(paras):
+        w = t.split()
+        cut = rng.randrange(0, 4)
+        units.append((1, 3 * i, t[cut : len(t) - cut]))
+        units.append((1, 3 * i + 1, " ".join([text(rng.randrange(0, 5)), t, text(rng.randrange(0, 5))])))
+        rng.shuffle(w)
+        units.append((1, 3 * i + 2, " ".join(w[: max(1, len(w) * 9 // 10)] + [word() for _ in range(2)])))
+
+    def score(u, p):
+        if u in p:
+            return 1.0
+        if p in u:
+            return len(p) / len(u)
+        a, b = set(u.split(" ")), set(p.split(" "))
+        return len(a & b) / len(a)
+
+    norm = {r["unit"]: r["t"] for r in spark.createDataFrame(units, "doc int, unit int, text string").select("unit", linking.T.normalize_unit(F.col("text")).alias("t")).collect()}
+    want = {}
+    for _, k, _ in units:
+        if len(norm[k]) >= 40:
+            s = [(score(norm[k], t), i) for _, i, t in paras]
+            best = max(x for x, _ in s)
+            hits = [i for x, i in s if x == best]
+            want[k] = None if best < 0.8 or len(hits) > 1 else hits[0]
+    got = linking.map_units(spark.createDataFrame(units, "doc int, unit int, text string"), spark.createDataFrame(paras, "doc int, paragraph int, text string")).collect()
+    assert {r["unit"]: r["paragraph"] for r in got if len(norm[r["unit"]]) >= 40} == want and sum(v is not None for v in want.values()) > 20
