@@ -1,7 +1,8 @@
 """Ordered folds with budgets: greedy batches, partitions, prefix and skip budgets.
 
 The folds depend on order, so each is a walk over one document's sorted rows with a state of fixed size; batches of
-documents too long for one task are found by pointers from row to row.
+documents too long for one task are found by pointers from row to row, and a skip budget walks only the rows of such a
+document that can be taken, whose number has a bound.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import fold, jumps, split_long
+from .folds import fold, jumps, soft_jumps, spend, split_long
 
 LEAD_ROWS, LEAD_CHARS, MOST_ROWS, MOST_CHARS = 3, 1500, 15, 5000
 
@@ -61,7 +62,9 @@ def page_partitions(rows: DataFrame, most: int = 1200, key: str = "doc") -> Data
         s["page"] = page
         return s["batch"]
 
-    return fold(rows, key, ["pos"], ["page", "tokens"], _batch, step, "batch", "int")
+    short, long = split_long(rows, key)
+    out = fold(short, key, ["pos"], ["page", "tokens"], _batch, step, "batch", "int")
+    return out if long is None else out.unionByName(soft_jumps(long, key, "tokens", "page", most))
 
 
 def skip_budget(rows: DataFrame, most: int = 24000, share: float = 0.3, key: str = "doc") -> DataFrame:
@@ -76,7 +79,15 @@ def skip_budget(rows: DataFrame, most: int = 24000, share: float = 0.3, key: str
         s["total"] += chars
         return True
 
-    return fold(rows, key, ["pos"], ["section", "chars"], lambda: {"total": 0, "spent": {}}, step, "took", "boolean").select(key, "pos")
+    short, long = split_long(rows, key)
+    none = None
+    if long is not None:
+        # rows without characters always fit; of the others a walk meets a bounded number
+        none = long.where(F.col("chars") == 0).select(key, "pos")
+        left = spend(long, key, "section", "chars", cap, most)
+        short = short.select(key, "pos", "section", "chars").unionByName(left.select(key, "pos", "section", "chars"))
+    out = fold(short, key, ["pos"], ["section", "chars"], lambda: {"total": 0, "spent": {}}, step, "took", "boolean").select(key, "pos")
+    return out if none is None else out.unionByName(none)
 
 
 def prefix_budget(rows: DataFrame, cost: Column, room: int, key: str = "doc") -> DataFrame:

@@ -93,6 +93,27 @@ def test_batches_by_jumps_are_those_of_the_walk(spark, monkeypatch):
     assert [same(budgets.greedy_batches(t)), same(budgets.token_chunks(tokens, 2000, 400)), same(budgets.token_chunks(tokens, 2000, charged=False))] == walk
 
 
+def test_partitions_and_skips_of_long_documents_are_those_of_the_walk(spark, monkeypatch):
+    rng = random.Random(8)
+    rows, page = [], 0
+    for d, n in (("a", 700), ("b", 1), ("c", 40), (None, 90)):
+        for i in range(n):
+            page += rng.random() < 0.06
+            rows.append((d, i, None if page % 7 == 0 else page, rng.choice([0, 1, 90, 300, 610, 1300]), rng.choice(["x", "y", None, f"s{i % 50}"])))
+    rows += [("one page", i, 1, 100, "x") for i in range(200)] + [("pages", i, i, 100, f"s{i}") for i in range(200)] + [("empty", i, 1, 0, "x") for i in range(200)]
+    t = spark.createDataFrame(rows, "doc string, pos int, page int, tokens int, section string")
+    chars = t.withColumnRenamed("tokens", "chars")
+    same = lambda df: sorted(map(tuple, df.collect()), key=str)
+    runs = lambda: [same(budgets.page_partitions(t)), same(budgets.page_partitions(t, 5)), *(same(budgets.skip_budget(chars, m, s)) for m, s in ((24000, 0.3), (900, 0.9)))]
+    walk = runs()
+    monkeypatch.setattr(folds, "LONG", 39)
+    monkeypatch.setattr(folds, "PIECE", 64)
+    assert runs() == walk
+    # a common size: of ten thousand rows the walk meets what the two limits allow
+    many = spark.range(10_000).select(F.lit("d").alias("doc"), F.col("id").alias("pos"), F.lit("x").alias("section"), F.lit(500).alias("chars"))
+    assert folds.spend(many, "doc", "section", "chars", 1000, 3000).count() == 2
+
+
 def test_ledger_of_a_stream(spark, tmp_path):
     def provider(text):
         if "bad" in text:
