@@ -12,7 +12,8 @@ in Spark, as packed arrays by range of their last DEPTH bytes, so that each rang
 products go up to the driver for the nodes at DEPTH alone (at most 256^(DEPTH + 1) counts, whatever the corpus),
 which gives the mixture down to there; it is broadcast, and each range goes on from it. The probabilities of at
 most GRAM_MAX of the most frequent (context, byte) pairs (12 bytes each) are broadcast and resolve most places
-where they are; all others are dealt to their range, and their sums go back by text, as in the base.
+where they are; all others are dealt to their range, and their sums go back by text, as in the base. A range that is
+asked for more than PIECE times is looked up in several tasks.
 
 Base. Word counts know no bound, so they stay in Spark, as packed arrays by hash range. At most HOT_MAX of
 the most frequent words (16 bytes each) are broadcast, which resolves most tokens where they are; all other
@@ -44,6 +45,8 @@ from .common import byte_texts, lean, load, mix, parts, ship, sliced, store, wor
 DEPTH, DEEP, FOLDS = 2, 5, 10
 HOT_MAX = GRAM_MAX = 1 << 20
 RUN = 1 << 21
+#: Entries of a range that one task looks up at once; a row that holds more (RUN at most) stays whole.
+PIECE = 1 << 21
 #: Bytes that occur in no UTF-8 text stand for the start and the end.
 MARK = 0xFF
 #: The hash that stands for a text's end: that of a word with white space, which no word has.
@@ -459,7 +462,12 @@ def score(docs: DataFrame, depth: int = DEEP) -> DataFrame:
 
     def summed(kind: int, side: DataFrame, fn) -> DataFrame:
         entries = both.where(f"kind = {kind}").select("rng", "h", "rows", "tf")
-        sums = entries.groupBy("rng").cogroup(side.groupBy("wrng")).applyInArrow(lean(fn), "bucket int, r binary, total binary, known binary")
+        # a range that many texts ask for is dealt to several tasks, each with the range's counts; a row for each range
+        pieces = F.greatest(F.ceil(F.sum(F.octet_length("tf") / 4) / PIECE), F.lit(1)).cast("int")
+        asked = F.broadcast(store(entries.groupBy("rng").agg(pieces.alias("pieces")), "asked"))
+        dealt = entries.join(asked, "rng").withColumn("piece", F.expr("pmod(xxhash64(rows), pieces)").cast("int")).select("rng", "piece", "h", "rows", "tf")
+        counts = side.join(asked, F.expr("wrng = rng")).select("wrng", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("wpiece"), "keys", "counts")
+        sums = dealt.groupBy("rng", "piece").cogroup(counts.groupBy("wrng", "wpiece")).applyInArrow(lean(fn), "bucket int, r binary, total binary, known binary")
         return sums.groupBy("bucket").applyInArrow(gather, "r long, more double, more_known long")
 
     deep = summed(2, pairs, look_deep).select(F.col("r").alias("deep_r"), F.col("more").alias("deep"))

@@ -24,6 +24,7 @@ def test_subtrees_against_brute_force(depth):
 @pytest.mark.parametrize("hot", [0, 20, 1 << 20])
 def test_scores_see_five_bytes(spark, monkeypatch, hot):
     monkeypatch.setattr(lm, "GRAM_MAX", hot)
+    monkeypatch.setattr(lm, "PIECE", 40)  # ranges are looked up in several tasks
     rows = [(i, t) for i, t in enumerate(TEXTS * 4)]
     train = [t.encode() for i, t in rows if not lm.held_out(i)]
     got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
