@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,17 +65,20 @@ def memoised(rows: DataFrame, memo: DataFrame, provider: Provider, context: str
 
 
 def embed(rows: DataFrame, column: str = "text", dim: int = 64) -> DataFrame:
-    """Unit vectors of hashed words: the mean over words of signed unit directions; a stand-in for a model."""
+    """Unit vectors of hashed words: the mean over words of signed unit directions; a stand-in for a model.
+
+    A batch's distinct words are hashed once each, and its vectors are one weighted count.
+    """
 
     def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            v = [0.0] * dim
-            for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big")
-                v[h % dim] += 1.0 if h >> 63 else -1.0
-            n = sum(x * x for x in v) ** 0.5
-            out.append([x / n for x in v] if n else v)
-        return pa.array(out, pa.list_(pa.float32()))
+        words = [(t or "").lower().split() for t in texts.to_pylist()]
+        known = {w: int.from_bytes(hashlib.md5(w.encode()).digest()[:8], "big") for w in set(chain.from_iterable(words))}
+        size = [len(x) for x in words]
+        h = np.fromiter((known[w] for w in chain.from_iterable(words)), np.uint64, sum(size))
+        at = np.repeat(np.arange(len(words)) * dim, size) + (h % np.uint64(dim)).astype(np.int64)
+        v = np.bincount(at, np.where(h >> np.uint64(63), 1.0, -1.0), len(words) * dim).reshape(len(words), dim)
+        n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        flat = (v / np.where(n > 0, n, 1.0)).astype("<f4").ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dim, pa.int32()), pa.array(flat))
 
     return rows.withColumn("embedding", F.arrow_udf(run, "array<float>")(F.col(column)))
