@@ -5,7 +5,9 @@ proportional to its length. Blocks in containers that say by their tag or role w
 header and footer, sidebar, hidden parts) are boilerplate at once. A class or id says so only if one of
 its names is made of such words (CUES) and of words without meaning of their own (PLAIN): "cookie-banner" does,
 "notice-board" and "related-work" don't; and a container that is named for the page's layout, or a form, that
-holds most of the page's dense text is left to the passes. First pass: stop-word density, length and link density decide each block
+holds most of the page's dense text is left to the passes. A surer word (SURE) does so beside any other ones if the
+container holds a control, and not most of the dense text. Neighbours alike in tag and class that each hold a link to
+reply are comments, whatever they are called, if a text stands before them. First pass: stop-word density, length and link density decide each block
 as good or bad, or leave it open. Where no language of STOP_WORDS is the page's, or a block's script has no
 such words, length, sentence ends and link density decide alone. Second pass: open short blocks take the label
 of the nearest decided neighbours. If the page marks its main region (article, main, role=main), only that
@@ -26,7 +28,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -57,6 +61,11 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 LAYOUT = set("nav navbar navigation menu menubar submenu sidebar aside footer foot header masthead topbar breadcrumb breadcrumbs pagination pager toolbar search modal overlay dialog popup skip login signup".split())
 HELD = set("cookie cookies consent gdpr notice notices notification alert banner ad ads adv advert adverts advertisement adsense sponsor sponsored promo promotion promoted comment comments commentlist reply replies respond discussion disqus share sharing social related recommended recommendations newsletter subscribe subscription teaser".split())
 CUES = LAYOUT | HELD
+#: Those of them that tell beside any other word, if the container also has a control, such as a button or a field.
+SURE = set("cookie cookies consent gdpr newsletter disqus comments commentlist advert adverts adsense sponsored".split())
+CONTROLS = {"button", "input", "select", "textarea", "form"}
+#: First words of the link under a reader's comment, in the languages of STOP_WORDS.
+REPLY = {"reply", "antworten", "répondre", "responder"}
 #: What a form says of itself: like a name of layout, for some pages stand in one form as a whole.
 FORM = "<form>"
 #: Words that go with them and say nothing themselves.
@@ -83,34 +92,50 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
-    __slots__ = ("parts", "links", "main", "dropped", "cue", "text", "words", "label")
+    __slots__ = ("parts", "links", "main", "dropped", "cue", "text", "words", "label", "reply")
 
     def __init__(self, main: bool, dropped: bool, cue: int):
         self.parts: list[str] = []
         self.links, self.main, self.dropped, self.cue, self.text, self.words, self.label = 0, main, dropped, cue, "", [], OPEN
+        self.reply = False
 
 
-def named(value: str) -> set[str]:
-    """The cues among the names of a class or id."""
+class Element:
+    """What is inside an open element: where its blocks begin, whether it has a control or a reply link, and its children with such links."""
+
+    __slots__ = ("start", "kind", "cue", "block", "parts", "reply", "control", "kids")
+
+    def __init__(self, start: int, kind: tuple[str, str], cue: int, block: Block):
+        self.start, self.kind, self.cue, self.block, self.parts = start, kind, cue, block, len(block.parts)
+        self.reply = self.control = False
+        self.kids: list[tuple[tuple[str, str], int, int]] = []
+
+
+def named(value: str) -> tuple[set[str], bool]:
+    """The cues among the names of a class or id, and whether a name has a sure one beside other words."""
     out: set[str] = set()
+    sure = False
     for name in value.split():
         words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
         found = CUES.intersection(words)
         if found and all(w in CUES or w in PLAIN for w in words):
             out |= found
-    return out
+        elif not SURE.isdisjoint(words):
+            sure = True
+    return out, sure
 
 
 @lru_cache(4096)
-def _told(class_: str, id_: str, role: str, style: str, hidden: bool, aria: str) -> tuple[bool, frozenset[str], frozenset[str]]:
-    """(is it hidden, cues of its names, roles)."""
-    return hidden or aria.lower() == "true" or HIDDEN.search(style) is not None, frozenset(named(f"{class_} {id_}")), frozenset(role.lower().split())
+def _told(class_: str, id_: str, role: str, style: str, hidden: bool, aria: str) -> tuple[bool, frozenset[str], frozenset[str], bool, str]:
+    """(is it hidden, cues of its names, roles, has it a sure cue beside other words, its first class)."""
+    cues, sure = named(f"{class_} {id_}")
+    return hidden or aria.lower() == "true" or HIDDEN.search(style) is not None, frozenset(cues), frozenset(role.lower().split()), sure, next(iter(class_.split()), "")
 
 
-NOTHING = (False, frozenset(), frozenset())
+NOTHING = (False, frozenset(), frozenset(), False, "")
 
 
-def _says(found: dict[str, str]) -> tuple[bool, frozenset[str], frozenset[str]]:
+def _says(found: dict[str, str]) -> tuple[bool, frozenset[str], frozenset[str], bool, str]:
     get = found.get
     return _told(get("class", ""), get("id", ""), get("role", ""), get("style", ""), "hidden" in found, get("aria-hidden", ""))
 
@@ -142,6 +167,9 @@ def blocks_of(page: str) -> list[Block]:
     dropped = main = link = False
     first_dropped, cue, cues = -1, 0, 0
     soft: dict[int, bool] = {0: False}  # cue container -> its words are of layout alone
+    doubted: dict[int, int] = {}  # container with a sure cue beside other words, of which no control is known -> the cue container around it
+    inside: list[Element] = []
+    lists: list[tuple[int, int, list[tuple[int, int]]]] = []  # containers of comments: their blocks, and those of the comments
     now = Block(main, dropped, cue)
     last_end, last_quote = page.rfind(">"), max(page.rfind('"'), page.rfind("'"))
 
@@ -157,10 +185,35 @@ def blocks_of(page: str) -> list[Block]:
             if link:
                 now.links += len(text.strip())
 
+    def leave(name: str) -> None:
+        e = inside.pop()
+        if name in ("a", "button") and e.block is now:
+            said = "".join(now.parts[e.parts :]).lower().split()
+            e.reply = e.reply or (0 < len(said) <= 3 and said[0] in REPLY)
+        if e.control or name in CONTROLS:
+            doubted.pop(e.cue, None) if e.cue else None
+        if len(e.kids) > 1 and name in BLOCK:
+            kinds = Counter(kind for kind, _, _ in e.kids)
+            comments = [(i, j) for kind, i, j in e.kids if kinds[kind] > 1]
+            if comments:
+                lists.append((e.start, len(out), comments))
+        if inside:
+            up = inside[-1]
+            up.control = up.control or e.control or name in CONTROLS
+            up.reply = up.reply or e.reply
+            if e.reply and name in BLOCK:
+                up.kids.append((e.kind, e.start, len(out)))
+            elif e.kids and name not in BLOCK:
+                # a part of a line stands for what it holds
+                most, least = (up.kids, e.kids) if len(up.kids) > len(e.kids) else (e.kids, up.kids)
+                most += least
+                up.kids = most
+
     def close(k: int) -> None:
         nonlocal dropped, main, link, first_dropped, cue
         for x in reversed(stack[k:]):
             open_at[x[0]].pop()
+            leave(x[0])
         while block_at and block_at[-1] >= k:
             block_at.pop()
         while barrier_at and barrier_at[-1] >= k:
@@ -215,12 +268,16 @@ def blocks_of(page: str) -> list[Block]:
         if name in RAW:
             end = RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
+            if name in CONTROLS and inside:
+                inside[-1].control = True
             continue
         if name in VOID:
             if name == "hr":
                 flush()
             elif name == "br":
                 say(" ")
+            elif name in CONTROLS and inside:
+                inside[-1].control = True
             continue
         if name in BLOCK:
             flush()
@@ -233,7 +290,7 @@ def blocks_of(page: str) -> list[Block]:
                 close(first_dropped)
         elif name in ("td", "th"):
             say(" ")
-        hidden, words, role = said
+        hidden, words, role, sure, kind = said
         whole = name in ("html", "body")
         own = frozenset() if whole or not words else words - LAYOUT if name in MAIN else words - OWN_HEADER if main else words
         if name == "form" or "form" in role:
@@ -244,6 +301,10 @@ def blocks_of(page: str) -> list[Block]:
             cues += 1
             in_cue = cues
             soft[cues] = own <= LAYOUT | {FORM}
+        elif sure and not own and not drop and not whole and name in BLOCK and name not in MAIN and (not cue or soft[cue]):
+            cues += 1
+            in_cue = cues
+            soft[cues], doubted[cues] = True, cue
         is_main = main or ((name in MAIN or "main" in role) and not drop and not (in_cue and not soft[in_cue]))
         if name not in BLOCK and page[at - 2 : at] == "/>":
             continue
@@ -263,11 +324,24 @@ def blocks_of(page: str) -> list[Block]:
             now.dropped, now.main, now.cue = dropped, main, cue
         elif dropped != now.dropped or cue != now.cue:
             flush()
+        inside.append(Element(len(out), (name, kind), in_cue if in_cue in doubted else 0, now))
     say(page[at:])
     flush()
+    close(0)
     for b in out:
         text = "".join(b.parts)
         b.text = " ".join((html.unescape(text) if "&" in text else text).split())
+    for k in doubted:  # ascending, and what is around a container comes before it
+        doubted[k] = doubted.get(doubted[k], doubted[k])
+    long = [0, *accumulate(len(b.text) >= SHORT for b in out)]
+    change = [0] * (len(out) + 1)
+    for i, j, comments in lists:
+        # what goes with the comments in their container goes too, if that is no text
+        for x, y in [(i, j)] if sum(long[y] - long[x] for x, y in comments) == long[j] - long[i] else comments:
+            change[x] += 1
+            change[y] -= 1
+    for b, n in zip(out, accumulate(change), strict=False):
+        b.cue, b.reply = doubted.get(b.cue, b.cue), n > 0
     out = [b for b in out if b.text and not b.dropped]
     if any(b.main for b in out):
         out = [b for b in out if b.main]
@@ -276,7 +350,15 @@ def blocks_of(page: str) -> list[Block]:
     language = language_of(out)
     for b in out:
         b.label = _first_pass(b, language)
-    return _without_cues(out, soft)
+    return _without_comments(_without_cues(out, soft))
+
+
+def _without_comments(blocks: list[Block]) -> list[Block]:
+    """Drop blocks of comments that follow a text of some length; of a page without one they are the text."""
+    first = next((i for i, b in enumerate(blocks) if b.reply), len(blocks))
+    if sum(len(b.text) for b in blocks[:first] if b.label == GOOD) < LONG:
+        return blocks
+    return [b for b in blocks if not b.reply]
 
 
 def _without_cues(blocks: list[Block], soft: dict[int, bool]) -> list[Block]:

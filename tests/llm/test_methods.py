@@ -591,3 +591,32 @@ def test_pipeline_against_brute_force(spark, duck):
     want = sorted(i for i, (_, c) in brute_components(list(texts.items())).items() if i == c)
     assert sorted(r["doc_id"] for r in three.collect()) == want
     check_pieces(corpus_pipeline.run(spark, SF).collect(), [(i, texts[i]) for i in want])
+
+
+STORY = "<div class='story-x'><p>The history of the river is long and it was told by the people who had lived on the banks for many years, as they were able to see.</p><p>It goes on about the towns which lie on it, and what has been built there by those of old, as you have been told.</p></div>"
+STORY_TEXT = ["The history of the river is long", "It goes on about the towns"]
+SAID = "I think this is the best article that I have read on the subject for a long time, and I would like to thank you for it."
+
+
+@pytest.mark.parametrize(
+    "page, kept",
+    [
+        # comments by what they hold, whatever their container is called
+        (f"{STORY}<div id='user-feedback'><h3>2 opinions</h3><div class='op'><p>{SAID}</p><a>Reply</a></div><div class='op'><p>{SAID}</p><a>Reply</a></div></div>", STORY_TEXT),
+        (f"{STORY}<ul><li class=c>{SAID} <a>Antworten</a><ul><li class=c>{SAID}<a>Antworten</a></ul><li class=c>{SAID} <button>Antworten</button>", STORY_TEXT),
+        # a forum's posts are its text
+        (f"<div class='op'><p>{SAID}</p><a>Reply</a></div><div class='op'><p>{SAID} {SAID}</p><a>Reply</a></div>", [SAID, f"{SAID} {SAID}", "I think"]),
+        # a link to reply under the article itself
+        (f"<div class='post'>{STORY}<a>Reply</a></div><div class='talk'><p>{SAID}</p></div>", [*STORY_TEXT, SAID]),
+        # a sure word beside others, with a control and without one
+        ("<div class='gdpr-msg'><p>We use cookies and the like to make it work for you, as it is with all the sites that you have seen.</p><button>OK</button></div>" + STORY, STORY_TEXT),
+        (f"<div class='cookie-recipe'><p>{SAID}</p></div>" + STORY, [SAID, *STORY_TEXT]),
+        (f"<div class='has-comments'>{STORY}<form><input></form></div>", STORY_TEXT),
+    ],
+)
+def test_containers_by_what_they_hold(page, kept):
+    from stackroom.llm.htmltext import main_text
+
+    lines = main_text(f"<body>{page}</body>").split("\n")
+    assert all(any(x.startswith(k) for x in lines) for k in kept[:2])
+    assert all(any(x.startswith(k) for k in kept) for x in lines)
