@@ -63,6 +63,7 @@ HELD = set("cookie cookies consent gdpr notice notices notification alert banner
 CUES = LAYOUT | HELD
 #: Those of them that tell beside any other word, if the container also has a control, such as a button or a field.
 SURE = set("cookie cookies consent gdpr newsletter disqus comments commentlist advert adverts adsense sponsored".split())
+HEADINGS = {"h2", "h3", "h4", "h5", "h6"}
 CONTROLS = {"button", "input", "select", "textarea", "form"}
 #: First words of the link under a reader's comment, in the languages of STOP_WORDS.
 REPLY = {"reply", "antworten", "répondre", "responder"}
@@ -92,12 +93,12 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Block:
-    __slots__ = ("parts", "links", "main", "dropped", "cue", "text", "words", "label", "reply")
+    __slots__ = ("parts", "links", "main", "dropped", "cue", "text", "words", "label", "reply", "head")
 
     def __init__(self, main: bool, dropped: bool, cue: int):
         self.parts: list[str] = []
         self.links, self.main, self.dropped, self.cue, self.text, self.words, self.label = 0, main, dropped, cue, "", [], OPEN
-        self.reply = False
+        self.reply = self.head = False
 
 
 class Element:
@@ -320,6 +321,7 @@ def blocks_of(page: str) -> list[Block]:
         _, dropped, main, link, first_dropped, cue = stack[-1]
         if name in BLOCK:
             now = Block(main, dropped, cue)
+            now.head = name in HEADINGS
         elif not now.parts:
             now.dropped, now.main, now.cue = dropped, main, cue
         elif dropped != now.dropped or cue != now.cue:
@@ -354,11 +356,11 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _without_comments(blocks: list[Block]) -> list[Block]:
-    """Drop blocks of comments that follow a text of some length; of a page without one they are the text."""
+    """Drop blocks of comments that follow a text of some length, and the heading right before them; of a page without such a text they are the text."""
     first = next((i for i, b in enumerate(blocks) if b.reply), len(blocks))
     if sum(len(b.text) for b in blocks[:first] if b.label == GOOD) < LONG:
         return blocks
-    return [b for b in blocks if not b.reply]
+    return [b for b, after in zip(blocks, [*blocks[1:], None], strict=True) if not (b.reply or (b.head and after is not None and after.reply))]
 
 
 def _without_cues(blocks: list[Block], soft: dict[int, bool]) -> list[Block]:

@@ -603,7 +603,7 @@ SAID = "I think this is the best article that I have read on the subject for a l
     [
         # comments by what they hold, whatever their container is called
         (f"{STORY}<div id='user-feedback'><h3>2 opinions</h3><div class='op'><p>{SAID}</p><a>Reply</a></div><div class='op'><p>{SAID}</p><a>Reply</a></div></div>", STORY_TEXT),
-        (f"{STORY}<ul><li class=c>{SAID} <a>Antworten</a><ul><li class=c>{SAID}<a>Antworten</a></ul><li class=c>{SAID} <button>Antworten</button>", STORY_TEXT),
+        (f"{STORY}<h2>Was andere sagen</h2>\n<ul><li class=c>{SAID} <a>Antworten</a><ul><li class=c>{SAID}<a>Antworten</a></ul><li class=c>{SAID} <button>Antworten</button>", STORY_TEXT),
         # a forum's posts are its text
         (f"<div class='op'><p>{SAID}</p><a>Reply</a></div><div class='op'><p>{SAID} {SAID}</p><a>Reply</a></div>", [SAID, f"{SAID} {SAID}", "I think"]),
         # a link to reply under the article itself
