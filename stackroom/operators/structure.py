@@ -67,7 +67,8 @@ def hierarchy(sections: DataFrame) -> DataFrame:
         return found
 
     stack = fold(s.withColumn("section", F.col("section").cast("string")), "doc", ["pos"], ["level", "section"], lambda: {"path": []}, above, "above", "string")
-    j = s.join(stack, ["doc", "pos"], "left").join(first, (s.doc == first.doc) & (s.prefix == first.num), "left")
+    # estimates leave out what an explode adds, so a side that grows with the rows is never to be broadcast
+    j = s.join(stack.hint("merge"), ["doc", "pos"], "left").join(first.hint("merge"), (s.doc == first.doc) & (s.prefix == first.num), "left")
     return j.select(s.doc, s.pos, s.section, s.title, s.level, F.coalesce(F.when(F.col("named") != s.section, F.col("named")), F.col("above")).alias("parent"))
 
 
