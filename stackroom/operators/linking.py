@@ -112,16 +112,18 @@ def affected(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     return texts.join(occurrences(texts, terms, keys).select(*keys).distinct(), keys, "left_semi")
 
 
-def map_units(units: DataFrame, paragraphs: DataFrame, least: float = 0.8, chars: int = 40) -> DataFrame:
+def map_units(units: DataFrame, paragraphs: DataFrame, least: float = 0.8, chars: int = 40, normalized: bool = False) -> DataFrame:
     """(doc, unit, paragraph, score, cause): the one paragraph of its document that a unit is, or why there is none.
 
     Ties leave the unit unmapped; the score of one that nothing is like enough is that of what was looked at. A paragraph
     with a score of `least` or more lacks few of the unit's words: 1 - least of them by overlap, the first and last one if
     it holds the unit, and if the unit holds it those of the rest's characters and two cut ones. So it holds one of the
     unit's rarest words (by the document's paragraphs), as soon as these are more than it may lack in number and in letters.
+    With `normalized` the texts are taken as they are: a unit that was cut before a word keeps the space at its end.
     """
-    u = units.select("doc", "unit", T.normalize_unit(F.col("text")).alias("ut"))
-    p = paragraphs.select("doc", "paragraph", T.normalize_unit(F.col("text")).alias("pt")).where("pt <> ''")
+    norm = (lambda c: F.col(c)) if normalized else (lambda c: T.normalize_unit(F.col(c)))
+    u = units.select("doc", "unit", norm("text").alias("ut"))
+    p = paragraphs.select("doc", "paragraph", norm("text").alias("pt")).where("pt <> ''")
     long = u.where(F.length("ut") >= chars)
     split = lambda t: F.array_distinct(F.split(t, " "))
     wu = long.select("doc", "unit", F.length("ut").alias("letters"), F.size(split("ut")).alias("words"), F.explode(split("ut")).alias("w"))
@@ -141,12 +143,12 @@ def map_units(units: DataFrame, paragraphs: DataFrame, least: float = 0.8, chars
     return j.select("doc", "unit", F.when(cause.isNull(), F.col("paragraph")).alias("paragraph"), F.coalesce("best", F.lit(0.0)).alias("score"), cause.alias("cause"))
 
 
-def unit_contexts(units: DataFrame, paragraphs: DataFrame, contexts: DataFrame, version: str) -> DataFrame:
+def unit_contexts(units: DataFrame, paragraphs: DataFrame, contexts: DataFrame, version: str, normalized: bool = False) -> DataFrame:
     """(doc, unit, paragraph, context, fallback, key): each unit's context by the paragraph it is, or the plain statement that it has none.
 
     `contexts` is (doc, paragraph, context). The key is a digest of version, context and text, for a memo of calls.
     """
-    m = map_units(units, paragraphs).join(contexts, ["doc", "paragraph"], "left").join(units.select("doc", "unit", "text"), ["doc", "unit"])
+    m = map_units(units, paragraphs, normalized=normalized).join(contexts, ["doc", "paragraph"], "left").join(units.select("doc", "unit", "text"), ["doc", "unit"])
     digest = F.sha2(F.concat(F.lit(version), F.lit("\u0001"), F.coalesce("context", F.lit(""))), 256)
     gone = F.col("context").isNull()
     return m.select("doc", "unit", F.when(~gone, F.col("paragraph")).alias("paragraph"), "context", F.when(gone, "UNMAPPED").alias("fallback"), F.sha2(F.concat(digest, F.lit("\u0000"), "text"), 256).alias("key"))

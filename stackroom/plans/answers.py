@@ -149,7 +149,7 @@ def _(spark, d):
     p = paragraphs(spark, d).select(F.col("doc_id").alias("doc"), F.col("pos").alias("paragraph"), T.normalize_unit(F.col("text")).alias("text"))
     u = p.select("doc", F.col("paragraph").alias("unit"), F.when(F.col("paragraph") % 2 == 0, F.substring("text", F.lit(1), F.greatest(F.lit(45), F.floor(F.length("text") / 2)).cast("int"))).otherwise(F.col("text")).alias("text"))
     context = p.where("paragraph % 3 <> 0").select("doc", "paragraph", F.concat(F.lit("context of "), F.col("paragraph").cast("string")).alias("context"))
-    return L.unit_contexts(u, p, context, "v1")
+    return L.unit_contexts(u, p, context, "v1", normalized=True)
 
 
 CANON = "trim(regexp_replace({x}, '[\\t ]+', ' ', 'g'))"

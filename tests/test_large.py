@@ -1,7 +1,10 @@
 """Steps that must stay within bounds, and give the same rows, on tables that are larger than the smallest ones."""
 
+import random
+
 import pytest
 
+from stackroom.operators import linking, structure
 from stackroom.plans import catalog
 
 
@@ -27,3 +30,25 @@ def test_upsert_beside_a_part_of_the_same_number(spark, parts):
 
 def test_hierarchy_broadcasts_no_rows(spark, parts):
     assert "Broadcast" not in plan(catalog.QUERIES["e04_hierarchy"](spark, parts(50)))
+
+
+def test_quotes_of_large_pages_meet_by_words(spark, monkeypatch):
+    r = random.Random(3)
+    words = ["a", "ab", "abc", "#12.", "#123.", "é𝒳é", "longerword", "x" * 20]
+    texts = [" ".join(r.choices(words, k=r.randint(0, 6))) for _ in range(80)]
+    quotes = [t[i : i + r.randint(1, 30)] for t in texts for i in (0, 1, 3)] + ["", "none of them", "x" * 17, texts[0] + " ab " + texts[1]]
+    p = spark.createDataFrame([(i, f"a{i}", i % 2, 1, t) for i, t in enumerate(texts)], "id long, anchor string, doc int, page int, text string")
+    t = spark.createDataFrame([(i, "no", i % 2, 1, q) for i, q in enumerate(quotes)], "target long, anchor string, doc int, page int, quote string")
+    got = {}
+    for few in (0, 1000):
+        monkeypatch.setattr(structure, "FEW", few)
+        got[few] = sorted(tuple(x) for x in structure.reattach(t, p).collect())
+    assert got[0] == got[1000] and len({x[1] for x in got[0]}) == 3
+
+
+def test_unit_cut_before_a_word_keeps_its_space(spark):
+    unit = "one two three four five six seven eight nine ten "
+    p = spark.createDataFrame([(1, 1, unit + "eleven"), (1, 2, "and " + unit.strip())], "doc int, paragraph int, text string")
+    u = spark.createDataFrame([(1, 9, unit)], "doc int, unit int, text string")
+    found = lambda **how: [(r["paragraph"], r["cause"]) for r in linking.map_units(u, p, **how).collect()]
+    assert found(normalized=True) == [(1, None)] and found() == [(None, "DUPLICATE_SOURCE_TEXT")]
