@@ -208,20 +208,60 @@ def outline(sections: DataFrame) -> DataFrame:
         now = j.select("n.section", F.col("a.next").alias("up"), (F.col("n.depth") + F.coalesce(F.col("a.more") + 1, F.lit(0))).alias("depth"), F.when(F.col("a.head").isNull(), F.col("n.path")).otherwise(F.concat("a.head", "n.path")).alias("path"))
 
 
+#: A page, and how many paragraphs it has at most if its quotes meet all of them.
+PAGE, FEW = ["doc", "page"], 64
+
+
+def _holding(needles: DataFrame, nid: str, needle: str, hays: DataFrame, hid: str, hay: str) -> DataFrame:
+    """(doc, page, nid, hid): the texts `hay` of a page that hold a `needle` of it, without meeting all of them.
+
+    A needle's words but the first and last are words of the text, and the rarest of these on the page is the key. If there is
+    none, its longest word lies within a word of the text: such words are found among the page's distinct ones, by the last
+    1, 2, 4, 8 or 16 characters.
+    """
+    n = needles.select(*PAGE, F.col(nid).alias("n"), F.col(needle).alias("x")).withColumn("ws", F.split("x", " "))
+    h = hays.select(*PAGE, F.col(hid).alias("h"), F.col(hay).alias("y"))
+    words = h.select(*PAGE, "h", F.explode_outer(F.array_distinct(F.split("y", " "))).alias("w"))
+    each = words.groupBy(*PAGE, "w").agg(F.count("*").alias("df"))
+    inner = n.where(F.size("ws") > 2).select(*PAGE, "n", F.explode_outer(F.array_distinct(F.slice("ws", F.lit(2), F.size("ws") - 2))).alias("w"))
+    # a needle one of whose words the page doesn't have is in none
+    key = inner.join(each, [*PAGE, "w"], "left").groupBy(*PAGE, "n").agg(F.count_if(F.col("df").isNull()).alias("lost"), F.min_by("w", F.struct("df", "w")).alias("w")).where("lost = 0").drop("lost")
+    short = n.where(F.size("ws") <= 2).select(*PAGE, "n", F.array_max(F.transform("ws", lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"].alias("part"))
+    long = F.length("part")
+    size = F.when(long >= 16, 16).when(long >= 8, 8).when(long >= 4, 4).otherwise(F.least(long, F.lit(2)))
+    parts = stored(short.where("part <> ''").withColumn("size", size).withColumn("gram", F.expr("right(part, size)")), "parts")
+    sizes = sorted(r[0] for r in parts.select("size").distinct().collect())
+    if sizes:
+        cut = lambda k: F.when(F.length("w") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - k + 1, F.lit(1))), lambda i: F.substring("w", i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+        grams = F.array_distinct(F.flatten(F.array(*[cut(k) for k in sizes])))
+        within = each.select(*PAGE, "w", F.explode_outer(grams).alias("gram")).where("gram is not null")
+        key = key.unionByName(parts.join(within, [*PAGE, "gram"]).where(F.contains("w", F.col("part"))).select(*PAGE, "n", "w"))
+    met = words.join(key, [*PAGE, "w"]).select(*PAGE, "n", "h").distinct().join(n.drop("ws"), [*PAGE, "n"]).join(h, [*PAGE, "h"])
+    return met.where(F.contains("y", F.col("x"))).select(*PAGE, F.col("n").alias(nid), F.col("h").alias(hid))
+
+
 def reattach(targets: DataFrame, paragraphs: DataFrame, parts: bool = True) -> DataFrame:
     """(target, state, n, found): exact anchor, else the quote inside one paragraph of its page, else (with `parts`) one inside the quote.
 
     `targets` is (target, anchor, doc, page, quote), `paragraphs` (id, anchor, doc, page, text); quotes meet only
-    their own page's paragraphs, by an equi-join.
+    their own page's paragraphs, by an equi-join; on pages of many paragraphs only those with a word that they must have.
     """
     t = targets.withColumn("needle", T.canonical_source_text(F.col("quote")))
     p = paragraphs.withColumn("canon", T.canonical_source_text(F.col("text")))
     exact = t.join(p.select(F.col("anchor").alias("pa"), "id"), F.expr("anchor = pa")).groupBy("target").agg(F.min("id").alias("exact"))
-    j = t.alias("t").join(p.alias("p"), F.expr("t.doc = p.doc and t.page = p.page and t.needle <> ''"))
-    hold = F.contains(F.col("p.canon"), F.col("t.needle"))
-    within = F.lit(parts) & (F.col("p.canon") != "") & F.contains(F.col("t.needle"), F.col("p.canon"))
-    c = j.groupBy("t.target").agg(F.count_if(hold).alias("holding"), F.min(F.when(hold, F.col("p.id"))).alias("holder"), F.count_if(within).alias("parts"), F.min(F.when(within, F.col("p.id"))).alias("part"))
-    r = t.join(exact, "target", "left").join(c, "target", "left").na.fill(0, ["holding", "parts"])
+    asked = t.where("needle <> ''").select(*PAGE, "needle").distinct()
+    own = p.select(*PAGE, "id", "canon")
+    many = stored(own.groupBy(*PAGE).count().where(F.col("count") > FEW).select(*PAGE), "pages")
+    met = asked.join(own if many.isEmpty() else own.join(many, PAGE, "left_anti"), PAGE)
+    met = met.withColumns({"hold": F.contains("canon", F.col("needle")), "within": F.lit(parts) & (F.col("canon") != "") & F.contains("needle", F.col("canon"))}).select(*PAGE, "needle", "id", "hold", "within")
+    if not many.isEmpty():
+        quotes, rows = stored(asked.join(many, PAGE, "left_semi"), "quotes"), stored(own.join(many, PAGE, "left_semi"), "rows")
+        held = lambda found, hold: found.select(*PAGE, "needle", "id", F.lit(hold).alias("hold"), F.lit(not hold).alias("within"))
+        met = met.unionByName(held(_holding(quotes, "needle", "needle", rows, "id", "canon"), True))
+        if parts:
+            met = met.unionByName(held(_holding(rows.where("canon <> ''"), "id", "canon", quotes, "needle", "needle"), False))
+    c = met.groupBy(*PAGE, "needle").agg(F.count_if("hold").alias("holding"), F.min(F.when(F.col("hold"), F.col("id"))).alias("holder"), F.count_if("within").alias("parts"), F.min(F.when(F.col("within"), F.col("id"))).alias("part"))
+    r = t.join(exact, "target", "left").join(c, [*PAGE, "needle"], "left").na.fill(0, ["holding", "parts"])
     state = F.when(F.col("exact").isNotNull(), "EXACT").when(F.col("holding") == 1, "REATTACHED").when(F.col("holding") > 1, "AMBIGUOUS").when(F.col("parts") == 1, "REATTACHED").when(F.col("parts") > 1, "AMBIGUOUS").otherwise("ORPHANED")
     found = F.when(F.col("exact").isNotNull(), F.col("exact")).when(F.col("holding") == 1, F.col("holder")).when((F.col("holding") == 0) & (F.col("parts") == 1), F.col("part"))
     return r.select("target", state.alias("state"), F.greatest("holding", F.when(F.col("holding") == 0, F.col("parts")).otherwise(0)).alias("n"), found.alias("found"))
