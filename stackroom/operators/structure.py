@@ -123,13 +123,15 @@ def column_split(blocks: DataFrame, keys: list[str]) -> DataFrame:
     b = blocks.join(g, keys).withColumn("w", F.col("x1") - F.col("x0")).where("w >= greatest(10.0, 0.02 * width) and w < 0.9 * width")
     first = F.floor((F.col("x0") - F.col("left")) / F.col("width") * CELLS).cast("int")
     last = F.floor((F.col("x1") - F.col("left")) / F.col("width") * CELLS + 0.5).cast("int")
-    covered = b.select(*keys, F.explode(F.sequence(F.greatest(F.lit(0), first), F.least(F.lit(CELLS), F.greatest(last, first + 1)) - 1)).alias("c")).groupBy(*keys, "c").agg(F.count("*").alias("k"))
-    many = b.groupBy(*keys).agg(F.count("*").alias("contributors"), F.first("left").alias("left"), F.first("width").alias("width")).where("contributors >= 4")
-    middle = many.select(*keys, "contributors", "left", "width", F.explode(F.sequence(F.lit(CELLS // 5), F.lit(CELLS * 4 // 5 - 1))).alias("c"))
-    cells = middle.join(covered, [*keys, "c"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
-    least = cells.withColumn("lowest", F.min("k").over(Window.partitionBy(*keys))).where("k = lowest and lowest <= greatest(1, cast(0.35 * contributors as int))")
-    runs = least.withColumn("run", F.col("c") - F.row_number().over(Window.partitionBy(*keys).orderBy("c"))).groupBy(*keys, "left", "width", "run").agg(F.min("c").alias("a"), (F.max("c") + 1).alias("z"))
-    best = runs.groupBy(*keys, "left", "width").agg(F.max_by(F.struct("a", "z"), F.struct((F.col("z") - F.col("a")).alias("size"), (-F.col("a")).alias("first"))).alias("x"))
+    # where the number of blocks over a cell changes: two rows a block at most; a group's first cell has how many there are
+    change = lambda c, by, block: F.struct(c.cast("int").alias("c"), F.lit(by).alias("by"), F.lit(block).alias("block"))
+    changes = F.array(change(F.lit(0), 0, 1), change(F.greatest(F.lit(0), first), 1, 0), change(F.least(F.lit(CELLS), F.greatest(last, first + 1)), -1, 0))
+    e = b.select(*keys, "left", "width", F.explode_outer(changes).alias("e")).groupBy(*keys, "e.c").agg(F.sum("e.by").alias("by"), F.sum("e.block").alias("blocks"), F.first("left").alias("left"), F.first("width").alias("width")).where("by <> 0 or c = 0")
+    group = Window.partitionBy(*keys)
+    along = group.orderBy("c")
+    runs = e.withColumns({"contributors": F.max("blocks").over(group), "k": F.sum("by").over(along), "a": F.greatest("c", F.lit(CELLS // 5)), "z": F.least(F.coalesce(F.lead("c").over(along), F.lit(CELLS)), F.lit(CELLS * 4 // 5))})
+    runs = runs.where("contributors >= 4 and z > a").withColumn("lowest", F.min("k").over(group)).where("k = lowest and lowest <= greatest(1, cast(0.35 * contributors as int))")
+    best = runs.groupBy(*keys).agg(F.max_by(F.struct("a", "z"), F.struct((F.col("z") - F.col("a")).alias("size"), (-F.col("a")).alias("first"))).alias("x"), F.first("left").alias("left"), F.first("width").alias("width"))
     best = best.where((F.col("x.z") - F.col("x.a")) / CELLS * F.col("width") >= MIN_GUTTER)
     return best.select(*keys, (F.col("left") + (F.col("x.a") + F.col("x.z")) / 2 / CELLS * F.col("width")).alias("gutter"))
 

@@ -1,6 +1,7 @@
 """Steps that must stay within bounds, and give the same rows, on tables that are larger than the smallest ones."""
 
 import random
+import re
 
 import pytest
 
@@ -52,3 +53,21 @@ def test_unit_cut_before_a_word_keeps_its_space(spark):
     u = spark.createDataFrame([(1, 9, unit)], "doc int, unit int, text string")
     found = lambda **how: [(r["paragraph"], r["cause"]) for r in linking.map_units(u, p, **how).collect()]
     assert found(normalized=True) == [(1, None)] and found() == [(None, "DUPLICATE_SOURCE_TEXT")]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_columns_count_changes_not_cells(spark):
+    # rows of cells would be a hundred for each block
+    for name in ("f05_reading_order", "f06_column_split", "f07_columns_in_bands"):
+        assert "sequence(" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_words_of_a_document_are_dealt_once(spark):
+    assert plan(catalog.QUERIES["h35_inverted_abstract"](spark, SF)).count("Exchange") == 1
+
+
+def test_sketches_are_of_types_alone(spark):
+    lines = plan(catalog.QUERIES["l_approx_distinct"](spark, SF)).splitlines()
+    assert any("approx_count_distinct" in x for x in lines) and not any("approx_count_distinct" in x and re.search(r"keys=\[[^\]]*user_id", x) for x in lines)
