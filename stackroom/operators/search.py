@@ -18,8 +18,8 @@ K1, B, TITLE_WEIGHT, BODY_WEIGHT, LEAST_IDF = 1.2, 0.75, 5.0, 1.0, 1e-6
 RRF_K, CANDIDATES, ALPHA = 60, 20, 0.05
 #: Words of a question that go into the plan as constants at most.
 WORDS = 1000
-#: Bits of a chunk's id within a block of postings, bytes of text behind each file of an index, and blocks of a variant that are read first.
-BITS, EACH, FIRST = 10, 64 << 20, 16
+#: Bits of a chunk's id within a block of postings, words of text behind each file of an index, and blocks of a variant that are read first.
+BITS, EACH, FIRST = 10, 2 << 20, 16
 
 
 def chunk_view(paragraphs: DataFrame, captions: DataFrame | None = None) -> DataFrame:
@@ -28,20 +28,20 @@ def chunk_view(paragraphs: DataFrame, captions: DataFrame | None = None) -> Data
     return out.where(F.trim("text") != "")
 
 
-def _tokens(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", T.fts_tokens(F.coalesce("title", F.lit(""))).alias("a"), T.fts_tokens(F.col("text")).alias("b"))
+def _tokens(chunks: DataFrame, *keep: str) -> DataFrame:
+    return chunks.select("chunk_id", *keep, T.fts_tokens(F.coalesce("title", F.lit(""))).alias("a"), T.fts_tokens(F.col("text")).alias("b"))
 
 
-def _tagged(chunks: DataFrame, only: list[str] | None = None) -> DataFrame:
+def _tagged(chunks: DataFrame, only: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(chunk_id, dl, t): a chunk's tokens as structs of word and weight; with `only`, the words of a query alone."""
-    keep = (lambda c: F.filter(c, lambda w: w.isin(only))) if only is not None else (lambda c: F.col(c))
-    tag = lambda c, k: F.transform(keep(c), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
-    return _tokens(chunks).select("chunk_id", (F.size("a") + F.size("b")).alias("dl"), F.concat(tag("a", TITLE_WEIGHT), tag("b", BODY_WEIGHT)).alias("t"))
+    some = (lambda c: F.filter(c, lambda w: w.isin(only))) if only is not None else (lambda c: F.col(c))
+    tag = lambda c, k: F.transform(some(c), lambda w: F.struct(w.alias("w"), F.lit(k).alias("k")))
+    return _tokens(chunks, *keep).select("chunk_id", *keep, (F.size("a") + F.size("b")).alias("dl"), F.concat(tag("a", TITLE_WEIGHT), tag("b", BODY_WEIGHT)).alias("t"))
 
 
-def _postings(tagged: DataFrame) -> DataFrame:
+def _postings(tagged: DataFrame, *keep: str) -> DataFrame:
     # the outer form: from the plain one the optimizer infers a filter that computes the array a second time
-    return tagged.select("chunk_id", "dl", F.explode_outer("t").alias("t")).where("t is not null").groupBy("chunk_id", "dl", F.col("t.w").alias("word")).agg(F.sum("t.k").alias("f"))
+    return tagged.select("chunk_id", *keep, "dl", F.explode_outer("t").alias("t")).where("t is not null").groupBy("chunk_id", *keep, "dl", F.col("t.w").alias("word")).agg(F.sum("t.k").alias("f"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -66,8 +66,8 @@ def ensure_index(spark: SparkSession, path: str, chunks: DataFrame, content_hash
 
     A row is a block: the postings of a word in chunks whose ids differ in the last BITS bits alone, as offsets, frequencies
     and lengths, with the best share of a score among them. So a frequent word is many rows, in as many tasks and files as
-    it needs; their number follows from the text's bytes. Rows are ranged and sorted by word and block, so a reader's filter
-    on words reads these words' pages. The row of meta data is written last, so a half-written index is stale.
+    it needs. Chunks are dealt by block and rows are sorted within a file, so a reader's filter on words reads these words'
+    pages of every file. The row of meta data is written last, so a half-written index is stale.
     """
     meta = f"{path}/meta"
     if not force and exists(spark, meta):
@@ -75,14 +75,15 @@ def ensure_index(spark: SparkSession, path: str, chunks: DataFrame, content_hash
         if stored_ is not None and (stored_["content_hash"], stored_["signature"], stored_["version"]) == (content_hash, SIGNATURE, version):
             return False
     delete(spark, meta)
-    tagged = stored(_tagged(chunks), "tagged")
-    stats = tagged.agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl")).first()
-    p = _postings(tagged).withColumn("block", F.shiftright("chunk_id", BITS))
+    stats = _tokens(chunks).select((F.size("a") + F.size("b")).alias("dl")).agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avgdl"), F.sum("dl").alias("words")).first()
+    # dealt by block before the words are rows, so that neither postings nor blocks are shuffled
+    block = F.shiftright("chunk_id", BITS).alias("block")
+    dealt = chunks.select("*", block).repartition(max(1, -(-(stats["words"] or 0) // EACH)), "block")
+    p = _postings(_tagged(dealt, keep=("block",)), "block")
     at = (F.col("chunk_id") - F.shiftleft("block", BITS)).cast("smallint")
     b = p.groupBy("word", "block").agg(F.count("*").cast("int").alias("n"), F.max(_part(F.lit(stats["avgdl"]))).alias("best"), F.array_sort(F.collect_list(F.struct(at.alias("at"), "f", "dl"))).alias("e"))
-    b = stored(b.select("word", "block", "n", "best", F.col("e.at").alias("at"), F.col("e.f").alias("f"), F.col("e.dl").alias("dl")), "blocks")
-    files = max(1, -(-int(str(tagged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // EACH))
-    b.repartitionByRange(files, "word", "block").sortWithinPartitions("word", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    b = b.select("word", "block", "n", "best", F.col("e.at").alias("at"), F.col("e.f").alias("f"), F.col("e.dl").alias("dl"))
+    b.sortWithinPartitions("word", "block").write.mode("overwrite").parquet(f"{path}/postings")
     row = spark.createDataFrame([(stats["n_chunks"], stats["avgdl"], content_hash, SIGNATURE, version)], "n_chunks long, avgdl double, content_hash string, signature string, version string")
     row.write.mode("overwrite").parquet(meta)
     return True

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from stackroom.operators import linking, structure
+from stackroom.operators import linking, search, structure
 from stackroom.plans import catalog
 
 
@@ -71,3 +71,17 @@ def test_words_of_a_document_are_dealt_once(spark):
 def test_sketches_are_of_types_alone(spark):
     lines = plan(catalog.QUERIES["l_approx_distinct"](spark, SF)).splitlines()
     assert any("approx_count_distinct" in x for x in lines) and not any("approx_count_distinct" in x and re.search(r"keys=\[[^\]]*user_id", x) for x in lines)
+
+
+def test_index_stores_nothing_but_itself(spark, tmp_path, monkeypatch):
+    def never(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(search, "stored", never)
+    monkeypatch.setattr(search, "EACH", 50)
+    chunks = spark.createDataFrame([(i, "t", f"word{i % 7} common" * (i % 5)) for i in range(-9, 3000)], "chunk_id long, title string, text string")
+    path = f"file://{tmp_path}/index"
+    assert search.ensure_index(spark, path, chunks, "h", "1")
+    got = search.unpacked(search.read_index(spark, path)[0]).select("chunk_id", "dl", "word", "f")
+    want = search.postings(chunks)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
