@@ -392,7 +392,9 @@ def let(value: Column, body) -> Column:
 
 
 def text_supports(selected: Column, paragraph: Column) -> Column:
-    grams = lambda c: F.when(F.length(c) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3)))))
+    # from characters, for a substring walks through all that stand before it
+    joined = lambda x: F.when(F.size(x) < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 3, F.lit(0))), lambda i: F.concat(F.get(x, i), F.get(x, i + 1), F.get(x, i + 2)))))
+    grams = lambda c: let(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), joined)
     by_grams = lambda v: let(F.struct(grams(v.a).alias("x"), grams(v.b).alias("y")), lambda g: F.coalesce(F.try_divide(F.size(F.array_intersect(g.x, g.y)), F.size(g.x)) >= 0.25, F.lit(False)))
 
     def by_words(v: Column) -> Column:

@@ -4,7 +4,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from stackroom.functions import text as T
 from stackroom.operators import linking, search, structure
 from stackroom.plans import catalog
 
@@ -85,3 +87,9 @@ def test_index_stores_nothing_but_itself(spark, tmp_path, monkeypatch):
     got = search.unpacked(search.read_index(spark, path)[0]).select("chunk_id", "dl", "word", "f")
     want = search.postings(chunks)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_trigrams_walk_a_text_once(spark):
+    assert "substring(" not in plan(catalog.QUERIES["h46_text_supports"](spark, SF))
+    t = spark.createDataFrame([("one two three four five six 𝒳é𝒳", "ne tw hree our ive si é𝒳"), ("ab", "abc"), ("one two three four five six", "zzzz yyyy")], "a string, b string")
+    assert [r[0] for r in t.select(T.text_supports(F.col("a"), F.col("b"))).collect()] == [True, True, False]
