@@ -40,6 +40,28 @@ def _ratio(a: pa.Array, b: pa.Array) -> pa.Array:
 title_ratio = F.arrow_udf(_ratio, T.DoubleType())
 
 
+def _best(text: str, others: list[str], words: list[set], least: float) -> dict:
+    """The best score, how many of the others have it, and the first of these. Words count only beside one of the longest, one more than may be missing."""
+    own = set(text.split(" "))
+    some = set(sorted(own, key=len)[-1 - int(len(own) * (1 - least) + 1e-9) :])
+    scores = [1.0 if text in x else len(x) / len(text) if x in text else 0.0 if some.isdisjoint(w) else len(own & w) / len(own) for x, w in zip(others, words, strict=True)]
+    best = max(scores, default=None)
+    return {"score": best, "n": scores.count(best), "at": scores.index(best) if scores else None}
+
+
+def _best_texts(texts: pa.Array, others: pa.Array, least: pa.Array) -> pa.Array:
+    out = []
+    for t, o, x in zip(texts, others, least, strict=True):
+        have = o.as_py()
+        words = [set(y.split(" ")) for y in have]
+        out.append([None if y is None else _best(y, have, words, x.as_py()) for y in t.as_py()])
+    return pa.array(out, pa.list_(pa.struct([("score", pa.float64()), ("n", pa.int32()), ("at", pa.int32())])))
+
+
+#: Of two lists of normalised texts, the best unit score of each text of the first one in the second; scores under the least one are rough.
+best_texts = F.arrow_udf(_best_texts, T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n", T.IntegerType()), T.StructField("at", T.IntegerType())])))
+
+
 def close_json(raw: str) -> str | None:
     """A truncated JSON object closed after its last complete value, or null."""
     import json

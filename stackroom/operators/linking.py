@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import python as py
 from ..functions import text as T
 from .shared import small, stored
 
@@ -112,18 +113,57 @@ def affected(texts: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
     return texts.join(occurrences(texts, terms, keys).select(*keys).distinct(), keys, "left_semi")
 
 
+#: A document whose units meet all of its paragraphs has so many units, paragraphs and characters at most.
+MANY, FEW, LETTERS = 4096, 256, 4_000_000
+
+
+def _unmapped(text: Column, chars: int, some: Column, best: Column, n: Column, least: float) -> Column:
+    return F.when(F.length(text) < chars, "UNIT_TOO_SHORT").when(~some, "NO_PARAGRAPHS").when(F.coalesce(best, F.lit(0.0)) < least, "BELOW_SCORE_THRESHOLD").when(n > 1, "DUPLICATE_SOURCE_TEXT")
+
+
 def map_units(units: DataFrame, paragraphs: DataFrame, least: float = 0.8, chars: int = 40, normalized: bool = False) -> DataFrame:
     """(doc, unit, paragraph, score, cause): the one paragraph of its document that a unit is, or why there is none.
 
-    Ties leave the unit unmapped; the score of one that nothing is like enough is that of what was looked at. A paragraph
-    with a score of `least` or more lacks few of the unit's words: 1 - least of them by overlap, the first and last one if
-    it holds the unit, and if the unit holds it those of the rest's characters and two cut ones. So it holds one of the
-    unit's rarest words (by the document's paragraphs), as soon as these are more than it may lack in number and in letters.
-    With `normalized` the texts are taken as they are: a unit that was cut before a word keeps the space at its end.
+    Ties leave the unit unmapped; the score of one that nothing is like enough is that of what was looked at. With
+    `normalized` the texts are taken as they are: a unit that was cut before a word keeps the space at its end.
+    """
+    return _mapped(units, paragraphs, least, chars, normalized).drop("text")
+
+
+def _mapped(units: DataFrame, paragraphs: DataFrame, least: float, chars: int, normalized: bool) -> DataFrame:
+    """`map_units` with the units' texts. Texts are dealt by document once; those of large documents meet by words."""
+    t = (F.col("text") if normalized else T.normalize_unit(F.col("text"))).alias("t")
+    u = units.select("doc", F.struct("unit", t, *([] if normalized else ["text"])).alias("u"))
+    p = paragraphs.select("doc", F.struct("paragraph", t).alias("p")).where("doc is not null and p.t <> ''")
+    both = every = stored(u.unionByName(p, allowMissingColumns=True), "units")
+    count = both.groupBy("doc").agg(F.count("u").alias("units"), F.count("p").alias("paragraphs"), F.sum(F.length(F.coalesce("u.t", "p.t"))).alias("letters"))
+    large = stored(count.where((F.col("units") > MANY) | (F.col("paragraphs") > FEW) | (F.col("letters") > LETTERS)).select("doc"), "large")
+    some = not large.isEmpty()
+    if some:
+        large = small(large)
+        both = both.join(large, "doc", "left_anti")
+    text = "t" if normalized else "text"
+    each = both.groupBy("doc").agg(F.collect_list("u").alias("us"), F.collect_list("p").alias("ps"))
+    each = each.withColumn("best", py.best_texts(F.transform("us", lambda x: F.when(F.length(x.t) >= chars, x.t)), F.col("ps.t"), F.lit(least)))
+    each = each.select("doc", F.size("ps").alias("of"), F.explode_outer(F.transform("us", lambda x, i: F.struct(x.unit.alias("unit"), x.t.alias("t"), x[text].alias("text"), F.get("best", i).alias("b"), F.get("ps.paragraph", F.get("best", i)["at"]).alias("paragraph")))).alias("x"))
+    cause = _unmapped(F.col("x.t"), chars, F.col("of") > 0, F.col("x.b.score"), F.col("x.b.n"), least)
+    out = each.where("x is not null").select("doc", "x.unit", "x.text", F.when(cause.isNull(), F.col("x.paragraph")).alias("paragraph"), F.coalesce("x.b.score", F.lit(0.0)).alias("score"), cause.alias("cause"))
+    if some:
+        far = every.join(large, "doc", "left_semi")
+        fu, fp = far.where("u is not null").select("doc", "u.*"), far.where("p is not null").select("doc", "p.*")
+        texts = fu.select("doc", "unit", F.col(text).alias("text"))
+        out = out.unionByName(_by_words(fu, fp, least, chars).join(texts, ["doc", "unit"]).select(*out.columns))
+    return out
+
+
+def _by_words(units: DataFrame, paragraphs: DataFrame, least: float, chars: int) -> DataFrame:
+    """(doc, unit, paragraph, score, cause) of normalised texts `t`, without a unit meeting all paragraphs of its document.
+
+    A paragraph with a score of `least` or more lacks few of the unit's words: 1 - least of them by overlap, the first and
+    last one if it holds the unit, and if the unit holds it those of the rest's characters and two cut ones. So it holds one
+    of the unit's rarest words (by the document's paragraphs), as soon as these are more than it may lack in number and in letters.
     """
-    norm = (lambda c: F.col(c)) if normalized else (lambda c: T.normalize_unit(F.col(c)))
-    u = units.select("doc", "unit", norm("text").alias("ut"))
-    p = paragraphs.select("doc", "paragraph", norm("text").alias("pt")).where("pt <> ''")
+    u, p = units.select("doc", "unit", F.col("t").alias("ut")), paragraphs.select("doc", "paragraph", F.col("t").alias("pt"))
     long = u.where(F.length("ut") >= chars)
     split = lambda t: F.array_distinct(F.split(t, " "))
     wu = long.select("doc", "unit", F.length("ut").alias("letters"), F.size(split("ut")).alias("words"), F.explode(split("ut")).alias("w"))
@@ -139,7 +179,7 @@ def map_units(units: DataFrame, paragraphs: DataFrame, least: float = 0.8, chars
     best = best.groupBy("doc", "unit").agg(F.max(F.struct("score", "n", "paragraph")).alias("b")).select("doc", "unit", F.col("b.score").alias("best"), "b.n", "b.paragraph")
     some = p.select("doc").distinct().withColumn("some", F.lit(True))
     j = u.join(best, ["doc", "unit"], "left").join(some, "doc", "left")
-    cause = F.when(F.length("ut") < chars, "UNIT_TOO_SHORT").when(F.col("some").isNull(), "NO_PARAGRAPHS").when(F.coalesce("best", F.lit(0.0)) < least, "BELOW_SCORE_THRESHOLD").when(F.col("n") > 1, "DUPLICATE_SOURCE_TEXT")
+    cause = _unmapped(F.col("ut"), chars, F.col("some").isNotNull(), F.col("best"), F.col("n"), least)
     return j.select("doc", "unit", F.when(cause.isNull(), F.col("paragraph")).alias("paragraph"), F.coalesce("best", F.lit(0.0)).alias("score"), cause.alias("cause"))
 
 
@@ -148,7 +188,7 @@ def unit_contexts(units: DataFrame, paragraphs: DataFrame, contexts: DataFrame,
 
     `contexts` is (doc, paragraph, context). The key is a digest of version, context and text, for a memo of calls.
     """
-    m = map_units(units, paragraphs, normalized=normalized).join(contexts, ["doc", "paragraph"], "left").join(units.select("doc", "unit", "text"), ["doc", "unit"])
+    m = _mapped(units, paragraphs, 0.8, 40, normalized).join(contexts, ["doc", "paragraph"], "left")
     digest = F.sha2(F.concat(F.lit(version), F.lit("\u0001"), F.coalesce("context", F.lit(""))), 256)
     gone = F.col("context").isNull()
     return m.select("doc", "unit", F.when(~gone, F.col("paragraph")).alias("paragraph"), "context", F.when(gone, "UNMAPPED").alias("fallback"), F.sha2(F.concat(digest, F.lit("\u0000"), "text"), 256).alias("key"))

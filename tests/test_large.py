@@ -93,3 +93,18 @@ def test_trigrams_walk_a_text_once(spark):
     assert "substring(" not in plan(catalog.QUERIES["h46_text_supports"](spark, SF))
     t = spark.createDataFrame([("one two three four five six 𝒳é𝒳", "ne tw hree our ive si é𝒳"), ("ab", "abc"), ("one two three four five six", "zzzz yyyy")], "a string, b string")
     assert [r[0] for r in t.select(T.text_supports(F.col("a"), F.col("b"))).collect()] == [True, True, False]
+
+
+def test_units_of_small_documents_are_dealt_once(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: r.choice(["alpha", "beta", "gamma", "an", "é𝒳é", "longerword", "x" * 9])
+    paras = [(d, i, " ".join(word() for _ in range(r.randint(0, 14)))) for d in range(4) for i in range(40)] + [(4, 0, "")]
+    units = [(d, i, r.choice([t, t[: len(t) * 9 // 10], t + " more", t.replace("alpha", "omega"), "{v1} " + t])) for d, i, t in paras] + [(9, 1, "a unit of a document that has no paragraphs"), (9, 2, None)]
+    u, p = spark.createDataFrame(units, "doc int, unit int, text string"), spark.createDataFrame(paras, "doc int, paragraph int, text string")
+    found = lambda: sorted((x["doc"], x["unit"], x["paragraph"] or -1, x["cause"] or "") for x in linking.map_units(u, p).collect())
+    whole = found()
+    monkeypatch.setattr(linking, "FEW", 0)
+    assert found() == whole and len({x[3] for x in whole}) == 5 and len(whole) == len(units)
+    monkeypatch.undo()
+    lines = plan(linking.map_units(u, p)).splitlines()
+    assert sum("Exchange" in x for x in lines) == 1 and not any("Join" in x for x in lines)
