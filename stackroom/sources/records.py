@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as SP
 from ..functions import text as T
+from ..operators.shared import stored
 from ..shipping import ship
 from . import trees
 
@@ -136,8 +137,10 @@ def blocks_legacy(raw: DataFrame, column: str = "value", width: float = 612.0, h
 
 def blocks(raw: DataFrame, column: str = "value") -> DataFrame:
     """Units of either dialect; what is in none of them is absent."""
-    legacy = F.coalesce(trees.kind_of(F.try_variant_get(F.try_parse_json(column), "$.pages", "variant")), F.lit("")) != "ARRAY"
-    return blocks_v4(raw.where(~legacy), column).unionByName(blocks_legacy(raw.where(legacy), column))
+    legacy = trees.get(F.try_parse_json(column), "$.pages", "array<variant>").isNull()
+    # both dialects read their texts several times
+    raw = stored(raw.select("id", column, legacy.alias("legacy")), "raw")
+    return blocks_v4(raw.where("not legacy"), column).unionByName(blocks_legacy(raw.where("legacy"), column))
 
 
 def collected_urls(raw: DataFrame, column: str = "value") -> DataFrame:

@@ -22,7 +22,7 @@ def kind_of(node: Column | str) -> Column:
 
 def items(rows: DataFrame, node: Column, at: str = "at", item: str = "item") -> DataFrame:
     """A row for each element of an array, with its place; none for anything else."""
-    return rows.select("*", F.posexplode_outer(F.when(kind_of(node) == "ARRAY", node.cast("array<variant>"))).alias(at, item)).where(F.col(at).isNotNull())
+    return rows.select("*", F.posexplode_outer(get(node, "$", "array<variant>")).alias(at, item)).where(F.col(at).isNotNull())
 
 
 def expanded(rows: DataFrame, node: str, path: str, inner: Callable[[Column], Column], below: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import random
 import re
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from stackroom.functions import spans
 from stackroom.functions import text as T
 from stackroom.operators import linking, search, structure
 from stackroom.plans import catalog
@@ -108,3 +110,22 @@ def test_units_of_small_documents_are_dealt_once(spark, monkeypatch):
     monkeypatch.undo()
     lines = plan(linking.map_units(u, p)).splitlines()
     assert sum("Exchange" in x for x in lines) == 1 and not any("Join" in x for x in lines)
+
+
+def test_spans_are_not_walked_by_character():
+    def calls(tree) -> int:
+        seen = []
+        sys.setprofile(lambda _, event, __: seen.append(event))
+        try:
+            spans.joined(tree)
+        finally:
+            sys.setprofile(None)
+        return len(seen)
+
+    tree = lambda n: [{"type": "text", "content": "word  \t" * n, "styles": ["bold"]}, {"type": "equation_inline", "content": "x" * n}]
+    assert calls(tree(1000)) == calls(tree(2))
+
+
+def test_parser_json_is_read_from_one_table(spark):
+    # its texts were made again for each of the branches of both dialects
+    assert "documents.parquet" not in plan(catalog.QUERIES["a05_flatten_legacy"](spark, SF))
