@@ -283,11 +283,11 @@ def ancestors(sections: DataFrame) -> DataFrame:
     level = stored(sections.where("parent is not null").select("section", F.col("parent").alias("anc"), F.lit(1).alias("k")), "ancestors")
     out, first = level, 1
     while True:
-        level = stored(level.where("anc <> section").join(up, "anc").where("next is not null").select("section", F.col("next").alias("anc"), (F.col("k") + 1).alias("k")), "ancestors")
+        level = stored(level.where("anc <> section").join(up.hint("merge"), "anc").where("next is not null").select("section", F.col("next").alias("anc"), (F.col("k") + 1).alias("k")), "ancestors")
         if level.isEmpty():
             return out
         out = out.unionByName(level)
         first += 1
         if first % 20 == 0:
             # a chain that meets a cycle of others goes on for ever: what it has met before is left out
-            level = level.join(out.where(F.col("k") < first).select("section", "anc"), ["section", "anc"], "left_anti")
+            level = level.join(out.where(F.col("k") < first).select("section", "anc").hint("merge"), ["section", "anc"], "left_anti")

@@ -129,3 +129,10 @@ def test_spans_are_not_walked_by_character():
 def test_parser_json_is_read_from_one_table(spark):
     # its texts were made again for each of the branches of both dialects
     assert "documents.parquet" not in plan(catalog.QUERIES["a05_flatten_legacy"](spark, SF))
+
+
+def test_ancestors_broadcast_no_rows(spark, parts, monkeypatch):
+    seen, stored = [], structure.stored
+    monkeypatch.setattr(structure, "stored", lambda df, name: (seen.append(plan(df)), stored(df, name))[1])
+    assert catalog.QUERIES["f15_ancestors"](spark, parts(20)).count() > 20
+    assert len(seen) > 3 and not any("Broadcast" in x for x in seen)
