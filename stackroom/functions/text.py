@@ -20,6 +20,8 @@ CJK = r"\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{3000}-\x{303F}\x{F
 CJK_NARROW = r"\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}\x{3000}-\x{303F}"
 WORD_SPLIT = r"[^\p{L}\p{N}_\-.]+"
 EDGES = r"^[^\p{L}\p{N}_]+|[^\p{L}\p{N}_]+$"
+#: A run of what WORD_SPLIT leaves, without its EDGES, that has a letter or digit.
+WORD = r"(?:[\p{L}\p{N}]|_[_\-.]*[\p{L}\p{N}])(?:[\p{L}\p{N}_\-.]*[\p{L}\p{N}_])?"
 SPACES = r"[\t \x{00A0}\x{2000}-\x{200B}\x{202F}\x{205F}\x{3000}]+"
 CITATION = r"\[\s*\d+\s*(?:[-–—,;]\s*\d+\s*)*\]|\(\s*[A-Z][A-Za-z'’\-]+(?:\s+(?:et\s+al\.?|and|&)\s*[A-Za-z'’\-]*)?,?\s*(?:19|20)\d{2}[a-z]?\s*\)"
 MARKER = r"\[(E\d+)\]"
@@ -79,8 +81,9 @@ def is_front_matter(title: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    words = F.transform(F.split(c, WORD_SPLIT), lambda w: F.lower(F.regexp_replace(w, EDGES, "")))
-    return F.filter(words, lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    # found whole, and made lower in one go: a line's end between words is no letter's neighbour
+    words = F.array_join(F.regexp_extract_all(c, F.lit(WORD), F.lit(0)), "\n")
+    return F.filter(F.split(F.lower(words), "\n"), lambda w: w != "")
 
 
 def fts_tokens(c: Column) -> Column:
@@ -89,7 +92,7 @@ def fts_tokens(c: Column) -> Column:
 
 
 def content_terms(c: Column) -> Column:
-    return F.filter(tokens(c), lambda w: ~F.array_contains(strings(STOP_WORDS), w) & ((F.length(w) > 1) | w.rlike(r"^\d$")))
+    return F.filter(tokens(c), lambda w: ~w.isin(STOP_WORDS) & ((F.length(w) > 1) | w.rlike(r"^\d$")))
 
 
 def coverage(query: Column, text: Column) -> Column:
