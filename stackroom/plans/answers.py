@@ -20,7 +20,7 @@ from ..operators import store as ST
 from ..operators import structure as X
 from ..sources import records as R
 from ..streaming import jobs
-from .base import LINES, inline, literal, paragraphs, query, table, values
+from .base import LINES, dealt, inline, literal, paragraphs, query, table, values
 from .library import NORM
 from .retrieval import FLAG, QUESTION, _bm, _chunks, _variants
 from .scalars import TOK, words_sql
@@ -420,7 +420,7 @@ def _(spark, d):
     three = [part("text", q(n), bold), part("text", q(z), '["superscript"]')]
     spans = lambda xs: F.concat(F.lit("["), F.concat_ws(", ", *xs), F.lit("]"))
     s = F.when(F.col("p_size") % 3 == 0, spans(one)).when(F.col("p_size") % 3 == 1, spans(two)).otherwise(spans(three))
-    x = table(spark, d, "part").select(F.col("p_partkey").alias("k"), SP.styled(s).alias("x"))
+    x = dealt(table(spark, d, "part").select("p_partkey", "p_name", "p_size")).select(F.col("p_partkey").alias("k"), SP.styled(s).alias("x"))
     return x.select("k", "x.text", F.transform("x.runs", lambda r: F.concat(r.start.cast("string"), F.lit("-"), r.stop.cast("string"), F.lit(":"), F.array_join(r.styles, ","))).alias("runs"))
 
 
@@ -430,7 +430,7 @@ def _(spark, d):
     k = F.col("p_partkey").cast("string")
     names = F.array(F.lit("../a/evil.json"), F.lit("/abs.json"), F.lit("image.png"), F.concat(F.lit("b/"), k, F.lit(".json")), F.concat(F.lit("a/"), k, F.lit(".json")))
     values_ = F.array(F.lit("{}"), F.lit("{}"), F.lit("x"), F.lit("{}"), F.concat(F.lit('{"n": '), F.col("p_size").cast("string"), F.lit("}")))
-    z = R.archived(table(spark, d, "part").select(F.concat(F.lit("in/n"), k, F.lit(".zip")).alias("path"), names.alias("names"), values_.alias("values")))
+    z = R.archived(dealt(table(spark, d, "part").select("p_partkey", "p_size")).select(F.concat(F.lit("in/n"), k, F.lit(".zip")).alias("path"), names.alias("names"), values_.alias("values")))
     broken = F.regexp_extract("path", r"n(\d+)", 1).cast("long") % 5 == 0
     return R.archive_members(z.withColumn("content", F.when(broken, F.substring("content", 1, 20)).otherwise(F.col("content")))).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "member", "value")
 

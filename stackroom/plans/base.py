@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows that lie in fewer splits than there are cores, dealt to all of them: for small rows that cost much work each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Lines of documents stand for a paper's paragraphs: four to a page, `source` for its section.
 LINES = "lines as (select doc_id, source, lang, unnest(range(0, len(l)))::int pos, unnest(l) as text from (select *, string_split(text, chr(10)) l from documents)), para as (select *, pos // 4 + 1 page from lines)"
 

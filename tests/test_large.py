@@ -136,3 +136,21 @@ def test_ancestors_broadcast_no_rows(spark, parts, monkeypatch):
     monkeypatch.setattr(structure, "stored", lambda df, name: (seen.append(plan(df)), stored(df, name))[1])
     assert catalog.QUERIES["f15_ancestors"](spark, parts(20)).count() > 20
     assert len(seen) > 3 and not any("Broadcast" in x for x in seen)
+
+
+def test_tokens_are_found_by_one_pattern(spark):
+    assert "regexp_replace" not in plan(catalog.QUERIES["h11_content_terms"](spark, SF))
+    r = random.Random(7)
+    odd = ["".join(r.choices("aB7_-.é ß'Σ𝒳İ́\n漢", k=r.randint(0, 14))) for _ in range(3000)] + ["", None]
+    old = F.filter(F.transform(F.split("s", T.WORD_SPLIT), lambda w: F.lower(F.regexp_replace(w, T.EDGES, ""))), lambda w: w.rlike(r"[\p{L}\p{N}]"))
+    t = spark.createDataFrame([(x,) for x in odd], "s string")
+    assert t.where(~old.eqNullSafe(T.tokens(F.col("s")))).count() == 0
+
+
+def test_rows_of_much_work_are_dealt(spark):
+    for name in ("a06_archives", "h52_joined_styles"):
+        assert "RoundRobinPartitioning" in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_folding_takes_one_worker(spark):
+    assert plan(catalog.QUERIES["h17_normalize_for_matching"](spark, SF)).count("+- ArrowEvalPython") == 1
