@@ -10,9 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Rows of a batch that are Python objects at a time.
+ROWS = 256
+
+
 def _map(fn, kind=pa.string()):
     def run(*cols: pa.Array) -> pa.Array:
-        return pa.array([None if None in x else fn(*x) for x in zip(*[c.to_pylist() for c in cols], strict=True)], kind)
+        some = lambda i: [c.slice(i, ROWS).to_pylist() for c in cols]
+        each = [pa.array([None if None in x else fn(*x) for x in zip(*some(i), strict=True)], kind) for i in range(0, len(cols[0]), ROWS)]
+        return pa.concat_arrays(each) if each else pa.array([], kind)
 
     return run
 

@@ -291,7 +291,8 @@ def _(spark, d):
 
 @query("h17_normalize_for_matching")
 def _(spark, d):
-    s = py.casefold(T.squeeze(F.translate(py.nfkc("text"), "‐‑‒–—−", "------")))
+    # folding a case makes no blank or dash, so both functions stand together and share a worker
+    s = T.squeeze(F.translate(py.casefold(py.nfkc("text")), "‐‑‒–—−", "------"))
     return table(spark, d, "documents").select("doc_id", s.alias("folded"))
 
 
