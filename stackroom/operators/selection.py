@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import product
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shipping import ship
 from .shared import stored
 
 # Fixed values, in points.
 MIN_X, MIN_Y_COVER, MIN_AREA, MIN_SHARE, NEAR = 4.0, 0.5, 80.0, 0.4, 0.5
 
+#: Rows of a page up to which its duplicates are dropped by one walk, and kept boxes up to which each is looked at.
+WALKED, FEW = 100_000, 16
+
 
 def _overlap(a: str, b: str, lo: str, hi: str) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.col(f"{a}.{hi}"), F.col(f"{b}.{hi}")) - F.greatest(F.col(f"{a}.{lo}"), F.col(f"{b}.{lo}")))
@@ -44,31 +54,102 @@ def selected_blocks(rects: DataFrame, blocks: DataFrame, words: Column) -> DataF
 _EDGES = ["x0", "y0", "x1", "y1"]
 
 
+def _order(id: str) -> list[Column]:
+    return [F.coalesce(-F.col("score"), F.lit(float("inf"))), F.col(id)]
+
+
+class _Page:
+    """The kept boxes of a page: a list while they are few, then by cells of their four edges, four times as wide as NEAR."""
+
+    def __init__(self) -> None:
+        self.few: list[tuple] = []
+        self.cells: dict[tuple, list[tuple]] = {}
+        self.odd: set[tuple] = set()
+
+    def keeps(self, finite: bool, box: tuple) -> bool:
+        """Whether a walk keeps the box, which then is one of the kept."""
+        if not finite:
+            # near no box, but of equal ones the first is kept
+            box = tuple("nan" if v != v else v for v in box)
+            new = box not in self.odd
+            self.odd.add(box)
+            return new
+        x0, y0, x1, y1 = box
+        for a, b, c, d in self.around(box) if self.cells else self.few:
+            if abs(x0 - a) <= NEAR and abs(y0 - b) <= NEAR and abs(x1 - c) <= NEAR and abs(y1 - d) <= NEAR:
+                return False
+        if not self.cells:
+            self.few.append(box)
+        for kept in [box] if self.cells else self.few if len(self.few) > FEW else ():
+            self.cells.setdefault(tuple(v // (4 * NEAR) for v in kept), []).append(kept)
+        return True
+
+    def around(self, box: tuple) -> Iterator[tuple]:
+        """What is kept in the box's cells, one or two an edge; the margin is wider than NEAR, for a difference may be rounded down to it."""
+        for at in product(*({(v - 1.5 * NEAR) // (4 * NEAR), (v + 1.5 * NEAR) // (4 * NEAR)} for v in box)):
+            yield from self.cells.get(at, ())
+
+
+def _walked(boxes: DataFrame, key: str, id: str) -> DataFrame:
+    """The boxes that are kept, by one walk over each page's rows: a worker streams through them with the kept ones of one page."""
+    ship(boxes.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, page, begun = None, _Page(), False
+        for b in batches:
+            edges = [b.column(e).cast(pa.float64(), safe=False) for e in _EDGES]
+            finite = reduce(pc.and_, [pc.fill_null(pc.is_finite(e), False) for e in edges])
+            keep = []
+            for k, f, box in zip(b.column(key).to_pylist(), finite.to_pylist(), zip(*(e.to_pylist() for e in edges), strict=True), strict=True):
+                if not begun or k != now:
+                    now, page, begun = k, _Page(), True
+                keep.append(page.keeps(f, box))
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return boxes.repartition(key).sortWithinPartitions(key, *_order(id), *_EDGES).mapInArrow(run, boxes.schema)
+
+
 def conflicts(boxes: DataFrame, key: str = "page") -> DataFrame:
     """(key, better, worse): pairs of boxes of one page all of whose edges lie within NEAR of each other.
 
     `boxes` is (key, node), where node is a struct that begins with the order and holds the edges. A box is in the cell of
-    its first corner and meets those of the nine cells around it.
+    its first corner and meets those of the nine cells around it. Cells are wider than NEAR, for a difference may be rounded down to it.
     """
-    cell = lambda c: F.floor(F.col(f"node.{c}") / NEAR).cast("long")
+    cell = lambda c: F.greatest(F.least(F.floor(F.col(f"node.{c}") / (2 * NEAR)).cast("long"), F.lit(1 << 62)), F.lit(-(1 << 62)))
     b = boxes.select(key, F.col("node").alias("better"), cell("x0").alias("cx"), cell("y0").alias("cy"))
     around = F.array(*[F.struct((cell("x0") + i).alias("cx"), (cell("y0") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     other = boxes.select(key, F.col("node").alias("worse"), F.explode(around).alias("c")).select(key, "worse", "c.cx", "c.cy")
     near = F.col("better") < F.col("worse")
     for e in _EDGES:
-        near = near & (F.abs(F.col(f"better.{e}") - F.col(f"worse.{e}")) <= NEAR)
+        near = near & (F.abs(F.col(f"better.{e}").cast("double") - F.col(f"worse.{e}").cast("double")) <= NEAR)
     return b.join(other, [key, "cx", "cy"]).where(near).select(key, "better", "worse")
 
 
 def drop_duplicates(boxes: DataFrame, key: str = "page", id: str = "id", log: list[int] | None = None) -> DataFrame:
     """By falling score (null last), then id, boxes whose edges all lie within NEAR of a kept one are dropped.
 
-    The same boxes as a walk in that order keeps, in rounds over the table of conflicts: a box that no undecided box
-    precedes is kept, and what it conflicts with is dropped. Of boxes with equal edges the first alone takes part, and
-    of rows equal in edges, score and id one. `log` gets the number of boxes dropped in each round.
+    Pages are dealt to the tasks and walked in that order. One of more than WALKED rows, which one task shouldn't hold, goes
+    in rounds that keep the same boxes. Boxes without a page are on one of their own. Of boxes with equal edges the first
+    alone takes part, and of rows equal in edges, score and id one. `log` gets the number of boxes dropped in each round;
+    with it all pages go in rounds.
     """
-    node = F.struct(F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("s"), F.col(id).alias("i"), *_EDGES)
-    rows = boxes.withColumn("node", node)
+    if log is not None:
+        return _in_rounds(boxes, key, id, log)
+    long = stored(boxes.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("n")).where(F.col("n") > WALKED).select("__k"), "long")
+    if long.isEmpty():
+        return _walked(boxes, key, id)
+    # one row for each WALKED boxes at most
+    on = boxes[key].eqNullSafe(F.col("__k"))
+    rest = boxes.join(F.broadcast(long), on, "left_anti")
+    return _walked(rest, key, id).unionByName(_in_rounds(boxes.join(F.broadcast(long), on, "left_semi"), key, id))
+
+
+def _in_rounds(boxes: DataFrame, page: str, id: str, log: list[int] | None = None) -> DataFrame:
+    """The boxes that are kept, in rounds over the table of conflicts: one that no undecided box precedes is kept, and what it conflicts with is dropped."""
+    s, i = _order(id)
+    # a struct, so that null is a page, too
+    key = "__page"
+    rows = boxes.withColumns({key: F.struct(page), "node": F.struct(s.alias("s"), i.alias("i"), *_EDGES)})
     one = stored(rows.groupBy(key, *_EDGES).agg(F.min("node").alias("node")).select(key, "node"), "boxes")
     left, gone = stored(conflicts(one, key), "conflicts"), None
     while not left.isEmpty():

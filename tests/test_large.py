@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stackroom.functions import spans
 from stackroom.functions import text as T
-from stackroom.operators import linking, search, structure
+from stackroom.operators import linking, search, selection, structure
 from stackroom.plans import catalog
 
 
@@ -154,3 +154,37 @@ def test_rows_of_much_work_are_dealt(spark):
 
 def test_folding_takes_one_worker(spark):
     assert plan(catalog.QUERIES["h17_normalize_for_matching"](spark, SF)).count("+- ArrowEvalPython") == 1
+
+
+def test_boxes_of_short_pages_need_no_table_of_conflicts(spark, duck, monkeypatch):
+    def none(*_):
+        raise AssertionError("pages of a few boxes are walked")
+
+    monkeypatch.setattr(selection, "conflicts", none)
+    got = catalog.QUERIES["f17_drop_duplicate_boxes"](spark, "/root/testdata/sf0.001")
+    assert len(re.findall(r"Exchange", plan(got))) == 1
+    want = duck.sql(catalog.ORACLE_SQL["f17_drop_duplicate_boxes"]).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_boxes_of_long_pages_are_those_of_the_walk(spark, monkeypatch):
+    r, inf, nan = random.Random(5), float("inf"), float("nan")
+    edge = lambda n: round(r.randrange(n) * 0.3 - 1, 1)
+    boxes = [(p, i, r.choice([0.5, 0.7, None]), edge(n), edge(n), 10 + edge(n), 10 + edge(n)) for p, n in ((1, 4), (None, 6), (2, 30)) for i in range(150)]
+    boxes += [(3, 0, 0.9, -1e-17, 0.0, 9.0, 9.0), (3, 1, 0.8, 0.5, 0.0, 9.0, 9.0)]  # doubles half a point apart
+    odd = [nan, inf, -inf, 1e300, -1e300, None]
+    boxes += [(4, i, 0.5, odd[i % 6], 0.1 * (i // 12), 9.0, 9.0) for i in range(48)] + boxes[:20]
+    want, plain = [], lambda b: all(v is not None and abs(v) < inf for v in b)
+    for p in (1, None, 2, 3, 4):
+        kept = []
+        for b in sorted({str(b): b for b in boxes if b[0] == p}.values(), key=lambda b: (inf if b[2] is None else -b[2], b[1])):
+            e = b[3:]
+            if not any(str(e) == str(k) or plain(e) and plain(k) and all(abs(x - y) <= 0.5 for x, y in zip(e, k, strict=True)) for k in kept):
+                kept.append(e)
+                want.append((str(p), b[1]))
+    t = spark.createDataFrame([(*b, f"n{b[1]}") for b in boxes], "page int, id int, score double, x0 double, y0 double, x1 double, y1 double, note string")
+    for walked, few in ((100_000, 16), (100_000, 0), (160, 16), (0, 16)):
+        monkeypatch.setattr(selection, "WALKED", walked)
+        monkeypatch.setattr(selection, "FEW", few)
+        got = selection.drop_duplicates(t).collect()
+        assert sorted((str(b["page"]), b["id"]) for b in got) == sorted(want) and all(b["note"] == f"n{b['id']}" for b in got)
